@@ -1,0 +1,21 @@
+"""Broadcast only behind a size check.
+
+Dimensions that grow with the data (vehicles, users) are left to the planner:
+Catalyst broadcasts below ``spark.sql.autoBroadcastJoinThreshold`` and AQE
+re-decides from runtime sizes. ``broadcast_if_small`` is for inputs that are
+small by nature (routes, request term lists): it counts at most
+``max_rows + 1`` rows and falls back to a shuffle join above the bound.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+DEFAULT_MAX_ROWS = 200_000
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = DEFAULT_MAX_ROWS) -> DataFrame:
+    if df.limit(max_rows + 1).count() <= max_rows:
+        return F.broadcast(df)
+    return df
