@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql.types import StructType
+from pyspark.sql.types import (BooleanType, DateType, DecimalType, DoubleType, IntegerType,
+                               LongType, StringType, StructField, StructType, TimestampNTZType)
 
 _DDL = {
     "routes": "route_id:bigint,origin:string,destination:string,distance_km:decimal(6,2),estimated_duration_minutes:int,fare_price:decimal(8,2),status:string",
@@ -18,8 +19,16 @@ _DDL = {
 }
 
 
-def _struct(ddl: str) -> StructType:
-    return StructType.fromDDL(",".join(f"{c.split(':', 1)[0]} {c.split(':', 1)[1]}" for c in _split(ddl)))
+_TYPES = {"bigint": LongType(), "int": IntegerType(), "string": StringType(),
+          "boolean": BooleanType(), "date": DateType(), "timestamp_ntz": TimestampNTZType(),
+          "double": DoubleType()}
+
+
+def _type(name: str):
+    if name.startswith("decimal("):
+        p, s = name[len("decimal("):-1].split(",")
+        return DecimalType(int(p), int(s))
+    return _TYPES[name]
 
 
 def _split(ddl: str) -> list[str]:
@@ -38,4 +47,10 @@ def _split(ddl: str) -> list[str]:
     return out
 
 
-SCHEMAS: dict[str, StructType] = {n: _struct(d) for n, d in _DDL.items()}
+def struct(ddl: str) -> StructType:
+    """``"a:bigint,b:decimal(10,2)"`` -> StructType (no session needed)."""
+    return StructType([StructField(c.split(":", 1)[0], _type(c.split(":", 1)[1]), True)
+                       for c in _split(ddl)])
+
+
+SCHEMAS: dict[str, StructType] = {n: struct(d) for n, d in _DDL.items()}
