@@ -53,3 +53,59 @@ register("driver_earnings")(lambda t: reports.driver_earnings(t, P.as_of))
 register("manifest_totals")(reports.manifest_totals)
 register("queue_max_position")(reports.queue_max_position)
 register("active_trip_counts")(reports.active_trip_counts)
+
+# ---------------------------------------------------------------- §2.2 / §2.3
+from terminus.operators import joins, lookups, nested, topk  # noqa: E402
+from terminus.sources import requests as rq  # noqa: E402
+
+
+def _with_session(fn):
+    """Register a query that also needs the session (for request tables)."""
+    return fn
+
+
+register("users_list")(lookups.users_list)
+register("user_profile")(lookups.user_profile)
+register("routes_all")(lookups.routes_all)
+register("routes_active")(lookups.routes_active)
+register("vehicles_all")(lookups.vehicles_all)
+register("vehicles_available")(lookups.vehicles_available)
+register("bookings_by_name")(
+    lambda t: lookups.bookings_by_name(t, rq.name_terms(t.bookings.sparkSession)))
+register("bookings_by_email")(lambda t: lookups.bookings_by_email(t, rq.email_requests(t)))
+register("bookings_by_ticket")(lambda t: lookups.bookings_by_ticket(t, rq.ticket_requests(t)))
+register("passenger_contact")(lookups.passenger_contact)
+register("trip_bookings")(lookups.trip_bookings)
+
+register("queue_status")(joins.queue_status)
+register("queue_by_route")(lambda t: joins.queue_by_route(t, rq.active_route_ids(t)))
+register("active_bookings")(joins.active_bookings)
+register("available_trips")(joins.available_trips)
+register("trip_details")(joins.trip_details)
+register("booking_details")(joins.booking_details)
+register("booking_by_ticket_reference")(
+    lambda t: joins.booking_by_ticket_reference(t, rq.ticket_requests(t)))
+register("booking_tracking")(joins.booking_tracking)
+register("seat_availability")(joins.seat_availability)
+register("drivers_available")(joins.drivers_available)
+register("driver_status")(joins.driver_status)
+register("vehicle_status")(joins.vehicle_status)
+register("driver_contact")(joins.driver_contact)
+register("upcoming_trips")(joins.upcoming_trips)
+register("system_logs")(joins.system_logs)
+register("trips_unassigned")(joins.trips_unassigned)
+
+# ---------------------------------------------------------------- §2.5 / §2.6
+register("queue_nested")(nested.queue_nested_summary)
+register("trip_manifest")(nested.trip_manifest_exploded)
+register("recent_active_bookings")(topk.recent_active_bookings)
+register("recent_bookings_feed")(topk.recent_bookings_feed)
+register("cancellation_history")(topk.cancellation_history)
+register("latest_payment")(topk.latest_payment)
+register("next_trip")(topk.next_trip)
+register("smart_trip_candidate")(topk.smart_trip_candidate)
+register("current_trip")(topk.current_trip)
+register("trip_history")(topk.trip_history)
+register("driver_assignment_history")(topk.driver_assignment_history)
+register("vehicle_assignment_history")(topk.vehicle_assignment_history)
+register("notification_inbox")(topk.notification_inbox)

@@ -102,7 +102,7 @@ def ci_contains(col: Column, term: Column) -> Column:
     The user's term keeps its ``%`` and ``_`` wildcards (the reference does not
     escape them), so this is a LIKE on lower-cased text, not a substring test.
     """
-    return F.lower(col).like(F.concat(F.lit("%"), F.lower(term), F.lit("%")))
+    return F.like(F.lower(col), F.concat(F.lit("%"), F.lower(term), F.lit("%")))
 
 
 def ci_equals(col: Column, value: Column) -> Column:
