@@ -109,3 +109,51 @@ register("trip_history")(topk.trip_history)
 register("driver_assignment_history")(topk.driver_assignment_history)
 register("vehicle_assignment_history")(topk.vehicle_assignment_history)
 register("notification_inbox")(topk.notification_inbox)
+
+# ---------------------------------------------------------------- §2.9 lifecycle
+from terminus.operators import lifecycle as lc  # noqa: E402
+from terminus.operators import quality as qa  # noqa: E402
+
+
+@register("admit_bookings")
+def _admit(t: Tables) -> DataFrame:
+    """W01: every booking replayed as a request against empty trips."""
+    return lc.admit_bookings(rq.empty_trips(t), rq.booking_requests(t), t.bookings, t.payment_log,
+                             P.now).decisions
+
+
+@register("admit_smart_bookings")
+def _admit_smart(t: Tables) -> DataFrame:
+    """W02: every booking replayed as a route-level smart request against empty trips."""
+    return lc.admit_smart_bookings(rq.empty_trips(t), rq.booking_requests(t)).decisions
+
+
+register("seat_ledger")(lambda t: lc.seat_ledger(t.trips, rq.booking_changes(t)))
+register("seat_ledger_running")(lambda t: lc.seat_ledger_running(rq.booking_changes(t)))
+register("mark_full_trips")(lambda t: lc.mark_full_trips(t.trips, rq.booking_changes(t)))
+register("enqueue_trips")(
+    lambda t: lc.enqueue_trips(t.trips, t.routes, t.vehicles, rq.new_trips(t), P.now).decisions)
+register("advance_queue")(
+    lambda t: lc.live_queue_after(lc.advance_queue(t.trips, rq.departures(t, P.now), "intended")))
+register("advance_queue_literal")(
+    lambda t: lc.live_queue_after(lc.advance_queue(t.trips, rq.departures(t, P.now), "literal")))
+register("arrive_trips")(lambda t: lc.arrive_trips(t.trips, rq.arrivals(t)).decisions)
+register("driver_rollup")(lambda t: lc.driver_rollup(t.driver_details, rq.status_events(t), t.routes))
+register("vehicle_rollup")(lambda t: lc.vehicle_rollup(t.vehicles, rq.status_events(t)))
+register("departure_log")(lambda t: lc.departure_log(rq.status_events(t)))
+register("cancel_bookings")(lambda t: lc.cancel_bookings(t.bookings, rq.cancel_requests(t)).decisions)
+register("reassign_vehicles")(
+    lambda t: lc.reassign_vehicles(t.trips, t.vehicles, rq.reassignments(t)).decisions)
+register("reassign_drivers")(
+    lambda t: lc.reassign_drivers(t.trips, t.users, t.driver_details, rq.reassignments(t)).decisions)
+register("mark_notifications_read")(
+    lambda t: lc.mark_notifications_read(t.user_notifications, rq.read_marks(t)))
+register("deletable_entities")(lambda t: lc.deletable_entities(t.routes, t.vehicles, t.trips))
+register("upsert_entities")(lambda t: lc.register_users(t.users, rq.registrations(t), P.now).decisions)
+
+register("integrity_audit")(qa.integrity_audit)
+register("cascade_delete")(lambda t: qa.cascade_delete(
+    t, t.users.filter(F.col("status") == "blocked"), t.trips.filter(F.col("trip_status") == "cancelled"),
+    t.vehicles.filter(F.col("vehicle_status") == "retired"), t.routes.filter(F.col("status") == "inactive")))
+register("validate_requests")(
+    lambda t: qa.validation_error_counts(rq.booking_requests(t), "walk_in_booking"))

@@ -139,9 +139,10 @@ user_notifications AS (
 """
 
 
-def with_prelude(body_ctes: str | None, select: str) -> str:
-    """``WITH prelude[, body_ctes] select``."""
+def with_prelude(body_ctes: str | None, select: str, recursive: bool = False) -> str:
+    """``WITH [RECURSIVE] prelude[, body_ctes] select``."""
     ctes = PRELUDE_CTES.strip()
     if body_ctes:
         ctes = ctes + ",\n" + body_ctes.strip()
-    return f"WITH {ctes}\n{select.strip()}"
+    kw = "WITH RECURSIVE" if recursive else "WITH"
+    return f"{kw} {ctes}\n{select.strip()}"

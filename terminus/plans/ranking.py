@@ -36,32 +36,46 @@ def _key_cond(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
     return reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[k]) for k in keys])
 
 
-def sequence_within(df: DataFrame, keys: list[str], order: list[Column], out: str = "rn",
-                    num_partitions: int | None = None) -> DataFrame:
-    """Add ``out`` = 1, 2, ... per ``keys`` in ``order``.
+def cumulative_within(df: DataFrame, keys: list[str], order: list[Column], out: str,
+                      value: Column | None = None, num_partitions: int | None = None) -> DataFrame:
+    """Running count (``value=None``: 1, 2, ...) or running sum of ``value``
+    per ``keys`` in ``order``, computed without a per-key task.
 
     ``order`` must be a total order inside a key: end it with a unique column.
+    With no ``keys`` the numbering is global.
     """
     spark = df.sparkSession
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     sort_keys = [F.col(k).asc_nulls_first() for k in keys] + list(order)
+    v = F.lit(1).cast("bigint") if value is None else value
     checkpoint_dir(spark)
-    ranged = (df.repartitionByRange(n, *sort_keys).withColumn("_pid", F.spark_partition_id())
+    ranged = (df.withColumn("_v", v).repartitionByRange(n, *sort_keys)
+              .withColumn("_pid", F.spark_partition_id())
               .checkpoint(eager=True))
-    local = ranged.withColumn(
-        "_lrn", F.row_number().over(Window.partitionBy("_pid", *keys).orderBy(*order)))
-    slices = ranged.groupBy("_pid", *keys).agg(F.count(F.lit(1)).alias("_n"))
+    w_local = (Window.partitionBy("_pid", *keys).orderBy(*order)
+               .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    local = ranged.withColumn("_local", F.sum("_v").over(w_local))
+    slices = ranged.groupBy("_pid", *keys).agg(F.sum("_v").alias("_n"))
     before = Window.partitionBy(*keys).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (slices.withColumn("_off", F.sum("_n").over(before))
-               .filter(F.col("_off") > 0)
+               .filter(F.col("_off").isNotNull())
                .select(F.col("_pid").alias("_opid"), *[F.col(k).alias("_o_" + k) for k in keys],
                        "_off"))
     cond = (local["_pid"] == offsets["_opid"])
     for k in keys:
         cond = cond & local[k].eqNullSafe(offsets["_o_" + k])
+    # One offset row per partition at most: a broadcast of fixed size.
     joined = local.join(F.broadcast(offsets), cond, "left")
-    return (joined.withColumn(out, (F.col("_lrn") + F.coalesce(F.col("_off"), F.lit(0))).cast("int"))
-            .drop("_pid", "_lrn", "_opid", "_off", *["_o_" + k for k in keys]))
+    res = joined.withColumn(out, F.col("_local") + F.coalesce(F.col("_off"), F.lit(0)))
+    if value is None:
+        res = res.withColumn(out, F.col(out).cast("int"))
+    return res.drop("_v", "_pid", "_local", "_opid", "_off", *["_o_" + k for k in keys])
+
+
+def sequence_within(df: DataFrame, keys: list[str], order: list[Column], out: str = "rn",
+                    num_partitions: int | None = None) -> DataFrame:
+    """``row_number() OVER (PARTITION BY keys ORDER BY order)``, skew-safe."""
+    return cumulative_within(df, keys, order, out, None, num_partitions)
 
 
 def top_k_within(df: DataFrame, keys: list[str], order: list[Column], k: int,

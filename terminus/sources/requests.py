@@ -32,3 +32,134 @@ def ticket_requests(t: Tables) -> DataFrame:
 
 def active_route_ids(t: Tables) -> DataFrame:
     return t.routes.filter(F.col("status") == "active").select("route_id")
+
+
+# ------------------------------------------------------------------ lifecycle
+def booking_requests(t: Tables) -> DataFrame:
+    """Every booking replayed as a create-booking request (request_id =
+    booking_id, requested at its booking time, payment fields from its first
+    payment row; pending bookings have none)."""
+    b = t.bookings
+    tr = t.trips.select(F.col("trip_id").alias("_t"), "route_id")
+    p = t.payment_log.select(F.col("payment_id").alias("_pid"), "payment_method", "payment_reference")
+    j = (b.join(tr, b.trip_id == tr._t)
+         .join(p, (b.booking_id * 10) == p._pid, "left"))
+    return j.select(
+        F.col("booking_id").alias("request_id"), "trip_id", "route_id",
+        F.col("passenger_firstname").alias("firstname"), F.col("passenger_lastname").alias("lastname"),
+        F.col("passenger_email").alias("email"), F.col("passenger_phone").alias("phone"),
+        F.col("passenger_address").alias("address"), "seat_count", "booking_type", "payment_method",
+        "payment_reference", F.col("booking_date").alias("requested_at"))
+
+
+def empty_trips(t: Tables) -> DataFrame:
+    """The trips snapshot with no seats booked: the state the replayed
+    booking requests are admitted against."""
+    return (t.trips.withColumn("seats_booked", F.lit(0))
+            .withColumn("seats_available", F.col("capacity")))
+
+
+def booking_changes(t: Tables) -> DataFrame:
+    """Change feed of bookings: an insert per booking (as paid, or pending) at
+    its booking time, and for cancelled / refunded bookings a paid -> final
+    status change at their update time."""
+    b = t.bookings
+    ins = b.select((F.col("booking_id") * 10).alias("event_id"), "booking_id", "trip_id",
+                   F.lit(None).cast("string").alias("old_status"),
+                   F.when(F.col("payment_status") == "pending", "pending").otherwise("paid")
+                   .alias("new_status"), "seat_count", F.col("booking_date").alias("ts"))
+    chg = (b.filter(F.col("payment_status").isin("cancelled", "refunded"))
+           .select((F.col("booking_id") * 10 + 1).alias("event_id"), "booking_id", "trip_id",
+                   F.lit("paid").alias("old_status"), F.col("payment_status").alias("new_status"),
+                   "seat_count", F.col("updated_at").alias("ts")))
+    return ins.unionByName(chg)
+
+
+def cancel_requests(t: Tables) -> DataFrame:
+    """Cancel every booking of a cancelled trip (whatever the booking's status),
+    plus one request for a booking id that does not exist."""
+    ct = t.trips.filter(F.col("trip_status") == "cancelled").select(F.col("trip_id").alias("_t"))
+    b = t.bookings.join(ct, t.bookings.trip_id == ct._t, "left_semi")
+    req = b.select(F.col("booking_id").alias("request_id"), "booking_id",
+                   F.col("updated_at").alias("ts"))
+    unknown = t.routes.agg(F.lit(-1).cast("bigint").alias("request_id"),
+                           F.lit(-1).cast("bigint").alias("booking_id"),
+                           F.max(F.lit(None).cast("timestamp_ntz")).alias("ts"))
+    return req.unionByName(unknown)
+
+
+def departures(t: Tables, now_ts) -> DataFrame:
+    """The head (position 1) of every route's live queue departs at ``now``."""
+    return (t.trips.filter(F.col("trip_status").isin("waiting", "boarding", "full")
+                           & (F.col("queue_position") == 1))
+            .select("trip_id", F.lit(str(now_ts)).cast("timestamp_ntz").alias("ts")))
+
+
+def arrivals(t: Tables) -> DataFrame:
+    """Arrival reports for every departed or arrived trip by its recorded
+    driver (arrived ones are rejected as not departed), plus one unknown trip."""
+    tr = t.trips.filter(F.col("trip_status").isin("departed", "arrived"))
+    rep = tr.select("trip_id", "driver_id",
+                    F.coalesce("actual_arrival_datetime",
+                               F.timestamp_add("MINUTE", F.col("estimated_trip_duration_minutes"),
+                                               F.col("actual_departure_datetime"))).alias("ts"))
+    unknown = t.routes.agg(F.lit(-1).cast("bigint").alias("trip_id"),
+                           F.lit(-1).cast("bigint").alias("driver_id"),
+                           F.max(F.lit(None).cast("timestamp_ntz")).alias("ts"))
+    return rep.unionByName(unknown)
+
+
+def new_trips(t: Tables) -> DataFrame:
+    """Every waiting trip re-submitted to the queue."""
+    return (t.trips.filter(F.col("trip_status") == "waiting")
+            .select(F.col("trip_id").alias("request_id"), "route_id",
+                    F.col("assigned_vehicle_id").alias("vehicle_id"), "driver_id",
+                    F.col("estimated_departure_time").alias("estimated_departure")))
+
+
+def reassignments(t: Tables) -> DataFrame:
+    """For every waiting trip: move it to the next vehicle id and the next
+    driver id (ids past the last one do not exist and are rejected)."""
+    return (t.trips.filter(F.col("trip_status") == "waiting")
+            .select("trip_id",
+                    (F.coalesce("assigned_vehicle_id", F.lit(0)) + 1).cast("bigint").alias("vehicle_id"),
+                    (F.coalesce("driver_id", F.lit(0)) + 1).cast("bigint").alias("driver_id")))
+
+
+def read_marks(t: Tables) -> DataFrame:
+    """Every unread notification is opened one day after it was created."""
+    un = t.user_notifications.filter(~F.col("is_read"))
+    n = t.notifications.select("notification_id", "created_at")
+    return (un.join(n, "notification_id")
+            .select("user_id", "notification_id",
+                    F.timestamp_add("DAY", F.lit(1), F.col("created_at")).alias("ts")))
+
+
+def status_events(t: Tables) -> DataFrame:
+    """Trip status changes: boarding -> departed at the actual departure,
+    departed -> arrived at the actual arrival."""
+    tr = t.trips.filter(F.col("trip_status").isin("departed", "arrived"))
+    cols = ["trip_id", "driver_id", F.col("assigned_vehicle_id").alias("vehicle_id"), "route_id"]
+    dep = tr.select((F.col("trip_id") * 10 + 1).alias("event_id"), *cols,
+                    F.lit("boarding").alias("old_status"), F.lit("departed").alias("new_status"),
+                    F.col("actual_departure_datetime").alias("ts"))
+    arr = (tr.filter(F.col("trip_status") == "arrived")
+           .select((F.col("trip_id") * 10 + 2).alias("event_id"), *cols,
+                   F.lit("departed").alias("old_status"), F.lit("arrived").alias("new_status"),
+                   F.col("actual_arrival_datetime").alias("ts")))
+    return dep.unionByName(arr)
+
+
+def registrations(t: Tables) -> DataFrame:
+    """One sign-up per booking: walk-in passengers sign up with the address
+    already on file (rejected as existing), online passengers with the same
+    mailbox on example.net (the first of them per address is new)."""
+    b = t.bookings
+    email = F.when(F.col("booking_type") == "online",
+                   F.regexp_replace("passenger_email", "@example\\.org$", "@example.net")) \
+        .otherwise(F.col("passenger_email"))
+    return b.select(F.col("booking_id").alias("request_id"),
+                    F.col("passenger_firstname").alias("firstname"),
+                    F.col("passenger_lastname").alias("lastname"), email.alias("email"),
+                    F.col("passenger_phone").alias("phone_number"),
+                    F.lit(None).cast("string").alias("role"))
