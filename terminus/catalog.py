@@ -157,3 +157,15 @@ register("cascade_delete")(lambda t: qa.cascade_delete(
     t.vehicles.filter(F.col("vehicle_status") == "retired"), t.routes.filter(F.col("status") == "inactive")))
 register("validate_requests")(
     lambda t: qa.validation_error_counts(rq.booking_requests(t), "walk_in_booking"))
+
+# ---------------------------------------------------------------- §2.10 streaming
+from terminus.streaming import jobs as sj  # noqa: E402
+
+register("stream_daily_revenue")(sj.run_stream_daily_revenue)
+register("stream_seat_ledger")(sj.run_stream_seat_ledger)
+register("stream_trip_transitions")(sj.run_stream_trip_transitions)
+register("stream_live_queue")(sj.run_stream_live_queue)
+register("stream_seat_availability")(sj.run_stream_seat_availability)
+register("stream_recent_bookings")(sj.run_stream_recent_bookings)
+register("stream_admission")(sj.run_stream_admission)
+register("stream_action_log")(sj.run_stream_action_log)
