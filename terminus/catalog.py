@@ -169,3 +169,61 @@ register("stream_seat_availability")(sj.run_stream_seat_availability)
 register("stream_recent_bookings")(sj.run_stream_recent_bookings)
 register("stream_admission")(sj.run_stream_admission)
 register("stream_action_log")(sj.run_stream_action_log)
+
+# ---------------------------------------------------------------- §2.1 / §2.8
+from terminus.functions.surface import scalar_surface  # noqa: E402
+from terminus.plans import views as vw  # noqa: E402
+from terminus.sources import sinks  # noqa: E402
+from terminus.streaming.feed import read_stream, replay, run_to_end, scratch  # noqa: E402
+
+register("scalar_surface")(lambda t: scalar_surface(t, P.as_of))
+
+
+@register("src_views")
+def _src_views(t: Tables) -> DataFrame:
+    """Register the four views and count their rows through ``spark.sql``."""
+    spark = t.bookings.sparkSession
+    vw.register_views(t, P.as_of)
+    return spark.sql("""
+        SELECT 'view_active_bookings' AS view_name, CAST(COUNT(*) AS BIGINT) AS row_count FROM view_active_bookings
+        UNION ALL SELECT 'view_daily_revenue', COUNT(*) FROM view_daily_revenue
+        UNION ALL SELECT 'view_driver_performance', COUNT(*) FROM view_driver_performance
+        UNION ALL SELECT 'view_queue_status', COUNT(*) FROM view_queue_status""")
+
+
+@register("src_event_stream")
+def _src_event_stream(t: Tables) -> DataFrame:
+    """The booking change feed replayed as files and read back as a stream."""
+    spark = t.bookings.sparkSession
+    feed = rq.booking_changes(t)
+    folder = replay(feed, "ts", scratch(spark, "events-feed"), 10)
+    out = scratch(spark, "events-out")
+    run_to_end(read_stream(spark, folder, feed.schema, 1).writeStream.format("parquet")
+               .option("path", out), scratch(spark, "events-ckpt"))
+    return spark.read.schema(feed.schema).parquet(out)
+
+
+@register("sink_append_log")
+def _sink_append_log(t: Tables) -> DataFrame:
+    """Cancellation and departure log rows appended to a month-partitioned log."""
+    spark = t.bookings.sparkSession
+    path = scratch(spark, "system-log")
+    sinks.append_log(lc.cancel_bookings(t.bookings, rq.cancel_requests(t)).log, path)
+    sinks.append_log(lc.departure_log(rq.status_events(t)).select(*sinks.LOG_COLUMNS), path)
+    return spark.read.parquet(path).select(*sinks.LOG_COLUMNS, "log_month")
+
+
+@register("sink_upsert")
+def _sink_upsert(t: Tables) -> DataFrame:
+    """Accepted vehicle reassignments applied to trips by key."""
+    res = lc.reassign_vehicles(t.trips, t.vehicles, rq.reassignments(t))
+    ch = res.accepted.select("trip_id", F.col("vehicle_id").alias("assigned_vehicle_id"), "capacity",
+                             "seats_available")
+    return sinks.upsert(t.trips, ch, "trip_id").select(
+        "trip_id", "assigned_vehicle_id", "capacity", "seats_booked", "seats_available")
+
+
+@register("sink_json_report")
+def _sink_json_report(t: Tables) -> DataFrame:
+    """Each route's queue page as a ``{success, count, data}`` JSON document."""
+    return sinks.json_report(nested.queue_nested(t), ["route_id", "page"])
