@@ -28,7 +28,7 @@ def scalar_surface(t: Tables, as_of: dt.date) -> DataFrame:
         S.same_iso_week(F.col("booking_date"), as_of).alias("in_as_of_week"),
         S.minutes_between(F.col("booking_date"), F.col("updated_at")).cast("bigint").alias("minutes_to_update"),
         F.round(F.col("total_amount") * F.lit(1.12).cast("decimal(3,2)"), 2).alias("amount_with_tax"),
-        (F.col("total_amount") - F.col("fare_price") * F.col("seat_count")).alias("amount_gap"),
+        (F.col("total_amount") - F.col("fare_price") * F.col("seat_count")).cast("decimal(18,2)").alias("amount_gap"),
         F.when(F.col("booking_type") == "online", "ONL").when(F.col("booking_type") == "walk-in", "WLK")
         .otherwise("UNK").alias("type_code"),
         F.format_string("%.2f", F.col("total_amount").cast("double")).alias("amount_text"),
