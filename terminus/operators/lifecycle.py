@@ -22,6 +22,7 @@ from pyspark.sql import types as T
 from terminus.functions.scalar import (ACTIVE_TRIP, BOOKABLE_TRIP, LIVE_TRIP, lit_ts,
                                        ticket_reference)
 from terminus.plans.ranking import cumulative_within, sequence_within
+from terminus.session import checkpoint_dir
 
 
 @dataclass
@@ -107,9 +108,13 @@ def admit_bookings(trips: DataFrame, requests: DataFrame, bookings: DataFrame,
             F.array_append(acc["ok"], x["request_id"]).alias("ok"))).otherwise(acc))
     ok_ids = lists.select(F.explode(folded["ok"]).alias("_ok"))
     d = r.join(ok_ids, r.request_id == ok_ids._ok, "left")
-    ok = F.col("_ok").isNotNull()
-    d = d.withColumn("_ok_flag", ok)
-    acc = d.filter(ok)
+    d = d.withColumn("_ok_flag", F.col("_ok").isNotNull()).drop("_ok", "_t")
+    # The decision per request is written once (reliable checkpoint): numbering
+    # the accepted rows and the final output both read it instead of
+    # re-running the join and the fold.
+    checkpoint_dir(d.sparkSession)
+    d = d.checkpoint(eager=True)
+    acc = d.filter(F.col("_ok_flag"))
     seq = sequence_within(acc.select("request_id", "requested_at"), [],
                           [F.col("requested_at").asc(), F.col("request_id").asc()], out="_seq")
     ids = (seq.crossJoin(_max_id(bookings, "booking_id", "_bmax"))
