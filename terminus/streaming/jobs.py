@@ -233,26 +233,34 @@ ADMISSION_STATE = "seats_left int"
 def _admit(key, pdfs, state: GroupState):
     """Per trip: admit requests in (requested_at, request_id) order while
     seats last; the free-seat count is the state. The first batch of a trip
-    starts from the snapshot's free seats carried on each row."""
+    starts from the snapshot's free seats carried on each row.
+
+    Same exact pruning as the batch job: with ``left`` free seats at the
+    start of the batch, only the first floor(left / s) requests of each size s
+    can be accepted, so the loop runs over those few candidates and the rest
+    are rejected in one vectorised step.
+    """
     if state.hasTimedOut:
         state.remove()
         return
     rows = pd.concat(list(pdfs), ignore_index=True).sort_values(["requested_at", "request_id"])
     left = state.get[0] if state.exists else int(rows["_avail"].iloc[0])
-    dec, reason = [], []
-    for n in rows["seat_count"].to_numpy():
-        if n is not None and 1 <= n <= left:
-            left -= int(n)
-            dec.append("accepted")
-            reason.append(None)
-        else:
-            dec.append("rejected")
-            reason.append("not_enough_seats" if n is not None and n >= 1 else "invalid_seat_count")
+    n = rows["seat_count"].fillna(0).astype("int64").to_numpy()
+    rank = rows.groupby(n, sort=False).cumcount().to_numpy() + 1
+    valid = n >= 1
+    cand = valid & (rank * n <= left)
+    ok = [False] * len(n)
+    for i in cand.nonzero()[0]:
+        if n[i] <= left:
+            left -= int(n[i])
+            ok[i] = True
     state.update((int(left),))
-    yield pd.DataFrame({"request_id": rows["request_id"].astype("int64"),
-                        "trip_id": rows["trip_id"].astype("int64"),
-                        "seat_count": rows["seat_count"].astype("int32"),
-                        "decision": dec, "reason": reason})
+    reason = ["" if a else ("not_enough_seats" if v else "invalid_seat_count") for a, v in zip(ok, valid)]
+    yield pd.DataFrame({"request_id": rows["request_id"].astype("int64").to_numpy(),
+                        "trip_id": rows["trip_id"].astype("int64").to_numpy(),
+                        "seat_count": rows["seat_count"].astype("int32").to_numpy(),
+                        "decision": ["accepted" if a else "rejected" for a in ok],
+                        "reason": [r or None for r in reason]})
 
 
 def stream_admission(requests: DataFrame, trips: DataFrame) -> DataFrame:
