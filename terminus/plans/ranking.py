@@ -45,11 +45,14 @@ def cumulative_within(df: DataFrame, keys: list[str], order: list[Column], out:
     With no ``keys`` the numbering is global.
     """
     spark = df.sparkSession
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     sort_keys = [F.col(k).asc_nulls_first() for k in keys] + list(order)
     v = F.lit(1).cast("bigint") if value is None else value
     checkpoint_dir(spark)
-    ranged = (df.withColumn("_v", v).repartitionByRange(n, *sort_keys)
+    # Without an explicit count, AQE may merge adjacent ranges of small data
+    # (ranges stay contiguous); large data keeps up to shuffle.partitions.
+    part = ((lambda d: d.repartitionByRange(num_partitions, *sort_keys)) if num_partitions
+            else (lambda d: d.repartitionByRange(*sort_keys)))
+    ranged = (part(df.withColumn("_v", v))
               .withColumn("_pid", F.spark_partition_id())
               .checkpoint(eager=True))
     w_local = (Window.partitionBy("_pid", *keys).orderBy(*order)

@@ -74,9 +74,35 @@ def epoch_sink(path: str):
     return write
 
 
-def run_to_end(writer, checkpoint: str) -> None:
+STATE_PARTITIONS_CONF = "terminus.stream.statePartitions"
+
+
+def state_partitions(spark: SparkSession) -> int:
+    """Shuffle / state-store partitions of a new stream: the setting above if
+    given, else twice the cluster's default parallelism (not the 200 default,
+    which would run 200 state tasks per micro-batch on a small cluster and too
+    few on a large one)."""
+    v = spark.conf.get(STATE_PARTITIONS_CONF, None)
+    return int(v) if v else max(8, 2 * spark.sparkContext.defaultParallelism)
+
+
+def start(writer, spark: SparkSession):
+    """Start a stream with ``state_partitions`` partitions. A stream copies the
+    session's settings when it starts (and keeps the partition count in its
+    checkpoint), so the caller's setting is restored right after."""
+    key = "spark.sql.shuffle.partitions"
+    old = spark.conf.get(key)
+    spark.conf.set(key, str(state_partitions(spark)))
+    try:
+        return writer.start()
+    finally:
+        spark.conf.set(key, old)
+
+
+def run_to_end(writer, checkpoint: str, spark: SparkSession | None = None) -> None:
     """Process everything available now, then stop (restartable from ``checkpoint``)."""
-    q = writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    spark = spark or SparkSession.getActiveSession()
+    q = start(writer.option("checkpointLocation", checkpoint).trigger(availableNow=True), spark)
     q.awaitTermination()
     if q.exception() is not None:
         raise q.exception()
