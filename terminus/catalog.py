@@ -40,6 +40,8 @@ def _src_tables(t: Tables) -> DataFrame:
 assert len(DOMAIN_TABLES) == 10
 
 register("revenue_report")(lambda t: reports.revenue_report(t, P.start_date, P.end_date))
+register("revenue_report_net")(
+    lambda t: reports.revenue_report(t, P.start_date, P.end_date, net_of_cancelled=True))
 register("revenue_total")(lambda t: reports.revenue_total(t, P.start_date, P.end_date))
 register("daily_revenue")(lambda t: reports.daily_revenue(t, P.as_of))
 register("trip_statistics")(lambda t: reports.trip_statistics(t, P.start_date, P.end_date))

@@ -19,12 +19,18 @@ from terminus.plans import views
 from terminus.sources.tables import Tables
 
 
-def revenue_report(t: Tables, start: dt.date, end: dt.date) -> DataFrame:
+def revenue_report(t: Tables, start: dt.date, end: dt.date, net_of_cancelled: bool = False) -> DataFrame:
     """get_revenue_report: per day x destination x booking type over the range.
 
-    Payments are not netted for later cancellations (the reference keeps them).
+    By default payments of bookings cancelled later stay in (the reference
+    never reverses a payment row); ``net_of_cancelled=True`` leaves out
+    payments of bookings that are now cancelled or refunded.
     """
     p = t.payment_log.filter(in_days(F.col("payment_datetime"), start, end))
+    if net_of_cancelled:
+        gone = t.bookings.filter(F.col("payment_status").isin("cancelled", "refunded")).select(
+            F.col("booking_id").alias("_gone"))
+        p = p.join(gone, p.booking_id == gone._gone, "left_anti")
     return views.revenue_groups(views.payments_with_context(t, p), with_avg=True)
 
 

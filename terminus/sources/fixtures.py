@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from terminus.plans.ranking import sequence_within
+from terminus.session import checkpoint_dir
 
 DRIVER_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem",
                  "events", "documents", "labels")
@@ -241,11 +242,17 @@ def user_notifications(labels: DataFrame) -> DataFrame:
         .alias("read_at"))
 
 
-def derive_all(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+def derive_all(spark: SparkSession, sf_dir: str, share: bool = False) -> dict[str, DataFrame]:
+    """All 10 domain tables. ``share=True`` computes the lineitem-based
+    bookings once (reliable checkpoint) for the three tables built on it,
+    which pays off when all of them are written."""
     t = {n: read_driver(spark, sf_dir, n) for n in DRIVER_TABLES}
     r = routes(t["nation"], t["region"])
     v = vehicles(t["part"])
     raw = bookings_raw(t["lineitem"], t["orders"], t["customer"], r)
+    if share:
+        checkpoint_dir(spark)
+        raw = raw.checkpoint(eager=True)
     return {
         "routes": r,
         "vehicles": v,

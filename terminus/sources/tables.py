@@ -61,19 +61,19 @@ def _path(sf_dir: str, name: str) -> str:
     return p if os.path.exists(p) else os.path.join(sf_dir, name)
 
 
-def load(spark: SparkSession, sf_dir: str) -> Tables:
+def load(spark: SparkSession, sf_dir: str, share: bool = False) -> Tables:
     if _is_at_rest(sf_dir) and not sf_dir.startswith(("s3", "gs", "hdfs", "abfs")):
         dfs = {n: spark.read.schema(SCHEMAS[n]).parquet(_path(sf_dir, n)) for n in DOMAIN_TABLES}
     elif sf_dir.startswith(("s3", "gs", "hdfs", "abfs")):
         dfs = {n: spark.read.schema(SCHEMAS[n]).parquet(f"{sf_dir}/{n}") for n in DOMAIN_TABLES}
     else:
-        dfs = fixtures.derive_all(spark, sf_dir)
+        dfs = fixtures.derive_all(spark, sf_dir, share=share)
     return Tables(**dfs)
 
 
 def materialize(spark: SparkSession, sf_dir: str, out_dir: str, files_per_table: int = 8) -> Tables:
     """Write the domain tables of ``sf_dir`` to ``out_dir`` and return them read back."""
-    t = load(spark, sf_dir)
+    t = load(spark, sf_dir, share=True)
     for n, df in t.as_dict().items():
         out = df.select(*[f.name for f in SCHEMAS[n].fields])
         sort = AT_REST_SORT.get(n)
