@@ -106,21 +106,25 @@ def ticket_reference(booking_id: Column, booking_date: Column) -> Column:
 def bookings_raw(lineitem: DataFrame, orders: DataFrame, customer: DataFrame,
                  routes_df: DataFrame) -> DataFrame:
     """Bookings with the fixture helper columns ``line_no`` and ``method_no``."""
-    li = lineitem
+    # Number the lines of each order before any join: the window only needs
+    # lineitem, and its partitioning by order key is then reused by the join
+    # with orders (only orders is shuffled on a sort-merge join). An order's
+    # lines share one customer, so the inner joins keep or drop them together.
+    w = Window.partitionBy("l_orderkey").orderBy(
+        "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount",
+        "l_tax", "l_returnflag", "l_linestatus", "l_shipdate")
+    li = lineitem.withColumn("_line_seq", F.row_number().over(w))
     o = orders.select("o_orderkey", "o_custkey")
     c = customer.select("c_custkey", "c_nationkey", "c_mktsegment", "c_name")
     r = routes_df.select("route_id", "destination", "fare_price")
     j = (li.join(o, li.l_orderkey == o.o_orderkey)
          .join(c, F.col("o_custkey") == c.c_custkey)
          .join(r, F.col("c_nationkey") == r.route_id))
-    w = Window.partitionBy("l_orderkey").orderBy(
-        "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount",
-        "l_tax", "l_returnflag", "l_linestatus", "l_shipdate")
     q = F.col("l_quantity").cast("int")
     ln = F.col("l_linenumber")
     flag = F.col("l_returnflag")
     return j.select(
-        (F.col("l_orderkey") * 1000 + F.row_number().over(w)).alias("booking_id"),
+        (F.col("l_orderkey") * 1000 + F.col("_line_seq")).alias("booking_id"),
         F.col("l_orderkey").alias("trip_id"),
         F.col("c_mktsegment").alias("passenger_firstname"),
         F.col("c_name").alias("passenger_lastname"),
