@@ -12,7 +12,9 @@ SF_SMALL = "/root/testdata/sf0.001"
 
 @pytest.fixture(scope="session")
 def spark():
-    s = build_session("local[4]", shuffle_partitions=4)
+    import tempfile
+    wh = tempfile.mkdtemp(prefix="terminus-warehouse-", dir="/tmp")
+    s = build_session("local[4]", shuffle_partitions=4, extra={"spark.sql.warehouse.dir": wh})
     yield s
     s.stop()
 

@@ -50,3 +50,21 @@ def test_no_driver_collection_in_library():
                     if pat in src:
                         bad.append((f, pat))
     assert bad == []
+
+
+def test_bucketed_layout_joins_without_shuffle(spark, tmp_path_factory):
+    from terminus.plans import views
+    from terminus.sources.tables import materialize_bucketed
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    old = {k: spark.conf.get(k) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        t = materialize_bucketed(spark, "/root/testdata/sf0.001", "terminus_bucketed_test", 4)
+        j = t.bookings.join(t.trips, "trip_id")
+        plan = j._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Exchange" not in plan
+        assert views.active_bookings(t).count() > 0
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
