@@ -50,9 +50,11 @@ def _decide(ok: Column, reason: Column) -> list[Column]:
             F.when(ok, F.lit(None).cast("string")).otherwise(reason).alias("reason")]
 
 
-def _max_id(df: DataFrame, col: str, out: str) -> DataFrame:
-    """One-row frame with the current maximum id (0 when empty)."""
-    return df.agg(F.coalesce(F.max(col), F.lit(0)).cast("bigint").alias(out))
+def _max_id(df: DataFrame, col: str) -> Column:
+    """The current maximum id (0 when empty) as a literal: new ids are this
+    offset plus a distributed sequence number. Only the one number reaches
+    the driver."""
+    return F.lit(_scalar(df.agg(F.max(col)))).cast("bigint")
 
 
 def _scalar(df: DataFrame) -> int:
@@ -117,11 +119,9 @@ def admit_bookings(trips: DataFrame, requests: DataFrame, bookings: DataFrame,
     acc = d.filter(F.col("_ok_flag"))
     seq = sequence_within(acc.select("request_id", "requested_at"), [],
                           [F.col("requested_at").asc(), F.col("request_id").asc()], out="_seq")
-    ids = (seq.crossJoin(_max_id(bookings, "booking_id", "_bmax"))
-           .crossJoin(_max_id(payments, "payment_id", "_pmax"))
-           .select(F.col("request_id").alias("_rid"),
-                   (F.col("_bmax") + F.col("_seq")).alias("booking_id"),
-                   (F.col("_pmax") + F.col("_seq")).alias("payment_id")))
+    ids = seq.select(F.col("request_id").alias("_rid"),
+                     (_max_id(bookings, "booking_id") + F.col("_seq")).alias("booking_id"),
+                     (_max_id(payments, "payment_id") + F.col("_seq")).alias("payment_id"))
     d = d.join(ids, d.request_id == ids._rid, "left")
     total = (F.col("_fare") * F.col("seat_count")).cast("decimal(10,2)")
     decisions = d.select(
@@ -309,7 +309,7 @@ def enqueue_trips(trips: DataFrame, routes: DataFrame, vehicles: DataFrame,
     acc = sequence_within(acc, ["route_id"], [F.col("request_id").asc()], out="_rank")
     acc = sequence_within(acc, [], [F.col("request_id").asc()], out="_seq")
     acc = (acc.join(base, acc.route_id == base._br, "left")
-           .crossJoin(_max_id(trips, "trip_id", "_tmax")))
+           .withColumn("_tmax", _max_id(trips, "trip_id")))
     qp = (F.coalesce(F.col("_base"), F.lit(0)) + F.col("_rank")).cast("int")
     new = acc.select(
         "request_id", (F.col("_tmax") + F.col("_seq")).alias("trip_id"), "route_id",
@@ -647,8 +647,9 @@ def register_users(users: DataFrame, requests: DataFrame, now: dt.datetime) -> J
     j = j.withColumn("_reason", reason)
     ok = F.col("_reason").isNull()
     acc = sequence_within(j.filter(ok).select("request_id"), [], [F.col("request_id").asc()],
-                          out="_seq").crossJoin(_max_id(users, "user_id", "_umax"))
-    ids = acc.select(F.col("request_id").alias("_rid"), (F.col("_umax") + F.col("_seq")).alias("user_id"))
+                          out="_seq")
+    ids = acc.select(F.col("request_id").alias("_rid"),
+                     (_max_id(users, "user_id") + F.col("_seq")).alias("user_id"))
     j = j.join(ids, j.request_id == ids._rid, "left")
     decisions = j.select("request_id", "email", *_decide(ok, F.col("_reason")), "user_id")
     new_users = j.filter(ok).select(
@@ -671,8 +672,9 @@ def create_vehicles(vehicles: DataFrame, requests: DataFrame) -> JobResult:
     j = j.withColumn("_reason", reason)
     ok = F.col("_reason").isNull()
     acc = sequence_within(j.filter(ok).select("request_id"), [], [F.col("request_id").asc()],
-                          out="_seq").crossJoin(_max_id(vehicles, "vehicle_id", "_vmax"))
-    ids = acc.select(F.col("request_id").alias("_rid"), (F.col("_vmax") + F.col("_seq")).alias("vehicle_id"))
+                          out="_seq")
+    ids = acc.select(F.col("request_id").alias("_rid"),
+                     (_max_id(vehicles, "vehicle_id") + F.col("_seq")).alias("vehicle_id"))
     j = j.join(ids, j.request_id == ids._rid, "left")
     decisions = j.select("request_id", "plate_number", *_decide(ok, F.col("_reason")), "vehicle_id")
     return JobResult(decisions, j.filter(ok).withColumn("vehicle_status", F.lit("available")))

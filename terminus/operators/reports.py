@@ -116,7 +116,14 @@ def dashboard_kpis(t: Tables, as_of: dt.date) -> DataFrame:
           .agg(F.count(F.lit(1)).cast("bigint").alias("bookings_today")))
     tr = (t.trips.filter(F.col("trip_status").isin(*ACTIVE_TRIP))
           .agg(F.count(F.lit(1)).cast("bigint").alias("active_trips")))
-    return rev.crossJoin(bk).crossJoin(tr).crossJoin(users_by_role(t))
+    # Four one-row aggregates merged into one row (each column is set in
+    # exactly one of them), without joining them.
+    parts = [rev, bk, tr, users_by_role(t)]
+    merged = parts[0]
+    for p in parts[1:]:
+        merged = merged.unionByName(p, allowMissingColumns=True)
+    cols = [c for p in parts for c in p.columns]
+    return merged.agg(*[F.max(c).alias(c) for c in cols])
 
 
 def driver_stats(t: Tables, as_of: dt.date) -> DataFrame:
