@@ -18,39 +18,82 @@ from pyspark.sql.types import NumericType, StringType, TimestampNTZType, Timesta
 from terminus.sources.tables import Tables
 
 
-def _count(df: DataFrame, rule: str, table: str) -> DataFrame:
-    return df.agg(F.count(F.lit(1)).cast("bigint").alias("violations")).select(
-        F.lit(rule).alias("rule"), F.lit(table).alias("table_name"), "violations")
+def _rules(df: DataFrame, table: str, checks: list[tuple[str, Column]]) -> DataFrame:
+    """One aggregate pass over ``df`` counting each check; the single result
+    row is unpacked into one row per rule."""
+    one = df.agg(*[F.count_if(c).cast("bigint").alias(f"c{i}") for i, (_, c) in enumerate(checks)])
+    items = [F.struct(F.lit(r).alias("rule"), F.lit(table).alias("table_name"),
+                      F.col(f"c{i}").alias("violations")) for i, (r, _) in enumerate(checks)]
+    return one.select(F.explode(F.array(*items)).alias("x")).select("x.*")
+
 
+def _keys(parent: DataFrame, col: str, alias: str) -> DataFrame:
+    """Distinct parent keys plus a presence flag, for a left-join probe."""
+    return parent.select(F.col(col).alias(alias)).distinct().withColumn(alias + "_hit", F.lit(True))
 
-def _fk(child: DataFrame, col: str, parent: DataFrame, pcol: str, rule: str, table: str) -> DataFrame:
-    c = child.select(F.col(col).alias("_k")).filter(F.col("_k").isNotNull())
-    p = parent.select(F.col(pcol).alias("_p"))
-    return _count(c.join(p, c._k == p._p, "left_anti"), rule, table)
+
+def _missing(child_col: str, alias: str) -> Column:
+    """Child reference set but its parent key absent."""
+    return F.col(child_col).isNotNull() & F.col(alias + "_hit").isNull()
 
 
 def _unique(df: DataFrame, cols: list[str], rule: str, table: str) -> DataFrame:
     dup = df.groupBy(*cols).count().filter(F.col("count") > 1)
-    return _count(dup, rule, table)
+    return _rules(dup, table, [(rule, F.lit(True))])
 
 
 def integrity_audit(t: Tables) -> DataFrame:
     """One row per rule: foreign keys (11), UNIQUE keys (5) and derived trip /
-    booking invariants, with the number of violating rows (or duplicated keys)."""
-    fks = [
-        _fk(t.bookings, "trip_id", t.trips, "trip_id", "fk_bookings_trip", "bookings"),
-        _fk(t.driver_details, "driver_id", t.users, "user_id", "fk_driver_details_user", "driver_details"),
-        _fk(t.notifications, "creator_id", t.users, "user_id", "fk_notifications_creator", "notifications"),
-        _fk(t.payment_log, "booking_id", t.bookings, "booking_id", "fk_payment_log_booking", "payment_log"),
-        _fk(t.payment_log, "trip_id", t.trips, "trip_id", "fk_payment_log_trip", "payment_log"),
-        _fk(t.system_log, "user_id", t.users, "user_id", "fk_system_log_user", "system_log"),
-        _fk(t.trips, "route_id", t.routes, "route_id", "fk_trips_route", "trips"),
-        _fk(t.trips, "assigned_vehicle_id", t.vehicles, "vehicle_id", "fk_trips_vehicle", "trips"),
-        _fk(t.trips, "driver_id", t.users, "user_id", "fk_trips_driver", "trips"),
-        _fk(t.user_notifications, "user_id", t.users, "user_id", "fk_user_notifications_user",
-            "user_notifications"),
-        _fk(t.user_notifications, "notification_id", t.notifications, "notification_id",
-            "fk_user_notifications_notification", "user_notifications"),
+    booking invariants, with the number of violating rows (or duplicated keys).
+
+    Each child table is read once: its foreign-key probes are left joins to
+    the distinct parent keys and all its checks are counted in one aggregate.
+    """
+    users = _keys(t.users, "user_id", "_u")
+    trips_k = t.trips.select(F.col("trip_id").alias("_t"), F.col("fare_price").alias("_fare"),
+                             F.lit(True).alias("_t_hit"))
+    paid = (t.bookings.filter(F.col("payment_status") == "paid").groupBy("trip_id")
+            .agg(F.sum("seat_count").alias("_paid")).withColumnRenamed("trip_id", "_pt"))
+
+    tr = (t.trips.join(_keys(t.routes, "route_id", "_r"), F.col("route_id") == F.col("_r"), "left")
+          .join(_keys(t.vehicles, "vehicle_id", "_v"), F.col("assigned_vehicle_id") == F.col("_v"), "left")
+          .join(users, F.col("driver_id") == F.col("_u"), "left")
+          .join(paid, F.col("trip_id") == F.col("_pt"), "left"))
+    trips_rules = _rules(tr, "trips", [
+        ("fk_trips_route", _missing("route_id", "_r")),
+        ("fk_trips_vehicle", _missing("assigned_vehicle_id", "_v")),
+        ("fk_trips_driver", _missing("driver_id", "_u")),
+        ("inv_trip_seats_booked_equals_paid_seats",
+         F.col("seats_booked") != F.coalesce(F.col("_paid"), F.lit(0))),
+        ("inv_trip_seats_available_non_negative", F.col("seats_available") < 0),
+        ("inv_trip_seats_available_generated",
+         F.col("seats_available") != F.col("capacity") - F.col("seats_booked")),
+    ])
+    bk = t.bookings.join(trips_k, F.col("trip_id") == F.col("_t"), "left")
+    bookings_rules = _rules(bk, "bookings", [
+        ("fk_bookings_trip", _missing("trip_id", "_t")),
+        ("inv_booking_amount_equals_fare_times_seats",
+         F.col("_t_hit") & (F.col("total_amount") != F.col("_fare") * F.col("seat_count"))),
+    ])
+    pl = (t.payment_log.join(_keys(t.bookings, "booking_id", "_b"), F.col("booking_id") == F.col("_b"), "left")
+          .join(_keys(t.trips, "trip_id", "_pt2"), F.col("trip_id") == F.col("_pt2"), "left"))
+    payment_rules = _rules(pl, "payment_log", [
+        ("fk_payment_log_booking", _missing("booking_id", "_b")),
+        ("fk_payment_log_trip", _missing("trip_id", "_pt2")),
+    ])
+    un = (t.user_notifications.join(users, F.col("user_id") == F.col("_u"), "left")
+          .join(_keys(t.notifications, "notification_id", "_n"), F.col("notification_id") == F.col("_n"), "left"))
+    un_rules = _rules(un, "user_notifications", [
+        ("fk_user_notifications_user", _missing("user_id", "_u")),
+        ("fk_user_notifications_notification", _missing("notification_id", "_n")),
+    ])
+    single = [
+        _rules(t.driver_details.join(users, F.col("driver_id") == F.col("_u"), "left"), "driver_details",
+               [("fk_driver_details_user", _missing("driver_id", "_u"))]),
+        _rules(t.notifications.join(users, F.col("creator_id") == F.col("_u"), "left"), "notifications",
+               [("fk_notifications_creator", _missing("creator_id", "_u"))]),
+        _rules(t.system_log.join(users, F.col("user_id") == F.col("_u"), "left"), "system_log",
+               [("fk_system_log_user", _missing("user_id", "_u"))]),
     ]
     uniques = [
         _unique(t.bookings, ["ticket_reference"], "uq_bookings_ticket_reference", "bookings"),
@@ -60,21 +103,8 @@ def integrity_audit(t: Tables) -> DataFrame:
         _unique(t.user_notifications, ["user_id", "notification_id"],
                 "uq_user_notifications_user_notification", "user_notifications"),
     ]
-    paid = (t.bookings.filter(F.col("payment_status") == "paid").groupBy("trip_id")
-            .agg(F.sum("seat_count").alias("_paid")))
-    tp = t.trips.join(paid, "trip_id", "left")
-    fare = t.trips.select(F.col("trip_id").alias("_t"), "fare_price")
-    bk = t.bookings.join(fare, t.bookings.trip_id == fare._t)
-    invariants = [
-        _count(tp.filter(F.col("seats_booked") != F.coalesce(F.col("_paid"), F.lit(0))),
-               "inv_trip_seats_booked_equals_paid_seats", "trips"),
-        _count(t.trips.filter(F.col("seats_available") < 0), "inv_trip_seats_available_non_negative", "trips"),
-        _count(t.trips.filter(F.col("seats_available") != F.col("capacity") - F.col("seats_booked")),
-               "inv_trip_seats_available_generated", "trips"),
-        _count(bk.filter(F.col("total_amount") != F.col("fare_price") * F.col("seat_count")),
-               "inv_booking_amount_equals_fare_times_seats", "bookings"),
-    ]
-    return reduce(DataFrame.unionByName, fks + uniques + invariants)
+    return reduce(DataFrame.unionByName,
+                  [trips_rules, bookings_rules, payment_rules, un_rules] + single + uniques)
 
 
 def cascade_delete(t: Tables, users: DataFrame, trips: DataFrame, vehicles: DataFrame,
