@@ -111,53 +111,56 @@ def cascade_delete(t: Tables, users: DataFrame, trips: DataFrame, vehicles: Data
                    routes: DataFrame) -> DataFrame:
     """Effect of deleting the given parent ids (one-column frames of ids):
     rows removed by ON DELETE CASCADE, rows whose reference becomes NULL (SET
-    NULL) and routes kept by RESTRICT, as counts per (table_name, action)."""
-    ud = users.select(F.col("user_id").alias("_u")).distinct()
-    td = trips.select(F.col("trip_id").alias("_t")).distinct()
-    vd = vehicles.select(F.col("vehicle_id").alias("_v")).distinct()
-    rd = routes.select(F.col("route_id").alias("_r")).distinct()
-
-    def semi(df: DataFrame, col: str, ids: DataFrame, k: str) -> DataFrame:
-        return df.join(ids, df[col] == ids[k], "left_semi")
-
-    def anti(df: DataFrame, col: str, ids: DataFrame, k: str) -> DataFrame:
-        return df.join(ids, df[col] == ids[k], "left_anti")
-
-    blocking = semi(t.trips, "route_id", rd, "_r")
-    blocked_routes = blocking.select(F.col("route_id").alias("_br")).distinct()
-    routes_gone = semi(t.routes, "route_id", rd, "_r").join(
-        blocked_routes, F.col("route_id") == F.col("_br"), "left_anti")
-    trips_gone = semi(t.trips, "trip_id", td, "_t")
-    trips_kept = anti(t.trips, "trip_id", td, "_t")
-    bookings_gone = semi(t.bookings, "trip_id", td, "_t")
-    bg = bookings_gone.select(F.col("booking_id").alias("_b"))
-    pay = t.payment_log
-    payments_gone = pay.join(bg, pay.booking_id == bg._b, "left").join(
-        td, pay.trip_id == td._t, "left").filter(F.col("_b").isNotNull() | F.col("_t").isNotNull())
-    notif_gone = semi(t.notifications, "creator_id", ud, "_u")
-    ng = notif_gone.select(F.col("notification_id").alias("_n"))
-    un = t.user_notifications
-    un_gone = (un.join(ud, un.user_id == ud._u, "left").join(ng, un.notification_id == ng._n, "left")
-               .filter(F.col("_u").isNotNull() | F.col("_n").isNotNull()))
+    NULL) and trips that keep a route by RESTRICT, as counts per
+    (table_name, action). Each table is read once; its actions are
+    conditional counts over left-join probes of the deleted id sets."""
+    ud = _keys(users, "user_id", "_u")
+    td = _keys(trips, "trip_id", "_t")
+    vd = _keys(vehicles, "vehicle_id", "_v")
+    rd = _keys(routes, "route_id", "_r")
+    hit = lambda a: F.col(a + "_hit").isNotNull()
+
+    tr = (t.trips.join(td, F.col("trip_id") == F.col("_t"), "left")
+          .join(rd, F.col("route_id") == F.col("_r"), "left")
+          .join(vd, F.col("assigned_vehicle_id") == F.col("_v"), "left")
+          .join(ud, F.col("driver_id") == F.col("_u"), "left"))
+    trips_part = _rules(tr, "trips", [
+        ("blocked_by_restrict", hit("_r")),
+        ("vehicle_set_null", ~hit("_t") & hit("_v")),
+        ("driver_set_null", ~hit("_t") & hit("_u")),
+        ("deleted", hit("_t")),
+    ])
+    blocked = tr.filter(hit("_r")).select(F.col("route_id").alias("_br")).distinct() \
+        .withColumn("_br_hit", F.lit(True))
+    rt = (t.routes.join(rd, F.col("route_id") == F.col("_r"), "left")
+          .join(blocked, F.col("route_id") == F.col("_br"), "left"))
+    routes_part = _rules(rt, "routes", [("deleted", hit("_r") & ~hit("_br"))])
+    bk = t.bookings.join(td, F.col("trip_id") == F.col("_t"), "left")
+    bookings_part = _rules(bk, "bookings", [("deleted", hit("_t"))])
+    gone_b = bk.filter(hit("_t")).select(F.col("booking_id").alias("_gb")).withColumn("_gb_hit", F.lit(True))
+    pl = (t.payment_log.join(gone_b, F.col("booking_id") == F.col("_gb"), "left")
+          .join(td, F.col("trip_id") == F.col("_t"), "left"))
+    payments_part = _rules(pl, "payment_log", [("deleted", hit("_gb") | hit("_t"))])
+    nt = t.notifications.join(ud, F.col("creator_id") == F.col("_u"), "left")
+    notif_part = _rules(nt, "notifications", [("deleted", hit("_u"))])
+    gone_n = nt.filter(hit("_u")).select(F.col("notification_id").alias("_gn")).withColumn("_gn_hit", F.lit(True))
+    un = (t.user_notifications.join(ud, F.col("user_id") == F.col("_u"), "left")
+          .join(gone_n, F.col("notification_id") == F.col("_gn"), "left"))
+    un_part = _rules(un, "user_notifications", [("deleted", hit("_u") | hit("_gn"))])
     parts = [
-        ("routes", "deleted", routes_gone),
-        ("trips", "blocked_by_restrict", blocking),
-        ("vehicles", "deleted", semi(t.vehicles, "vehicle_id", vd, "_v")),
-        ("trips", "vehicle_set_null", semi(trips_kept, "assigned_vehicle_id", vd, "_v")),
-        ("users", "deleted", semi(t.users, "user_id", ud, "_u")),
-        ("driver_details", "deleted", semi(t.driver_details, "driver_id", ud, "_u")),
-        ("notifications", "deleted", notif_gone),
-        ("user_notifications", "deleted", un_gone),
-        ("system_log", "user_set_null", semi(t.system_log, "user_id", ud, "_u")),
-        ("trips", "driver_set_null", semi(trips_kept, "driver_id", ud, "_u")),
-        ("trips", "deleted", trips_gone),
-        ("bookings", "deleted", bookings_gone),
-        ("payment_log", "deleted", payments_gone),
+        routes_part, trips_part,
+        _rules(t.vehicles.join(vd, F.col("vehicle_id") == F.col("_v"), "left"), "vehicles",
+               [("deleted", hit("_v"))]),
+        _rules(t.users.join(ud, F.col("user_id") == F.col("_u"), "left"), "users", [("deleted", hit("_u"))]),
+        _rules(t.driver_details.join(ud, F.col("driver_id") == F.col("_u"), "left"), "driver_details",
+               [("deleted", hit("_u"))]),
+        notif_part, un_part,
+        _rules(t.system_log.join(ud, F.col("user_id") == F.col("_u"), "left"), "system_log",
+               [("user_set_null", hit("_u"))]),
+        bookings_part, payments_part,
     ]
-    return reduce(DataFrame.unionByName, [
-        df.agg(F.count(F.lit(1)).cast("bigint").alias("rows")).select(
-            F.lit(tb).alias("table_name"), F.lit(act).alias("action"), "rows")
-        for tb, act, df in parts])
+    return reduce(DataFrame.unionByName, parts).select(
+        "table_name", F.col("rule").alias("action"), F.col("violations").alias("rows"))
 
 
 # ------------------------------------------------------------------- W19
