@@ -163,7 +163,9 @@ def driver_earnings(t: Tables, as_of: dt.date) -> DataFrame:
 
     ``trips_count`` keeps the reference's count of joined booking rows (a trip
     with three paid bookings counts three, one with none counts one);
-    ``distinct_trips`` is the number of trips.
+    ``distinct_trips`` is the number of trips. Paid bookings are summed per
+    trip before the join, so the join is one row per trip and the fan-out
+    count is ``max(paid rows, 1)`` per trip: no distinct aggregate needed.
     """
     wk0, wk1 = week_bounds(as_of)
     mo0, mo1 = month_bounds(as_of)
@@ -174,18 +176,21 @@ def driver_earnings(t: Tables, as_of: dt.date) -> DataFrame:
                          & (dep < lit_date(hi + dt.timedelta(days=1)).cast("timestamp_ntz"))
                          & F.col("driver_id").isNotNull())
           .select("trip_id", "driver_id", dep.alias("dep")))
-    b = (t.bookings.filter(F.col("payment_status") == "paid")
-         .select(F.col("trip_id").alias("_bt"), "total_amount", "seat_count"))
-    j = tr.join(b, tr.trip_id == b._bt, "left")
+    per_trip = (t.bookings.filter(F.col("payment_status") == "paid").groupBy("trip_id")
+                .agg(F.count(F.lit(1)).alias("_rows"), F.sum("total_amount").alias("_amount"),
+                     F.sum("seat_count").alias("_seats"))
+                .withColumnRenamed("trip_id", "_bt"))
+    j = tr.join(per_trip, tr.trip_id == per_trip._bt, "left")
     conds = {"today": on_day(F.col("dep"), as_of), "week": same_iso_week(F.col("dep"), as_of),
              "month": same_month(F.col("dep"), as_of)}
+    fan_out = F.greatest(F.coalesce(F.col("_rows"), F.lit(0)), F.lit(1))
     aggs = []
     for w in EARNING_WINDOWS:
         c = conds[w]
-        aggs += [F.count(F.when(c, F.col("trip_id"))).alias(f"{w}_trips_count"),
-                 F.count_distinct(F.when(c, F.col("trip_id"))).alias(f"{w}_distinct_trips"),
-                 F.sum(F.when(c, F.col("total_amount"))).alias(f"{w}_earnings"),
-                 F.sum(F.when(c, F.col("seat_count"))).alias(f"{w}_passengers")]
+        aggs += [F.sum(F.when(c, fan_out)).alias(f"{w}_trips_count"),
+                 F.count_if(c).alias(f"{w}_distinct_trips"),
+                 F.sum(F.when(c, F.col("_amount"))).alias(f"{w}_earnings"),
+                 F.sum(F.when(c, F.col("_seats"))).alias(f"{w}_passengers")]
     g = j.groupBy("driver_id").agg(*aggs)
     u = _drivers(t).select(F.col("user_id").alias("driver_id"))
     out = u.join(g, "driver_id", "left")
