@@ -106,3 +106,14 @@ def materialize_bucketed(spark: SparkSession, sf_dir: str, database: str, bucket
             out = out.bucketBy(buckets, key).sortBy(key)
         out.saveAsTable(f"{database}.{n}")
     return load(spark, CATALOG_PREFIX + database)
+
+
+def read_jdbc(spark: SparkSession, url: str, table: str, partition_column: str, lower: int, upper: int,
+              partitions: int, properties: dict | None = None) -> DataFrame:
+    """Read one domain table from the operational database in parallel: the
+    key range [lower, upper] is split into ``partitions`` range queries (one
+    task each). Untested here: no database may be started in this
+    environment. Column types are then cast to ``SCHEMAS[table]``."""
+    df = spark.read.jdbc(url, table, column=partition_column, lowerBound=lower, upperBound=upper,
+                         numPartitions=partitions, properties=properties or {})
+    return df.select(*[df[f.name].cast(f.dataType).alias(f.name) for f in SCHEMAS[table].fields])
