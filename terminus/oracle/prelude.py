@@ -127,7 +127,7 @@ system_log AS (
 ),
 notifications AS (
   SELECT doc_id AS notification_id, CAST(1000000 + doc_id % 150 AS BIGINT) AS creator_id, source AS title,
-         substr(text, 1, 80) AS body, TIMESTAMP '2024-01-01 00:00:00' + to_minutes(doc_id) AS created_at
+         text AS body, TIMESTAMP '2024-01-01 00:00:00' + to_minutes(doc_id) AS created_at
   FROM documents
 ),
 user_notifications AS (

@@ -232,7 +232,7 @@ def notifications(documents: DataFrame) -> DataFrame:
     d = F.col("doc_id")
     return documents.select(
         d.alias("notification_id"), (1000000 + d % 150).cast("bigint").alias("creator_id"),
-        F.col("source").alias("title"), F.substring(F.col("text"), 1, 80).alias("body"),
+        F.col("source").alias("title"), F.col("text").alias("body"),
         add_minutes(F.lit("2024-01-01 00:00:00").cast("timestamp_ntz"), d).alias("created_at"))
 
 
