@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pyspark.sql import Column
+
 from terminus.functions.scalar import (VEHICLE_STATUSES, VEHICLE_TYPES, ci_contains, enum_ordinal,
                                        full_name)
 from terminus.plans import views
@@ -77,16 +79,45 @@ def vehicles_available(t: Tables) -> DataFrame:
                      enum_ordinal("vehicle_type", VEHICLE_TYPES), "plate_number", "vehicle_id"))
 
 
+def _trigrams(text: Column) -> Column:
+    """Distinct 3-character substrings of ``text`` (empty when shorter)."""
+    n = F.length(text)
+    return F.array_distinct(F.transform(
+        F.sequence(F.lit(1), F.greatest(n - 2, F.lit(1))), lambda i: F.substring(text, i, 3)))
+
+
 def bookings_by_name(t: Tables, terms: DataFrame) -> DataFrame:
     """Active bookings whose passenger name matches ``%term%`` (case-insensitive,
     wildcards in the term kept), for every term of ``terms(term)`` at once.
 
-    The match is a non-equi condition, so the term list is broadcast behind a
-    row-count check and each booking is tested against it in its own task.
+    Exact candidate join instead of testing every (booking, term) pair: each
+    literal run of 3+ characters of a term must occur in a matching name, so
+    a term is joined (equi-join) only with names that contain its rarest
+    trigram, counted over the names; every candidate is then checked with the
+    real LIKE. Terms without such a run (e.g. ``%99%``) are matched by a
+    nested-loop join against a size-checked broadcast list of those terms.
     """
     ab = views.active_bookings(t)
-    terms = broadcast_if_small(terms.select("term").distinct())
-    return ab.join(terms, ci_contains(ab.passenger_name, terms.term)).select("term", *ab.columns)
+    name = F.lower(F.col("passenger_name"))
+    tl = terms.select("term").distinct().withColumn("_lt", F.lower("term"))
+    segs = F.filter(F.split(F.col("_lt"), "[%_]"), lambda x: F.length(x) >= 3)
+    tl = tl.withColumn("_tg", F.array_distinct(F.flatten(F.transform(segs, _trigrams))))
+    long_terms = tl.filter(F.size("_tg") > 0)
+    short_terms = tl.filter(F.size("_tg") == 0).select("term")
+
+    grams = ab.select("booking_id", F.explode(_trigrams(name)).alias("_g"))
+    wanted = long_terms.select(F.explode("_tg").alias("_g")).distinct()
+    freq = grams.join(wanted, "_g", "left_semi").groupBy("_g").agg(F.count(F.lit(1)).alias("_n"))
+    pick = (long_terms.select("term", F.explode("_tg").alias("_g")).join(freq, "_g", "left")
+            .groupBy("term").agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), "_g")).alias("_p"))
+            .select("term", F.col("_p._g").alias("_g")))
+    cand = grams.join(pick, "_g").select("booking_id", "term")
+    hits = (ab.join(cand, "booking_id")
+            .filter(ci_contains(F.col("passenger_name"), F.col("term"))))
+    short = broadcast_if_small(short_terms)
+    short_hits = ab.join(short, ci_contains(ab.passenger_name, short.term))
+    cols = ["term", *ab.columns]
+    return hits.select(*cols).unionByName(short_hits.select(*cols))
 
 
 def bookings_by_email(t: Tables, emails: DataFrame) -> DataFrame:
