@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from terminus.operators import reports
 from terminus.params import DEFAULT_PARAMS as P
-from terminus.sources.tables import DOMAIN_TABLES, Tables, load
+from terminus.sources.tables import Tables, load
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, QueryFn] = {}
@@ -37,8 +37,6 @@ def _src_tables(t: Tables) -> DataFrame:
     return out
 
 
-assert len(DOMAIN_TABLES) == 10
-
 register("revenue_report")(lambda t: reports.revenue_report(t, P.start_date, P.end_date))
 register("revenue_report_net")(
     lambda t: reports.revenue_report(t, P.start_date, P.end_date, net_of_cancelled=True))
@@ -61,11 +59,6 @@ from terminus.operators import joins, lookups, nested, topk  # noqa: E402
 from terminus.sources import requests as rq  # noqa: E402
 
 
-def _with_session(fn):
-    """Register a query that also needs the session (for request tables)."""
-    return fn
-
-
 register("users_list")(lookups.users_list)
 register("user_profile")(lookups.user_profile)
 register("routes_all")(lookups.routes_all)

@@ -17,7 +17,6 @@ from dataclasses import dataclass, field
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from terminus.functions.scalar import (ACTIVE_TRIP, BOOKABLE_TRIP, LIVE_TRIP, lit_ts,
                                        ticket_reference)

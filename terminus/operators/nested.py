@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terminus.functions.scalar import LIVE_TRIP, full_name
+from terminus.functions.scalar import full_name
 from terminus.plans import views
 from terminus.plans.ranking import sequence_within
 from terminus.sources.tables import Tables

@@ -13,7 +13,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import NumericType, StringType, TimestampNTZType, TimestampType, DateType
+from pyspark.sql.types import DateType, NumericType, TimestampNTZType, TimestampType
 
 from terminus.sources.tables import Tables
 

@@ -9,14 +9,12 @@ are read back with ``latest_per_key``.
 
 from __future__ import annotations
 
-import datetime as dt
-
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from terminus.functions.scalar import BOOKABLE_TRIP, LIVE_TRIP, full_name
+from terminus.functions.scalar import BOOKABLE_TRIP, full_name
 from terminus.operators import lifecycle as lc
 from terminus.plans import views
 from terminus.sources import requests as rq
