@@ -33,9 +33,14 @@ def main() -> None:
     repeats = int(os.environ.get("BENCH_REPEATS", "2"))
     layout = os.environ.get("BENCH_LAYOUT", "bucketed")
     scratch = tempfile.mkdtemp(prefix="terminus-bench-", dir="/tmp")
-    spark = build_session(f"local[{cpus}]", shuffle_partitions=max(cpus * 2, 8),
-                          extra={"spark.sql.files.maxPartitionBytes": str(64 << 20),
-                                 "spark.sql.warehouse.dir": os.path.join(scratch, "warehouse")})
+    extra = {"spark.sql.files.maxPartitionBytes": str(64 << 20),
+             "spark.sql.warehouse.dir": os.path.join(scratch, "warehouse")}
+    if os.environ.get("BENCH_EVENTLOG") == "1":
+        # Stage and task times for later study, kept in the scratch folder.
+        os.makedirs(os.path.join(scratch, "events"), exist_ok=True)
+        extra.update({"spark.eventLog.enabled": "true",
+                      "spark.eventLog.dir": "file://" + os.path.join(scratch, "events")})
+    spark = build_session(f"local[{cpus}]", shuffle_partitions=max(cpus * 2, 8), extra=extra)
     t0 = time.time()
     if layout == "bucketed":
         materialize_bucketed(spark, sf_dir, "terminus_bench", max(cpus * 2, 8))

@@ -23,6 +23,7 @@ from terminus.streaming.feed import (epoch_sink, event_time, latest_per_key, mat
                                      read_stream, replay, run_to_end, scratch)
 
 WATERMARK = "1 day"
+FILES_PER_BATCH = 2  # replayed slices per micro-batch (maxFilesPerTrigger)
 STATE_TTL_MS = 30 * 24 * 3600 * 1000  # state of a key is dropped 30 days (event time) after its last row
 
 
@@ -37,7 +38,7 @@ def _expire_after(state: GroupState, event_times: pd.Series) -> None:
 def _source(t: Tables, feed: DataFrame, ts_col: str, name: str, slices: int) -> DataFrame:
     spark = t.bookings.sparkSession
     folder = replay(feed, ts_col, scratch(spark, name + "-feed"), slices)
-    return read_stream(spark, folder, feed.schema)
+    return read_stream(spark, folder, feed.schema, FILES_PER_BATCH)
 
 
 def _run(spark: SparkSession, agg: DataFrame, name: str, keys: list[str]) -> DataFrame:
