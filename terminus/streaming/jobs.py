@@ -35,6 +35,14 @@ def _expire_after(state: GroupState, event_times: pd.Series) -> None:
     state.setTimeoutTimestamp(max(ms, state.getCurrentWatermarkMs()) + STATE_TTL_MS)
 
 
+def deduplicated(stream: DataFrame, ts_col: str, key: list[str]) -> DataFrame:
+    """Event-time watermark plus de-duplication on the event key: a source
+    that delivers an event twice (at-least-once) is counted once, as long as
+    the copy arrives within the watermark delay."""
+    return (stream.withColumn("_et", event_time(F.col(ts_col))).withWatermark("_et", WATERMARK)
+            .dropDuplicatesWithinWatermark(key))
+
+
 def _source(t: Tables, feed: DataFrame, ts_col: str, name: str, slices: int) -> DataFrame:
     spark = t.bookings.sparkSession
     folder = replay(feed, ts_col, scratch(spark, name + "-feed"), slices)
@@ -58,7 +66,7 @@ def daily_revenue_state(payments: DataFrame) -> DataFrame:
     in every micro-batch. Rows later than the watermark are dropped with
     their day's state.
     """
-    p = payments.withColumn("_et", event_time(F.col("payment_datetime"))).withWatermark("_et", WATERMARK)
+    p = deduplicated(payments, "payment_datetime", ["payment_id"])
     return p.groupBy(F.window("_et", "1 day"), F.to_date("payment_datetime").alias("payment_date"),
                      "booking_id").agg(
         F.count(F.lit(1)).alias("n_payments"), F.sum("amount").alias("amount_sum")).drop("window")
@@ -86,7 +94,8 @@ def run_stream_daily_revenue(t: Tables, slices: int = 20) -> DataFrame:
 def seat_ledger_state(changes: DataFrame) -> DataFrame:
     """X02: seats_booked per trip as an order-free running sum of T1-T3 deltas."""
     d = lc.seat_delta(F.col("old_status"), F.col("new_status"), F.col("seat_count"))
-    return changes.groupBy("trip_id").agg(F.sum(d).cast("bigint").alias("seats_booked"))
+    return (deduplicated(changes, "ts", ["event_id"]).groupBy("trip_id")
+            .agg(F.sum(d).cast("bigint").alias("seats_booked")))
 
 
 def run_stream_seat_ledger(t: Tables, slices: int = 20) -> DataFrame:
@@ -197,7 +206,7 @@ def run_stream_recent_bookings(t: Tables, slices: int = 20, k: int = FEED_K) ->
         F.col("trip_id").alias("_t"), "route_id", "estimated_departure_time", "seats_available")
     r = t.routes.select("route_id", "destination")
     dims = materialized(tr.join(r, "route_id"))
-    rows = (src.join(dims, F.col("trip_id") == F.col("_t"))
+    rows = (deduplicated(src, "booking_date", ["booking_id"]).join(dims, F.col("trip_id") == F.col("_t"))
             .select("booking_id", "ticket_reference",
                     full_name("passenger_firstname", "passenger_lastname").alias("passenger_name"),
                     "seat_count", "booking_type", "total_amount", "booking_date", "trip_id",
@@ -269,7 +278,7 @@ def stream_admission(requests: DataFrame, trips: DataFrame) -> DataFrame:
     """
     tr = trips.select(F.col("trip_id").alias("_t"), F.col("trip_status").alias("_st"),
                       F.col("seats_available").alias("_avail"))
-    r = (requests.withColumn("_et", event_time(F.col("requested_at"))).withWatermark("_et", WATERMARK)
+    r = (deduplicated(requests, "requested_at", ["request_id"])
          .join(tr, F.col("trip_id") == F.col("_t"), "left"))
     ok = F.col("_t").isNotNull() & F.col("_st").isin(*BOOKABLE_TRIP)
     folded = (r.filter(ok).select("request_id", "trip_id", "seat_count", "requested_at", "_avail", "_et")
@@ -294,7 +303,7 @@ def run_stream_admission(t: Tables, slices: int = 20) -> DataFrame:
 # ---------------------------------------------------------------------- X08
 def action_counts(logs: DataFrame) -> DataFrame:
     """X08: system_log rows per action type per hour (tumbling window)."""
-    e = logs.withColumn("_et", event_time(F.col("created_at"))).withWatermark("_et", WATERMARK)
+    e = deduplicated(logs, "created_at", ["log_id"])
     return e.groupBy(F.window("_et", "1 hour"), F.date_trunc("hour", "created_at").alias("_h"),
                      "action_type").agg(F.count(F.lit(1)).cast("bigint").alias("actions")).drop("window")
 
