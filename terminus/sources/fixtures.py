@@ -264,7 +264,8 @@ def derive_all(spark: SparkSession, sf_dir: str, share: bool = False) -> dict[st
         "driver_details": driver_details(t["supplier"]),
         "bookings": bookings(raw),
         "payment_log": payment_log(raw),
-        "trips": trips(t["orders"], t["customer"], r, v, raw),
+        # Built on first use: numbering queue positions runs a job.
+        "trips": lambda: trips(t["orders"], t["customer"], r, v, raw),
         "system_log": system_log(t["events"]),
         "notifications": notifications(t["documents"]),
         "user_notifications": user_notifications(t["labels"]),

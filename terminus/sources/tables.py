@@ -9,7 +9,6 @@ explicit schema so scans prune columns and push filters into Parquet.
 from __future__ import annotations
 
 import os
-from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,22 +28,32 @@ AT_REST_SORT = {
 }
 
 
-@dataclass
 class Tables:
-    routes: DataFrame
-    vehicles: DataFrame
-    users: DataFrame
-    driver_details: DataFrame
-    bookings: DataFrame
-    payment_log: DataFrame
-    trips: DataFrame
-    system_log: DataFrame
-    notifications: DataFrame
-    user_notifications: DataFrame
+    """The 10 domain tables. Each entry is a DataFrame or a zero-argument
+    factory that builds it on first access, so a query only derives the
+    tables it reads (the trips derivation runs a job of its own)."""
+
+    def __init__(self, **tables):
+        missing = set(DOMAIN_TABLES) - set(tables)
+        if missing:
+            raise TypeError(f"missing tables: {sorted(missing)}")
+        self._items = dict(tables)
+
+    def __getattr__(self, name: str) -> DataFrame:
+        items = self.__dict__.get("_items")
+        if items is None or name not in items:
+            raise AttributeError(name)
+        v = items[name]
+        if not isinstance(v, DataFrame):
+            v = items[name] = v()
+        return v
 
     def as_dict(self) -> dict[str, DataFrame]:
         return {n: getattr(self, n) for n in DOMAIN_TABLES}
 
+    def replace(self, **tables) -> "Tables":
+        return Tables(**{**self._items, **tables})
+
     def register(self, prefix: str = "") -> None:
         """Expose the tables to ``spark.sql`` as temp views."""
         for n, df in self.as_dict().items():

@@ -176,7 +176,7 @@ def run_stream_live_queue(t: Tables, slices: int = 20) -> DataFrame:
     src = _source(t, feed, "_v", "x04", slices)
     st = _run(spark, trip_state(src), "x04", ["trip_id"])
     st = st.select(*t.trips.columns)
-    live = t.__class__(**{**t.as_dict(), "trips": st})
+    live = t.replace(trips=st)
     return views.queue_status(live)
 
 
