@@ -136,6 +136,8 @@ register("arrive_trips")(lambda t: lc.arrive_trips(t.trips, rq.arrivals(t)).deci
 register("driver_rollup")(lambda t: lc.driver_rollup(t.driver_details, rq.status_events(t), t.routes))
 register("vehicle_rollup")(lambda t: lc.vehicle_rollup(t.vehicles, rq.status_events(t)))
 register("departure_log")(lambda t: lc.departure_log(rq.status_events(t)))
+register("transition_log")(lambda t: lc.transition_log(rq.trip_snapshots(t), ["ts", "seq"]).select(
+    "trip_id", "old_status", "trip_status", "ts"))
 register("cancel_bookings")(lambda t: lc.cancel_bookings(t.bookings, rq.cancel_requests(t)).decisions)
 register("reassign_vehicles")(
     lambda t: lc.reassign_vehicles(t.trips, t.vehicles, rq.reassignments(t)).decisions)

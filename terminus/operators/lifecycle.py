@@ -494,10 +494,13 @@ def departure_log(events: DataFrame) -> DataFrame:
                     F.col("ts").alias("created_at"))
 
 
-def transition_log(snapshots: DataFrame) -> DataFrame:
+def transition_log(snapshots: DataFrame, order: list[str] | None = None) -> DataFrame:
     """Status transitions from consecutive snapshots ``(trip_id, trip_status, ts)``:
-    rows whose status differs from the trip's previous snapshot."""
-    w = Window.partitionBy("trip_id").orderBy("ts")
+    rows whose status differs from the trip's previous snapshot (the first
+    snapshot of a trip counts, with ``old_status`` NULL). ``order`` breaks
+    ties of ``ts``. A trip has a handful of snapshots, so the per-trip window
+    stays small."""
+    w = Window.partitionBy("trip_id").orderBy(*(order or ["ts"]))
     s = snapshots.withColumn("old_status", F.lag("trip_status").over(w))
     return s.filter(F.col("old_status").isNull() | (F.col("old_status") != F.col("trip_status")))
 

@@ -163,3 +163,14 @@ def registrations(t: Tables) -> DataFrame:
                     F.col("passenger_lastname").alias("lastname"), email.alias("email"),
                     F.col("passenger_phone").alias("phone_number"),
                     F.lit(None).cast("string").alias("role"))
+
+
+def trip_snapshots(t: Tables) -> DataFrame:
+    """Consecutive status snapshots of driven trips: boarding at the planned
+    departure, then one snapshot per status change (seq breaks time ties)."""
+    tr = t.trips.filter(F.col("trip_status").isin("departed", "arrived"))
+    start = tr.select("trip_id", F.lit("boarding").alias("trip_status"),
+                      F.col("estimated_departure_time").alias("ts"), F.lit(0).alias("seq"))
+    ev = status_events(t).select("trip_id", F.col("new_status").alias("trip_status"), "ts",
+                                 (F.col("event_id") % 10).cast("int").alias("seq"))
+    return start.unionByName(ev)
