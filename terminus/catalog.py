@@ -222,5 +222,14 @@ def _sink_upsert(t: Tables) -> DataFrame:
 
 @register("sink_json_report")
 def _sink_json_report(t: Tables) -> DataFrame:
-    """Each route's queue page as a ``{success, count, data}`` JSON document."""
-    return sinks.json_report(nested.queue_nested(t), ["route_id", "page"])
+    """Each route's queue page as a ``{success, count, data}`` JSON document,
+    checked by reading fields back out of the text."""
+    docs = sinks.json_report(nested.queue_nested(t), ["route_id", "page"])
+    j = F.col("json")
+    return docs.select(
+        "route_id", "page",
+        F.get_json_object(j, "$.success").alias("success"),
+        F.get_json_object(j, "$.count").cast("bigint").alias("n_trips"),
+        F.get_json_object(j, "$.data.destination").alias("destination"),
+        F.get_json_object(j, "$.data.trips[0].trip_id").cast("bigint").alias("first_trip_id"),
+        F.length(j).isNotNull().alias("has_body"))
