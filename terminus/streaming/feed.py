@@ -35,6 +35,11 @@ def replay(df: DataFrame, ts_col: str, folder: str, slices: int = 20) -> str:
     The rows are staged once, partitioned by slice; each slice is then copied
     with partition pruning. Only the min/max of the time column reach the
     driver.
+
+    This is a replay harness for tests and benchmarks: each slice is one file
+    (one writing task) so that file order equals time order and a micro-batch
+    never splits a slice. A production stream reads the files its upstream
+    writes; nothing on that path goes through this function.
     """
     spark = df.sparkSession
     lo, hi = df.agg(F.min(F.unix_timestamp(ts_col)), F.max(F.unix_timestamp(ts_col))).first()
