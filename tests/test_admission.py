@@ -117,3 +117,32 @@ def test_admission_fixture_count(spark):
              .withColumn("seats_booked", F.lit(0)).withColumn("seats_available", F.lit(14)))
     res = lc.admit_bookings(trips, rq.booking_requests(t), t.bookings, t.payment_log, dt.datetime(1998, 6, 15))
     assert res.accepted.count() == 35454
+
+
+TRIPS_DAY = ("trip_id long, route_id long, trip_status string, is_accepting_bookings boolean, "
+             "queue_position int, capacity int, seats_booked int, seats_available int, "
+             "fare_price decimal(8,2), estimated_departure_time timestamp_ntz")
+
+
+@settings(max_examples=8, deadline=None)
+@given(st.lists(st.tuples(st.integers(1, 2), st.integers(1, 10), st.integers(0, 2 * 24 * 60 - 1)),
+                min_size=1, max_size=40))
+def test_admit_smart_by_service_day(spark, reqs):
+    day0 = dt.datetime(2025, 1, 1, 6)
+    trips = [(1, 1, "boarding", True, 1, 14, 0, 14, Decimal(50), day0),
+             (2, 1, "boarding", True, 2, 14, 4, 10, Decimal(50), day0 + dt.timedelta(days=1)),
+             (3, 1, "boarding", True, 3, 30, 0, 30, Decimal(50), day0 + dt.timedelta(days=1)),
+             (4, 2, "boarding", True, 1, 14, 0, 14, Decimal(50), day0)]
+    rows = [(i, None, rte, n, m) for i, (rte, n, m) in enumerate(reqs)]
+    res = lc.admit_smart_bookings(spark.createDataFrame(trips, TRIPS_DAY), _reqs(spark, rows), by_service_day=True)
+    got = {r.request_id: r.trip_id for r in res.decisions.collect()}
+    left = {t[0]: t[7] for t in trips}
+    want = {}
+    for rid, _, rte, n, m in sorted(rows, key=lambda r: (r[4], r[0])):
+        day = (T0 + dt.timedelta(minutes=m)).date()
+        opts = sorted([t for t in trips if t[1] == rte and t[9].date() == day], key=lambda t: (t[4], t[0]))
+        pick = next((t[0] for t in opts if left[t[0]] >= n), None)
+        if pick is not None:
+            left[pick] -= n
+        want[rid] = pick
+    assert got == want
