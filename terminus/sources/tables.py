@@ -91,14 +91,21 @@ def load(spark: SparkSession, sf_dir: str, share: bool = False) -> Tables:
     return Tables(**dfs)
 
 
-def materialize(spark: SparkSession, sf_dir: str, out_dir: str, files_per_table: int = 8) -> Tables:
-    """Write the domain tables of ``sf_dir`` to ``out_dir`` and return them read back."""
+def materialize(spark: SparkSession, sf_dir: str, out_dir: str, files_per_table: int | None = None) -> Tables:
+    """Write the domain tables of ``sf_dir`` to ``out_dir`` and return them read back.
+
+    Sorted tables are range-partitioned on their sort key; without
+    ``files_per_table`` the file count follows the data (shuffle partitions,
+    coalesced by AQE toward the advisory partition size).
+    """
     t = load(spark, sf_dir, share=True)
     for n, df in t.as_dict().items():
         out = df.select(*[f.name for f in SCHEMAS[n].fields])
         sort = AT_REST_SORT.get(n)
         if sort:
-            out = out.repartitionByRange(files_per_table, *sort).sortWithinPartitions(*sort)
+            ranged = (out.repartitionByRange(files_per_table, *sort) if files_per_table
+                      else out.repartitionByRange(*sort))
+            out = ranged.sortWithinPartitions(*sort)
         out.write.mode("overwrite").parquet(os.path.join(out_dir, n))
     return load(spark, out_dir)
 
