@@ -209,14 +209,13 @@ def admit_smart_bookings(trips: DataFrame, requests: DataFrame, by_service_day:
     request only looks at trips whose planned departure falls on the day it
     was made, so a busy route is folded per (route, day) in parallel.
     """
-    day_t = F.to_date("estimated_departure_time") if by_service_day else F.lit(None).cast("date")
-    day_r = F.to_date("requested_at") if by_service_day else F.lit(None).cast("date")
+    grp = ["route_id", "service_day"] if by_service_day else ["route_id"]
+    day_t = [F.to_date("estimated_departure_time").alias("service_day")] if by_service_day else []
+    day_r = [F.to_date("requested_at").alias("service_day")] if by_service_day else []
     open_trips = trips.filter(F.col("is_accepting_bookings")
                               & (F.col("trip_status") == "boarding")).select(
-        "route_id", day_t.alias("service_day"), "trip_id", "queue_position",
-        F.col("seats_available").alias("avail"))
-    req = requests.select("request_id", "route_id", day_r.alias("service_day"), "seat_count", "requested_at")
-    grp = ["route_id", "service_day"]
+        "route_id", *day_t, "trip_id", "queue_position", F.col("seats_available").alias("avail"))
+    req = requests.select("request_id", "route_id", *day_r, "seat_count", "requested_at")
     sizes = (req.filter(F.col("seat_count") >= 1)
              .select(*[F.col(c).alias("_s_" + c) for c in grp], F.col("seat_count").alias("_s_n")).distinct())
     bounds = (sizes.join(open_trips, [sizes["_s_" + c].eqNullSafe(open_trips[c]) for c in grp])
