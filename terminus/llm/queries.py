@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from terminus.llm import near_dedup, packing, token_counts
+from terminus.llm import language_id, near_dedup, packing, token_counts
 from terminus.llm.common import table
 
 
@@ -26,10 +26,15 @@ def op10_nnls_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
     "op3_token_counts": op3_token_counts,
     "op10_nnls_packing": op10_nnls_packing,
+    "op7_language_id": op7_language_id,
 }
 
 ORACLE: dict[str, str] = {}
