@@ -1,24 +1,52 @@
-"""Corpus pipeline: language ID, near-dedup, mixing and packing over ``documents``."""
+"""Corpus pipeline over ``documents``: language ID, near-dedup, mixing, packing.
+
+Every stage works on all rows that its predecessor kept, and its decisions take
+effect. All stages but the last return the columns of ``documents``; the mix may
+use a document in more than one epoch, which then is that many rows.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from terminus.llm import near_dedup
+from terminus.llm import language_id, mixing, near_dedup, packing
 from terminus.llm.common import table, written
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents without a language: no letter, or a posterior below one half."""
+    return language_id.keep_identified(docs)
+
+
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group stays."""
     return near_dedup.drop_near_duplicates(docs)
 
 
-STAGES: list[tuple[str, Stage]] = [("near_dedup", near_dedup_stage)]
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Whole epochs and token prefixes of each domain-language-source leaf."""
+    return mixing.mix(docs).select(docs.columns)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of token windows."""
+    return packing.pack(docs)
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("language_id", language_stage),
+    ("near_dedup", near_dedup_stage),
+    ("mixing", mixing_stage),
+    ("packing", packing_stage),
+]
 
+# Fitted language models and tokenizers have no SQL form; tests/llm/test_pipeline.py
+# holds the stages against plain versions.
 ORACLE_SQL = None
 
 

@@ -205,40 +205,52 @@ def fit(labelled: DataFrame, vocabulary: str = VOCABULARY, sample: int = SAMPLE,
     return langs, prob
 
 
+class Scorer:
+    """Predictions for lists of texts, with a bounded cache of word scores."""
+
+    def __init__(self, vocabulary: str, langs: list[str], prob: np.ndarray):
+        self.langs, self.prob = langs, prob
+        self.pieces, self.row = Pieces(vocabulary), {}
+        self.scores = np.empty((CACHE, len(langs)))
+
+    def _learn(self, texts: list[list[str]]) -> None:
+        if len(self.row) > CACHE:
+            self.row.clear()
+        new = sorted(set().union(*texts).difference(self.row))
+        first = len(self.row)
+        if first + len(new) > len(self.scores):
+            self.scores = np.resize(self.scores, (2 * (first + len(new)), len(self.langs)))
+        if new:
+            self.scores[first:first + len(new)] = log_word_probs(self.pieces, self.prob, new)
+            self.row.update(zip(new, range(first, first + len(new)), strict=True))
+
+    def _chunk(self, texts: list[list[str]]) -> Iterator[tuple[str, float]]:
+        if self.langs:
+            self._learn(texts)
+        for words in texts:
+            if not words or not self.langs:
+                yield UNDETERMINED, 0.0
+                continue
+            total = self.scores[np.fromiter(map(self.row.__getitem__, words), np.int64, len(words))].sum(axis=0)
+            best = int(total.argmax())
+            yield self.langs[best], float(1 / np.exp(total - total[best]).sum())
+
+    def __call__(self, texts: Iterable[str | None]) -> list[tuple[str, float]]:
+        out, held, size = [], [], 0
+        for text in texts:
+            held.append(words_of(text))
+            size += len(held[-1])
+            if size > CHUNK:
+                out += self._chunk(held)
+                held, size = [], 0
+        return out + list(self._chunk(held))
+
+
 def _scored(vocabulary: str, model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        langs, prob = model.value
-        pieces, cache = Pieces(vocabulary), {}
-        table = np.empty((CACHE + 4 * CHUNK, len(langs)))
-
-        def scored(texts: Iterable[list[str]]) -> Iterator[tuple[str, float]]:
-            if len(cache) > CACHE:
-                cache.clear()
-            new = sorted(set().union(*texts).difference(cache))
-            for lo in range(0, len(new), CHUNK):
-                part = new[lo:lo + CHUNK]
-                first = len(cache)
-                if first + len(part) > len(table):
-                    table.resize((2 * len(table), len(langs)), refcheck=False)
-                table[first:first + len(part)] = log_word_probs(pieces, prob, part)
-                cache.update(zip(part, range(first, first + len(part)), strict=True))
-            for words in texts:
-                if not words or not langs:
-                    yield UNDETERMINED, 0.0
-                    continue
-                total = table[np.fromiter(map(cache.__getitem__, words), np.int64, len(words))].sum(axis=0)
-                best = int(total.argmax())
-                yield langs[best], float(1 / np.exp(np.minimum(total - total[best], 0)).sum())
-
+        score = Scorer(vocabulary, *model.value)
         for batch in batches:
-            out, held, size = [], [], 0
-            for text in batch.column(1):
-                held.append(words_of(text.as_py()))
-                size += len(held[-1])
-                if size > CHUNK:
-                    out += scored(held)
-                    held, size = [], 0
-            out += scored(held)
+            out = score(x.as_py() for x in batch.column(1))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([x for x, _ in out], pa.string()), pa.array([x for _, x in out], pa.float64())],
                 ["doc_id", "lang_pred", "score"])
@@ -272,3 +284,21 @@ def identify(docs: DataFrame, vocabulary: str = VOCABULARY, sample: int = SAMPLE
     langs, prob = fit(training_rows(docs), vocabulary, sample)
     return predict(docs, langs, prob, vocabulary).select(
         "doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+def _kept(vocabulary: str, model, least: float, text_at: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        score = Scorer(vocabulary, *model.value)
+        for batch in batches:
+            keep = [x != UNDETERMINED and s >= least for x, s in score(t.as_py() for t in batch.column(text_at))]
+            yield batch.filter(pa.array(keep, pa.bool_()))
+    return run
+
+
+def keep_identified(docs: DataFrame, least: float = 0.5, vocabulary: str = VOCABULARY, sample: int = SAMPLE) -> DataFrame:
+    """The rows of ``docs`` (all columns) with a language whose posterior is at
+    least ``least``; rows without one (null text, no letter) go. Filtered where
+    the text is read: no shuffle."""
+    langs, prob = fit(training_rows(docs), vocabulary, sample)
+    model = docs.sparkSession.sparkContext.broadcast((langs, prob))
+    return docs.mapInArrow(_kept(vocabulary, model, least, docs.columns.index("text")), docs.schema)

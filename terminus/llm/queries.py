@@ -9,8 +9,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from terminus.llm import language_id, near_dedup, packing, token_counts
+from terminus.llm import language_id, mixing, near_dedup, packing, token_counts
 from terminus.llm.common import table
 
 
@@ -30,11 +31,17 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents"))
 
 
+def op9_hierarchical_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("domain", mixing.domain_of(F.col("source")))
+    return mixing.mix(docs, names={}).select("doc_id", "domain", "lang", "source", "epoch", "n_tokens")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
     "op3_token_counts": op3_token_counts,
     "op10_nnls_packing": op10_nnls_packing,
     "op7_language_id": op7_language_id,
+    "op9_hierarchical_mixing": op9_hierarchical_mixing,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op9_hierarchical_mixing": mixing.oracle_sql()}
