@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terminus.llm import language_id, mixing, near_dedup, packing, token_counts
+from terminus.llm import fingerprints, language_id, mixing, near_dedup, packing, token_counts
 from terminus.llm.common import table
 
 
@@ -36,10 +36,15 @@ def op9_hierarchical_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs, names={}).select("doc_id", "domain", "lang", "source", "epoch", "n_tokens")
 
 
+def op6_prefix_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compare_neighbours(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
     "op3_token_counts": op3_token_counts,
     "op10_nnls_packing": op10_nnls_packing,
+    "op6_prefix_fingerprints": op6_prefix_fingerprints,
     "op7_language_id": op7_language_id,
     "op9_hierarchical_mixing": op9_hierarchical_mixing,
 }
