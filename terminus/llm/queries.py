@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terminus.llm import fingerprints, language_id, mixing, near_dedup, packing, token_counts
+from terminus.llm import embedding_dedup, fingerprints, language_id, mixing, near_dedup, packing, token_counts
 from terminus.llm.common import table
 
 
@@ -40,12 +40,17 @@ def op6_prefix_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare_neighbours(table(spark, sf_dir, "documents"))
 
 
+def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_embeddings(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
     "op3_token_counts": op3_token_counts,
     "op10_nnls_packing": op10_nnls_packing,
     "op6_prefix_fingerprints": op6_prefix_fingerprints,
     "op7_language_id": op7_language_id,
+    "op8_embedding_near_dedup": op8_embedding_near_dedup,
     "op9_hierarchical_mixing": op9_hierarchical_mixing,
 }
 
