@@ -11,10 +11,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terminus.llm import embedding_dedup, fingerprints, language_id, mixing, near_dedup, packing, token_counts
+from terminus.llm import embedding_dedup, fingerprints, html_text, language_id, mixing, near_dedup, packing, token_counts
 from terminus.llm.common import table
 
 
+def op1_html_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -45,6 +49,7 @@ def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_html_suffix_array": op1_html_suffix_array,
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
     "op3_token_counts": op3_token_counts,
     "op10_nnls_packing": op10_nnls_packing,
