@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terminus.llm import embedding_dedup, fingerprints, html_text, language_id, mixing, near_dedup, packing, token_counts
+from terminus.llm import embedding_dedup, fingerprints, html_text, language_id, mixing, near_dedup, packing, token_counts, url_filters
 from terminus.llm.common import table
 
 
@@ -40,6 +40,10 @@ def op9_hierarchical_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs, names={}).select("doc_id", "domain", "lang", "source", "epoch", "n_tokens")
 
 
+def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filters.evaluate(url_filters.page_captures(spark, sf_dir), url_filters.page_lists(spark, sf_dir))
+
+
 def op6_prefix_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare_neighbours(table(spark, sf_dir, "documents"))
 
@@ -53,10 +57,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
     "op3_token_counts": op3_token_counts,
     "op10_nnls_packing": op10_nnls_packing,
+    "op4_url_filters": op4_url_filters,
     "op6_prefix_fingerprints": op6_prefix_fingerprints,
     "op7_language_id": op7_language_id,
     "op8_embedding_near_dedup": op8_embedding_near_dedup,
     "op9_hierarchical_mixing": op9_hierarchical_mixing,
 }
 
-ORACLE: dict[str, str] = {"op9_hierarchical_mixing": mixing.oracle_sql()}
+ORACLE: dict[str, str] = {
+    "op4_url_filters": url_filters.oracle_sql(),
+    "op9_hierarchical_mixing": mixing.oracle_sql(),
+}
