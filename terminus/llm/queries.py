@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terminus.llm import embedding_dedup, fingerprints, html_text, language_id, mixing, near_dedup, packing, token_counts, url_filters
+from terminus.llm import embedding_dedup, fingerprints, html_text, language_id, licenses, mixing, near_dedup, packing, token_counts, url_filters
 from terminus.llm.common import table
 
 
@@ -44,6 +44,10 @@ def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.evaluate(url_filters.page_captures(spark, sf_dir), url_filters.page_lists(spark, sf_dir))
 
 
+def op5_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(licenses.document_files(spark, sf_dir))
+
+
 def op6_prefix_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare_neighbours(table(spark, sf_dir, "documents"))
 
@@ -58,6 +62,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_counts": op3_token_counts,
     "op10_nnls_packing": op10_nnls_packing,
     "op4_url_filters": op4_url_filters,
+    "op5_license_scans": op5_license_scans,
     "op6_prefix_fingerprints": op6_prefix_fingerprints,
     "op7_language_id": op7_language_id,
     "op8_embedding_near_dedup": op8_embedding_near_dedup,
