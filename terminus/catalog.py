@@ -127,7 +127,7 @@ register("seat_ledger")(lambda t: lc.seat_ledger(t.trips, rq.booking_changes(t))
 register("seat_ledger_running")(lambda t: lc.seat_ledger_running(rq.booking_changes(t)))
 register("mark_full_trips")(lambda t: lc.mark_full_trips(t.trips, rq.booking_changes(t)))
 register("enqueue_trips")(
-    lambda t: lc.enqueue_trips(t.trips, t.routes, t.vehicles, rq.new_trips(t), P.now).decisions)
+    lambda t: lc.enqueue_trips(t.trips, t.routes, t.vehicles, t.users, rq.new_trips(t), P.now).decisions)
 register("advance_queue")(
     lambda t: lc.live_queue_after(lc.advance_queue(t.trips, rq.departures(t, P.now), "intended")))
 register("advance_queue_literal")(
@@ -161,6 +161,8 @@ from terminus.streaming import jobs as sj  # noqa: E402
 register("stream_daily_revenue")(sj.run_stream_daily_revenue)
 register("stream_seat_ledger")(sj.run_stream_seat_ledger)
 register("stream_trip_transitions")(sj.run_stream_trip_transitions)
+register("stream_driver_status")(sj.run_stream_driver_status)
+register("stream_vehicle_status")(sj.run_stream_vehicle_status)
 register("stream_live_queue")(sj.run_stream_live_queue)
 register("stream_seat_availability")(sj.run_stream_seat_availability)
 register("stream_recent_bookings")(sj.run_stream_recent_bookings)
@@ -171,7 +173,7 @@ register("stream_action_log")(sj.run_stream_action_log)
 from terminus.functions.surface import scalar_surface  # noqa: E402
 from terminus.plans import views as vw  # noqa: E402
 from terminus.sources import sinks  # noqa: E402
-from terminus.streaming.feed import read_stream, replay, run_to_end, scratch  # noqa: E402
+from terminus.streaming.feed import read_stream, run_to_end, scratch, write_feed  # noqa: E402
 
 register("scalar_surface")(lambda t: scalar_surface(t, P.as_of))
 
@@ -190,12 +192,12 @@ def _src_views(t: Tables) -> DataFrame:
 
 @register("src_event_stream")
 def _src_event_stream(t: Tables) -> DataFrame:
-    """The booking change feed replayed as files and read back as a stream."""
+    """The booking change feed written as files and read back as a stream."""
     spark = t.bookings.sparkSession
     feed = rq.booking_changes(t)
-    folder = replay(feed, "ts", scratch(spark, "events-feed"), 10)
+    folder = write_feed(feed, scratch(spark, "events-feed"))
     out = scratch(spark, "events-out")
-    run_to_end(read_stream(spark, folder, feed.schema, 1).writeStream.format("parquet")
+    run_to_end(read_stream(spark, folder, feed.schema, 4).writeStream.format("parquet")
                .option("path", out), scratch(spark, "events-ckpt"))
     return spark.read.schema(feed.schema).parquet(out)
 
@@ -215,9 +217,9 @@ def _sink_upsert(t: Tables) -> DataFrame:
     """Accepted vehicle reassignments applied to trips by key."""
     res = lc.reassign_vehicles(t.trips, t.vehicles, rq.reassignments(t))
     ch = res.accepted.select("trip_id", F.col("vehicle_id").alias("assigned_vehicle_id"), "capacity",
-                             "seats_available")
+                             "seats_available", "trip_status")
     return sinks.upsert(t.trips, ch, "trip_id").select(
-        "trip_id", "assigned_vehicle_id", "capacity", "seats_booked", "seats_available")
+        "trip_id", "assigned_vehicle_id", "capacity", "seats_booked", "seats_available", "trip_status")
 
 
 @register("sink_json_report")

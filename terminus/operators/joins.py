@@ -62,8 +62,9 @@ def trip_details(t: Tables) -> DataFrame:
         "actual_departure_datetime", "capacity", "seats_booked", "seats_available", "trip_status",
         "fare_price", "route_id", "origin", "destination", "distance_km",
         F.col("route_duration_minutes").alias("estimated_duration_minutes"),
-        F.col("assigned_vehicle_id").alias("vehicle_id"), "plate_number", "vehicle_type",
-        "vehicle_capacity", "driver_id", "driver_name", "driver_phone")
+        # Ids of the joined rows: NULL where the trip's reference dangles.
+        "vehicle_id", "plate_number", "vehicle_type",
+        "vehicle_capacity", F.col("driver_user_id").alias("driver_id"), "driver_name", "driver_phone")
 
 
 def _booking_context(t: Tables, bookings: DataFrame) -> DataFrame:
@@ -127,8 +128,11 @@ def seat_availability(t: Tables) -> DataFrame:
 
 
 def _driver_users(t: Tables) -> DataFrame:
-    u = t.users.filter(F.col("role") == "driver")
-    return u.join(t.driver_details, u.user_id == t.driver_details.driver_id)
+    return _users_with_details(t).filter(F.col("role") == "driver")
+
+
+def _users_with_details(t: Tables) -> DataFrame:
+    return t.users.join(t.driver_details, t.users.user_id == t.driver_details.driver_id)
 
 
 def drivers_available(t: Tables) -> DataFrame:
@@ -146,12 +150,12 @@ CURRENT = ("boarding", "full", "departed")
 
 
 def driver_status(t: Tables) -> DataFrame:
-    """Every driver with each of their current (boarding/full/departed) trips;
-    drivers without one keep a row with NULL trip columns."""
+    """Every user with driver details (whatever the role) and each of their
+    current (boarding/full/departed) trips; NULL trip columns without one."""
     cur = t.trips.filter(F.col("trip_status").isin(*CURRENT)).select(
         F.col("driver_id").alias("_d"), "trip_id", "trip_status", "route_id")
     r = t.routes.select("route_id", "origin", "destination")
-    j = (_driver_users(t).join(cur, F.col("user_id") == cur._d, "left")
+    j = (_users_with_details(t).join(cur, F.col("user_id") == cur._d, "left")
          .join(r, "route_id", "left"))
     return j.select("user_id", full_name("firstname", "lastname").alias("driver_name"),
                     "phone_number", "driver_status", "trips_completed", "trip_id", "trip_status",

@@ -49,6 +49,14 @@ def _decide(ok: Column, reason: Column) -> list[Column]:
             F.when(ok, F.lit(None).cast("string")).otherwise(reason).alias("reason")]
 
 
+def first_per_key(requests: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """Add ``_dup``: true for all but the first request of a key in ``order``
+    (requests without a key never repeat each other). A batch changes a key
+    once; rows that tie on ``order`` are interchangeable."""
+    w = Window.partitionBy(key).orderBy(*order)
+    return requests.withColumn("_dup", F.col(key).isNotNull() & (F.row_number().over(w) > 1))
+
+
 def _max_id(df: DataFrame, col: str) -> Column:
     """The current maximum id (0 when empty) as a literal: new ids are this
     offset plus a distributed sequence number. Only the one number reaches
@@ -163,8 +171,13 @@ def apply_seat_delta(trips: DataFrame, delta: DataFrame) -> DataFrame:
 def mark_full(trips: DataFrame) -> DataFrame:
     """Rule T5 (W04): a boarding trip whose seats_booked reaches capacity turns
     full; a full trip never turns back to boarding."""
-    full = (F.col("trip_status") == "boarding") & (F.col("seats_booked") >= F.col("capacity"))
-    return trips.withColumn("trip_status", F.when(full, "full").otherwise(F.col("trip_status")))
+    return trips.withColumn("trip_status", full_or(F.col("trip_status")))
+
+
+def full_or(status: Column) -> Column:
+    """``full`` for a boarding status with no seat left, else the status (T5)."""
+    full = (status == "boarding") & (F.col("seats_booked") >= F.col("capacity"))
+    return F.when(full, "full").otherwise(status)
 
 
 # --------------------------------------------------------------------- W02
@@ -295,14 +308,15 @@ def mark_full_trips(trips: DataFrame, changes: DataFrame) -> DataFrame:
 
 
 # --------------------------------------------------------------------- W05
-def enqueue_trips(trips: DataFrame, routes: DataFrame, vehicles: DataFrame,
+def enqueue_trips(trips: DataFrame, routes: DataFrame, vehicles: DataFrame, users: DataFrame,
                   requests: DataFrame, now: dt.datetime) -> JobResult:
     """create_trip_in_queue for a batch (applied in request_id order).
 
     Capacity from the vehicle, fare and duration from the route, position =
     current last live position of the route + rank of the request in the
     route; position 1 boards and accepts, the others wait. Unknown route or
-    vehicle is rejected (the reference's insert would fail on NOT NULL).
+    vehicle is rejected (the reference's insert would fail on NOT NULL), as is
+    a driver who is no user (foreign key); a trip may have no driver.
     """
     r = routes.select(F.col("route_id").alias("_r"), "fare_price",
                       F.col("estimated_duration_minutes").alias("estimated_trip_duration_minutes"))
@@ -310,8 +324,10 @@ def enqueue_trips(trips: DataFrame, routes: DataFrame, vehicles: DataFrame,
     base = (trips.filter(F.col("trip_status").isin(*LIVE_TRIP)).groupBy("route_id")
             .agg(F.max("queue_position").alias("_base")).withColumnRenamed("route_id", "_br"))
     j = (requests.join(r, requests.route_id == r._r, "left")
-         .join(v, requests.vehicle_id == v._v, "left"))
-    reason = F.when(F.col("_r").isNull(), "unknown_route").when(F.col("_v").isNull(), "unknown_vehicle")
+         .join(v, requests.vehicle_id == v._v, "left")
+         .join(users.select(F.col("user_id").alias("_u")), requests.driver_id == F.col("_u"), "left"))
+    reason = (F.when(F.col("_r").isNull(), "unknown_route").when(F.col("_v").isNull(), "unknown_vehicle")
+              .when(F.col("driver_id").isNotNull() & F.col("_u").isNull(), "unknown_driver"))
     j = j.withColumn("_reason", reason)
     acc = j.filter(F.col("_reason").isNull())
     acc = sequence_within(acc, ["route_id"], [F.col("request_id").asc()], out="_rank")
@@ -356,14 +372,17 @@ def advance_queue(trips: DataFrame, departures: DataFrame, mode: str = "intended
     The departing trip becomes departed (actual departure = ts, not accepting).
     ``mode='intended'``: the remaining live trips of each affected route are
     re-numbered 1..n in queue order; the new head boards and accepts, the
-    others stop accepting. Any number of departures per route is fine.
+    others stop accepting. Any number of departures per route is fine. In both
+    modes a trip that is boarding with no seat left turns full (rule T5), and
+    of several departures of one trip the earliest counts.
     ``mode='literal'``: the reference's UPDATE as MySQL runs it: on the route,
     waiting/boarding trips behind position 1 move up by one; the assignment
     to queue_position runs first, so the trip that lands on position 2 (not
     1) is opened for boarding. Full trips are not moved. One departure per
     route per batch; more raise an error.
     """
-    dep = departures.select(F.col("trip_id").alias("_d"), F.col("ts").alias("_dts"))
+    departures = first_per_key(departures, "trip_id", ["ts"])
+    dep = departures.filter(~F.col("_dup")).select(F.col("trip_id").alias("_d"), F.col("ts").alias("_dts"))
     j = trips.join(dep, trips.trip_id == dep._d, "left")
     is_dep = F.col("_d").isNotNull()
     departed = (j.filter(is_dep).withColumn("trip_status", F.lit("departed"))
@@ -380,11 +399,13 @@ def advance_queue(trips: DataFrame, departures: DataFrame, mode: str = "intended
         ranked = sequence_within(live_hit, ["route_id"], [F.col("queue_position").asc(),
                                                           F.col("trip_id").asc()], out="_newpos")
         head = F.col("_newpos") == 1
-        ranked = (ranked.withColumn("queue_position", F.col("_newpos"))
+        ranked = (ranked.withColumn("queue_position", F.col("_newpos").cast("int"))
                   .withColumn("is_accepting_bookings", head)
                   .withColumn("trip_status", F.when(head & (F.col("trip_status") == "waiting"),
                                                     "boarding").otherwise(F.col("trip_status")))
                   .drop("_newpos"))
+        # Rule T5 fires on every row the UPDATE touches.
+        ranked = mark_full(ranked)
         after = ranked.unionByName(other)
     elif mode == "literal":
         too_many = F.col("_ndep") > 1
@@ -401,6 +422,8 @@ def advance_queue(trips: DataFrame, departures: DataFrame, mode: str = "intended
                              .otherwise(F.col("is_accepting_bookings")))
                  .withColumn("trip_status", F.when(shift & (F.col("queue_position") == 2), "boarding")
                              .otherwise(F.col("trip_status")))
+                 .withColumn("trip_status", F.when(shift, full_or(F.col("trip_status")))
+                             .otherwise(F.col("trip_status")))
                  .drop("_shift"))
     else:
         raise ValueError(mode)
@@ -414,7 +437,8 @@ def advance_queue(trips: DataFrame, departures: DataFrame, mode: str = "intended
                            F.col("actual_departure_datetime").alias("created_at")))
     decisions = departures.join(trips.select(F.col("trip_id").alias("_t"), "trip_status"),
                                 departures.trip_id == F.col("_t"), "left").select(
-        "trip_id", *_decide(F.col("_t").isNotNull(), F.lit("unknown_trip")))
+        "trip_id", *_decide(F.col("_t").isNotNull() & ~F.col("_dup"),
+                            F.when(F.col("_t").isNull(), "unknown_trip").otherwise("duplicate_in_batch")))
     return JobResult(decisions, snapshot, log)
 
 
@@ -435,7 +459,11 @@ def arrive_trips(trips: DataFrame, arrivals: DataFrame) -> JobResult:
               .when(~F.col("_drv").eqNullSafe(F.col("driver_id")) | F.col("_drv").isNull(),
                     "not_your_trip")
               .when(F.col("_st") != "departed", "not_departed"))
-    j = j.withColumn("_reason", reason)
+    # After the first report that is accepted, the trip is no longer departed.
+    good = first_per_key(j.withColumn("_reason", reason).withColumn("_bad", F.col("_reason").isNotNull()),
+                         "trip_id", ["_bad", "ts", "driver_id"])
+    j = good.withColumn("_reason", F.when(F.col("_reason").isNull() & F.col("_dup"), "not_departed")
+                        .otherwise(F.col("_reason")))
     ok = F.col("_reason").isNull()
     decisions = j.select("trip_id", "driver_id", *_decide(ok, F.col("_reason")),
                          F.when(ok, F.col("ts")).alias("actual_arrival_datetime"))
@@ -545,35 +573,54 @@ def cancel_bookings(bookings: DataFrame, requests: DataFrame) -> JobResult:
                      F.col("ts").alias("created_at"))
     changes = acc.select("request_id", "booking_id", "trip_id", "old_status",
                          F.lit("cancelled").alias("new_status"), "seat_count", "ts")
-    c = acc.select(F.col("booking_id").alias("_c"))
+    c = acc.select(F.col("booking_id").alias("_c"), F.col("ts").alias("_cts"))
     s = bookings.join(c, bookings.booking_id == c._c, "left")
-    s = s.withColumn("payment_status", F.when(F.col("_c").isNotNull(), "cancelled")
-                     .otherwise(F.col("payment_status"))).drop("_c")
+    s = (s.withColumn("payment_status", F.when(F.col("_c").isNotNull(), "cancelled")
+                      .otherwise(F.col("payment_status")))
+         # ON UPDATE CURRENT_TIMESTAMP: the row changed when it was cancelled.
+         .withColumn("updated_at", F.when(F.col("_c").isNotNull(), F.coalesce("_cts", "updated_at"))
+                     .otherwise(F.col("updated_at"))).drop("_c", "_cts"))
     return JobResult(decisions, s, log, {"changes": changes})
 
 
 # ------------------------------------------------------------- W12 / W13
+def _one_change(j: DataFrame, reason: Column, order: str) -> DataFrame:
+    """``_reason`` per request; of the valid ones of a trip the first in
+    ``order`` is applied, the others are ``duplicate_in_batch``."""
+    j = j.withColumn("_reason", reason).withColumn("_bad", F.col("_reason").isNotNull())
+    j = first_per_key(j, "trip_id", ["_bad", order])
+    return j.withColumn("_reason", F.when(~F.col("_bad") & F.col("_dup"), "duplicate_in_batch")
+                        .otherwise(F.col("_reason")))
+
+
 def reassign_vehicles(trips: DataFrame, vehicles: DataFrame, requests: DataFrame) -> JobResult:
     """Set vehicle and capacity of trips (``requests(trip_id, vehicle_id)``).
     The vehicle must exist; booked seats are not checked, so free seats can
-    go negative (kept; the integrity audit reports it)."""
+    go negative (kept; the integrity audit reports it). A boarding trip that
+    has no seat left in its new vehicle turns full (rule T5). Of several valid
+    requests for one trip the one with the smallest vehicle id counts."""
     v = vehicles.select(F.col("vehicle_id").alias("_v"), F.col("capacity").alias("_cap"))
-    tr = trips.select(F.col("trip_id").alias("_t"), F.col("seats_booked").alias("_sb"))
+    tr = trips.select(F.col("trip_id").alias("_t"), F.col("seats_booked").alias("_sb"),
+                      F.col("trip_status").alias("_st"))
     j = (requests.select("trip_id", "vehicle_id").join(v, F.col("vehicle_id") == v._v, "left")
          .join(tr, F.col("trip_id") == tr._t, "left"))
-    reason = F.when(F.col("_v").isNull(), "unknown_vehicle").when(F.col("_t").isNull(), "unknown_trip")
-    j = j.withColumn("_reason", reason)
+    j = _one_change(j, F.when(F.col("_v").isNull(), "unknown_vehicle")
+                    .when(F.col("_t").isNull(), "unknown_trip"), "vehicle_id")
     ok = F.col("_reason").isNull()
+    status = F.when((F.col("_st") == "boarding") & (F.col("_sb") >= F.col("_cap")), "full").otherwise(F.col("_st"))
     decisions = j.select("trip_id", "vehicle_id", *_decide(ok, F.col("_reason")),
                          F.when(ok, F.col("_cap")).alias("capacity"),
-                         F.when(ok, (F.col("_cap") - F.col("_sb")).cast("int")).alias("seats_available"))
+                         F.when(ok, (F.col("_cap") - F.col("_sb")).cast("int")).alias("seats_available"),
+                         F.when(ok, status).alias("trip_status"))
     acc = decisions.filter(F.col("decision") == "accepted").select(
-        F.col("trip_id").alias("_a"), F.col("vehicle_id").alias("_nv"), F.col("capacity").alias("_nc"))
+        F.col("trip_id").alias("_a"), F.col("vehicle_id").alias("_nv"), F.col("capacity").alias("_nc"),
+        F.col("trip_status").alias("_ns"))
     s = trips.join(acc, trips.trip_id == acc._a, "left")
     s = (s.withColumn("assigned_vehicle_id", F.coalesce("_nv", "assigned_vehicle_id"))
          .withColumn("capacity", F.coalesce("_nc", "capacity").cast("int"))
          .withColumn("seats_available", (F.col("capacity") - F.col("seats_booked")).cast("int"))
-         .drop("_a", "_nv", "_nc"))
+         .withColumn("trip_status", F.coalesce("_ns", "trip_status"))
+         .drop("_a", "_nv", "_nc", "_ns"))
     return JobResult(decisions, s)
 
 
@@ -587,8 +634,8 @@ def reassign_drivers(trips: DataFrame, users: DataFrame, driver_details: DataFra
     tr = trips.select(F.col("trip_id").alias("_t"))
     j = (requests.select("trip_id", "driver_id").join(drv, F.col("driver_id") == drv._u, "left")
          .join(tr, F.col("trip_id") == tr._t, "left"))
-    reason = F.when(F.col("_u").isNull(), "unknown_driver").when(F.col("_t").isNull(), "unknown_trip")
-    j = j.withColumn("_reason", reason)
+    j = _one_change(j, F.when(F.col("_u").isNull(), "unknown_driver")
+                    .when(F.col("_t").isNull(), "unknown_trip"), "driver_id")
     ok = F.col("_reason").isNull()
     decisions = j.select("trip_id", "driver_id", *_decide(ok, F.col("_reason")))
     acc = decisions.filter(F.col("decision") == "accepted").select(
@@ -694,10 +741,13 @@ def create_vehicles(vehicles: DataFrame, requests: DataFrame) -> JobResult:
 def upsert(target: DataFrame, changes: DataFrame, key: str) -> DataFrame:
     """``UPDATE .. WHERE key`` / insert, as a new snapshot: for keys in
     ``changes`` its columns replace the target's (NULL included), other
-    columns and untouched rows pass through, new keys are added."""
+    columns and untouched rows pass through, new keys are added. Of several
+    changes for one key the smallest row counts (ordered by its columns), so
+    the snapshot keeps one row per key."""
     cols = [c for c in target.columns if c != key]
     changed = [c for c in cols if c in changes.columns]
-    ch = changes.select(key, F.lit(True).alias("_hit"), *[F.col(c).alias("_new_" + c) for c in changed])
+    once = first_per_key(changes, key, changed).filter(~F.col("_dup")) if changed else changes.dropDuplicates([key])
+    ch = once.select(key, F.lit(True).alias("_hit"), *[F.col(c).alias("_new_" + c) for c in changed])
     j = target.join(ch, key, "full_outer")
     return j.select(key, *[(F.when(F.col("_hit"), F.col("_new_" + c)).otherwise(F.col(c))
                             if c in changed else F.col(c)).alias(c) for c in cols])

@@ -146,5 +146,6 @@ def trip_bookings(t: Tables) -> DataFrame:
     """Active bookings of every trip with their position in the trip by
     booking time (``booking_seq``); filter ``trip_id`` for one trip."""
     ab = views.active_bookings(t)
-    return sequence_within(ab, ["trip_id"], [F.col("booking_date").asc(),
-                                             F.col("booking_id").asc()], out="booking_seq")
+    ranked = sequence_within(ab, ["trip_id"], [F.col("booking_date").asc(),
+                                               F.col("booking_id").asc()], out="booking_seq")
+    return ranked.withColumn("booking_seq", F.col("booking_seq").cast("int"))

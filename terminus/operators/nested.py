@@ -23,7 +23,8 @@ PAGE_SIZE = 1000
 def _paged(df: DataFrame, keys: list[str], order: list, element_cols: list[str],
            page_size: int, out: str) -> DataFrame:
     seq = sequence_within(df, keys, order, out="_seq")
-    seq = seq.withColumn("page", ((F.col("_seq") - 1) / page_size).cast("int"))
+    seq = (seq.withColumn("page", ((F.col("_seq") - 1) / page_size).cast("int"))
+           .withColumn("_seq", F.col("_seq").cast("int")))  # a position in one key's list
     return seq.groupBy(*keys, "page").agg(
         F.array_sort(F.collect_list(F.struct(F.col("_seq").alias("position"),
                                              *element_cols))).alias(out))

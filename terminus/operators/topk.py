@@ -116,7 +116,7 @@ def current_trip(t: Tables) -> DataFrame:
         "driver_id", "trip_id", "queue_position", "estimated_departure_time",
         "actual_departure_datetime", "capacity", "seats_booked", "seats_available", "trip_status",
         "fare_price", "estimated_trip_duration_minutes", "route_id", "origin", "destination",
-        "distance_km", F.col("assigned_vehicle_id").alias("vehicle_id"), "plate_number",
+        "distance_km", "vehicle_id", "plate_number",
         "vehicle_type", "make", "model")
 
 

@@ -70,8 +70,6 @@ def cumulative_within(df: DataFrame, keys: list[str], order: list[Column], out:
     # One offset row per partition at most: a broadcast of fixed size.
     joined = local.join(F.broadcast(offsets), cond, "left")
     res = joined.withColumn(out, F.col("_local") + F.coalesce(F.col("_off"), F.lit(0)))
-    if value is None:
-        res = res.withColumn(out, F.col(out).cast("int"))
     return res.drop("_v", "_pid", "_local", "_opid", "_off", *["_o_" + k for k in keys])
 
 

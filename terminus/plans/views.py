@@ -35,7 +35,7 @@ def trip_context(t: Tables, trips: DataFrame | None = None) -> DataFrame:
     return (trips.join(r, "route_id")
             .join(v, trips.assigned_vehicle_id == v._vid, "left")
             .join(d, trips.driver_id == d._uid, "left")
-            .drop("_vid", "_uid"))
+            .withColumnsRenamed({"_vid": "vehicle_id", "_uid": "driver_user_id"}))
 
 
 def active_bookings(t: Tables) -> DataFrame:

@@ -200,7 +200,7 @@ def trips(orders: DataFrame, customer: DataFrame, routes_df: DataFrame, vehicles
     live_times = F.col("st").isin("departed", "arrived")
     return x.select(
         ok.alias("trip_id"), "route_id", F.col("vid").alias("assigned_vehicle_id"),
-        F.col("drv").alias("driver_id"), F.col("_qp").alias("queue_position"),
+        F.col("drv").alias("driver_id"), F.col("_qp").cast("int").alias("queue_position"),
         ((F.col("o_orderstatus") == "O") & (F.col("o_orderpriority") == "1-URGENT"))
         .alias("is_accepting_bookings"),
         F.col("edt").alias("estimated_departure_time"),

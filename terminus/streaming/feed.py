@@ -1,8 +1,8 @@
-"""Stream plumbing: replaying a change feed as files, running a query to the
-end of its input, and an idempotent per-epoch sink.
+"""Stream plumbing: feeds of files, running a query to the end of its input, and
+an idempotent per-epoch sink.
 
-All folders live under the session's shared checkpoint folder
-(``spark.checkpoint.dir``), never in a machine-local temp folder.
+All folders live under ``spark.checkpoint.dir``, which a cluster must share; only
+a local session without that setting gets a folder of its own.
 """
 
 from __future__ import annotations
@@ -28,33 +28,10 @@ def event_time(ntz: Column) -> Column:
     return F.timestamp_seconds(F.unix_timestamp(ntz))
 
 
-def replay(df: DataFrame, ts_col: str, folder: str, slices: int = 20) -> str:
-    """Write ``df`` to ``folder`` as ``slices`` consecutive event-time slices,
-    one write per slice, so file order follows event time (as a log would).
-
-    The rows are staged once, partitioned by slice; each slice is then copied
-    with partition pruning. Only the min/max of the time column reach the
-    driver.
-
-    This is a replay harness for tests and benchmarks: each slice is one file
-    (one writing task) so that file order equals time order and a micro-batch
-    never splits a slice. A production stream reads the files its upstream
-    writes; nothing on that path goes through this function.
-    """
-    spark = df.sparkSession
-    lo, hi = df.agg(F.min(F.unix_timestamp(ts_col)), F.max(F.unix_timestamp(ts_col))).first()
-    stage = folder.rstrip("/") + "_stage"
-    if lo is None:
-        df.limit(0).write.mode("overwrite").parquet(folder)
-        return folder
-    width = max((hi - lo + 1) / slices, 1.0)
-    sl = F.least(F.floor((F.unix_timestamp(ts_col) - F.lit(lo)) / F.lit(width)), F.lit(slices - 1))
-    (df.withColumn("_slice", F.coalesce(sl, F.lit(0)).cast("int"))
-     .write.mode("overwrite").partitionBy("_slice").parquet(stage))
-    staged = spark.read.parquet(stage)
-    for i in range(slices):
-        part = staged.filter(F.col("_slice") == i).drop("_slice")
-        part.coalesce(1).write.mode("append").parquet(folder)
+def write_feed(df: DataFrame, folder: str) -> str:
+    """Write ``df`` as the files of a feed, in parallel and in no order: the
+    streams must not depend on the order in which files arrive."""
+    df.write.parquet(folder)
     return folder
 
 
@@ -66,9 +43,19 @@ def materialized(df: DataFrame) -> DataFrame:
 
 
 def read_stream(spark: SparkSession, folder: str, schema: StructType,
-                files_per_batch: int = 1) -> DataFrame:
-    return (spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch)
-            .parquet(folder))
+                files_per_batch: int | None = None) -> DataFrame:
+    """Stream of a Parquet folder; ``files_per_batch`` None: all new files."""
+    reader = spark.readStream.schema(schema)
+    if files_per_batch:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    return reader.parquet(folder)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether ``path`` exists, asked of its own file system."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
 def epoch_sink(path: str):
@@ -115,10 +102,9 @@ def run_to_end(writer, checkpoint: str, spark: SparkSession | None = None) -> No
 
 def latest_per_key(spark: SparkSession, path: str, keys: list[str], schema: StructType) -> DataFrame:
     """Fold an epoch sink of update-mode output: the last epoch's row per key."""
-    try:
-        df = spark.read.parquet(path)
-    except Exception:  # noqa: BLE001 - no micro-batch produced output
+    if not exists(spark, path):  # no micro-batch produced output
         return spark.createDataFrame([], schema)
+    df = spark.read.parquet(path)
     vals = [c for c in schema.fieldNames() if c not in keys]
     last = df.groupBy(*keys).agg(F.max_by(F.struct(*vals), F.col("_epoch")).alias("_v"))
     return last.select(*keys, *[F.col("_v." + c).alias(c) for c in vals])

@@ -1,10 +1,17 @@
 """Structured Streaming counterparts of the polled monitors.
 
 Each job is ``f(stream, static tables) -> DataStreamWriter``-building code plus a
-``run_*`` helper that replays a feed derived from the tables, processes it
-with ``availableNow`` and returns the sink's batch view. Update-mode
+``run_*`` helper that writes a feed derived from the tables as files, streams the
+folder with ``availableNow`` and returns the sink's batch view. Update-mode
 aggregations write through ``epoch_sink`` (idempotent per micro-batch) and
 are read back with ``latest_per_key``.
+
+Results do not depend on the order of the files, and no event is dropped for
+being late: without a ``delay`` the streams keep the ids they have seen. With a
+``delay`` (an event-time watermark) that state is bounded, and events later than
+the delay are lost; that is the caller's choice. Only admission depends on order:
+a request that comes after a later one of its trip was decided gets its own row,
+rejected as ``late``.
 """
 
 from __future__ import annotations
@@ -20,33 +27,27 @@ from terminus.plans import views
 from terminus.sources import requests as rq
 from terminus.sources.tables import Tables
 from terminus.streaming.feed import (epoch_sink, event_time, latest_per_key, materialized,
-                                     read_stream, replay, run_to_end, scratch)
-
-WATERMARK = "1 day"
-FILES_PER_BATCH = 2  # replayed slices per micro-batch (maxFilesPerTrigger)
-STATE_TTL_MS = 30 * 24 * 3600 * 1000  # state of a key is dropped 30 days (event time) after its last row
+                                     read_stream, run_to_end, scratch, write_feed)
 
+FILES_PER_BATCH = 4
 
-def _expire_after(state: GroupState, event_times: pd.Series) -> None:
-    """Event-time timeout counted from the newest row of the key (never from
-    the current watermark, which starts at 0 before the first batch)."""
-    newest = pd.Timestamp(event_times.max())
-    ms = int(newest.value // 1_000_000)
-    state.setTimeoutTimestamp(max(ms, state.getCurrentWatermarkMs()) + STATE_TTL_MS)
 
+def deduplicated(stream: DataFrame, ts_col: str, key: list[str], delay: str | None = None) -> DataFrame:
+    """Events once each, although the source may deliver them more than once.
 
-def deduplicated(stream: DataFrame, ts_col: str, key: list[str]) -> DataFrame:
-    """Event-time watermark plus de-duplication on the event key: a source
-    that delivers an event twice (at-least-once) is counted once, as long as
-    the copy arrives within the watermark delay."""
-    return (stream.withColumn("_et", event_time(F.col(ts_col))).withWatermark("_et", WATERMARK)
-            .dropDuplicatesWithinWatermark(key))
+    ``delay=None`` remembers every key: copies are dropped however late, and no
+    event is lost. With a delay, keys are forgotten (and events dropped) once the
+    watermark has passed them.
+    """
+    events = stream.withColumn("_et", event_time(F.col(ts_col)))
+    if delay is None:
+        return events.dropDuplicates(key)
+    return events.withWatermark("_et", delay).dropDuplicatesWithinWatermark(key)
 
 
-def _source(t: Tables, feed: DataFrame, ts_col: str, name: str, slices: int) -> DataFrame:
+def _source(t: Tables, feed: DataFrame, name: str, files_per_batch: int | None = FILES_PER_BATCH) -> DataFrame:
     spark = t.bookings.sparkSession
-    folder = replay(feed, ts_col, scratch(spark, name + "-feed"), slices)
-    return read_stream(spark, folder, feed.schema, FILES_PER_BATCH)
+    return read_stream(spark, write_feed(feed, scratch(spark, name + "-feed")), feed.schema, files_per_batch)
 
 
 def _run(spark: SparkSession, agg: DataFrame, name: str, keys: list[str]) -> DataFrame:
@@ -57,26 +58,26 @@ def _run(spark: SparkSession, agg: DataFrame, name: str, keys: list[str]) -> Dat
 
 
 # ---------------------------------------------------------------------- X01
-def daily_revenue_state(payments: DataFrame) -> DataFrame:
+def daily_revenue_state(payments: DataFrame, delay: str | None = None) -> DataFrame:
     """Streaming part of X01: state per (payment day, booking).
 
     Keeping the booking in the key makes COUNT(DISTINCT booking) exact: the
     report counts keys. Destination and booking type are static attributes
     of the booking, so they are joined once in the report fold rather than
-    in every micro-batch. Rows later than the watermark are dropped with
-    their day's state.
+    in every micro-batch. With a ``delay`` a day's state is freed after it.
     """
-    p = deduplicated(payments, "payment_datetime", ["payment_id"])
-    return p.groupBy(F.window("_et", "1 day"), F.to_date("payment_datetime").alias("payment_date"),
-                     "booking_id").agg(
+    p = deduplicated(payments, "payment_datetime", ["payment_id"], delay)
+    keys = [F.to_date("payment_datetime").alias("payment_date"), "booking_id"]
+    day = [] if delay is None else [F.window("_et", "1 day")]
+    return p.groupBy(*day, *keys).agg(
         F.count(F.lit(1)).alias("n_payments"), F.sum("amount").alias("amount_sum")).drop("window")
 
 
-def run_stream_daily_revenue(t: Tables, slices: int = 20) -> DataFrame:
+def run_stream_daily_revenue(t: Tables) -> DataFrame:
     """X01: revenue per day x destination x booking type from the payment stream."""
     spark = t.bookings.sparkSession
     src = _source(t, t.payment_log.select("payment_id", "booking_id", "amount", "payment_datetime"),
-                  "payment_datetime", "x01", slices)
+                  "x01")
     state = _run(spark, daily_revenue_state(src), "x01", ["payment_date", "booking_id"])
     b = t.bookings.select("booking_id", F.col("trip_id").alias("_bt"), "seat_count", "booking_type")
     tr = t.trips.select(F.col("trip_id").alias("_t"), "route_id")
@@ -91,16 +92,16 @@ def run_stream_daily_revenue(t: Tables, slices: int = 20) -> DataFrame:
 
 
 # ---------------------------------------------------------------------- X02
-def seat_ledger_state(changes: DataFrame) -> DataFrame:
+def seat_ledger_state(changes: DataFrame, delay: str | None = None) -> DataFrame:
     """X02: seats_booked per trip as an order-free running sum of T1-T3 deltas."""
     d = lc.seat_delta(F.col("old_status"), F.col("new_status"), F.col("seat_count"))
-    return (deduplicated(changes, "ts", ["event_id"]).groupBy("trip_id")
+    return (deduplicated(changes, "ts", ["event_id"], delay).groupBy("trip_id")
             .agg(F.sum(d).cast("bigint").alias("seats_booked")))
 
 
-def run_stream_seat_ledger(t: Tables, slices: int = 20) -> DataFrame:
+def run_stream_seat_ledger(t: Tables) -> DataFrame:
     spark = t.bookings.sparkSession
-    src = _source(t, rq.booking_changes(t), "ts", "x02", slices)
+    src = _source(t, rq.booking_changes(t), "x02")
     led = _run(spark, seat_ledger_state(src), "x02", ["trip_id"])
     j = t.trips.select("trip_id", "capacity").join(led, "trip_id", "left")
     sb = F.coalesce(F.col("seats_booked"), F.lit(0)).cast("bigint")
@@ -111,56 +112,71 @@ def run_stream_seat_ledger(t: Tables, slices: int = 20) -> DataFrame:
 # ---------------------------------------------------------------------- X03
 TRANSITION_SCHEMA = ("event_id long, trip_id long, driver_id long, vehicle_id long, route_id long, "
                      "old_status string, new_status string, ts timestamp_ntz")
-TRIP_STATE_SCHEMA = "last_event_id long, last_status string, last_ts timestamp_ntz"
 
 
-def _trip_transitions(key, pdfs, state: GroupState):
-    """Per trip: pass on status changes newer than the last one applied.
+def trip_transitions(events: DataFrame, delay: str | None = None) -> DataFrame:
+    """Status changes, each once. An event carries its old and new status, so
+    whether it is a transition needs no state and no order."""
+    e = deduplicated(events, "ts", ["event_id"], delay)
+    return e.filter(~F.col("old_status").eqNullSafe(F.col("new_status"))).drop("_et")
 
-    Events at or before the stored (ts, event_id) are replays or late and are
-    ignored, so a restarted query never applies a change twice.
-    """
-    if state.hasTimedOut:
-        state.remove()
-        return
-    last = state.get if state.exists else None
-    last_key = (pd.Timestamp(last[2]), last[0]) if last else None
-    last_status = last[1] if last else None
-    out = []
-    rows = pd.concat(list(pdfs), ignore_index=True).sort_values(["ts", "event_id"])
-    ets = rows.pop("_et")
-    for r in rows.itertuples(index=False):
-        k = (pd.Timestamp(r.ts), r.event_id)
-        if last_key is not None and k <= last_key:
-            continue
-        if r.new_status != last_status:
-            out.append(r)
-        last_key, last_status = k, r.new_status
-    if last_key is not None:
-        state.update((int(last_key[1]), last_status, last_key[0].to_pydatetime()))
-        _expire_after(state, ets)
-    yield pd.DataFrame(out, columns=rows.columns)
-
-
-def trip_transitions(events: DataFrame) -> DataFrame:
-    e = events.withColumn("_et", event_time(F.col("ts"))).withWatermark("_et", WATERMARK)
-    return e.groupBy("trip_id").applyInPandasWithState(
-        _trip_transitions, TRANSITION_SCHEMA, TRIP_STATE_SCHEMA, "append",
-        GroupStateTimeout.EventTimeTimeout)
-
-
-def run_stream_trip_transitions(t: Tables, slices: int = 20) -> DataFrame:
+
+def _status_feed(t: Tables) -> DataFrame:
+    return rq.status_events(t).select(*[c.split()[0] for c in TRANSITION_SCHEMA.split(", ")])
+
+
+def run_stream_trip_transitions(t: Tables) -> DataFrame:
     """X03: transitions applied from the status stream; returns the
     ``trip_departed`` log rows they produce (= batch W10)."""
     spark = t.bookings.sparkSession
-    feed = rq.status_events(t).select(*[c.split()[0] for c in TRANSITION_SCHEMA.split(", ")])
-    src = _source(t, feed, "ts", "x03", slices)
     out = scratch(spark, "x03-out")
-    run_to_end(trip_transitions(src).writeStream.outputMode("append").format("parquet")
-               .option("path", out), scratch(spark, "x03-ckpt"))
+    run_to_end(trip_transitions(_source(t, _status_feed(t), "x03")).writeStream.outputMode("append")
+               .format("parquet").option("path", out), scratch(spark, "x03-ckpt"))
     return lc.departure_log(spark.read.schema(TRANSITION_SCHEMA).parquet(out))
 
 
+def status_state(events: DataFrame, key: str, delay: str | None = None) -> DataFrame:
+    """Triggers T6-T9 as order-free state per driver or vehicle: arrivals counted
+    and the latest transition by (ts, event_id)."""
+    e = trip_transitions(events, delay).filter(
+        F.col("new_status").isin("departed", "arrived") & F.col(key).isNotNull())
+    arrived = F.col("new_status") == "arrived"
+    return e.groupBy(key).agg(
+        F.count_if(arrived).alias("arrivals"),
+        F.sum(F.when(arrived, F.coalesce("distance_km", F.lit(0)))).alias("km"),
+        F.max_by("new_status", F.struct("ts", "event_id")).alias("last"))
+
+
+def _with_distance(t: Tables, src: DataFrame) -> DataFrame:
+    return src.join(materialized(t.routes.select("route_id", "distance_km")), "route_id", "left")
+
+
+def run_stream_driver_status(t: Tables) -> DataFrame:
+    """X03: driver status, completed trips and distance from the status stream (= batch W08)."""
+    spark = t.bookings.sparkSession
+    got = _run(spark, status_state(_with_distance(t, _source(t, _status_feed(t), "x03d")), "driver_id"), "x03d",
+               ["driver_id"]).withColumnRenamed("driver_id", "_g")
+    j = t.driver_details.join(got, F.col("driver_id") == F.col("_g"), "left")
+    return j.select(
+        "driver_id", "license_number",
+        (F.col("trips_completed") + F.coalesce("arrivals", F.lit(0))).cast("int").alias("trips_completed"),
+        (F.col("total_distance_driven") + F.coalesce("km", F.lit(0))).cast("decimal(10,2)").alias("total_distance_driven"),
+        "delayed_trips",
+        F.when(F.col("last") == "arrived", "available").when(F.col("last") == "departed", "on_trip")
+        .otherwise(F.col("driver_status")).alias("driver_status"))
+
+
+def run_stream_vehicle_status(t: Tables) -> DataFrame:
+    """X03: vehicle status from the status stream (= batch W09)."""
+    spark = t.bookings.sparkSession
+    got = _run(spark, status_state(_with_distance(t, _source(t, _status_feed(t), "x03v")), "vehicle_id"), "x03v",
+               ["vehicle_id"]).withColumnRenamed("vehicle_id", "_g")
+    j = t.vehicles.join(got, F.col("vehicle_id") == F.col("_g"), "left")
+    return j.select("vehicle_id", "plate_number",
+                    F.when(F.col("last") == "arrived", "available").when(F.col("last") == "departed", "in_service")
+                    .otherwise(F.col("vehicle_status")).alias("vehicle_status"))
+
+
 # ---------------------------------------------------------------------- X04
 def trip_state(updates: DataFrame) -> DataFrame:
     """Latest row per trip from a stream of trip snapshots (update mode)."""
@@ -169,11 +185,15 @@ def trip_state(updates: DataFrame) -> DataFrame:
         F.max_by(F.struct(*vals), F.col("_v")).alias("s")).select("trip_id", "s.*")
 
 
-def run_stream_live_queue(t: Tables, slices: int = 20) -> DataFrame:
-    """X04: live queue per route recomputed from the streamed trip state."""
+def run_stream_live_queue(t: Tables) -> DataFrame:
+    """X04: live queue per route recomputed from the streamed trip state. The feed
+    has two snapshots per trip: as queued (waiting, empty, not accepting) and as it is."""
     spark = t.bookings.sparkSession
-    feed = t.trips.withColumn("_v", F.col("estimated_departure_time"))
-    src = _source(t, feed, "_v", "x04", slices)
+    now = t.trips.withColumn("_v", F.lit(2))
+    queued = (now.withColumn("trip_status", F.lit("waiting")).withColumn("seats_booked", F.lit(0))
+              .withColumn("seats_available", F.col("capacity")).withColumn("is_accepting_bookings", F.lit(False))
+              .withColumn("_v", F.lit(1)))
+    src = _source(t, now.unionByName(queued), "x04")
     st = _run(spark, trip_state(src), "x04", ["trip_id"])
     st = st.select(*t.trips.columns)
     live = t.replace(trips=st)
@@ -181,9 +201,9 @@ def run_stream_live_queue(t: Tables, slices: int = 20) -> DataFrame:
 
 
 # ---------------------------------------------------------------------- X05
-def run_stream_seat_availability(t: Tables, slices: int = 20) -> DataFrame:
+def run_stream_seat_availability(t: Tables) -> DataFrame:
     """X05: seat monitor of boarding/full trips with seats from the X02 ledger."""
-    led = run_stream_seat_ledger(t, slices).select(F.col("trip_id").alias("_l"),
+    led = run_stream_seat_ledger(t).select(F.col("trip_id").alias("_l"),
                                                    F.col("seats_booked").alias("ledger_seats_booked"))
     sa = views.trip_context(t, t.trips.filter(F.col("trip_status").isin(*BOOKABLE_TRIP)))
     j = sa.join(led, sa.trip_id == led._l, "left")
@@ -197,11 +217,11 @@ def run_stream_seat_availability(t: Tables, slices: int = 20) -> DataFrame:
 FEED_K = 20
 
 
-def run_stream_recent_bookings(t: Tables, slices: int = 20, k: int = FEED_K) -> DataFrame:
+def run_stream_recent_bookings(t: Tables, k: int = FEED_K) -> DataFrame:
     """X06: newest ``k`` paid bookings on boarding/full trips, kept by a
     ``foreachBatch`` top-k merge (previous top-k plus the batch, cut to k)."""
     spark = t.bookings.sparkSession
-    src = _source(t, t.bookings.filter(F.col("payment_status") == "paid"), "booking_date", "x06", slices)
+    src = _source(t, t.bookings.filter(F.col("payment_status") == "paid"), "x06")
     tr = t.trips.filter(F.col("trip_status").isin("boarding", "full")).select(
         F.col("trip_id").alias("_t"), "route_id", "estimated_departure_time", "seats_available")
     r = t.routes.select("route_id", "destination")
@@ -215,13 +235,10 @@ def run_stream_recent_bookings(t: Tables, slices: int = 20, k: int = FEED_K) ->
     order = [F.col("booking_date").desc(), F.col("booking_id").desc()]
 
     def merge(batch: DataFrame, epoch_id: int) -> None:
-        prev_path = f"{out}/_epoch={epoch_id - 1}"
         cur = batch
-        try:
-            prev = batch.sparkSession.read.schema(batch.schema).parquet(prev_path)
-            cur = prev.unionByName(batch)
-        except Exception:  # noqa: BLE001 - first epoch has no previous top-k
-            pass
+        if epoch_id > 0:  # every epoch writes its top-k; a missing or unreadable one is an error
+            prev_path = f"{out}/_epoch={epoch_id - 1}"
+            cur = batch.sparkSession.read.schema(batch.schema).parquet(prev_path).unionByName(batch)
         cur.orderBy(*order).limit(k).write.mode("overwrite").parquet(f"{out}/_epoch={epoch_id}")
 
     run_to_end(rows.writeStream.foreachBatch(merge), scratch(spark, "x06-ckpt"))
@@ -232,53 +249,58 @@ def run_stream_recent_bookings(t: Tables, slices: int = 20, k: int = FEED_K) ->
 
 # ---------------------------------------------------------------------- X07
 ADMISSION_OUT = "request_id long, trip_id long, seat_count int, decision string, reason string"
-ADMISSION_STATE = "seats_left int"
+ADMISSION_STATE = "seats_left int, last_ts timestamp_ntz, last_id long"
 
 
 def _admit(key, pdfs, state: GroupState):
     """Per trip: admit requests in (requested_at, request_id) order while
-    seats last; the free-seat count is the state. The first batch of a trip
-    starts from the snapshot's free seats carried on each row.
+    seats last. The state is the free seats and the last request decided; the
+    first batch of a trip starts from the snapshot's free seats on each row.
 
-    Same exact pruning as the batch job: with ``left`` free seats at the
-    start of the batch, only the first floor(left / s) requests of each size s
-    can be accepted, so the loop runs over those few candidates and the rest
-    are rejected in one vectorised step.
+    A request that sorts before the last one decided cannot be fitted in any
+    more: it is rejected as ``late`` and takes no seat. Same exact pruning as the
+    batch job: with ``left`` free seats at the start of the batch, only the first
+    floor(left / s) requests of each size s can be accepted.
     """
-    if state.hasTimedOut:
-        state.remove()
-        return
     rows = pd.concat(list(pdfs), ignore_index=True).sort_values(["requested_at", "request_id"])
-    left = state.get[0] if state.exists else int(rows["_avail"].iloc[0])
-    n = rows["seat_count"].fillna(0).astype("int64").to_numpy()
-    rank = rows.groupby(n, sort=False).cumcount().to_numpy() + 1
-    valid = n >= 1
-    cand = valid & (rank * n <= left)
+    left, last = int(rows["_avail"].iloc[0]), None
+    if state.exists:
+        left, last = state.get[0], (pd.Timestamp(state.get[1]), state.get[2])
+    at = list(zip(pd.to_datetime(rows["requested_at"]), rows["request_id"].astype("int64"), strict=True))
+    late = pd.Series([last is not None and k <= last for k in at], index=rows.index)
+    n = rows["seat_count"].fillna(0).astype("int64")
+    rank = n[~late].groupby(n[~late], sort=False).cumcount().reindex(rows.index, fill_value=0) + 1
+    valid = (n >= 1) & ~late
+    cand = (valid & (rank * n <= left)).to_numpy()
+    n = n.to_numpy()
     ok = [False] * len(n)
     for i in cand.nonzero()[0]:
         if n[i] <= left:
             left -= int(n[i])
             ok[i] = True
-    state.update((int(left),))
-    reason = ["" if a else ("not_enough_seats" if v else "invalid_seat_count") for a, v in zip(ok, valid)]
+    newest = max([k for k in at] + ([last] if last else []))
+    state.update((int(left), newest[0].to_pydatetime(), int(newest[1])))
+    reason = [None if a else "late" if z else "not_enough_seats" if v else "invalid_seat_count"
+              for a, z, v in zip(ok, late, valid, strict=True)]
     yield pd.DataFrame({"request_id": rows["request_id"].astype("int64").to_numpy(),
                         "trip_id": rows["trip_id"].astype("int64").to_numpy(),
                         "seat_count": rows["seat_count"].astype("int32").to_numpy(),
                         "decision": ["accepted" if a else "rejected" for a in ok],
-                        "reason": [r or None for r in reason]})
+                        "reason": pd.Series(reason, dtype=object)})
 
 
-def stream_admission(requests: DataFrame, trips: DataFrame) -> DataFrame:
-    """X07: online create_booking. Requests for bookable trips go through the
-    per-trip seat state; unknown or non-bookable trips are rejected at once.
+def stream_admission(requests: DataFrame, trips: DataFrame, delay: str | None = None) -> DataFrame:
+    """X07: online create_booking, exactly one row per request. Requests for
+    bookable trips go through the per-trip seat state; unknown or non-bookable
+    trips are rejected at once.
 
-    A trip's free-seat state must outlive any gap between its requests (in the
-    fixture they span years), so it has no timeout: its size is one integer
-    per bookable trip. Dropping it belongs to the departure of the trip.
+    A trip's state must outlive any gap between its requests (in the fixture
+    they span years), so it has no timeout: it is one small row per trip that
+    is bookable in the snapshot.
     """
     tr = trips.select(F.col("trip_id").alias("_t"), F.col("trip_status").alias("_st"),
                       F.col("seats_available").alias("_avail"))
-    r = (deduplicated(requests, "requested_at", ["request_id"])
+    r = (deduplicated(requests, "requested_at", ["request_id"], delay)
          .join(tr, F.col("trip_id") == F.col("_t"), "left"))
     ok = F.col("_t").isNotNull() & F.col("_st").isin(*BOOKABLE_TRIP)
     folded = (r.filter(ok).select("request_id", "trip_id", "seat_count", "requested_at", "_avail", "_et")
@@ -290,9 +312,9 @@ def stream_admission(requests: DataFrame, trips: DataFrame) -> DataFrame:
     return folded.unionByName(rejected)
 
 
-def run_stream_admission(t: Tables, slices: int = 20) -> DataFrame:
+def run_stream_admission(t: Tables) -> DataFrame:
     spark = t.bookings.sparkSession
-    src = _source(t, rq.booking_requests(t), "requested_at", "x07", slices)
+    src = _source(t, rq.booking_requests(t), "x07", None)  # one batch: in order
     out = scratch(spark, "x07-out")
     snap = materialized(rq.empty_trips(t).select("trip_id", "trip_status", "seats_available"))
     run_to_end(stream_admission(src, snap).writeStream.outputMode("append")
@@ -301,15 +323,16 @@ def run_stream_admission(t: Tables, slices: int = 20) -> DataFrame:
 
 
 # ---------------------------------------------------------------------- X08
-def action_counts(logs: DataFrame) -> DataFrame:
+def action_counts(logs: DataFrame, delay: str | None = None) -> DataFrame:
     """X08: system_log rows per action type per hour (tumbling window)."""
-    e = deduplicated(logs, "created_at", ["log_id"])
-    return e.groupBy(F.window("_et", "1 hour"), F.date_trunc("hour", "created_at").alias("_h"),
+    e = deduplicated(logs, "created_at", ["log_id"], delay)
+    hour = [] if delay is None else [F.window("_et", "1 hour")]
+    return e.groupBy(*hour, F.date_trunc("hour", "created_at").alias("_h"),
                      "action_type").agg(F.count(F.lit(1)).cast("bigint").alias("actions")).drop("window")
 
 
-def run_stream_action_log(t: Tables, slices: int = 20) -> DataFrame:
+def run_stream_action_log(t: Tables) -> DataFrame:
     spark = t.bookings.sparkSession
-    src = _source(t, t.system_log, "created_at", "x08", slices)
+    src = _source(t, t.system_log, "x08")
     res = _run(spark, action_counts(src), "x08", ["_h", "action_type"])
     return res.select(F.col("_h").cast("timestamp_ntz").alias("hour_start"), "action_type", "actions")

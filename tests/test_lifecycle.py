@@ -104,8 +104,9 @@ def test_arrivals_and_rollups(spark):
 
 
 def test_cancel_bookings(spark):
-    b = spark.createDataFrame([(1, 7, 2, "paid"), (2, 7, 1, "cancelled"), (3, 7, 4, "refunded")],
-                              "booking_id long, trip_id long, seat_count int, payment_status string")
+    b = spark.createDataFrame([(1, 7, 2, "paid", T0), (2, 7, 1, "cancelled", T0), (3, 7, 4, "refunded", T0)],
+                              "booking_id long, trip_id long, seat_count int, payment_status string, "
+                              "updated_at timestamp_ntz")
     req = spark.createDataFrame([(10, 1, T0), (11, 1, T0 + dt.timedelta(1)), (12, 2, T0), (13, 3, T0),
                                  (14, 99, T0)], "request_id long, booking_id long, ts timestamp_ntz")
     res = lc.cancel_bookings(b, req)
@@ -123,16 +124,18 @@ def test_enqueue_positions(spark):
     routes = spark.createDataFrame([(1, Decimal(100), 45), (2, Decimal(80), 30)],
                                    "route_id long, fare_price decimal(8,2), estimated_duration_minutes int")
     veh = spark.createDataFrame([(1, 30)], "vehicle_id long, capacity int")
-    req = spark.createDataFrame([(20, 1, 1, 5, T0), (21, 2, 1, 5, T0), (22, 2, 1, 5, T0), (23, 2, 7, 5, T0),
-                                 (24, 9, 1, 5, T0)],
+    users = spark.createDataFrame([(5,)], "user_id long")
+    req = spark.createDataFrame([(20, 1, 1, 5, T0), (21, 2, 1, None, T0), (22, 2, 1, 5, T0), (23, 2, 7, 5, T0),
+                                 (24, 9, 1, 5, T0), (25, 1, 1, 6, T0)],
                                 "request_id long, route_id long, vehicle_id long, driver_id long, "
                                 "estimated_departure timestamp_ntz")
-    res = lc.enqueue_trips(trips, routes, veh, req, T0)
+    res = lc.enqueue_trips(trips, routes, veh, users, req, T0)
     d = {r.request_id: r for r in res.decisions.collect()}
     assert d[20].queue_position == 3 and d[20].trip_status == "waiting"
     assert d[21].queue_position == 1 and d[21].trip_status == "boarding" and d[21].is_accepting_bookings
     assert d[22].queue_position == 2
     assert d[23].reason == "unknown_vehicle" and d[24].reason == "unknown_route"
+    assert d[25].reason == "unknown_driver"
     assert sorted(r.trip_id for r in res.snapshot.collect()) == [4, 5, 6]
 
 
@@ -160,3 +163,69 @@ def test_upsert_sink(spark):
     changes = spark.createDataFrame([(2, None), (3, "c")], "k long, s string")
     got = {r.k: (r.s, r.v) for r in lc.upsert(target, changes, "k").collect()}
     assert got == {1: ("a", 10), 2: (None, 20), 3: ("c", None)}
+    twice = spark.createDataFrame([(2, "z"), (2, "c"), (4, None), (4, None)], "k long, s string")
+    got = sorted((r.k, r.s) for r in lc.upsert(target, twice, "k").collect())
+    assert got == [(1, "a"), (2, "c"), (4, None)]
+
+
+def booked(t, n):
+    return (*t[:11], n, t[10] - n, *t[13:])
+
+
+@pytest.mark.parametrize("mode", ["intended", "literal"])
+def test_advance_queue_applies_rule_t5(spark, mode):
+    """A trip that the UPDATE makes (or leaves) boarding without a seat left is full."""
+    rows = [trip(1, 1, 1, "boarding", True), booked(trip(2, 1, 2, "waiting"), 14), booked(trip(3, 1, 3, "waiting"), 14),
+            booked(trip(4, 1, 4, "boarding"), 14), booked(trip(5, 2, 1, "boarding"), 14)]
+    trips = spark.createDataFrame(rows, TRIPS)
+    dep = spark.createDataFrame([(1, T0)], "trip_id long, ts timestamp_ntz")
+    after = {r.trip_id: r.trip_status for r in lc.live_queue_after(lc.advance_queue(trips, dep, mode)).collect()}
+    opened = 2 if mode == "intended" else 3
+    assert after == {2: "waiting", 3: "waiting", opened: "full", 4: "full", 5: "boarding"}  # 5: not touched
+
+
+@pytest.mark.parametrize("mode", ["intended", "literal"])
+def test_repeated_departure_counts_once(spark, mode):
+    trips = spark.createDataFrame([trip(1, 1, 1, "boarding"), trip(2, 1, 2, "waiting")], TRIPS)
+    dep = spark.createDataFrame([(1, T0 + dt.timedelta(1)), (1, T0), (9, T0)], "trip_id long, ts timestamp_ntz")
+    res = lc.advance_queue(trips, dep, mode)
+    snap = {r.trip_id: r.actual_departure_datetime for r in res.snapshot.collect()}
+    assert snap == {1: T0, 2: None}
+    got = sorted((r.trip_id, r.reason or "") for r in res.decisions.collect())
+    assert got == [(1, ""), (1, "duplicate_in_batch"), (9, "unknown_trip")]
+
+
+def test_repeated_reports_and_reassignments_keep_one_row_per_trip(spark):
+    trips = spark.createDataFrame([trip(1, 1, 1, "departed"), booked(trip(2, 1, 2, "boarding"), 12)], TRIPS)
+    arr = spark.createDataFrame([(1, 1, T0), (1, 1, T0), (1, 8, T0 - dt.timedelta(1))], "trip_id long, driver_id long, ts timestamp_ntz")
+    res = lc.arrive_trips(trips, arr)
+    assert sorted(r.reason or "" for r in res.decisions.collect()) == ["", "not_departed", "not_your_trip"]
+    assert sorted((r.trip_id, r.trip_status) for r in res.snapshot.collect()) == [(1, "arrived"), (2, "boarding")]
+    veh = spark.createDataFrame([(2, 12), (3, 30)], "vehicle_id long, capacity int")
+    res = lc.reassign_vehicles(trips, veh, spark.createDataFrame([(2, 3), (2, 2), (2, 1)], "trip_id long, vehicle_id long"))
+    assert {(r.vehicle_id, r.reason) for r in res.decisions.collect()} == {
+        (1, "unknown_vehicle"), (2, None), (3, "duplicate_in_batch")}
+    assert [(r.capacity, r.trip_status) for r in res.snapshot.filter("trip_id = 2").collect()] == [(12, "full")]  # T5
+    users = spark.createDataFrame([(4, "driver"), (5, "driver")], "user_id long, role string")
+    details = spark.createDataFrame([(4,), (5,)], "driver_id long")
+    res = lc.reassign_drivers(trips, users, details, spark.createDataFrame([(2, 5), (2, 4)], "trip_id long, driver_id long"))
+    assert [r.driver_id for r in res.snapshot.filter("trip_id = 2").collect()] == [4]
+
+
+def test_cancelling_moves_updated_at(spark):
+    rows = [(1, 7, 2, "paid", T0), (2, 7, 1, "cancelled", T0)]
+    bookings = spark.createDataFrame(rows, "booking_id long, trip_id long, seat_count int, payment_status string, updated_at timestamp_ntz")
+    later = T0 + dt.timedelta(30)
+    req = spark.createDataFrame([(1, 1, later), (2, 2, later)], "request_id long, booking_id long, ts timestamp_ntz")
+    got = {r.booking_id: r.updated_at for r in lc.cancel_bookings(bookings, req).snapshot.collect()}
+    assert got == {1: later, 2: T0}
+
+
+def test_new_ids_pass_the_int_range(spark):
+    users = spark.createDataFrame([(2**31 + 5, "a@x.org")], "user_id long, email string")
+    reqs = spark.createDataFrame([(1, "A", "B", "n@x.org", None, None)], "request_id long, firstname string, lastname string, "
+                                 "email string, phone_number string, role string")
+    (row,) = lc.register_users(users, reqs, T0).decisions.collect()
+    assert row.user_id == 2**31 + 6
+    from terminus.plans.ranking import sequence_within
+    assert dict(sequence_within(reqs, [], [F.col("request_id").asc()], out="n").dtypes)["n"] == "bigint"
