@@ -152,6 +152,31 @@ register("integrity_audit")(qa.integrity_audit)
 register("cascade_delete")(lambda t: qa.cascade_delete(
     t, t.users.filter(F.col("status") == "blocked"), t.trips.filter(F.col("trip_status") == "cancelled"),
     t.vehicles.filter(F.col("vehicle_status") == "retired"), t.routes.filter(F.col("status") == "inactive")))
+from terminus.operators import entities as en  # noqa: E402
+
+register("update_users")(lambda t: en.update_users(t.users, rq.user_updates(t)).decisions)
+register("update_users_snapshot")(
+    lambda t: en.update_users(t.users, rq.user_updates(t)).snapshot.select("user_id", "firstname", "email", "status"))
+register("update_user_status")(lambda t: en.update_user_status(t.users, rq.user_updates(t)).snapshot.select("user_id", "status"))
+register("create_routes")(lambda t: en.create_routes(t.routes, rq.new_routes(t)).snapshot)
+register("update_routes")(lambda t: en.update_routes(t.routes, rq.route_updates(t)).decisions)
+register("update_routes_snapshot")(lambda t: en.update_routes(t.routes, rq.route_updates(t)).snapshot)
+register("create_vehicles")(lambda t: en.create_vehicles(t.vehicles, rq.new_vehicles(t)).decisions)
+register("update_vehicles")(lambda t: en.update_vehicles(t.vehicles, rq.vehicle_updates(t)).decisions)
+register("delete_routes")(lambda t: en.delete_routes(t.routes, t.trips, rq.route_deletes(t)).decisions)
+register("delete_vehicles")(lambda t: en.delete_vehicles(t.vehicles, t.trips, rq.vehicle_deletes(t)).decisions)
+register("delete_vehicles_trips")(lambda t: en.delete_vehicles(t.vehicles, t.trips, rq.vehicle_deletes(t)).extra["trips"].select(
+    "trip_id", "assigned_vehicle_id"))
+register("delete_users")(lambda t: en.delete_users(t.users, rq.user_deletes(t)).decisions)
+register("cascade_delete_rows")(lambda t: en.cascade_rows(t, t.users.filter(F.col("status") == "blocked")))
+
+
+def _validate(kind: str) -> Callable[[Tables], DataFrame]:
+    return lambda t: qa.validation_error_counts(rq.validation_requests(t, kind), kind)
+
+
+for _kind in qa.RULES:
+    register(f"validate_{_kind}")(_validate(_kind))
 register("validate_requests")(
     lambda t: qa.validation_error_counts(rq.booking_requests(t), "walk_in_booking"))
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import unicodedata
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -96,18 +97,60 @@ def ticket_reference(booking_id: Column, at: Column, wide: bool = True) -> Colum
     return F.concat(F.lit("BT-"), F.year(at).cast("string"), F.lit("-"), F.lpad(sid, width, "0"))
 
 
+def _accents() -> tuple[str, str]:
+    """Latin letters with marks, lower case, and their base letters."""
+    pairs = [(chr(c), unicodedata.normalize("NFD", chr(c))[0]) for c in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00))]
+    kept = [(a, b) for a, b in pairs if a != b and b.isascii() and b.islower()]
+    return "".join(a for a, _ in kept), "".join(b for _, b in kept)
+
+
+ACCENTED, BASE_LETTERS = _accents()
+
+
+def unaccented(col: Column | str) -> Column:
+    """Lower case without accents: the letters the reference's collation tells apart."""
+    return F.translate(F.lower(F.col(col) if isinstance(col, str) else col), ACCENTED, BASE_LETTERS)
+
+
+def folded(col: Column | str) -> Column:
+    """Key of the reference's collation for equality and UNIQUE: case, accents
+    and trailing spaces do not count. An equi-join key, so no nested loop."""
+    return unaccented(F.rtrim(F.col(col) if isinstance(col, str) else col))
+
+
+# Stand-ins for an escaped %, _ and backslash while a pattern is taken apart.
+_PERCENT, _UNDERSCORE, _BACKSLASH = "\x01", "\x02", "\x03"
+
+
+def like_parts(term: Column) -> Column:
+    """A LIKE term with its escapes resolved: escaped wildcards and backslashes
+    become stand-ins, a backslash before any other character goes, and one at the
+    end stands for itself. What is left of ``%`` and ``_`` are wildcards."""
+    t = F.regexp_replace(unaccented(term), r"\\\\", _BACKSLASH)
+    t = F.regexp_replace(F.regexp_replace(t, r"\\%", _PERCENT), r"\\_", _UNDERSCORE)
+    return F.regexp_replace(F.regexp_replace(t, r"\\$", _BACKSLASH), r"\\", "")
+
+
+def like_literal(part: Column) -> Column:
+    """The text that a run of literal characters of ``like_parts`` stands for."""
+    return F.translate(part, _PERCENT + _UNDERSCORE + _BACKSLASH, "%_\\")
+
+
 def ci_contains(col: Column, term: Column) -> Column:
-    """``col LIKE '%term%'`` under a case-insensitive collation.
+    """``col LIKE '%term%'`` under a case- and accent-insensitive collation.
 
     The user's term keeps its ``%`` and ``_`` wildcards (the reference does not
-    escape them), so this is a LIKE on lower-cased text, not a substring test.
+    escape them), so this is a LIKE on folded text, not a substring test.
     """
-    return F.like(F.lower(col), F.concat(F.lit("%"), F.lower(term), F.lit("%")))
+    p = like_parts(term)
+    for stand_in, text in ((_BACKSLASH, r"\\\\"), (_PERCENT, r"\\%"), (_UNDERSCORE, r"\\_")):
+        p = F.regexp_replace(p, stand_in, text)
+    return F.like(unaccented(col), F.concat(F.lit("%"), p, F.lit("%")))
 
 
 def ci_equals(col: Column, value: Column) -> Column:
-    """Equality under the reference's case- and trailing-space-insensitive collation."""
-    return F.lower(F.rtrim(col)) == F.lower(F.rtrim(value))
+    """Equality under the reference's collation."""
+    return folded(col) == folded(value)
 
 
 def money(c: Column) -> Column:

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terminus.functions.scalar import DRIVER_STATUSES, LIVE_TRIP, enum_ordinal, full_name
+from terminus.functions.scalar import DRIVER_STATUSES, LIVE_TRIP, enum_ordinal, folded, full_name
 from terminus.plans import views
 from terminus.sources.tables import Tables
 
@@ -95,8 +95,8 @@ def booking_details(t: Tables) -> DataFrame:
 
 def booking_by_ticket_reference(t: Tables, tickets: DataFrame) -> DataFrame:
     """get_booking_by_ticket_reference for each requested reference (any status)."""
-    req = tickets.select(F.col("ticket_reference").alias("_tr")).distinct()
-    b = t.bookings.join(req, t.bookings.ticket_reference == req._tr, "left_semi")
+    req = tickets.select(folded("ticket_reference").alias("_tr")).distinct()
+    b = t.bookings.join(req, folded(t.bookings.ticket_reference) == req._tr, "left_semi")
     b = b.withColumn("passenger_name", full_name("passenger_firstname", "passenger_lastname"))
     j = _booking_context(t, b).withColumnRenamed("route_fare_price", "fare_price")
     return j.select(*BOOKING_DETAIL_COLUMNS)

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from terminus.functions.scalar import (ACTIVE_TRIP, BOOKABLE_TRIP, LIVE_TRIP, lit_ts,
+from terminus.functions.scalar import (ACTIVE_TRIP, BOOKABLE_TRIP, LIVE_TRIP, folded, lit_ts,
                                        ticket_reference)
 from terminus.plans.ranking import cumulative_within, sequence_within
 from terminus.session import checkpoint_dir
@@ -690,13 +690,12 @@ def deletable_users(users: DataFrame, requests: DataFrame) -> DataFrame:
 # --------------------------------------------------------------------- W18
 def register_users(users: DataFrame, requests: DataFrame, now: dt.datetime) -> JobResult:
     """Registration in bulk ``requests(request_id, firstname, lastname, email,
-    phone_number, role)``: an e-mail already registered (case-insensitive) ->
+    phone_number, role)``: an e-mail already registered (under the collation) ->
     ``email_exists``; the same e-mail twice in the batch -> the lowest
     request_id wins, the others get ``duplicate_in_batch``. New users default
     to role passenger and status active; ids continue from the maximum."""
-    key = F.lower(F.rtrim(F.col("email")))
-    req = requests.withColumn("_k", key)
-    existing = users.select(F.lower(F.rtrim(F.col("email"))).alias("_ek")).distinct()
+    req = requests.withColumn("_k", folded("email"))
+    existing = users.select(folded("email").alias("_ek")).distinct()
     first = req.groupBy("_k").agg(F.min("request_id").alias("_first")).withColumnRenamed("_k", "_fk")
     j = (req.join(existing, req._k == existing._ek, "left")
          .join(first, req._k == first._fk, "left"))
@@ -717,27 +716,6 @@ def register_users(users: DataFrame, requests: DataFrame, now: dt.datetime) -> J
     return JobResult(decisions, new_users)
 
 
-def create_vehicles(vehicles: DataFrame, requests: DataFrame) -> JobResult:
-    """Vehicle creation in bulk: duplicate plate (existing or earlier in the
-    batch) is rejected; new vehicles start ``available``."""
-    existing = vehicles.select(F.col("plate_number").alias("_ep")).distinct()
-    first = requests.groupBy("plate_number").agg(F.min("request_id").alias("_first")) \
-        .withColumnRenamed("plate_number", "_fp")
-    j = (requests.join(existing, requests.plate_number == existing._ep, "left")
-         .join(first, requests.plate_number == first._fp, "left"))
-    reason = (F.when(F.col("_ep").isNotNull(), "plate_exists")
-              .when(F.col("request_id") != F.col("_first"), "duplicate_in_batch"))
-    j = j.withColumn("_reason", reason)
-    ok = F.col("_reason").isNull()
-    acc = sequence_within(j.filter(ok).select("request_id"), [], [F.col("request_id").asc()],
-                          out="_seq")
-    ids = acc.select(F.col("request_id").alias("_rid"),
-                     (_max_id(vehicles, "vehicle_id") + F.col("_seq")).alias("vehicle_id"))
-    j = j.join(ids, j.request_id == ids._rid, "left")
-    decisions = j.select("request_id", "plate_number", *_decide(ok, F.col("_reason")), "vehicle_id")
-    return JobResult(decisions, j.filter(ok).withColumn("vehicle_status", F.lit("available")))
-
-
 def upsert(target: DataFrame, changes: DataFrame, key: str) -> DataFrame:
     """``UPDATE .. WHERE key`` / insert, as a new snapshot: for keys in
     ``changes`` its columns replace the target's (NULL included), other

@@ -13,9 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import Column
 
 from terminus.functions.scalar import (VEHICLE_STATUSES, VEHICLE_TYPES, ci_contains, enum_ordinal,
-                                       full_name)
+                                       folded, full_name, like_literal, like_parts, unaccented)
 from terminus.plans import views
-from terminus.plans.broadcast import broadcast_if_small
 from terminus.plans.ranking import sequence_within
 from terminus.sources.tables import Tables
 
@@ -79,61 +78,63 @@ def vehicles_available(t: Tables) -> DataFrame:
                      enum_ordinal("vehicle_type", VEHICLE_TYPES), "plate_number", "vehicle_id"))
 
 
-def _trigrams(text: Column) -> Column:
-    """Distinct 3-character substrings of ``text`` (empty when shorter)."""
-    n = F.length(text)
-    return F.array_distinct(F.transform(
-        F.sequence(F.lit(1), F.greatest(n - 2, F.lit(1))), lambda i: F.substring(text, i, 3)))
+GRAM = 3
+
+
+def _grams(text: Column, n: int) -> Column:
+    """Distinct substrings of length ``n`` (none when ``text`` is shorter)."""
+    return F.when(F.length(text) >= n, F.array_distinct(F.transform(
+        F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.substring(text, i, n)))) \
+        .otherwise(F.array().cast("array<string>"))
 
 
 def bookings_by_name(t: Tables, terms: DataFrame) -> DataFrame:
-    """Active bookings whose passenger name matches ``%term%`` (case-insensitive,
-    wildcards in the term kept), for every term of ``terms(term)`` at once.
-
-    Exact candidate join instead of testing every (booking, term) pair: each
-    literal run of 3+ characters of a term must occur in a matching name, so
-    a term is joined (equi-join) only with names that contain its rarest
-    trigram, counted over the names; every candidate is then checked with the
-    real LIKE. Terms without such a run (e.g. ``%99%``) are matched by a
-    nested-loop join against a size-checked broadcast list of those terms.
+    """Active bookings whose passenger name matches ``%term%`` (case- and
+    accent-insensitive, wildcards and escapes as LIKE has them), for every term
+    of ``terms(term)`` at once.
+
+    Exact candidate join instead of testing every (booking, term) pair: every run
+    of literal characters of a term occurs in a matching name, so a term is joined
+    (equi-join) with the names that contain its rarest gram: three characters of
+    a run, or the whole run if it is shorter. Grams are taken from the ids and
+    names of paid bookings and only kept if some term asks for them. A term of
+    wildcards alone asks for the empty gram, which all names have. Candidates are
+    checked with the real LIKE and join the bookings' other columns at the end.
     """
-    ab = views.active_bookings(t)
-    name = F.lower(F.col("passenger_name"))
-    tl = terms.select("term").distinct().withColumn("_lt", F.lower("term"))
-    segs = F.filter(F.split(F.col("_lt"), "[%_]"), lambda x: F.length(x) >= 3)
-    tl = tl.withColumn("_tg", F.array_distinct(F.flatten(F.transform(segs, _trigrams))))
-    long_terms = tl.filter(F.size("_tg") > 0)
-    short_terms = tl.filter(F.size("_tg") == 0).select("term")
-
-    grams = ab.select("booking_id", F.explode(_trigrams(name)).alias("_g"))
-    wanted = long_terms.select(F.explode("_tg").alias("_g")).distinct()
-    freq = grams.join(wanted, "_g", "left_semi").groupBy("_g").agg(F.count(F.lit(1)).alias("_n"))
-    pick = (long_terms.select("term", F.explode("_tg").alias("_g")).join(freq, "_g", "left")
-            .groupBy("term").agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), "_g")).alias("_p"))
+    names = t.bookings.filter(F.col("payment_status") == "paid").select(
+        "booking_id", full_name("passenger_firstname", "passenger_lastname").alias("_name")).filter("_name is not null")
+    runs = F.transform(F.filter(F.split(like_parts(F.col("term")), "[%_]"), lambda x: F.length(x) > 0), like_literal)
+    tl = terms.select("term").distinct().withColumn("_runs", runs)
+    per_run = F.flatten(F.transform("_runs", lambda r: F.when(F.length(r) < GRAM, F.array(r)).otherwise(_grams(r, GRAM))))
+    asked = tl.select("term", F.explode(F.when(F.size("_runs") > 0, F.array_distinct(per_run))
+                                        .otherwise(F.array(F.lit("")))).alias("_g"))
+    wanted = asked.select("_g").distinct()
+    low = unaccented("_name")
+    grams = names.select("booking_id", "_name", F.explode(F.concat(
+        F.array(F.lit("")), *[_grams(low, n) for n in range(1, GRAM + 1)])).alias("_g")).join(wanted, "_g", "left_semi")
+    freq = grams.groupBy("_g").agg(F.count(F.lit(1)).alias("_n"))
+    pick = (asked.join(freq, "_g", "left").groupBy("term")
+            .agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), "_g")).alias("_p"))
             .select("term", F.col("_p._g").alias("_g")))
-    cand = grams.join(pick, "_g").select("booking_id", "term")
-    hits = (ab.join(cand, "booking_id")
-            .filter(ci_contains(F.col("passenger_name"), F.col("term"))))
-    short = broadcast_if_small(short_terms)
-    short_hits = ab.join(short, ci_contains(ab.passenger_name, short.term))
-    cols = ["term", *ab.columns]
-    return hits.select(*cols).unionByName(short_hits.select(*cols))
+    hits = (grams.join(pick, "_g").filter(ci_contains(F.col("_name"), F.col("term"))).select("term", "booking_id"))
+    ab = views.active_bookings(t)
+    return hits.join(ab, "booking_id").select("term", *ab.columns)
 
 
 def bookings_by_email(t: Tables, emails: DataFrame) -> DataFrame:
     """Active bookings for each requested e-mail (``emails(email)``), compared
-    case- and trailing-space-insensitively through a normalised equi-join key."""
-    ab = views.active_bookings(t).withColumn("_k", F.lower(F.rtrim("passenger_email")))
+    under the collation (case, accents, trailing spaces) through an equi-join key."""
+    ab = views.active_bookings(t).withColumn("_k", folded("passenger_email"))
     req = emails.select(F.col("email").alias("requested_email")).distinct() \
-        .withColumn("_k", F.lower(F.rtrim("requested_email")))
+        .withColumn("_k", folded("requested_email"))
     return req.join(ab, "_k").drop("_k")
 
 
 def bookings_by_ticket(t: Tables, tickets: DataFrame) -> DataFrame:
-    """Active bookings for each requested ticket reference."""
+    """Active bookings for each requested ticket reference, under the collation."""
     ab = views.active_bookings(t)
-    req = tickets.select(F.col("ticket_reference").alias("_tr")).distinct()
-    return ab.join(req, ab.ticket_reference == req._tr, "left_semi")
+    req = tickets.select(folded("ticket_reference").alias("_tr")).distinct()
+    return ab.join(req, folded(ab.ticket_reference) == req._tr, "left_semi")
 
 
 def passenger_contact(t: Tables) -> DataFrame:

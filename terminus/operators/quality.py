@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DateType, NumericType, TimestampNTZType, TimestampType
 
+from terminus.functions.scalar import folded
 from terminus.sources.tables import Tables
 
 
@@ -38,7 +39,9 @@ def _missing(child_col: str, alias: str) -> Column:
 
 
 def _unique(df: DataFrame, cols: list[str], rule: str, table: str) -> DataFrame:
-    dup = df.groupBy(*cols).count().filter(F.col("count") > 1)
+    text = {f.name for f in df.schema if f.dataType.simpleString() == "string"}
+    keys = [folded(c).alias(c) if c in text else F.col(c) for c in cols]  # UNIQUE under the collation
+    dup = df.groupBy(*keys).count().filter(F.col("count") > 1)
     return _rules(dup, table, [(rule, F.lit(True))])
 
 
@@ -166,9 +169,13 @@ def cascade_delete(t: Tables, users: DataFrame, trips: DataFrame, vehicles: Data
 # ------------------------------------------------------------------- W19
 # The reference's validation chains (field, check, argument,
 # message), per request kind, in the order they are declared.
-EMAIL_PATTERN = r"^[^\s@]+@[^\s@]+\.[^\s@]+$"
-ISO8601_PATTERN = r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}(\.\d+)?)?(Z|[+-]\d{2}:?\d{2})?)?$"
-INT_PATTERN = r"^[+-]?\d+$"
+_LOCAL = r"[A-Za-z0-9!#$%&'*+/=?^_`{|}~\u00A1-\uD7FF\uF900-\uFDCF\uFDF0-\uFFEF-]+"
+EMAIL_PATTERN = (rf"^(?=.{{1,254}}$)(?=[^@]{{1,64}}@){_LOCAL}(\.{_LOCAL})*"
+                 r"@([A-Za-z0-9\u00A1-\uFFFF]([A-Za-z0-9\u00A1-\uFFFF-]{0,61}[A-Za-z0-9\u00A1-\uFFFF])?\.)+"
+                 r"[A-Za-z\u00A1-\uFFFF]{2,63}$")
+ISO8601_PATTERN = (r"^\d{4}-(0[1-9]|1[0-2])-(0[1-9]|[12]\d|3[01])"
+                   r"([T ]([01]\d|2[0-3]):[0-5]\d(:[0-5]\d(\.\d+)?)?(Z|[+-]([01]\d|2[0-3]):?[0-5]\d)?)?$")
+INT_PATTERN = r"^[-+]?(0|[1-9][0-9]*)$"
 FLOAT_PATTERN = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 
 RULES: dict[str, list[tuple]] = {
@@ -233,6 +240,9 @@ RULES: dict[str, list[tuple]] = {
         ("role", "optional_in", ["admin", "dispatcher", "driver", "passenger"], "Invalid role"),
     ],
 }
+RULES["booking_for_trip"] = [r for r in RULES["passenger_booking"] if r[0] != "route_id"]
+RULES["email_parameter"] = [("email", "email", None, "Valid email is required")]
+RULES["login"] = RULES["email_parameter"] + [("password", "some_text", None, "Password is required")]
 RULES["route_update"] = RULES["route"] + [("status", "in", ["active", "inactive"], "Invalid status")]
 RULES["vehicle_update"] = RULES["vehicle"] + [
     ("vehicle_status", "in", ["available", "in_service", "maintenance", "retired"], "Invalid status")]
@@ -259,14 +269,13 @@ def rule_ok(df: DataFrame, field: str, kind: str, arg) -> Column:
             v = c
             ok = c.isNotNull() & (c == F.floor(c))
         else:
-            ok = F.trim(s).rlike(INT_PATTERN)
-            v = F.trim(s).try_cast("bigint") if hasattr(F.trim(s), "try_cast") else F.trim(s).cast("bigint")
+            ok, v = s.rlike(INT_PATTERN), s.try_cast("decimal(38,0)")  # not trimmed: ' 5 ' is no integer
         return F.coalesce(ok & _bounded(v, arg), F.lit(False))
     if kind == "float":
         if isinstance(dtype, NumericType):
             ok, v = c.isNotNull(), c
         else:
-            ok, v = F.trim(s).rlike(FLOAT_PATTERN), F.trim(s).cast("double")
+            ok, v = s.rlike(FLOAT_PATTERN), s.try_cast("double")
         return F.coalesce(ok & _bounded(v, arg), F.lit(False))
     if kind == "not_empty":
         return F.coalesce(F.length(F.trim(s)) > 0, F.lit(False))
@@ -275,11 +284,14 @@ def rule_ok(df: DataFrame, field: str, kind: str, arg) -> Column:
     if kind == "iso8601":
         if isinstance(dtype, (TimestampType, TimestampNTZType, DateType)):
             return c.isNotNull()
-        return F.coalesce(s.rlike(ISO8601_PATTERN), F.lit(False))
+        # A day that the calendar has (no 30 February).
+        return F.coalesce(s.rlike(ISO8601_PATTERN) & F.substring(s, 1, 10).try_cast("date").isNotNull(), F.lit(False))
     if kind == "in":
         return F.coalesce(s.isin(*arg), F.lit(False))
     if kind == "optional_in":
         return c.isNull() | s.isin(*arg)
+    if kind == "some_text":
+        return F.coalesce(F.length(s) > 0, F.lit(False))
     if kind == "min_length":
         return F.coalesce(F.length(s) >= arg, F.lit(False))
     raise ValueError(kind)

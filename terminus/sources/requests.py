@@ -174,3 +174,96 @@ def trip_snapshots(t: Tables) -> DataFrame:
     ev = status_events(t).select("trip_id", F.col("new_status").alias("trip_status"), "ts",
                                  (F.col("event_id") % 10).cast("int").alias("seq"))
     return start.unionByName(ev)
+
+
+# -------------------------------------------------------------- admin writes
+def _next(df: DataFrame, key: str, col: str) -> DataFrame:
+    """``df`` with ``_next``: ``col`` of the row whose key is one higher."""
+    other = df.select((F.col(key) - 1).alias("_nk"), F.col(col).alias("_next"))
+    return df.join(other, F.col(key) == F.col("_nk"), "left").drop("_nk")
+
+
+def user_updates(t: Tables) -> DataFrame:
+    """Every user renamed and moved to a new address; every third asks for the
+    next user's address, every seventh pair asks for one new address; one
+    unknown user."""
+    u = _next(t.users, "user_id", "email")
+    email = (F.when(F.col("user_id") % 3 == 0, F.coalesce("_next", "email"))
+             .when(F.col("user_id") % 7 < 2, F.concat(F.lit("shared"), F.floor(F.col("user_id") / 7).cast("string"), F.lit("@example.net")))
+             .otherwise(F.concat(F.lit("user"), F.col("user_id").cast("string"), F.lit("@example.net"))))
+    known = u.select(F.col("user_id").alias("request_id"), "user_id", F.upper("firstname").alias("firstname"), "lastname",
+                     email.alias("email"), "phone_number", "role", F.lit("inactive").alias("status"))
+    gone = known.limit(0)
+    unknown = t.routes.agg(*[(F.lit(-1).cast("bigint") if c.endswith("_id") else F.max(F.lit(None).cast("string"))).alias(c)
+                             for c in gone.columns])
+    return known.unionByName(unknown)
+
+
+def route_updates(t: Tables) -> DataFrame:
+    """Every route with a higher fare, and a second request for it that comes too late."""
+    r = t.routes
+    one = r.select(F.col("route_id").alias("request_id"), "route_id", "origin", "destination", "distance_km",
+                   "estimated_duration_minutes", (F.col("fare_price") + 5).cast("decimal(8,2)").alias("fare_price"), "status")
+    return one.unionByName(one.withColumn("request_id", F.col("request_id") + 1_000_000))
+
+
+def vehicle_updates(t: Tables) -> DataFrame:
+    """Every vehicle with one more seat; every fourth asks for the next one's plate in lower case."""
+    v = _next(t.vehicles, "vehicle_id", "plate_number")
+    plate = F.when(F.col("vehicle_id") % 4 == 0, F.lower(F.coalesce("_next", "plate_number"))).otherwise(F.col("plate_number"))
+    return v.select(F.col("vehicle_id").alias("request_id"), "vehicle_id", plate.alias("plate_number"), "make", "model",
+                    "year", "vehicle_type", (F.col("capacity") + 1).cast("int").alias("capacity"), "vehicle_status",
+                    "last_maintenance_date")
+
+
+def new_vehicles(t: Tables) -> DataFrame:
+    """For every vehicle a sister vehicle; every fifth keeps the plate (refused), and
+    pairs of the others share one new plate."""
+    plate = F.when(F.col("vehicle_id") % 5 == 0, F.lower("plate_number")).otherwise(
+        F.concat(F.lit("NEW-"), F.floor(F.col("vehicle_id") / 2).cast("string")))
+    return t.vehicles.select(F.col("vehicle_id").alias("request_id"), plate.alias("plate_number"), "make", "model",
+                             "year", "vehicle_type", "capacity")
+
+
+def new_routes(t: Tables) -> DataFrame:
+    """The way back of every route."""
+    return t.routes.select(F.col("route_id").alias("request_id"), F.col("destination").alias("origin"),
+                           F.col("origin").alias("destination"), "distance_km", "estimated_duration_minutes", "fare_price")
+
+
+def route_deletes(t: Tables) -> DataFrame:
+    return t.routes.select(F.col("route_id").alias("request_id"), "route_id").unionByName(
+        t.routes.agg(F.lit(-1).cast("bigint").alias("request_id"), F.lit(-1).cast("bigint").alias("route_id")))
+
+
+def vehicle_deletes(t: Tables) -> DataFrame:
+    return t.vehicles.select(F.col("vehicle_id").alias("request_id"), "vehicle_id")
+
+
+def user_deletes(t: Tables) -> DataFrame:
+    """Every user, asked for by user 1."""
+    return t.users.select(F.col("user_id").alias("request_id"), "user_id", F.lit(1).cast("bigint").alias("requested_by"))
+
+
+def validation_requests(t: Tables, kind: str) -> DataFrame:
+    """Requests of each validated kind, as they would be posted for the tables' rows."""
+    none = F.lit(None).cast("string")
+    if kind in ("walk_in_booking", "passenger_booking", "booking_for_trip"):
+        return booking_requests(t)
+    if kind == "create_trip":
+        return new_trips(t)
+    if kind in ("reassign_vehicle", "reassign_driver"):
+        return reassignments(t)
+    if kind in ("user_update", "user_status"):
+        return user_updates(t)
+    if kind in ("route", "route_update"):
+        return t.routes
+    if kind in ("vehicle", "vehicle_update"):
+        return t.vehicles
+    if kind == "register":
+        return registrations(t).withColumn("password", F.col("phone_number"))
+    if kind == "login":
+        return t.users.select("email", F.when(F.col("status") == "active", F.col("phone_number")).otherwise(none).alias("password"))
+    if kind == "email_parameter":
+        return t.users.select("email")
+    raise ValueError(kind)

@@ -1,5 +1,8 @@
 """Streams resume from their checkpoint without double counting."""
 
+import datetime as dt
+
+import pytest
 from pyspark.sql import functions as F
 
 from terminus.operators import lifecycle as lc
@@ -81,3 +84,74 @@ def test_ledger_stream_ignores_duplicates_and_order(spark, tables):
         spark, out, ["trip_id"], sj.seat_ledger_state(feed.read_stream(spark, folder, changes.schema)).schema).collect()}
     want = {r.trip_id: r.seats_booked for r in lc.seat_ledger(tables.trips, changes).collect() if r.trip_id in got}
     assert got == want and len(got) > 0
+
+
+def stream_of(spark, parts, schema, name):
+    """One file after another, in this order."""
+    folder = feed.scratch(spark, name)
+    for rows in parts:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(folder)
+    return feed.read_stream(spark, folder, spark.read.parquet(folder).schema, files_per_batch=1)
+
+
+def finish(spark, frame, keys, name):
+    out = feed.scratch(spark, name + "-out")
+    feed.run_to_end(frame.writeStream.outputMode("update").foreachBatch(feed.epoch_sink(out)), feed.scratch(spark, name), spark)
+    return feed.latest_per_key(spark, out, keys, frame.schema).collect()
+
+
+DAY = dt.timedelta(days=1)
+T0 = dt.datetime(2025, 1, 10)
+CHANGES = ("event_id long, booking_id long, trip_id long, old_status string, new_status string, seat_count int, "
+           "ts timestamp_ntz")
+
+
+def test_ledger_keeps_late_rows_and_drops_copies(spark):
+    late = (2, 2, 7, None, "paid", 3, T0 - 5 * DAY)
+    src = stream_of(spark, [[(1, 1, 7, None, "paid", 2, T0)], [late], [late]], CHANGES, "late-x02")
+    (row,) = finish(spark, sj.seat_ledger_state(src), ["trip_id"], "late-x02c")
+    assert row.seats_booked == 5
+
+
+def test_ledger_with_a_delay_is_the_callers_choice(spark):
+    src = stream_of(spark, [[(1, 1, 7, None, "paid", 2, T0)], [(3, 3, 7, None, "paid", 1, T0)],
+                            [(2, 2, 7, None, "paid", 3, T0 - 5 * DAY)]], CHANGES, "delay-x02")
+    (row,) = finish(spark, sj.seat_ledger_state(src, "1 day"), ["trip_id"], "delay-x02c")
+    assert row.seats_booked == 3
+
+
+def test_status_is_the_latest_whatever_the_order(spark):
+    ev = lambda i, new, old, d, trip=1: (i, trip, 5, 8, 1, old, new, T0 + d * DAY)
+    src = stream_of(spark, [[ev(4, "departed", "boarding", 3, 2)], [ev(2, "arrived", "departed", 1)],
+                            [ev(1, "departed", "boarding", 0)], [ev(2, "arrived", "departed", 1), ev(9, "full", "full", 9)]],
+                    sj.TRANSITION_SCHEMA, "x03-order")
+    src = src.withColumn("distance_km", F.lit(10).cast("decimal(6,2)"))
+    (row,) = finish(spark, sj.status_state(src, "driver_id"), ["driver_id"], "x03-orderc")
+    assert (row.arrivals, float(row.km), row["last"]) == (1, 10.0, "departed")
+
+
+def test_admission_gives_every_request_one_row(spark):
+    req = "request_id long, trip_id long, seat_count int, requested_at timestamp_ntz"
+    src = stream_of(spark, [[(1, 7, 2, T0), (2, 7, 2, T0 + DAY)], [(3, 7, 1, T0 - DAY)], [(4, 7, 1, T0 + 2 * DAY), (1, 7, 2, T0)],
+                            [(5, 9, 1, T0)]], req, "late-x07")
+    trips = spark.createDataFrame([(7, "boarding", 5)], "trip_id long, trip_status string, seats_available int")
+    out = feed.scratch(spark, "late-x07-out")
+    feed.run_to_end(sj.stream_admission(src, trips).writeStream.outputMode("append").format("parquet").option("path", out),
+                    feed.scratch(spark, "late-x07c"), spark)
+    got = sorted((r.request_id, r.reason) for r in spark.read.schema(sj.ADMISSION_OUT).parquet(out).collect())
+    assert got == [(1, None), (2, None), (3, "late"), (4, None), (5, "unknown_trip")]
+
+
+def test_live_queue_uses_the_latest_snapshot(spark):
+    src = stream_of(spark, [[(7, "boarding", 2)], [(7, "waiting", 1)], [(7, "full", 3), (8, "waiting", 1)]],
+                    "trip_id long, trip_status string, _v int", "x04-late")
+    got = finish(spark, sj.trip_state(src), ["trip_id"], "x04-latec")
+    assert sorted((r.trip_id, r.trip_status) for r in got) == [(7, "full"), (8, "waiting")]
+
+
+def test_unreadable_sink_is_an_error(spark, tmp_path):
+    (tmp_path / "out" / "_epoch=0").mkdir(parents=True)
+    (tmp_path / "out" / "_epoch=0" / "part-0.parquet").write_bytes(b"not parquet")
+    with pytest.raises(Exception):
+        feed.latest_per_key(spark, f"file://{tmp_path}/out", ["k"], spark.range(0).schema)
+    assert feed.latest_per_key(spark, f"file://{tmp_path}/none", ["id"], spark.range(0).schema).count() == 0
