@@ -17,6 +17,8 @@ BASE_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
+    # checkpoint() files go when nothing refers to them any more.
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     # Streaming state (per booking-day, per trip) grows with the data: keep it
     # in RocksDB rather than on the JVM heap.
     "spark.sql.streaming.stateStore.providerClass":
