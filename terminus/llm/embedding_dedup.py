@@ -156,7 +156,6 @@ def near_embeddings(vectors: DataFrame, cosine: float = COSINE, blocks: int = BL
     Rows that repeat a vec_id count as separate vectors in n_links and share its
     component. Only vec_id and embedding are read. An empty table gives no rows.
     """
-    spark = vectors.sparkSession
     rows = vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"))
     finite = F.forall("v", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf"))))
     usable = F.coalesce(F.col("vec_id").isNotNull() & (F.size("v") > 0) & finite & F.exists("v", lambda c: c != 0), F.lit(False))
@@ -172,9 +171,9 @@ def near_embeddings(vectors: DataFrame, cosine: float = COSINE, blocks: int = BL
              .select("dim", "block", "cell", F.ceil(F.col("n") / chunk).alias("chunks")))
     home = cells.join(F.broadcast(sizes), ["dim", "block", "cell"]).withColumn(
         "own", F.pmod(F.xxhash64("rep"), F.col("chunks")))
-    steps = spark.createDataFrame([(list(s),) for s in itertools.product((-1, 0, 1), repeat=cell_dims)], "step array<bigint>")
+    steps = F.array(*[F.array(*[F.lit(x).cast("bigint") for x in s]) for s in itertools.product((-1, 0, 1), repeat=cell_dims)])
     other = sizes.select("dim", "block", F.col("cell").alias("cell2"), F.col("chunks").alias("chunks2"))
-    pairs = (sizes.crossJoin(steps)  # cells x 3**cell_dims neighbours
+    pairs = (sizes.withColumn("step", F.explode(steps))
              .withColumn("cell2", F.zip_with("cell", F.slice("step", 1, F.size("cell")), lambda c, s: c + s))
              .select("dim", "block", "cell", "cell2").distinct().join(other, ["dim", "block", "cell2"]))
     dealt = (home.join(F.broadcast(pairs), ["dim", "block", "cell"])

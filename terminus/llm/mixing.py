@@ -47,9 +47,8 @@ def domain_of(source: Column) -> Column:
 def budgets(leaves: DataFrame, levels: tuple[str, ...], weights: Mapping[str, Mapping[str, float]],
             share: float, max_epochs: int) -> DataFrame:
     """``leaves(*levels, tokens, ..)`` -> the same rows with ``target`` (whole tokens)."""
-    total = leaves.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("t"))
-    given = F.broadcast(total.select(F.floor(F.col("t") * F.lit(share)).cast("double").alias("budget")))  # one row
-    nodes = leaves.crossJoin(given)
+    everything = F.sum("tokens").over(Window.partitionBy(F.lit(0)))  # of the leaf table, one row a leaf
+    nodes = leaves.withColumn("budget", F.floor(everything * F.lit(share)).cast("double"))
     for i, level in enumerate(levels):
         path = list(levels[:i + 1])
         own = weights.get(level) or {}
