@@ -232,8 +232,8 @@ def _sink_append_log(t: Tables) -> DataFrame:
     """Cancellation and departure log rows appended to a month-partitioned log."""
     spark = t.bookings.sparkSession
     path = scratch(spark, "system-log")
-    sinks.append_log(lc.cancel_bookings(t.bookings, rq.cancel_requests(t)).log, path)
-    sinks.append_log(lc.departure_log(rq.status_events(t)).select(*sinks.LOG_COLUMNS), path)
+    sinks.append_log(lc.cancel_bookings(t.bookings, rq.cancel_requests(t)).log, path, "cancellations")
+    sinks.append_log(lc.departure_log(rq.status_events(t)).select(*sinks.LOG_COLUMNS), path, "departures")
     return spark.read.parquet(path).select(*sinks.LOG_COLUMNS, "log_month")
 
 

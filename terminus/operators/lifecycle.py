@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from terminus.functions.scalar import (ACTIVE_TRIP, BOOKABLE_TRIP, LIVE_TRIP, folded, lit_ts,
                                        ticket_reference)
-from terminus.plans.ranking import cumulative_within, sequence_within
+from terminus.plans.ranking import sequence_within
 from terminus.session import checkpoint_dir
 
 
@@ -277,10 +277,10 @@ def seat_ledger_running(changes: DataFrame) -> DataFrame:
     """Per change row: its seat delta and the trip's running seats_booked."""
     c = changes.withColumn("delta", seat_delta(F.col("old_status"), F.col("new_status"),
                                                F.col("seat_count")))
-    return cumulative_within(c, ["trip_id"], [F.col("ts").asc(), F.col("event_id").asc()],
-                             out="seats_booked_after", value=F.col("delta").cast("bigint")).select(
-        "event_id", "trip_id", "booking_id", "ts", "delta",
-        F.col("seats_booked_after").cast("bigint").alias("seats_booked_after"))
+    # A trip has few changes: a plain window per trip.
+    w = Window.partitionBy("trip_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return c.select("event_id", "trip_id", "booking_id", "ts", "delta",
+                    F.sum(F.col("delta").cast("bigint")).over(w).alias("seats_booked_after"))
 
 
 def seat_ledger(trips: DataFrame, changes: DataFrame) -> DataFrame:

@@ -10,12 +10,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pyspark.sql import Column
+from pyspark.sql import Column, Window
 
 from terminus.functions.scalar import (VEHICLE_STATUSES, VEHICLE_TYPES, ci_contains, enum_ordinal,
                                        folded, full_name, like_literal, like_parts, unaccented)
 from terminus.plans import views
-from terminus.plans.ranking import sequence_within
 from terminus.sources.tables import Tables
 
 USER_COLUMNS = ["user_id", "firstname", "lastname", "email", "phone_number", "role", "status",
@@ -147,6 +146,6 @@ def trip_bookings(t: Tables) -> DataFrame:
     """Active bookings of every trip with their position in the trip by
     booking time (``booking_seq``); filter ``trip_id`` for one trip."""
     ab = views.active_bookings(t)
-    ranked = sequence_within(ab, ["trip_id"], [F.col("booking_date").asc(),
-                                               F.col("booking_id").asc()], out="booking_seq")
-    return ranked.withColumn("booking_seq", F.col("booking_seq").cast("int"))
+    # A trip holds few bookings: a plain window per trip.
+    return ab.withColumn("booking_seq", F.row_number().over(
+        Window.partitionBy("trip_id").orderBy("booking_date", "booking_id")))

@@ -9,7 +9,7 @@ unbounded group. Positions come from the skew-safe ``sequence_within``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terminus.functions.scalar import full_name
@@ -20,29 +20,32 @@ from terminus.sources.tables import Tables
 PAGE_SIZE = 1000
 
 
-def _paged(df: DataFrame, keys: list[str], order: list, element_cols: list[str],
-           page_size: int, out: str) -> DataFrame:
-    seq = sequence_within(df, keys, order, out="_seq")
+def _pages(seq: DataFrame, keys: list[str], element_cols: list[str], page_size: int, out: str,
+           *totals: Column) -> DataFrame:
+    """Rows numbered by ``_seq`` within ``keys`` -> one row per key and page."""
     seq = (seq.withColumn("page", ((F.col("_seq") - 1) / page_size).cast("int"))
            .withColumn("_seq", F.col("_seq").cast("int")))  # a position in one key's list
     return seq.groupBy(*keys, "page").agg(
-        F.array_sort(F.collect_list(F.struct(F.col("_seq").alias("position"),
-                                             *element_cols))).alias(out))
+        F.array_sort(F.collect_list(F.struct(F.col("_seq").alias("position"), *element_cols))).alias(out), *totals)
 
 
 def queue_nested(t: Tables, page_size: int = PAGE_SIZE) -> DataFrame:
-    """One row per route (and page) with its live trips in queue order."""
+    """One row per route (and page) with its live trips in queue order, and how
+    many live trips the route has over all its pages. Routes are few and long, so
+    the positions come from the skew-safe numbering."""
     q = views.queue_status(t)
-    trips = _paged(q, ["route_id"], [F.col("queue_position").asc(), F.col("trip_id").asc()],
-                   [c for c in q.columns if c not in ("origin", "destination")], page_size, "trips")
+    seq = sequence_within(q, ["route_id"], [F.col("queue_position").asc(), F.col("trip_id").asc()], out="_seq")
+    trips = _pages(seq, ["route_id"], [c for c in q.columns if c not in ("origin", "destination")], page_size, "trips")
+    totals = q.groupBy("route_id").agg(F.count(F.lit(1)).cast("bigint").alias("route_trips"))
     r = t.routes.select("route_id", "origin", "destination")
-    return trips.join(r, "route_id").select("route_id", "origin", "destination", "page", "trips")
+    return trips.join(totals, "route_id").join(r, "route_id").select(
+        "route_id", "origin", "destination", "route_trips", "page", "trips")
 
 
 def queue_nested_summary(t: Tables, page_size: int = PAGE_SIZE) -> DataFrame:
     """Checkable flat form of ``queue_nested``: size and end elements per page."""
     n = queue_nested(t, page_size)
-    return n.select("route_id", "origin", "destination", "page",
+    return n.select("route_id", "origin", "destination", "route_trips", "page",
                     F.size("trips").cast("bigint").alias("n_trips"),
                     F.col("trips")[0]["trip_id"].alias("first_trip_id"),
                     F.element_at("trips", -1)["trip_id"].alias("last_trip_id"),
@@ -61,16 +64,18 @@ def trip_manifest(t: Tables, page_size: int = PAGE_SIZE) -> DataFrame:
     bookings keep a row with an empty passenger list."""
     paid = t.bookings.filter(F.col("payment_status") == "paid").withColumn(
         "passenger_name", full_name("passenger_firstname", "passenger_lastname"))
-    pages = _paged(paid, ["trip_id"], [F.col("booking_date").asc(), F.col("booking_id").asc()],
-                   PASSENGER_COLUMNS, page_size, "passengers")
-    totals = paid.groupBy("trip_id").agg(
-        F.sum("seat_count").cast("bigint").alias("total_passengers"),
-        F.count(F.lit(1)).cast("bigint").alias("total_bookings"))
+    # A trip's passengers are bounded by its seats: one plain window per trip
+    # numbers and totals them, on the buckets if bookings are bucketed by trip.
+    of_trip = Window.partitionBy("trip_id")
+    seq = (paid.withColumn("_seq", F.row_number().over(of_trip.orderBy("booking_date", "booking_id")))
+           .withColumn("_seats", F.sum("seat_count").over(of_trip)).withColumn("_n", F.count(F.lit(1)).over(of_trip)))
+    pages = _pages(seq, ["trip_id"], PASSENGER_COLUMNS, page_size, "passengers",
+                   F.first("_seats").alias("total_passengers"), F.first("_n").alias("total_bookings"))
     info = views.trip_context(t).select(
-        "trip_id", F.struct("trip_id", "estimated_departure_time", "seats_booked", "capacity",
-                            "origin", "destination", "plate_number", "vehicle_type",
+        "trip_id", F.struct("trip_id", "estimated_departure_time", "seats_booked", "capacity", "trip_status",
+                            "origin", "destination", "plate_number", "vehicle_type", "driver_id",
                             "driver_name").alias("trip_info"))
-    j = info.join(pages, "trip_id", "left").join(totals, "trip_id", "left")
+    j = info.join(pages, "trip_id", "left")
     return j.select(
         "trip_id", F.coalesce("page", F.lit(0)).alias("page"), "trip_info",
         F.coalesce("passengers", F.array().cast(pages.schema["passengers"].dataType)).alias("passengers"),
@@ -85,7 +90,7 @@ def trip_manifest_exploded(t: Tables, page_size: int = PAGE_SIZE) -> DataFrame:
     ex = m.select("trip_id", "trip_info", "total_passengers", "total_bookings",
                   F.explode_outer("passengers").alias("p"))
     return ex.select("trip_id", "trip_info.origin", "trip_info.destination",
-                     "trip_info.plate_number", "trip_info.driver_name",
+                     "trip_info.plate_number", "trip_info.driver_id", "trip_info.driver_name", "trip_info.trip_status",
                      "total_passengers", "total_bookings",
                      F.col("p.position").alias("position"),
                      *[F.col("p." + c).alias(c) for c in PASSENGER_COLUMNS])

@@ -14,9 +14,10 @@ from terminus.operators.lifecycle import upsert  # noqa: F401 - re-exported sink
 LOG_COLUMNS = ["user_id", "action_type", "description", "created_at"]
 
 
-def append_log(rows: DataFrame, path: str, date_col: str = "created_at") -> None:
-    """Append log rows to a table partitioned by month (``log_month``);
-    readers prune whole months from date-range filters.
+def append_log(rows: DataFrame, path: str, batch_id: str, date_col: str = "created_at") -> None:
+    """Append log rows to a table partitioned by batch and month (``log_month``);
+    readers prune whole months from date-range filters. A job that is retried
+    under its ``batch_id`` replaces what it wrote before.
 
     Rows are range-partitioned on (month, time) first: each task writes a few
     consecutive months, and a month holding most rows is cut across tasks
@@ -24,7 +25,7 @@ def append_log(rows: DataFrame, path: str, date_col: str = "created_at") -> None
     """
     out = rows.withColumn("log_month", F.trunc(F.col(date_col), "month"))
     (out.repartitionByRange("log_month", date_col)
-     .write.mode("append").partitionBy("log_month").parquet(path))
+     .write.mode("overwrite").partitionBy("log_month").parquet(f"{path}/batch_id={batch_id}"))
 
 
 def append_log_stream(rows: DataFrame, path: str, checkpoint: str):
@@ -37,7 +38,8 @@ def append_log_stream(rows: DataFrame, path: str, checkpoint: str):
 def json_report(df: DataFrame, key_cols: list[str] | None = None) -> DataFrame:
     """The handlers' ``{success, count, data}`` envelope, one JSON document per
     row (or per row group already nested by the caller) instead of one body
-    holding the whole result."""
+    holding the whole result. ``count`` is the number of elements in the document's own array: of one
+    page, where the caller pages."""
     from pyspark.sql.types import ArrayType
     data = F.struct(*[F.col(c) for c in df.columns])
     last = df.columns[-1]

@@ -14,8 +14,9 @@ def test_append_log_partitions_by_month(spark):
                                   (2, "a", "z", dt.datetime(2025, 2, 3))],
                                  "user_id long, action_type string, description string, created_at timestamp_ntz")
     path = feed.scratch(spark, "log")
-    sinks.append_log(rows, path)
-    sinks.append_log(rows.limit(1), path)          # append, never overwrite
+    sinks.append_log(rows, path, "a")
+    sinks.append_log(rows.limit(1), path, "b")     # another batch is added
+    sinks.append_log(rows, path, "a")              # a retry replaces its own batch
     back = spark.read.parquet(path)
     assert back.count() == 4
     months = {str(r.log_month): r.n for r in back.groupBy("log_month").agg(F.count(F.lit(1)).alias("n")).collect()}
