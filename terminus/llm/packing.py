@@ -7,14 +7,17 @@ front; the rest (0 < length < window) goes through the plan:
 2. Shallow combinations of two or three lengths that fill a window exactly are
    enumerated; repeat counts ``x >= 0`` solve ``min |A x - histogram|`` (FISTA),
    are rounded, and clipped so that no length is used more than it occurs.
-3. The residual lengths are packed greedily: laid end to end, longest first,
-   and cut at window ends. The last, shorter window is cut into powers of two,
-   which need no padding, so nothing is padded at all.
+3. The residual documents are packed greedily: each is cut into powers of two
+   (its length in binary), and the pieces are laid end to end, largest first.
+   Pieces and windows then never cross, and the last, shorter window falls into
+   sequences of powers of two, which need no padding: nothing is padded at all.
 
 Steps 2 and 3 work on the histogram only and have a size bounded by ``window``.
 They turn into a table ``(length, rank range) -> place``; a document finds its
 place from its rank among equal lengths, a distributed prefix sum. No sequence
-is built in a group, so a hot length or source is not gathered anywhere.
+is built in a group, so a hot length or source is not gathered anywhere. Every
+cut is at a place that the document's length alone decides, so the checksums of
+all pieces come from the one pass that reads the texts, and texts never move.
 """
 
 from __future__ import annotations
@@ -52,7 +55,17 @@ def ids_of(pre: Pretokens, lookup, text: str | None) -> bytes:
 
 
 def _lookup(pre: Pretokens):
-    return Lookup(lambda piece: np.array(pre.encode(piece), "<u4").tobytes(), bound=150_000).__getitem__
+    return Lookup(lambda piece: np.array(pre.encode(piece), "<u4").tobytes()).__getitem__
+
+
+def binary_cuts(length: int) -> list[int]:
+    """Ends of the pieces of a length cut into powers of two, largest first."""
+    ends, at = [], 0
+    for bit in reversed(range(length.bit_length())):
+        if length >> bit & 1:
+            at += 1 << bit
+            ends.append(at)
+    return ends
 
 
 def _measured(tokenizer: str, window: int):
@@ -60,32 +73,21 @@ def _measured(tokenizer: str, window: int):
         pre = Pretokens(tokenizer)
         lookup, step = _lookup(pre), 4 * window
         for batch in batches:
-            n, blocks, rest = [], [], []
+            n, blocks, rest, parts = [], [], [], []
             for value in batch.column(2):
                 ids = ids_of(pre, lookup, value.as_py())
                 whole = len(ids) // step
                 n.append(len(ids) // 4)
                 blocks.append([zlib.crc32(ids[i * step:(i + 1) * step]) for i in range(whole)])
-                rest.append(zlib.crc32(ids[whole * step:]))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(n, pa.int64()),
-                 pa.array(blocks, pa.list_(pa.int64())), pa.array(rest, pa.int64())],
-                ["doc_id", "text_key", "doc_tokens", "blocks", "rest_crc"])
-    return run
-
-
-def _cut_crcs(tokenizer: str):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pre = Pretokens(tokenizer)
-        lookup = _lookup(pre)
-        for batch in batches:
-            out = []
-            for text, bounds in zip(batch.column(2), batch.column(3), strict=True):
-                ids, at = ids_of(pre, lookup, text.as_py()), bounds.as_py()
-                out.append([zlib.crc32(ids[4 * a:4 * b]) for a, b in zip(at, at[1:], strict=False)])
+                left = ids[whole * step:]
+                ends = [0, *binary_cuts(len(left) // 4)]
+                rest.append(zlib.crc32(left))
+                parts.append([zlib.crc32(left[4 * a:4 * b]) for a, b in zip(ends, ends[1:], strict=False)])
+            crcs = pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), batch.column(3), pa.array(out, pa.list_(pa.int64()))],
-                ["doc_id", "text_key", "bounds", "crcs"])
+                [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(blocks, crcs),
+                 pa.array(rest, pa.int64()), pa.array(parts, crcs)],
+                ["doc_id", "text_key", "doc_tokens", "blocks", "rest_crc", "part_crcs"])
     return run
 
 
@@ -143,10 +145,11 @@ def repeat_counts(combos: np.ndarray, hist: np.ndarray, iterations: int = ITERAT
 
 
 def plan(hist: np.ndarray) -> tuple[pd.DataFrame, int, int]:
-    """Places for rest lengths: rows ``rest, lo, hi, seq, at`` (ranks lo..hi-1 of
-    a length; ``seq`` >= 0: sequences seq, seq+1, .. at offset ``at``; ``seq`` =
-    -1: on the residual stream from position ``at``). Also the number of
-    combination sequences and the length of the residual stream."""
+    """Places for rest lengths: rows ``rest, lo, hi, seq, at, bases`` (ranks
+    lo..hi-1 of a length). ``seq`` >= 0: sequences seq, seq+1, .. at offset ``at``.
+    ``seq`` = -1: cut into powers of two; ``bases`` are the places of the first
+    document's pieces on the residual stream. Also the number of combination
+    sequences and the length of the residual stream."""
     combos = combinations(hist)
     times = repeat_counts(combos, hist)
     nxt, rows, seq = np.zeros(len(hist), np.int64), [], 0
@@ -154,17 +157,21 @@ def plan(hist: np.ndarray) -> tuple[pd.DataFrame, int, int]:
         at = 0
         for length in lengths if n else []:
             if length:
-                rows.append((length, int(nxt[length]), int(nxt[length]) + n, seq, at))
+                rows.append((length, int(nxt[length]), int(nxt[length]) + n, seq, at, []))
                 nxt[length] += n
                 at += length
         seq += n
-    at = 0
-    for length in np.flatnonzero(hist)[::-1].tolist():
-        n = int(hist[length] - nxt[length])
-        if length and n:
-            rows.append((length, int(nxt[length]), int(hist[length]), -1, at))
-            at += n * length
-    return pd.DataFrame(rows, columns=["rest", "lo", "hi", "seq", "at"], dtype="int64"), seq, at
+    left = {r: int(hist[r] - nxt[r]) for r in np.flatnonzero(hist > nxt).tolist() if r}
+    pieces = {b: sum(n for r, n in left.items() if r >> b & 1) for b in range(len(hist).bit_length())}
+    start = {b: sum(n << c for c, n in pieces.items() if c > b) for b in pieces}
+    used = dict.fromkeys(pieces, 0)
+    for length, n in left.items():
+        bits = [b for b in reversed(sorted(pieces)) if length >> b & 1]
+        rows.append((length, int(nxt[length]), int(hist[length]), -1, 0, [start[b] + (used[b] << b) for b in bits]))
+        for b in bits:
+            used[b] += n
+    table = pd.DataFrame(rows, columns=["rest", "lo", "hi", "seq", "at", "bases"])
+    return table, seq, sum(r * n for r, n in left.items())
 
 
 def pack(docs: DataFrame, tokenizer: str = TOKENIZER, window: int = WINDOW) -> DataFrame:
@@ -179,7 +186,7 @@ def pack(docs: DataFrame, tokenizer: str = TOKENIZER, window: int = WINDOW) -> D
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(F.col("text").cast("string"))
                         .alias("text_key"), F.col("text").cast("string").alias("text"))
     light = (texts.mapInArrow(_measured(tokenizer, window), "doc_id bigint, text_key bigint, doc_tokens bigint, "
-                              "blocks array<bigint>, rest_crc bigint")
+                              "blocks array<bigint>, rest_crc bigint, part_crcs array<bigint>")
              .withColumn("rest", F.col("doc_tokens") % window))
     placed = written(prefix_sums(
         light, [F.col("rest"), F.col("doc_id"), F.col("text_key"), F.col("doc_tokens")],
@@ -192,14 +199,12 @@ def pack(docs: DataFrame, tokenizer: str = TOKENIZER, window: int = WINDOW) -> D
     hist[0] = 0
     table, n_combined, stream = plan(hist)
     table["before"] = earlier[table["rest"].to_numpy(int)]
-    whole = stream // window * window
-    ends = [whole]  # of the sequences of the last, shorter window
-    for bit in reversed(range(window.bit_length())):
-        if (stream - whole) >> bit & 1:
-            ends.append(ends[-1] + (1 << bit))
     n_stream = stream // window
+    whole = n_stream * window
+    ends = [whole, *(whole + e for e in binary_cuts(stream - whole))]  # of the sequences of the last window
 
-    segments = spark.createDataFrame(table, "rest bigint, lo bigint, hi bigint, seq bigint, at bigint, before bigint")
+    segments = spark.createDataFrame(
+        table, "rest bigint, lo bigint, hi bigint, seq bigint, at bigint, bases array<bigint>, before bigint")
     rank = F.col("row") - F.col("before")
     # The plan has at most 3 rows per combination: bounded by window and TRIPLES.
     rests = (placed.filter("rest > 0").join(F.broadcast(segments), "rest")
@@ -210,37 +215,22 @@ def pack(docs: DataFrame, tokenizer: str = TOKENIZER, window: int = WINDOW) -> D
         "doc_id", "start", F.col("rest").alias("length"), F.col("rest_crc").alias("ids_crc32"), "doc_tokens",
         (F.col("seq") + F.col("k")).alias("sequence_id"), F.col("at").alias("offset"))
 
-    lined = rests.filter("seq < 0").withColumn("pos", F.col("at") + F.col("k") * F.col("rest")).withColumn(
-        "end", F.col("pos") + F.col("rest"))
-    window_end = (F.floor(F.col("pos") / window) + 1) * window
-    all_ends = F.array(*[F.lit(e).cast("bigint") for e in ends])
-    inner = F.when(window_end <= whole, F.array(window_end.cast("bigint"))).otherwise(F.array().cast("array<bigint>"))
-    cuts = F.filter(F.array_distinct(F.concat(inner, all_ends)), lambda e: (e > F.col("pos")) & (e < F.col("end")))
-    lined = lined.withColumn("marks", F.concat(F.array("pos"), F.array_sort(cuts), F.array("end"))).withColumn(
-        "bounds", F.transform("marks", lambda m: m - F.col("pos") + F.col("start")))
-    cut = written(lined.filter("size(bounds) > 2").select("doc_id", "text_key", "doc_tokens", "bounds", "marks"))
-    whole_rests = lined.filter("size(bounds) = 2").withColumn("crcs", F.array("rest_crc"))
-    wanted = cut.select("doc_id", "text_key").distinct()
-    same = lambda d: [d["doc_id"].eqNullSafe(wanted["doc_id"]), d["text_key"] == wanted["text_key"]]
-    again = (texts.join(wanted, same(texts), "left_semi").groupBy("doc_id", "text_key").agg(F.first("text").alias("text")))
-    jobs = cut.join(again, [cut["doc_id"].eqNullSafe(again["doc_id"]), cut["text_key"] == again["text_key"]]).select(
-        cut["doc_id"], cut["doc_tokens"], "text", "bounds", "marks")
-    crcs = (jobs.select("doc_id", F.struct("doc_tokens", "marks").alias("text_key"), "text", "bounds")
-            .mapInArrow(_cut_crcs(tokenizer), "doc_id bigint, text_key struct<doc_tokens:bigint,marks:array<bigint>>, "
-                        "bounds array<bigint>, crcs array<bigint>")
-            .select("doc_id", "text_key.*", "bounds", "crcs"))
-    streamed = whole_rests.select("doc_id", "doc_tokens", "marks", "bounds", "crcs").unionByName(crcs).select(
-        "doc_id", "doc_tokens", "marks", "bounds", F.posexplode("crcs").alias("i", "ids_crc32"))
-    mark = F.element_at("marks", F.col("i") + 1)
-    tail = F.size(F.filter(all_ends, lambda e: e <= mark)) - 1  # sequences of the last window that ended before
-    streamed = streamed.withColumn("mark", mark).select(
-        "doc_id", F.element_at("bounds", F.col("i") + 1).alias("start"),
-        (F.element_at("bounds", F.col("i") + 2) - F.element_at("bounds", F.col("i") + 1)).alias("length"),
-        "ids_crc32", "doc_tokens",
-        (n_combined + F.when(F.col("mark") < whole, F.floor(F.col("mark") / window)).otherwise(n_stream + tail))
+    bits = F.filter(F.array(*[F.lit(1 << b).cast("bigint") for b in reversed(range(window.bit_length()))]),
+                    lambda p: F.col("rest").bitwiseAND(p) > 0)
+    cut = (rests.filter("seq < 0").select("doc_id", "start", "rest", "doc_tokens", "k", F.posexplode(
+        F.arrays_zip(bits.alias("size"), F.col("bases").alias("base"), F.col("part_crcs").alias("crc"))).alias("i", "p"))
+           .withColumn("pos", F.col("p.base") + F.col("k") * F.col("p.size"))
+           # What stands before a piece in its document: the larger bits of the length.
+           .withColumn("ahead", F.col("rest") - F.col("rest") % (F.col("p.size") * 2)))
+    tail = F.array(*[F.lit(e).cast("bigint") for e in ends])
+    ended = F.filter(tail, lambda e: e <= F.col("pos"))
+    in_whole = F.col("pos") < whole
+    streamed = cut.select(
+        "doc_id", (F.col("start") + F.col("ahead")).alias("start"), F.col("p.size").alias("length"),
+        F.col("p.crc").alias("ids_crc32"), "doc_tokens",
+        (n_combined + F.when(in_whole, F.floor(F.col("pos") / window)).otherwise(n_stream + F.size(ended) - 1))
         .cast("bigint").alias("sequence_id"),
-        F.when(F.col("mark") < whole, F.col("mark") % window)
-        .otherwise(F.col("mark") - F.array_max(F.filter(all_ends, lambda e: e <= F.col("mark")))).alias("offset"))
+        F.when(in_whole, F.col("pos") % window).otherwise(F.col("pos") - F.array_max(ended)).alias("offset"))
     first = n_combined + n_stream + len(ends)
     blocks = placed.select("doc_id", "doc_tokens", "first_block", F.posexplode("blocks").alias("i", "ids_crc32")).select(
         "doc_id", (F.col("i") * window).cast("bigint").alias("start"), F.lit(window).cast("bigint").alias("length"),
