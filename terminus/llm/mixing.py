@@ -87,8 +87,9 @@ def mix(docs: DataFrame, levels: tuple[str, ...] = LEVELS, weights: Mapping[str,
         *[F.col(c) for c in docs.columns if c not in ("epoch", "n_tokens")],
         *[F.coalesce(names.get(x, F.col(x)).cast("string"), F.lit(NONE)).alias(k) for x, k in zip(levels, keys, strict=True)],
         F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORDS)), F.lit(0)).cast("bigint").alias("n_tokens"))
-    sizes = (rows.groupBy(*keys).agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("rows"))
-             .withColumnsRenamed(dict(zip(keys, levels, strict=True))))
+    # One row a leaf; written, as every level of the tree adds it up anew.
+    sizes = written(rows.groupBy(*keys).agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("rows"))
+                    .withColumnsRenamed(dict(zip(keys, levels, strict=True))))
     plan = budgets(sizes, levels, weights, share, max_epochs)
     whole = F.when(F.col("tokens") > 0, F.least(F.lit(max_epochs), F.floor(F.col("target") / F.col("tokens")))).otherwise(0)
     plan = written(plan.withColumn("_mx_whole", whole.cast("int"))
