@@ -6,7 +6,8 @@ front; the rest (0 < length < window) goes through the plan:
 1. The histogram of rest lengths (fewer than ``window`` rows) is gathered.
 2. Shallow combinations of two or three lengths that fill a window exactly are
    enumerated; repeat counts ``x >= 0`` solve ``min |A x - histogram|`` (FISTA),
-   are rounded, and clipped so that no length is used more than it occurs.
+   are rounded, and clipped so that no length is used more than it occurs. What
+   is left is tried again with its own combinations, a few rounds.
 3. The residual documents are packed greedily: each is cut into powers of two
    (its length in binary), and the pieces are laid end to end, largest first.
    Pieces and windows then never cross, and the last, shorter window falls into
@@ -40,6 +41,7 @@ WINDOW = 2048
 CLOSING_ID = 1
 TRIPLES = 6000
 ITERATIONS = 400
+ROUNDS = 6
 
 
 def ids_of(pre: Pretokens, lookup, text: str | None) -> bytes:
@@ -150,17 +152,20 @@ def plan(hist: np.ndarray) -> tuple[pd.DataFrame, int, int]:
     ``seq`` = -1: cut into powers of two; ``bases`` are the places of the first
     document's pieces on the residual stream. Also the number of combination
     sequences and the length of the residual stream."""
-    combos = combinations(hist)
-    times = repeat_counts(combos, hist)
     nxt, rows, seq = np.zeros(len(hist), np.int64), [], 0
-    for (*lengths,), n in zip(combos.tolist(), times.tolist(), strict=True):
-        at = 0
-        for length in lengths if n else []:
-            if length:
-                rows.append((length, int(nxt[length]), int(nxt[length]) + n, seq, at, []))
-                nxt[length] += n
-                at += length
-        seq += n
+    for _ in range(ROUNDS):  # what one set of combinations leaves over may fit another
+        combos = combinations(hist - nxt)
+        times = repeat_counts(combos, hist - nxt)
+        if not times.any():
+            break
+        for (*lengths,), n in zip(combos.tolist(), times.tolist(), strict=True):
+            at = 0
+            for length in lengths if n else []:
+                if length:
+                    rows.append((length, int(nxt[length]), int(nxt[length]) + n, seq, at, []))
+                    nxt[length] += n
+                    at += length
+            seq += n
     left = {r: int(hist[r] - nxt[r]) for r in np.flatnonzero(hist > nxt).tolist() if r}
     pieces = {b: sum(n for r, n in left.items() if r >> b & 1) for b in range(len(hist).bit_length())}
     start = {b: sum(n << c for c, n in pieces.items() if c > b) for b in pieces}
@@ -185,9 +190,10 @@ def pack(docs: DataFrame, tokenizer: str = TOKENIZER, window: int = WINDOW) -> D
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(F.col("text").cast("string"))
                         .alias("text_key"), F.col("text").cast("string").alias("text"))
-    light = (texts.mapInArrow(_measured(tokenizer, window), "doc_id bigint, text_key bigint, doc_tokens bigint, "
-                              "blocks array<bigint>, rest_crc bigint, part_crcs array<bigint>")
-             .withColumn("rest", F.col("doc_tokens") % window))
+    # Written at once: range partitioning evaluates its input twice.
+    light = written(texts.mapInArrow(
+        _measured(tokenizer, window), "doc_id bigint, text_key bigint, doc_tokens bigint, blocks array<bigint>, "
+        "rest_crc bigint, part_crcs array<bigint>").withColumn("rest", F.col("doc_tokens") % window))
     placed = written(prefix_sums(
         light, [F.col("rest"), F.col("doc_id"), F.col("text_key"), F.col("doc_tokens")],
         {"row": F.lit(1), "first_block": F.size("blocks")}))
@@ -206,7 +212,7 @@ def pack(docs: DataFrame, tokenizer: str = TOKENIZER, window: int = WINDOW) -> D
     segments = spark.createDataFrame(
         table, "rest bigint, lo bigint, hi bigint, seq bigint, at bigint, bases array<bigint>, before bigint")
     rank = F.col("row") - F.col("before")
-    # The plan has at most 3 rows per combination: bounded by window and TRIPLES.
+    # At most 3 rows per combination and round: bounded by window, TRIPLES and ROUNDS.
     rests = (placed.filter("rest > 0").join(F.broadcast(segments), "rest")
              .filter((rank >= F.col("lo")) & (rank < F.col("hi")))
              .withColumn("k", rank - F.col("lo"))
