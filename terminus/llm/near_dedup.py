@@ -13,10 +13,13 @@ as one). Shingles are carried as 64-bit hashes.
    thousands of exact copies count as one row.
 3. *Banding.* ``bands`` keys of ``rows`` slots each. With 30 x 4 slots a pair
    at similarity 0.75 shares no key with probability 1.1e-5.
-4. *Verification* on full sets, in two steps that never list all pairs of a
-   bucket: first every class against its bucket's smallest class; after the
-   components of those links are known, only pairs whose classes are still in
-   different components (all of them: there is no cap).
+4. *Verification* on full sets, without listing all pairs of a bucket. First
+   every class against its bucket's smallest class (a bucket has 30 chances to
+   have another leader, so a group of thousands of near copies is one component
+   after this turn). Then the members that are still in different components:
+   most of them share too few shingles with all others together to have any
+   link, which one count of the shingles shows; the pairs of those that remain
+   are compared one by one. There is no cap.
 5. *Union-find grouping* of the confirmed links (components.py).
 """
 
@@ -38,6 +41,7 @@ SHINGLE_WORDS = 5
 THRESHOLD_PCT = 75
 BANDS, ROWS = 30, 4
 BLOCK_ELEMENTS = 1 << 18
+REFUTE_TURNS = 2
 EMPTY_SLOT = np.uint64(0xFFFFFFFFFFFFFFFF)
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 WORD_FACTOR = np.uint64(0xD6E8FEB86659FD93)
@@ -123,7 +127,9 @@ def _signed(bands: int, rows: int, k: int):
                     pa.array(sizes, pa.int64()),
                     pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()),
                     pa.array([r if n else [] for r, n in zip(keys, sizes, strict=True)], pa.list_(pa.int64())),
-                ], ["doc_id", "n_shingles", "digest", "bands"])
+                    # 16 bits of each slot: enough to count agreements
+                    pa.array(list(mix64(sig).astype(np.uint16).view(np.int16)), pa.list_(pa.int16())),
+                ], ["doc_id", "n_shingles", "digest", "bands", "slots"])
     return run
 
 
@@ -158,6 +164,68 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold_pct: int) -> DataFram
             .mapInArrow(_overlap(threshold_pct), "a bigint, b bigint"))
 
 
+def _pairs(groups: DataFrame) -> DataFrame:
+    """Every member with its group's leader: linear in the members."""
+    return groups.filter("rep <> lead").select(F.least("lead", "rep").alias("a"),
+                                               F.greatest("lead", "rep").alias("b")).distinct()
+
+
+def _open(members: DataFrame, label: DataFrame) -> DataFrame:
+    """Members that a turn of leader pairs leaves undecided: those of buckets in
+    which the others than the leader are still in different components.
+    ``smallest`` is the size of the bucket's smallest set."""
+    others = written(members.filter("rep <> lead").join(label.withColumnRenamed("node", "rep"), "rep", "left")
+                     .select("key", "digest", "rep", "n", F.coalesce("component", "rep").alias("comp")))
+    mixed = (others.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("n").alias("smallest"))
+             .filter("lo <> hi").select("key", "smallest"))
+    return written(others.join(mixed, "key"))
+
+
+def _possible(open_: DataFrame, sets: DataFrame, threshold_pct: int) -> DataFrame:
+    """The open members that can have a link at all, with a ``prefix``.
+
+    Two sets of n and m share at least t / (1 + t) * (n + m) shingles. A member of
+    which fewer shingles occur in any other open member than its smallest partner
+    asks for has no link. For the others, with their common shingles ordered from
+    rare to frequent, linked members share one among their first (common - asked
+    + 1). Linear in the shingles of the open members, and exact.
+    """
+    asks = open_.groupBy("rep").agg(F.min("n").alias("n"), F.min("smallest").alias("smallest"))
+    each = sets.join(asks.select("rep"), "rep", "left_semi").mapInArrow(_exploded, "rep bigint, shingle bigint")
+    shared = (each.groupBy("shingle").agg(F.count("*").alias("df"), F.min("rep").alias("lo"), F.max("rep").alias("hi"))
+              .filter("lo <> hi").select("shingle", "df"))
+    common = each.join(shared, "shingle").groupBy("rep").agg(
+        F.sort_array(F.collect_list(F.struct("df", "shingle"))).alias("common"))  # one member's own shingles
+    asked = F.ceil(threshold_pct * (F.col("n") + F.col("smallest")) / F.lit(100 + threshold_pct) - 1e-9)
+    able = (asks.join(common, "rep").withColumn("spare", F.size("common") - asked).filter("spare >= 0")
+            .select("rep", F.slice("common.shingle", F.lit(1), (F.col("spare") + 1).cast("int")).alias("prefix")))
+    return written(open_.drop("prefix").join(able, "rep"))
+
+
+def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for rep, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            values = np.frombuffer(raw.as_py(), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(values), rep)), pa.array(values)], ["rep", "shingle"])
+
+
+def _rest(open_: DataFrame, classes: DataFrame, threshold_pct: int, slots: int) -> DataFrame:
+    """Pairs of open members in different components, each at the first key that
+    both have. Left out are pairs whose sizes or prefixes rule a link out, and pairs whose
+    signatures agree in so few slots that a link would be six standard deviations off."""
+    t = threshold_pct / 100
+    least = int(slots * t - 6 * (slots * t * (1 - t)) ** 0.5)
+    full = open_.join(classes.select("digest", "bands", "slots"), "digest")
+    x, y = full.alias("x"), full.alias("y")
+    first = F.element_at(F.array_intersect("x.bands", "y.bands"), 1)
+    agree = F.size(F.filter(F.zip_with("x.slots", "y.slots", lambda a, b: a == b), lambda same: same))
+    return (x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.rep") < F.col("y.rep"))
+                   & (F.col("x.comp") != F.col("y.comp"))
+                   & (100 * F.least("x.n", "y.n") >= threshold_pct * F.greatest("x.n", "y.n"))
+                   & F.arrays_overlap("x.prefix", "y.prefix") & (first == F.col("x.key")) & (agree >= least))
+            .select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct())
+
+
 def near_duplicates(docs: DataFrame, threshold_pct: int = THRESHOLD_PCT, shingle_words: int = SHINGLE_WORDS,
                     bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """``docs(doc_id, text, ..)`` -> one row per input row: ``doc_id,
@@ -170,35 +238,25 @@ def near_duplicates(docs: DataFrame, threshold_pct: int = THRESHOLD_PCT, shingle
     """
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = written(texts.mapInArrow(
-        _signed(bands, rows, shingle_words), "doc_id bigint, n_shingles bigint, digest binary, bands array<bigint>"))
+        _signed(bands, rows, shingle_words), "doc_id bigint, n_shingles bigint, digest binary, bands array<bigint>, slots array<smallint>"))
     linkable = signed.filter("n_shingles > 0 and doc_id is not null")
     classes = written(linkable.groupBy("digest").agg(
-        F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")))
-    buckets = classes.select(F.explode("bands").alias("key"), "rep", "n")
+        F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"),
+        F.first("slots").alias("slots")))
+    buckets = classes.select(F.explode("bands").alias("key"), "digest", "rep", "n")
     shared = buckets.groupBy("key").agg(F.min("rep").alias("lead"), F.count("*").alias("size")).filter("size > 1")
-    members = written(buckets.join(shared, "key").select("key", "rep", "n", "lead"))
+    members = written(buckets.join(shared, "key").select("key", "digest", "rep", "n", "lead"))
 
     reps = members.select("rep").distinct()
     texts_once = texts.filter("doc_id is not null and text is not null")
     # A doc_id that occurs with several texts has several sets: the digest picks the right one.
     sets = written(texts_once.join(reps, texts_once["doc_id"] == reps["rep"], "left_semi")
                    .mapInArrow(_sets(shingle_words), "rep bigint, shingles binary"))
-    star = members.filter("rep <> lead").select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct()
-    found = written(_verified(star, sets, threshold_pct))
-    label = components(found)
-    tagged = members.join(label.withColumnRenamed("node", "rep"), "rep", "left").select(
-        "key", "rep", "n", F.coalesce("component", "rep").alias("comp"))
-    tagged = written(tagged)
-    mixed = (tagged.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-             .filter("lo <> hi").select("key"))
-    open_ = written(tagged.join(mixed, "key"))
-    x, y = open_.alias("x"), open_.alias("y")
-    rest = (x.join(y, F.col("x.key") == F.col("y.key"))
-            .filter("x.rep < y.rep and x.comp <> y.comp and 100 * least(x.n, y.n) >= "
-                    f"{threshold_pct} * greatest(x.n, y.n)")
-            .select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
-            .join(star, ["a", "b"], "left_anti"))
-    more = _verified(rest, sets, threshold_pct)
+    found = written(_verified(_pairs(members), sets, threshold_pct))
+    open_ = _open(members, components(found))
+    for _ in range(REFUTE_TURNS):
+        open_ = _possible(open_, sets, threshold_pct)
+    more = _verified(_rest(open_, classes, threshold_pct, bands * rows), sets, threshold_pct)
     of_set = linkable.select("digest", "doc_id").distinct().join(classes.select("digest", "rep"), "digest")
     same_id = of_set.select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     label = components(found.union(more).union(same_id))

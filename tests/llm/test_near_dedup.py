@@ -102,3 +102,18 @@ def test_components_of_a_path(spark, n):
     edges = spark.createDataFrame([(i + 1, i) for i in range(n)] + [(1, 0), (7, 7)], "a long, b long").repartition(3)
     assert {(r.node, r.component) for r in components(edges).collect()} == {(i, 0) for i in range(n + 1)}
     assert components(edges.limit(0)).count() == 0
+
+
+def test_large_group_of_near_copies_around_the_threshold(spark):
+    import random
+    rng = random.Random(2)
+    base = [f"g{i}" for i in range(120)]
+    rows = []
+    for i in range(150):
+        words = list(base)
+        for j in rng.sample(range(24), 1 + i % 5):
+            words[j * 5] = f"e{rng.randrange(30)}"
+        rows.append((i, " ".join(words)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute_groups([r[0] for r in rows], [r[1] for r in rows])
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in nd.near_duplicates(df).collect()} == want
