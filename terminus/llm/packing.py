@@ -57,7 +57,7 @@ def ids_of(pre: Pretokens, lookup, text: str | None) -> bytes:
 
 
 def _lookup(pre: Pretokens):
-    return Lookup(lambda piece: np.array(pre.encode(piece), "<u4").tobytes()).__getitem__
+    return Lookup(lambda piece: b"".join(i.to_bytes(4, "little") for i in pre.encode(piece)), bound=400_000).__getitem__
 
 
 def binary_cuts(length: int) -> list[int]:

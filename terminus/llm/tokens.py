@@ -26,6 +26,17 @@ SAFE = r"\x00-ԯḀ-⁯₠-⯿　-ヿ一-鿿가-힣＀-￯"
 LONGEST_CACHED = 64  # characters; longer pre-tokens are encoded each time
 
 
+def byte_characters() -> dict[int, str]:
+    """The characters that byte-level models write for bytes: a printable byte is
+    itself, the others follow from 256 on."""
+    printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = [b for b in range(256) if b not in printable]
+    return {b: chr(256 + i) for i, b in enumerate(others)}
+
+
+BYTE_CHARACTERS = byte_characters()
+
+
 @functools.cache
 def safe_pattern(pattern: str):
     """``pattern`` for SAFE texts in the standard library's faster engine, its
@@ -59,17 +70,17 @@ class Pretokens:
     """Pre-tokens and their ids for one tokenizer file (made once per worker)."""
 
     def __init__(self, name: str):
-        from tokenizers import Tokenizer, pre_tokenizers
+        from tokenizers import Tokenizer
         path = tokenizer_file(name)
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.tok = Tokenizer.from_file(path)
+        self.model = self.tok.model
         self.lower = spec["normalizer"] is not None
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.cut = re.compile("(" + "|".join(map(re.escape, self.special)) + ")")
         self.findall = safe_pattern(WORD_PATTERN if self.lower else BYTE_PATTERN).findall
         self.unsafe = re.compile(f"[^{SAFE}]" + ("|Σ" if self.lower else "")).search
-        self.to_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
 
     def split(self, part: str) -> list[str]:
         """Pre-tokens of a text without special strings."""
@@ -80,7 +91,9 @@ class Pretokens:
                 part = self.tok.normalizer.normalize_str(part)
             return [part[a:b] for _, (a, b) in self.tok.pre_tokenizer.pre_tokenize_str(part)]
         if self.lower:
-            part = unicodedata.normalize("NFC", part).lower()
+            if not unicodedata.is_normalized("NFC", part):
+                part = unicodedata.normalize("NFC", part)
+            part = part.lower()
         return self.findall(part)
 
     def parts(self, text: str) -> list[tuple[str, int | None]]:
@@ -90,7 +103,7 @@ class Pretokens:
         return [(p, self.special.get(p)) for p in self.cut.split(text) if p]
 
     def encode(self, piece: str) -> list[int]:
-        return [t.id for b, _ in self.to_bytes(piece) for t in self.tok.model.tokenize(b)]
+        return [t.id for t in self.model.tokenize(piece.encode("utf-8").decode("latin-1").translate(BYTE_CHARACTERS))]
 
 
 class Lookup(dict):

@@ -43,6 +43,6 @@ def test_edges(spark):
 def test_bounded_tables():
     seen = Lookup(len, {"ab": 2}, bound=3)
     assert [seen[x] for x in ["ab", "c", "dd", "eee", "ffff", "x" * 100]] == [2, 1, 2, 3, 4, 100]
-    assert len(seen) <= 4 and seen["ab"] == 2
+    assert len(seen) <= 4 and seen["ab"] == 2 and seen["c"] == 1
     from collections import Counter
     assert _pruned(Counter("aaaabbbccd"), 2) == Counter(a=2, b=1)
