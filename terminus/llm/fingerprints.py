@@ -36,12 +36,15 @@ PART_BYTES = 32 << 20
 LOWEST = -(1 << 63)
 
 
+def _fold(x: np.ndarray) -> np.ndarray:
+    """A congruent value modulo the Mersenne prime, below 2**31 + x / 2**31."""
+    return (x & np.uint64(PRIME)) + (x >> np.uint64(31))
+
+
 def _mod(x: np.ndarray) -> np.ndarray:
-    """Modulo the Mersenne prime; x < 2**62 or a sum of fewer than 2**31 residues."""
-    p = np.uint64(PRIME)
-    x = (x & p) + (x >> np.uint64(31))
-    x = (x & p) + (x >> np.uint64(31))
-    return np.where(x >= p, x - p, x)
+    """The residue modulo the prime; x < 2**62 or so."""
+    x = _fold(_fold(x))
+    return x - np.uint64(PRIME) * (x >= np.uint64(PRIME))
 
 
 class Powers:
@@ -71,28 +74,33 @@ class Prefixes:
         self.sums = []
         for powers in POWERS:
             p = np.zeros(self.n + 1, np.uint64)
-            np.cumsum(_mod(codes * powers.upto(self.n + 1)[0][:self.n]), out=p[1:])
-            self.sums.append(_mod(p))
+            np.cumsum(_fold(codes * powers.upto(self.n + 1)[0][:self.n]), out=p[1:])
+            self.sums.append(_fold(p))
 
-    def spans(self, start: np.ndarray, length: int) -> np.ndarray:
-        """62-bit hashes of the spans of ``length`` at ``start``."""
-        out = np.zeros(len(start), np.uint64)
+    def windows(self, length: int) -> np.ndarray:
+        """62-bit hashes of all spans of ``length``, in order of their start."""
+        out, n = np.zeros(max(0, self.n - length + 1), np.uint64), self.n - length + 1
         for powers, p in zip(POWERS, self.sums, strict=True):
-            h = _mod(_mod(p[start + length] + np.uint64(PRIME) - p[start]) * powers.upto(self.n + 1)[1][start])
-            out = (out << np.uint64(31)) | h
+            if n > 0:
+                gap = _fold(p[length:] + np.uint64(4 * PRIME) - p[:n])
+                out = (out << np.uint64(31)) | _mod(gap * powers.upto(self.n + 1)[1][:n])
         return out
 
-    def windows(self, length: int) -> np.ndarray:
-        """Hashes of all spans of ``length``, in order of their start."""
-        out = np.zeros(self.n - length + 1, np.uint64)
+    def span(self, start: int, length: int) -> int:
+        """The hash of one span."""
+        out = 0
         for powers, p in zip(POWERS, self.sums, strict=True):
-            h = _mod(_mod(p[length:] + np.uint64(PRIME) - p[:self.n - length + 1])
-                     * powers.upto(self.n + 1)[1][:self.n - length + 1])
-            out = (out << np.uint64(31)) | h
+            gap = int(p[start + length]) - int(p[start])
+            out = out << 31 | gap * int(powers.upto(self.n + 1)[1][start]) % PRIME
         return out
 
-    def span(self, start: int, length: int) -> int:
-        return int(self.spans(np.array([start]), length)[0])
+
+def joined_span(a: Prefixes, take: int, b: Prefixes, more: int) -> int:
+    """Hash of the first ``take`` code points of a followed by ``more`` of b."""
+    out = 0
+    for powers, p, q in zip(POWERS, a.sums, b.sums, strict=True):
+        out = out << 31 | (int(p[take]) + int(q[more]) * int(powers.upto(take + 1)[0][take])) % PRIME
+    return out
 
 
 def spans_equal(a: Prefixes, i: int, b: Prefixes, j: int, length: int) -> bool:
@@ -114,20 +122,46 @@ def longest_common_extension(a: Prefixes, i: int, b: Prefixes, j: int) -> int:
 def _smallest(hashes: np.ndarray) -> np.ndarray:
     """The KEEP smallest distinct values, ascending."""
     some = hashes
-    if len(hashes) > 4 * KEEP:
-        some = np.partition(hashes, 4 * KEEP)[:4 * KEEP]
+    if len(hashes) > 8 * KEEP:
+        some = hashes[hashes < np.uint64((4 * KEEP << 32) // len(hashes))]
     some = np.unique(some)
-    if len(some) < KEEP and len(hashes) > 4 * KEEP:  # many equal spans
+    if len(some) < KEEP and len(hashes) > 8 * KEEP:  # many equal spans
         some = np.unique(hashes)
     return some[:KEEP]
 
 
-def fingerprint(p: Prefixes) -> str:
+def _mark(n: int, whole: int, spans: np.ndarray) -> str:
+    return f"{n:x}-{whole:016x}-{_smallest(spans).astype('>u4').tobytes().hex()}" if n else "0--"
+
+
+class Document:
+    """A text with its prefix arrays, span hashes and fingerprint."""
+
+    def __init__(self, text: str):
+        self.text, self.prefixes = text, Prefixes(text)
+        # A text shorter than a span counts as one span.
+        self.spans = mix64(self.prefixes.windows(min(SPAN, max(1, len(text))))) >> np.uint64(32)
+        self.fingerprint = _mark(len(text), self.prefixes.span(0, len(text)), self.spans)
+
+    def edited(self, other: Document) -> tuple[str, str]:
+        """The text whose last half is replaced by the start of ``other``, and its
+        fingerprint. Spans that lie in either part are known; only those across the
+        seam are hashed, and the whole is composed from two prefix hashes."""
+        own, half = self.text, len(self.text) // 2
+        keep, more = len(own) - half, min(half, len(other.text))
+        text = own[:keep] + other.text[:more]
+        if len(text) < SPAN:
+            return text, fingerprint(text)
+        seam = Prefixes(own[max(0, keep - SPAN + 1):keep] + other.text[:min(more, SPAN - 1)]).windows(SPAN)
+        spans = np.concatenate([self.spans[:max(0, keep - SPAN + 1)] if len(own) >= SPAN else [],
+                                mix64(seam) >> np.uint64(32),
+                                other.spans[:max(0, more - SPAN + 1)] if len(other.text) >= SPAN else []]).astype(np.uint64)
+        return text, _mark(len(text), joined_span(self.prefixes, keep, other.prefixes, more), spans)
+
+
+def fingerprint(text: str) -> str:
     """``length-whole-spans`` in hex; equal for equal texts."""
-    if not p.n:
-        return "0--"
-    spans = _smallest(mix64(p.windows(min(SPAN, p.n))) >> np.uint64(32))
-    return f"{p.n:x}-{p.span(0, p.n):016x}-{spans.astype('>u4').tobytes().hex()}"
+    return Document(text).fingerprint
 
 
 def likeness(a: str, b: str) -> float:
@@ -147,22 +181,18 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next",
              "shared_prefix_next"]
     types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int64()]
-    last = None  # part, doc_id, text, prefixes, fingerprint
+    last = None  # part, doc_id, document
     for batch in batches:
         out = []
         for part, doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-            text = text.as_py() or ""
-            pre = Prefixes(text)
-            mark = fingerprint(pre)
+            doc = Document(text.as_py() or "")
             if last is not None and last[0] == part:
-                _, own_id, own, own_pre, own_mark = last
-                half = len(own) // 2
-                edited = own[:len(own) - half] + text[:half]
-                edited_mark = fingerprint(Prefixes(edited)) if edited != own else own_mark
-                out.append((own_id, len(own), hashlib.sha256(edited.encode()).hexdigest(), own_mark, edited_mark,
-                            likeness(own_mark, edited_mark), likeness(own_mark, mark),
-                            longest_common_extension(own_pre, 0, pre, 0)))
-            last = part, doc_id, text, pre, mark
+                own = last[2]
+                edited, mark = own.edited(doc)
+                out.append((last[1], len(own.text), hashlib.sha256(edited.encode()).hexdigest(), own.fingerprint, mark,
+                            likeness(own.fingerprint, mark), likeness(own.fingerprint, doc.fingerprint),
+                            longest_common_extension(own.prefixes, 0, doc.prefixes, 0)))
+            last = part, doc_id, doc
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], names)
 
 

@@ -65,8 +65,17 @@ def test_likeness_follows_shared_spans():
     rng = random.Random(1)
     text = "".join(rng.choice("abcdefgh ") for _ in range(8000))
     other = "".join(rng.choice("abcdefgh ") for _ in range(8000))
-    mark = lambda t: fp.fingerprint(fp.Prefixes(t))
+    mark = fp.fingerprint
     assert fp.likeness(mark(text), mark(other)) < 0.05
     assert abs(fp.likeness(mark(text), mark(text[:4000] + other[:4000])) - 1 / 3) < 0.2
     assert fp.likeness(mark(text), mark("x" + text)) > 0.9
-    assert len(fp.fingerprint(fp.Prefixes("a" * 100_000))) < 60
+    assert len(fp.fingerprint("a" * 100_000)) < 60
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.text("abc🙂", max_size=120), st.text("abc🙂", max_size=120))
+def test_edited_fingerprint_is_composed_from_the_parts(x, y):
+    half = len(x) // 2
+    text, mark = fp.Document(x).edited(fp.Document(y))
+    assert text == x[:len(x) - half] + y[:half]
+    assert mark == fp.fingerprint(text)
