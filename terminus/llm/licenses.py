@@ -3,10 +3,17 @@
 *Own licence.* Every text is read whole. Its licence passages are its lines with
 a cue word and the runs of neighbouring such lines; a licence file (named
 LICENSE, COPYING, ..) is also taken as a whole. Each passage is a sparse TF-IDF
-vector; the template with the largest cosine gives the licence if it reaches
-``THRESHOLD``. Document frequencies are counted over all texts, but only for the
-templates' few hundred terms; a term that no template has counts as one that no
-document has, so unrelated words push a passage away from every template.
+vector, and so is each window of it with as many terms as a template: words
+around a notice then count for nothing. The template with the largest cosine
+gives the licence if it reaches ``THRESHOLD``. A licence file without any cue
+word is only compared as a whole. An ``SPDX-License-Identifier`` is taken as it
+stands (score 1).
+
+*Document frequencies* are counted over all words of all texts. A term in fewer
+than one in ``RARE`` texts weighs as one in ``RARE``: a term with a fixed share
+of the texts then weighs the same in a table of ``RARE`` texts or any larger
+one. So only terms above that share need a count: at most ``RARE`` times the
+mean number of distinct terms of a text, however many texts there are.
 
 *Inheritance.* A file without a licence takes that of the nearest directory at
 or above its own that holds a licence file with one. Distinct directories are
@@ -28,9 +35,13 @@ from pyspark.sql import functions as F
 from terminus.llm.common import table, written
 
 THRESHOLD = 0.6
+RARE = 1000
+COUNTED_AT_ONCE = 200_000
 SALTS = 8
 TERM = re.compile(r"[a-z0-9]+(?:\.[0-9]+)*")
 CUE = re.compile(r"licen[sc]|copyright|spdx|redistribut|permission|public domain", re.I)
+SPDX = re.compile(r"SPDX-License-Identifier:[ \t]*(\(*[a-z0-9][a-z0-9.+:-]*\)*(?:[ \t]+(?:and|or|with)[ \t]+\(*[a-z0-9][a-z0-9.+:-]*\)*)*)",
+                  re.I)
 LICENCE_FILE = r"(?i)^(un)?licen[sc]e|^copying|^notice"
 
 # Customary notices of public licences.
@@ -66,7 +77,26 @@ def terms(text: str) -> list[str]:
     return TERM.findall(text.lower())
 
 
-VOCABULARY = frozenset(t for _, text in TEMPLATES for t in terms(text))
+class Terms:
+    """All terms there can be."""
+
+    def __contains__(self, term: str) -> bool:
+        return TERM.fullmatch(term) is not None
+
+
+VOCABULARY = Terms()  # whose document frequencies count
+NAMES = {name.lower(): name for name, _ in TEMPLATES}
+
+
+def declared(text: str) -> str | None:
+    """The first SPDX expression of a text; a single identifier by its template's
+    name (``-only``, ``-or-later`` and ``+`` left out) if it has one."""
+    for m in SPDX.finditer(text):
+        found = " ".join(m.group(1).split())
+        found += ")" * (found.count("(") - found.count(")"))
+        if found.upper() not in ("NONE", "NOASSERTION"):
+            return NAMES.get(re.sub(r"(-only|-or-later|\+)$", "", found.lower()), found)
+    return None
 
 
 def passages(text: str, whole: bool) -> list[str]:
@@ -89,34 +119,64 @@ class Matcher:
     """Best template of a passage by TF-IDF cosine."""
 
     def __init__(self, n_docs: int, df: dict[str, int]):
-        self.unseen = math.log(1 + n_docs) + 1
-        self.idf = {t: math.log((1 + n_docs) / (1 + df.get(t, 0))) + 1 for t in VOCABULARY}
-        self.templates = [(name, self.vector(text)) for name, text in TEMPLATES]
+        weight = lambda n: min(math.log((1 + n_docs) / (1 + n)), math.log(1 + RARE)) + 1
+        self.unseen = weight(0)
+        self.idf = {t: weight(n) for t, n in df.items()}
+        self.templates = [(name, self.vector(terms(text)), len(terms(text))) for name, text in TEMPLATES]
 
-    def vector(self, text: str) -> dict[str, float]:
-        raw = {t: n * self.idf.get(t, self.unseen) for t, n in Counter(terms(text)).items()}
+    def vector(self, words: list[str]) -> dict[str, float]:
+        raw = {t: n * self.idf.get(t, self.unseen) for t, n in Counter(words).items()}
         norm = math.sqrt(sum(v * v for v in raw.values())) or 1.0
-        return {t: v / norm for t, v in raw.items() if t in VOCABULARY}
+        return {t: v / norm for t, v in raw.items()}
+
+    def window(self, words: list[str], template: dict[str, float], size: int) -> float:
+        """The largest cosine of ``size`` neighbouring words."""
+        weights = [self.idf.get(t, self.unseen) for t in words]
+        held, square, dot, best = Counter(), 0.0, 0.0, 0.0
+        for i, (t, w) in enumerate(zip(words, weights, strict=True)):
+            square += (2 * held[t] + 1) * w * w
+            held[t] += 1
+            dot += w * template.get(t, 0.0)
+            if i >= size:
+                t, w = words[i - size], weights[i - size]
+                square -= (2 * held[t] - 1) * w * w
+                held[t] -= 1
+                dot -= w * template.get(t, 0.0)
+            if i >= size - 1 and dot > 0:
+                best = max(best, dot / math.sqrt(square))
+        return best
 
     def best(self, text: str, whole: bool) -> tuple[str | None, float]:
+        name = declared(text)
+        if name:
+            return name, 1.0
         found = (0.0, "")
         for passage in passages(text, whole):
-            v = self.vector(passage)
-            for name, t in self.templates:
-                score = round(sum(w * v.get(term, 0.0) for term, w in t.items()), 9)
-                found = max(found, (score, name))
+            words = terms(passage)
+            v, cue = self.vector(words), CUE.search(passage)
+            for name, t, size in self.templates:
+                score = sum(w * v.get(term, 0.0) for term, w in t.items())
+                if cue and len(words) > size:
+                    score = max(score, self.window(words, t, size))
+                found = max(found, (round(score, 9), name))
         return (found[1] if found[0] >= THRESHOLD else None), found[0]
 
 
 def _document_frequency(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    df, n = Counter(), 0
+    """Texts per term, added up over the partition as far as memory goes; "" has the number of texts."""
+    df = Counter()
+
+    def counted() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(df.keys(), pa.string()), pa.array(df.values(), pa.int64())], ["term", "n"])
+
     for batch in batches:
-        n += batch.num_rows
+        df[""] += batch.num_rows
         for text in batch.column(0):
-            df.update(VOCABULARY.intersection(terms(text.as_py() or "")))
-    rows = [("", n), *df.items()]
-    yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in rows], pa.string()),
-                                      pa.array([c for _, c in rows], pa.int64())], ["term", "n"])
+            df.update(set(terms(text.as_py() or "")))
+            if len(df) >= COUNTED_AT_ONCE:
+                yield counted()
+                df.clear()
+    yield counted()
 
 
 def _scan(model):
@@ -149,9 +209,11 @@ def scan(files: DataFrame, salts: int = SALTS) -> DataFrame:
     spark = files.sparkSession
     rows = files.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("path").cast("string").alias("path"),
                         F.col("text").cast("string").alias("text"))
-    counted = {r.term: r.n for r in rows.select("text").mapInArrow(_document_frequency, "term string, n bigint")
-               .groupBy("term").agg(F.sum("n").alias("n")).collect()}  # the templates' terms at most
-    model = spark.sparkContext.broadcast((counted.pop("", 0), counted))
+    counted = written(rows.select("text").mapInArrow(_document_frequency, "term string, n bigint")
+                      .groupBy("term").agg(F.sum("n").alias("n")))
+    n_docs = counted.filter("term = ''").agg(F.sum("n")).first()[0] or 0
+    often = counted.filter((F.col("term") != "") & ((F.col("n") + 1) * (RARE + 1) > n_docs + 1)).collect()  # bounded: see above
+    model = spark.sparkContext.broadcast((n_docs, {r.term: r.n for r in often}))
     name = F.regexp_extract(F.coalesce("path", F.lit("")), r"([^/]*)$", 1)
     found = written(rows.withColumn("licence_file", name.rlike(LICENCE_FILE)).select("doc_id", "path", "text", "licence_file")
                     .mapInArrow(_scan(model), "doc_id bigint, path string, licence_file boolean, own_license string, "

@@ -70,3 +70,44 @@ def test_inheritance_and_edges(spark):
     root = df.union(spark.createDataFrame([(20, "LICENSE", mit, "q")], df.schema))
     assert {r.doc_id: r.license for r in lc.scan(root).collect()}[6] == "MIT"
     assert lc.scan(df.limit(0)).count() == 0
+
+
+NOTICES = [(lc.TEMPLATES[k][0], around.format(lc.TEMPLATES[k][1].rstrip("."))) for k in (0, 2, 3, 5, 8, 12)
+           for around in ("Jane Roe 2019: our project and its contents are {} since the year 2021, see below.",
+                          "Copyright (c) 2024 Example Ltd and others. {}, as every other part of the example project is")]
+
+
+def test_the_same_notices_at_several_corpus_sizes():
+    plain = ["our project and its contents", "the year of the others is below", "every other part since then"]
+    for n in (100, 10_000, 300_000):  # template words in a fixed share of the texts, names in none
+        df = {t: n // 100 for _, text in lc.TEMPLATES for t in lc.terms(text)} | {t: n // 3 for x in plain for t in lc.terms(x)}
+        match = lc.Matcher(n, df)
+        for name, notice in NOTICES:
+            assert match.best(f"first line\n{notice}\nlast line", False) == (name, 1.0)
+        for other in ("All rights reserved, copyright 2020 by the publisher", "You need a licence to drive our project's van"):
+            assert match.best(other, False)[0] is None
+    near = "Licensed under our usual terms of the Apache License, of course Version 2.0"
+    small, large = (lc.Matcher(n, {t: n // 100 for _, text in lc.TEMPLATES for t in lc.terms(text)}).best(near, False)
+                    for n in (10_000, 300_000))
+    assert small[0] == large[0] == "Apache-2.0" and abs(small[1] - large[1]) < 0.01
+
+
+def test_all_words_are_counted(spark):
+    """A word of no template weighs by its own frequency; n is counted over all partitions."""
+    rows = [(i, f"a/{i}", "common words here" + (" and rare" if i == 7 else "")) for i in range(40)]
+    rows += [(50, "b/LICENSE", "common MIT here"), (51, "c/LICENSE", "rare MIT words")]
+    got = {r.doc_id: r.own_score for r in lc.scan(spark.createDataFrame(rows, "doc_id long, path string, text string").repartition(5)).collect()}
+    assert got[50] > 1.15 * got[51] > 0
+    df = Counter()
+    for batch in lc._document_frequency(iter([lc.pa.RecordBatch.from_arrays([lc.pa.array([f"w{i} x", None])], ["t"]) for i in range(9)])):
+        for r in batch.to_pylist():
+            df[r["term"]] += r["n"]
+    assert df == {"": 18, "x": 9, **{f"w{i}": 1 for i in range(9)}}
+
+
+def test_spdx_identifiers():
+    match = lc.Matcher(10, {})
+    for text, want in (("# SPDX-License-Identifier: MIT\ncode", "MIT"), ("/* SPDX-License-Identifier: GPL-3.0-or-later */", "GPL-3.0"),
+                       ("SPDX-License-Identifier: (MIT OR Apache-2.0)", "(MIT OR Apache-2.0)"), ("spdx-license-identifier: bsd-2-Clause", "bsd-2-Clause"),
+                       ("SPDX-License-Identifier: NOASSERTION", None)):
+        assert match.best(text, False)[0] == want
