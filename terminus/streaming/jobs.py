@@ -252,6 +252,14 @@ ADMISSION_OUT = "request_id long, trip_id long, seat_count int, decision string,
 ADMISSION_STATE = "seats_left int, last_ts timestamp_ntz, last_id long"
 
 
+def _decisions(rows: pd.DataFrame, accepted, reason) -> pd.DataFrame:
+    return pd.DataFrame({"request_id": rows["request_id"].astype("int64").to_numpy(),
+                         "trip_id": rows["trip_id"].astype("int64").to_numpy(),
+                         "seat_count": rows["seat_count"].astype("Int32").array,
+                         "decision": ["accepted" if a else "rejected" for a in accepted],
+                         "reason": pd.Series(reason, dtype=object)})
+
+
 def _admit(key, pdfs, state: GroupState):
     """Per trip: admit requests in (requested_at, request_id) order while
     seats last. The state is the free seats and the last request decided; the
@@ -260,33 +268,38 @@ def _admit(key, pdfs, state: GroupState):
     A request that sorts before the last one decided cannot be fitted in any
     more: it is rejected as ``late`` and takes no seat. Same exact pruning as the
     batch job: with ``left`` free seats at the start of the batch, only the first
-    floor(left / s) requests of each size s can be accepted.
+    floor(left / s) requests of each size s can be accepted. The chunks of a trip
+    come in no order; after each one only those first requests so far are held
+    (their number depends on the free seats alone), and the others go out as
+    rejected.
     """
-    rows = pd.concat(list(pdfs), ignore_index=True).sort_values(["requested_at", "request_id"])
-    left, last = int(rows["_avail"].iloc[0]), None
-    if state.exists:
-        left, last = state.get[0], (pd.Timestamp(state.get[1]), state.get[2])
-    at = list(zip(pd.to_datetime(rows["requested_at"]), rows["request_id"].astype("int64"), strict=True))
-    late = pd.Series([last is not None and k <= last for k in at], index=rows.index)
-    n = rows["seat_count"].fillna(0).astype("int64")
-    rank = n[~late].groupby(n[~late], sort=False).cumcount().reindex(rows.index, fill_value=0) + 1
-    valid = (n >= 1) & ~late
-    cand = (valid & (rank * n <= left)).to_numpy()
-    n = n.to_numpy()
-    ok = [False] * len(n)
-    for i in cand.nonzero()[0]:
-        if n[i] <= left:
-            left -= int(n[i])
-            ok[i] = True
-    newest = max([k for k in at] + ([last] if last else []))
+    order = ["requested_at", "request_id"]
+    left, last = (state.get[0], (pd.Timestamp(state.get[1]), state.get[2])) if state.exists else (None, None)
+    newest, held = last, None
+    for rows in pdfs:
+        if not len(rows):
+            continue
+        left = int(rows["_avail"].iloc[0]) if left is None else left
+        rows = rows.sort_values(order)
+        at = list(zip(pd.to_datetime(rows["requested_at"]), rows["request_id"].astype("int64"), strict=True))
+        newest = max(at if newest is None else [*at, newest])
+        late = pd.Series([last is not None and k <= last for k in at], index=rows.index)
+        valid = rows["seat_count"].fillna(0) >= 1
+        out = rows[late | ~valid]
+        if len(out):
+            yield _decisions(out, [False] * len(out), ["late" if z else "invalid_seat_count" for z in late[out.index]])
+        rows = rows[valid & ~late].astype({"seat_count": "int64"})
+        held = (rows if held is None else pd.concat([held, rows], ignore_index=True)).sort_values(order)
+        first = (held.groupby("seat_count").cumcount() + 1) * held["seat_count"] <= left
+        out, held = held[~first], held[first]
+        if len(out):
+            yield _decisions(out, [False] * len(out), ["not_enough_seats"] * len(out))
+    ok = []
+    for n in held["seat_count"]:
+        ok.append(n <= left)
+        left -= int(n) if ok[-1] else 0
     state.update((int(left), newest[0].to_pydatetime(), int(newest[1])))
-    reason = [None if a else "late" if z else "not_enough_seats" if v else "invalid_seat_count"
-              for a, z, v in zip(ok, late, valid, strict=True)]
-    yield pd.DataFrame({"request_id": rows["request_id"].astype("int64").to_numpy(),
-                        "trip_id": rows["trip_id"].astype("int64").to_numpy(),
-                        "seat_count": rows["seat_count"].astype("int32").to_numpy(),
-                        "decision": ["accepted" if a else "rejected" for a in ok],
-                        "reason": pd.Series(reason, dtype=object)})
+    yield _decisions(held, ok, [None if a else "not_enough_seats" for a in ok])
 
 
 def stream_admission(requests: DataFrame, trips: DataFrame, delay: str | None = None) -> DataFrame:
@@ -312,13 +325,31 @@ def stream_admission(requests: DataFrame, trips: DataFrame, delay: str | None =
     return folded.unionByName(rejected)
 
 
-def run_stream_admission(t: Tables) -> DataFrame:
+ADMISSION_BATCHES = 4
+
+
+def in_time_order(feed: DataFrame, ts_col: str, batches: int) -> list[DataFrame]:
+    """``feed`` cut at quantiles of ``ts_col`` into ``batches`` parts (equal
+    times in one part; nulls in the last)."""
+    at = F.unix_timestamp(ts_col)
+    cuts = sorted(set(feed.select(at.cast("double").alias("s")).approxQuantile("s", [k / batches for k in range(1, batches)], 0.01)))
+    part = sum((F.when(at <= c, 0).otherwise(1) for c in cuts), F.lit(0))
+    return [feed.filter(part == k) for k in range(len(cuts) + 1)]
+
+
+def run_stream_admission(t: Tables, batches: int = ADMISSION_BATCHES) -> DataFrame:
+    """X07 over a feed that arrives in requested_at order, one micro-batch after
+    the other: each part is written and the query resumed from its checkpoint, so
+    every batch but the first decides from the state of those before it."""
     spark = t.bookings.sparkSession
-    src = _source(t, rq.booking_requests(t), "x07", None)  # one batch: in order
-    out = scratch(spark, "x07-out")
+    feed = materialized(rq.booking_requests(t))
+    folder, out, ckpt = (scratch(spark, "x07-" + x) for x in ("feed", "out", "ckpt"))
     snap = materialized(rq.empty_trips(t).select("trip_id", "trip_status", "seats_available"))
-    run_to_end(stream_admission(src, snap).writeStream.outputMode("append")
-               .format("parquet").option("path", out), scratch(spark, "x07-ckpt"))
+    for part in in_time_order(feed, "requested_at", batches):
+        part.write.mode("append").parquet(folder)
+        src = read_stream(spark, folder, feed.schema)  # all new files: one batch
+        run_to_end(stream_admission(src, snap).writeStream.outputMode("append")
+                   .format("parquet").option("path", out), ckpt)
     return spark.read.schema(ADMISSION_OUT).parquet(out)
 
 

@@ -155,3 +155,62 @@ def test_unreadable_sink_is_an_error(spark, tmp_path):
     with pytest.raises(Exception):
         feed.latest_per_key(spark, f"file://{tmp_path}/out", ["k"], spark.range(0).schema)
     assert feed.latest_per_key(spark, f"file://{tmp_path}/none", ["id"], spark.range(0).schema).count() == 0
+
+
+class Held:
+    """A group's state outside a stream."""
+
+    def __init__(self):
+        self.exists, self.get = False, None
+
+    def update(self, value):
+        self.exists, self.get = True, value
+
+
+def test_admission_reads_a_trip_chunk_by_chunk():
+    """Requests that cannot be accepted go out before the next chunk is read, and
+    the decisions are those of a plain loop, whatever the order of the chunks."""
+    import random
+
+    import pandas as pd
+    rng, state, want, seats, first = random.Random(5), Held(), {}, 23, True
+    for batch in range(3):
+        rows = [(1000 * batch + i, 7, rng.choice([0, 1, 2, 3, 9, None]), T0 + batch * DAY + dt.timedelta(minutes=rng.randrange(200)), 23)
+                for i in range(400 if batch else 4)]
+        if batch == 2:
+            rows.append((9999, 7, 1, T0, 23))
+        for i, _, n, at, _ in sorted(rows, key=lambda r: (r[3], r[0])):
+            want[i] = "late" if i == 9999 else "invalid_seat_count" if not n else None if n <= seats else "not_enough_seats"
+            seats -= n if want[i] is None else 0
+        rng.shuffle(rows)
+        read, got, waiting = 0, {}, 0
+
+        def chunks():
+            nonlocal read
+            for k in range(0, len(rows), 50):
+                read += len(rows[k:k + 50])
+                yield pd.DataFrame(rows[k:k + 50], columns=["request_id", "trip_id", "seat_count", "requested_at", "_avail"])
+
+        for out in sj._admit((7,), chunks(), state):
+            got |= dict(zip(out["request_id"], (r if isinstance(r, str) else None for r in out["reason"]), strict=True))
+            waiting = max(waiting, read - len(got))
+        assert {i: want[i] for i in got} == got and len(got) == len(rows)
+        assert waiting < 50 + 23 * 3
+        assert state.get[0] == seats
+
+
+def test_registered_admission_runs_over_several_batches(spark, tables, monkeypatch):
+    paths = []
+    monkeypatch.setattr(sj, "scratch", lambda s, name: paths.append(feed.scratch(s, name)) or paths[-1])
+    got = {r.request_id: r.decision for r in sj.run_stream_admission(tables).collect()}
+    (ckpt,) = [p for p in paths if "x07-ckpt" in p]
+    commits = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(ckpt + "/commits")
+    names = {f.getPath().getName() for f in commits.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(commits)}
+    assert {"0", "1", "2", "3"} <= names
+    reqs = rq.booking_requests(tables)
+    want = {r.request_id: r.decision for r in lc.admit_bookings(
+        rq.empty_trips(tables), reqs, tables.bookings, tables.payment_log, tables_now()).decisions.collect()}
+    assert got == want
+    parts = sj.in_time_order(reqs, "requested_at", 4)
+    edges = [p.agg(F.min("requested_at"), F.max("requested_at")).first() for p in parts]
+    assert all(a[1] < b[0] for a, b in zip(edges, edges[1:])) and sum(p.count() for p in parts) == reqs.count()
