@@ -11,7 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terminus.llm import embedding_dedup, fingerprints, html_text, language_id, licenses, mixing, near_dedup, packing, token_counts, url_filters
+from terminus.llm import (embedding_dedup, fingerprints, hard_negatives, html_text, language_id, lexical_search, licenses, mixing,
+                          near_dedup, packing, token_counts, url_filters)
 from terminus.llm.common import table
 
 
@@ -56,6 +57,16 @@ def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_embeddings(table(spark, sf_dir, "embeddings"))
 
 
+def op11_best_position_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").withColumn(
+        "label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return hard_negatives.mine(rows, F.col("vec_id") % 100 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_suffix_array": op1_html_suffix_array,
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
@@ -67,9 +78,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_language_id": op7_language_id,
     "op8_embedding_near_dedup": op8_embedding_near_dedup,
     "op9_hierarchical_mixing": op9_hierarchical_mixing,
+    "op11_best_position_search": op11_best_position_search,
+    "op12_hard_negatives": op12_hard_negatives,
 }
 
 ORACLE: dict[str, str] = {
     "op4_url_filters": url_filters.oracle_sql(),
     "op9_hierarchical_mixing": mixing.oracle_sql(),
+    "op11_best_position_search": lexical_search.oracle_sql(),
+    "op12_hard_negatives": hard_negatives.oracle_sql(),
 }
