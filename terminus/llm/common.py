@@ -27,6 +27,27 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Owner of written tables that are needed until an operator's result is written."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.paths: list[str] = []
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        self.paths.append(f"{checkpoint_dir(self.spark)}/{uuid.uuid4().hex}")
+        df.write.parquet(self.paths[-1])
+        return self.spark.read.schema(df.schema).parquet(self.paths[-1])
+
+    def release(self, *tables: DataFrame) -> None:
+        """Delete the files behind these tables of ``keep``, or all of them."""
+        gone = {p for t in tables for p in self.paths if any(p in f for f in t.inputFiles()[:1])} if tables else set(self.paths)
+        for path in gone:
+            at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+            self.paths.remove(path)
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """Finalizer of splitmix64, element by element (wraps modulo 2**64)."""
     x = x ^ (x >> np.uint64(30))

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terminus.llm import (embedding_dedup, fingerprints, hard_negatives, html_text, language_id, lexical_search, licenses, mixing,
-                          near_dedup, packing, token_counts, url_filters)
+                          near_dedup, packing, repeats, token_counts, url_filters)
 from terminus.llm.common import table
 
 
@@ -67,6 +67,12 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.mine(rows, F.col("vec_id") % 100 == 0)
 
 
+def op13_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    size, kept = F.length("text").cast("bigint"), F.length("kept").cast("bigint")
+    return repeats.strip_repeats(table(spark, sf_dir, "documents"), columns={
+        "n_bytes": size, "n_removed": size - kept, "n_spans": F.size("spans").cast("bigint"), "kept_sha256": F.sha2("kept", 256)})
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_suffix_array": op1_html_suffix_array,
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
@@ -80,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_hierarchical_mixing": op9_hierarchical_mixing,
     "op11_best_position_search": op11_best_position_search,
     "op12_hard_negatives": op12_hard_negatives,
+    "op13_suffix_repeats": op13_suffix_repeats,
 }
 
 ORACLE: dict[str, str] = {
