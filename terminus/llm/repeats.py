@@ -199,9 +199,11 @@ def _pass(records: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """One digit: (runs found to repeat, runs of buckets that the next digit must
     split). ``records`` may be computed twice."""
     done = F.col("run").bitwiseAND(F.lit(1 << TAG_BITS)) != 0
-    buckets = (records.groupBy("digit").agg(F.count("*").alias("n"), F.min("whole").alias("lo"), F.max("whole").alias("hi"),
-                                            F.min(done).alias("all_done"))
-               .filter("n > 1 and not all_done").select("digit", (F.col("lo") == F.col("hi")).alias("equal")))
+    # Written first: as a plain side of the join it lets a hot bucket's records be split over tasks.
+    buckets = scratch.keep(
+        records.groupBy("digit").agg(F.count("*").alias("n"), F.min("whole").alias("lo"), F.max("whole").alias("hi"),
+                                     F.min(done).alias("all_done"))
+        .filter("n > 1 and not all_done").select("digit", (F.col("lo") == F.col("hi")).alias("equal")))
     met = scratch.keep(records.join(buckets, "digit").withColumn("done", done))
     mixed = met.filter("not equal")
     classes = scratch.keep(mixed.groupBy("digit", "whole").agg(
@@ -211,7 +213,7 @@ def _pass(records: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
         mixed.filter("not done").join(again, ["digit", "whole"], "left_semi").select("text_key", "run")))
     left = scratch.keep(classes.select("r.text_key", F.when(F.expr("n > 1 or done"), F.col("r.run").bitwiseOR(F.lit(1 << TAG_BITS)))
                                        .otherwise(F.col("r.run")).alias("run")))
-    scratch.release(met, classes)
+    scratch.release(buckets, met, classes)
     return found, left
 
 
