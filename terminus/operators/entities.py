@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terminus.functions.scalar import ACTIVE_TRIP, folded
+from terminus.operators.claims import settle
 from terminus.operators.lifecycle import JobResult, _decide, _max_id, first_per_key, upsert
 from terminus.plans.ranking import sequence_within
 from terminus.sources.tables import Tables
@@ -28,28 +29,52 @@ def _known(requests: DataFrame, target: DataFrame, key: str) -> DataFrame:
 def _update(target: DataFrame, requests: DataFrame, key: str, unknown: str,
             taken: str | None = None, clash: str | None = None) -> JobResult:
     """UPDATE by ``key``. With ``taken`` that column must stay unique under the
-    collation: a value that another row has in the snapshot, or that an earlier
-    request of the batch gives to another row, is refused with ``clash``."""
+    collation: a value that another row holds when its turn comes is refused with
+    ``clash``; one that its holder has left before is free (claims.py)."""
     j = _known(requests, target, key)
-    reason = F.when(F.col("_hit").isNull(), unknown)
     if taken:
-        j = j.withColumn("_fold", folded(taken))
-        owner = target.select(folded(taken).alias("_ofold"), F.col(key).alias("_okey"))
-        other = (j.join(owner, (F.col("_fold") == F.col("_ofold")) & (F.col(key) != F.col("_okey")), "left_semi")
-                 .select("request_id").distinct().withColumn("_clash", F.lit(True)))
-        j = j.join(other, "request_id", "left")
-        first = j.filter("_hit and _clash is null").groupBy("_fold").agg(F.min(F.struct("request_id", key)).alias("_f"))
-        j = j.join(first.select("_fold", F.col(f"_f.{key}").alias("_owner")), "_fold", "left")
-        reason = reason.when(F.col("_clash") | (F.col("_owner") != F.col(key)), clash)
-    j = j.withColumn("_reason", reason).withColumn("_bad", F.col("_reason").isNotNull())
-    j = first_per_key(j, key, ["_bad", "request_id"])
-    j = j.withColumn("_reason", F.when(~F.col("_bad") & F.col("_dup"), "duplicate_in_batch").otherwise(F.col("_reason")))
+        claims = j.filter("_hit").select("request_id", F.col(key).alias("row"), folded(taken).alias("value"))
+        got = settle(target.select(F.col(key).alias("row"), folded(taken).alias("held")), claims)
+        j = j.join(got, "request_id", "left").withColumn(
+            "_reason", F.when(F.col("_hit").isNull(), unknown).when(F.col("outcome") == "clash", clash)
+            .when(F.col("outcome") != "accepted", F.col("outcome")))
+    else:
+        j = j.withColumn("_reason", F.when(F.col("_hit").isNull(), unknown)).withColumn("_bad", F.col("_reason").isNotNull())
+        j = first_per_key(j, key, ["_bad", "request_id"])
+        j = j.withColumn("_reason", F.when(~F.col("_bad") & F.col("_dup"), "duplicate_in_batch").otherwise(F.col("_reason")))
     ok = F.col("_reason").isNull()
     decisions = j.select("request_id", key, *_decide(ok, F.col("_reason")))
     cols = [c for c in target.columns if c in requests.columns and c != key]
     return JobResult(decisions, upsert(target, j.filter(ok).select(key, *cols), key))
 
 
+def _write(target: DataFrame, requests: DataFrame, key: str, unknown: str, unique: str, clash: str,
+           defaults: dict[str, Column]) -> JobResult:
+    """Creations (``key`` null) and updates in one batch, in ``request_id`` order:
+    a value that an update leaves may go to a row created after it."""
+    j = _known(requests, target, key).withColumn("kind", F.when(F.col(key).isNull(), "create").otherwise("update"))
+    # A row to be created has no key yet: its request stands for it.
+    row = F.struct(F.col(key).isNotNull().cast("int").alias("of"), F.coalesce(F.col(key), F.col("request_id")).cast("bigint").alias("id"))
+    claims = j.filter("_hit or kind = 'create'").select("request_id", row.alias("row"), folded(unique).alias("value"))
+    held = target.select(F.struct(F.lit(1).alias("of"), F.col(key).cast("bigint").alias("id")).alias("row"), folded(unique).alias("held"))
+    j = j.join(settle(held, claims), "request_id", "left").withColumn(
+        "_reason", F.when(F.col("outcome").isNull(), unknown).when(F.col("outcome") == "clash", clash)
+        .when(F.col("outcome") != "accepted", F.col("outcome")))
+    ok = F.col("_reason").isNull()
+    new = j.filter(ok & (F.col("kind") == "create"))
+    seq = sequence_within(new.select(F.col("request_id").alias("_rid")), [], [F.col("_rid").asc()], out="_seq")
+    j = (j.join(seq, F.col("request_id") == F.col("_rid"), "left")
+         .withColumn(key, F.coalesce(F.col(key), _max_id(target, key) + F.col("_seq"))))
+    decisions = j.select("request_id", "kind", *_decide(ok, F.col("_reason")), key)
+    cols = [c for c in target.columns if c in requests.columns and c != key]
+    changed = upsert(target, j.filter(ok & (F.col("kind") == "update")).select(key, *cols), key).select(target.columns)
+    made = j.filter(ok & (F.col("kind") == "create"))
+    for name, value in defaults.items():
+        made = made.withColumn(name, value)
+    return JobResult(decisions, changed.unionByName(made.select(
+        *[F.col(c) if c in made.columns else F.lit(None).cast(target.schema[c].dataType).alias(c) for c in target.columns])))
+
+
 def _create(target: DataFrame, requests: DataFrame, key: str, defaults: dict[str, Column],
             unique: str | None = None, clash: str | None = None) -> JobResult:
     """INSERT with ids that continue from the maximum, in request order."""
@@ -97,6 +122,18 @@ def update_vehicles(vehicles: DataFrame, requests: DataFrame) -> JobResult:
     return _update(vehicles, requests, "vehicle_id", "unknown_vehicle", "plate_number", "plate_exists")
 
 
+def write_users(users: DataFrame, requests: DataFrame, now: Column) -> JobResult:
+    """Sign-ups (``user_id`` null) and profile updates of one batch."""
+    return _write(users, requests, "user_id", "unknown_user", "email", "email_in_use",
+                  {"status": F.lit("active"), "role": F.coalesce(F.col("role"), F.lit("passenger")), "created_at": now})
+
+
+def write_vehicles(vehicles: DataFrame, requests: DataFrame) -> JobResult:
+    """Creations (``vehicle_id`` null) and updates of one batch."""
+    return _write(vehicles, requests, "vehicle_id", "unknown_vehicle", "plate_number", "plate_exists",
+                  {"vehicle_status": F.lit("available")})
+
+
 def _delete(target: DataFrame, requests: DataFrame, key: str, reason: Column, j: DataFrame) -> JobResult:
     """Decisions on ``j`` (the requests with what ``reason`` needs), and the rows that stay."""
     j = j.withColumn("_reason", reason).withColumn("_bad", F.col("_reason").isNotNull())
