@@ -163,6 +163,10 @@ register("update_routes")(lambda t: en.update_routes(t.routes, rq.route_updates(
 register("update_routes_snapshot")(lambda t: en.update_routes(t.routes, rq.route_updates(t)).snapshot)
 register("create_vehicles")(lambda t: en.create_vehicles(t.vehicles, rq.new_vehicles(t)).decisions)
 register("update_vehicles")(lambda t: en.update_vehicles(t.vehicles, rq.vehicle_updates(t)).decisions)
+register("write_vehicles")(lambda t: en.write_vehicles(t.vehicles, rq.vehicle_batch(t)).decisions)
+register("write_vehicles_snapshot")(lambda t: en.write_vehicles(t.vehicles, rq.vehicle_batch(t)).snapshot)
+register("write_users")(lambda t: en.write_users(t.users, rq.user_batch(t), F.lit(str(P.now)).cast("timestamp_ntz")).decisions)
+register("write_users_snapshot")(lambda t: en.write_users(t.users, rq.user_batch(t), F.lit(str(P.now)).cast("timestamp_ntz")).snapshot)
 register("delete_routes")(lambda t: en.delete_routes(t.routes, t.trips, rq.route_deletes(t)).decisions)
 register("delete_vehicles")(lambda t: en.delete_vehicles(t.vehicles, t.trips, rq.vehicle_deletes(t)).decisions)
 register("delete_vehicles_trips")(lambda t: en.delete_vehicles(t.vehicles, t.trips, rq.vehicle_deletes(t)).extra["trips"].select(

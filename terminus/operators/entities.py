@@ -124,8 +124,9 @@ def update_vehicles(vehicles: DataFrame, requests: DataFrame) -> JobResult:
 
 def write_users(users: DataFrame, requests: DataFrame, now: Column) -> JobResult:
     """Sign-ups (``user_id`` null) and profile updates of one batch."""
+    role = F.coalesce(F.col("role"), F.lit("passenger")) if "role" in requests.columns else F.lit("passenger")
     return _write(users, requests, "user_id", "unknown_user", "email", "email_in_use",
-                  {"status": F.lit("active"), "role": F.coalesce(F.col("role"), F.lit("passenger")), "created_at": now})
+                  {"status": F.lit("active"), "role": role, "created_at": now})
 
 
 def write_vehicles(vehicles: DataFrame, requests: DataFrame) -> JobResult:

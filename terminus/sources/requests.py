@@ -216,6 +216,43 @@ def vehicle_updates(t: Tables) -> DataFrame:
                     "last_maintenance_date")
 
 
+def _handovers(df: DataFrame, key: str, col: str) -> DataFrame:
+    """A batch in which ``col`` changes hands, from the highest key down: every row
+    asks for the value of the row above, which has just left it (the last of ten
+    moves to a new one); after every fifth, a new row asks for what that one had,
+    so the row below finds it taken; every third asks again, for the value of the
+    first of its ten. ``request_id, key`` (null: a row to be created), ``col``, and
+    the row it stems from as ``_of``."""
+    h = _next(df.select(key, col), key, col)
+    first = df.select(F.col(key).alias("_fk"), F.col(col).alias("_first"))
+    ten = F.floor(F.col(key) / 10)
+    h = h.join(first, ten * 10 == F.col("_fk"), "left")
+    turn = 4 * (F.lit(1_000_000_000) - F.col(key))
+    moved = F.concat(F.lit("moved-"), F.col(key).cast("string"))
+    parts = [
+        h.select(turn.alias("request_id"), key, F.when(F.col(key) % 10 == 9, moved).otherwise(F.coalesce("_next", moved)).alias(col),
+                 F.col(key).alias("_of")),
+        h.filter(F.col(key) % 5 == 0).select((turn + 1).alias("request_id"), F.lit(None).cast("bigint").alias(key), F.lower(col).alias(col),
+                                            F.col(key).alias("_of")),
+        h.filter(F.col(key) % 3 == 0).select((turn + 2).alias("request_id"), key, F.coalesce(
+            "_first", F.concat(F.lit("none-"), ten.cast("string"))).alias(col), F.col(key).alias("_of"))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def vehicle_batch(t: Tables) -> DataFrame:
+    """Updates and creations of vehicles whose plates change hands."""
+    v = t.vehicles.select(F.col("vehicle_id").alias("_vk"), "make", "model", "year", "vehicle_type", (F.col("capacity") + 1).alias("capacity"))
+    h = _handovers(t.vehicles, "vehicle_id", "plate_number")
+    return h.join(v, F.col("_of") == F.col("_vk")).drop("_of", "_vk")
+
+
+def user_batch(t: Tables) -> DataFrame:
+    """Profile updates and sign-ups whose addresses change hands."""
+    u = t.users.select(F.col("user_id").alias("_uk"), F.upper("firstname").alias("firstname"), "lastname", "phone_number")
+    h = _handovers(t.users, "user_id", "email")
+    return h.join(u, F.col("_of") == F.col("_uk")).drop("_of", "_uk")
+
+
 def new_vehicles(t: Tables) -> DataFrame:
     """For every vehicle a sister vehicle; every fifth keeps the plate (refused), and
     pairs of the others share one new plate."""
