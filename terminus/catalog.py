@@ -193,6 +193,7 @@ register("stream_trip_transitions")(sj.run_stream_trip_transitions)
 register("stream_driver_status")(sj.run_stream_driver_status)
 register("stream_vehicle_status")(sj.run_stream_vehicle_status)
 register("stream_live_queue")(sj.run_stream_live_queue)
+register("stream_live_queue_snapshots")(sj.run_stream_live_queue_snapshots)
 register("stream_seat_availability")(sj.run_stream_seat_availability)
 register("stream_recent_bookings")(sj.run_stream_recent_bookings)
 register("stream_admission")(sj.run_stream_admission)
@@ -203,6 +204,7 @@ from terminus.functions.surface import scalar_surface  # noqa: E402
 from terminus.plans import views as vw  # noqa: E402
 from terminus.sources import sinks  # noqa: E402
 from terminus.streaming.feed import read_stream, run_to_end, scratch, write_feed  # noqa: E402
+from terminus.streaming.keyed import KeyedTable  # noqa: E402
 
 register("scalar_surface")(lambda t: scalar_surface(t, P.as_of))
 
@@ -251,6 +253,20 @@ def _sink_upsert(t: Tables) -> DataFrame:
         "trip_id", "assigned_vehicle_id", "capacity", "seats_booked", "seats_available", "trip_status")
 
 
+@register("sink_upsert_stream")
+def _sink_upsert_stream(t: Tables) -> DataFrame:
+    """The same changes as a stream of files into a keyed table that was seeded with the trips."""
+    spark = t.bookings.sparkSession
+    res = lc.reassign_vehicles(t.trips, t.vehicles, rq.reassignments(t))
+    ch = res.accepted.select("trip_id", F.col("vehicle_id").alias("assigned_vehicle_id"), "capacity", "seats_available", "trip_status")
+    cols = ["trip_id", "assigned_vehicle_id", "capacity", "seats_booked", "seats_available", "trip_status"]
+    table = KeyedTable(spark, scratch(spark, "upsert-out"), t.trips.select(*cols).schema, ["trip_id"])
+    table.seed(t.trips)
+    folder = write_feed(ch, scratch(spark, "upsert-feed"))
+    run_to_end(sinks.upsert_stream(read_stream(spark, folder, ch.schema, 4), table), scratch(spark, "upsert-ckpt"))
+    return table.snapshot()
+
+
 @register("sink_json_report")
 def _sink_json_report(t: Tables) -> DataFrame:
     """Each route's queue page as a ``{success, count, data}`` JSON document,

@@ -35,6 +35,12 @@ def append_log_stream(rows: DataFrame, path: str, checkpoint: str):
             .option("checkpointLocation", checkpoint).partitionBy("log_month"))
 
 
+def upsert_stream(rows: DataFrame, table, order: str | None = None):
+    """Streaming form of ``upsert``: each micro-batch goes into a ``KeyedTable``,
+    which rewrites the buckets of its keys only and counts a batch once."""
+    return rows.writeStream.outputMode("update").foreachBatch(table.writer(order))
+
+
 def json_report(df: DataFrame, key_cols: list[str] | None = None) -> DataFrame:
     """The handlers' ``{success, count, data}`` envelope, one JSON document per
     row (or per row group already nested by the caller) instead of one body

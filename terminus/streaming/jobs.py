@@ -3,8 +3,8 @@
 Each job is ``f(stream, static tables) -> DataStreamWriter``-building code plus a
 ``run_*`` helper that writes a feed derived from the tables as files, streams the
 folder with ``availableNow`` and returns the sink's batch view. Update-mode
-aggregations write through ``epoch_sink`` (idempotent per micro-batch) and
-are read back with ``latest_per_key``.
+aggregations go to a ``KeyedTable``, which rewrites only the buckets of changed
+keys (idempotent per micro-batch): reading it folds over no epochs.
 
 Results do not depend on the order of the files, and no event is dropped for
 being late: without a ``delay`` the streams keep the ids they have seen. With a
@@ -16,6 +16,9 @@ rejected as ``late``.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,8 +29,8 @@ from terminus.operators import lifecycle as lc
 from terminus.plans import views
 from terminus.sources import requests as rq
 from terminus.sources.tables import Tables
-from terminus.streaming.feed import (epoch_sink, event_time, latest_per_key, materialized,
-                                     read_stream, run_to_end, scratch, write_feed)
+from terminus.streaming.feed import event_time, materialized, read_stream, run_to_end, scratch, write_feed
+from terminus.streaming.keyed import KeyedTable
 
 FILES_PER_BATCH = 4
 
@@ -51,10 +54,9 @@ def _source(t: Tables, feed: DataFrame, name: str, files_per_batch: int | None =
 
 
 def _run(spark: SparkSession, agg: DataFrame, name: str, keys: list[str]) -> DataFrame:
-    out = scratch(spark, name + "-out")
-    run_to_end(agg.writeStream.outputMode("update").foreachBatch(epoch_sink(out)),
-               scratch(spark, name + "-ckpt"))
-    return latest_per_key(spark, out, keys, agg.schema)
+    table = KeyedTable(spark, scratch(spark, name + "-out"), agg.schema, keys)
+    run_to_end(agg.writeStream.outputMode("update").foreachBatch(table.writer()), scratch(spark, name + "-ckpt"))
+    return table.snapshot()
 
 
 # ---------------------------------------------------------------------- X01
@@ -185,32 +187,117 @@ def trip_state(updates: DataFrame) -> DataFrame:
         F.max_by(F.struct(*vals), F.col("_v")).alias("s")).select("trip_id", "s.*")
 
 
-def run_stream_live_queue(t: Tables) -> DataFrame:
-    """X04: live queue per route recomputed from the streamed trip state. The feed
-    has two snapshots per trip: as queued (waiting, empty, not accepting) and as it is."""
-    spark = t.bookings.sparkSession
+def _monitored(rows: DataFrame, changed: DataFrame) -> DataFrame:
+    """``rows`` of a monitor for the changed trips, and a deletion for each that it no longer shows."""
+    left = changed.select("trip_id").join(rows.select("trip_id"), "trip_id", "left_anti").withColumn("_gone", F.lit(True))
+    return rows.withColumn("_gone", F.lit(False)).unionByName(left, allowMissingColumns=True)
+
+
+def live_queue_table(t: Tables, path: str, history: bool = False) -> tuple[KeyedTable, Callable]:
+    """X04: the live queue as a table by trip, and the ``foreachBatch`` function that
+    applies changed trips: a live trip's row is put in, another's is taken out. A
+    row depends on its own trip and the small tables only, so a batch costs its
+    own trips, and after each batch the table is the queue of that moment."""
+    shown = views.queue_status(t)
+    table = KeyedTable(t.trips.sparkSession, path, shown.schema, ["trip_id"], history=history)
+    return table, table.writer(rows=lambda batch: _monitored(
+        views.queue_status(t.replace(trips=batch.select(*t.trips.columns))), batch))
+
+
+def _queue_feed(t: Tables) -> list[DataFrame]:
+    """Two snapshots per trip: as queued (waiting, empty, not accepting) and as it is."""
     now = t.trips.withColumn("_v", F.lit(2))
     queued = (now.withColumn("trip_status", F.lit("waiting")).withColumn("seats_booked", F.lit(0))
               .withColumn("seats_available", F.col("capacity")).withColumn("is_accepting_bookings", F.lit(False))
               .withColumn("_v", F.lit(1)))
-    src = _source(t, now.unionByName(queued), "x04")
-    st = _run(spark, trip_state(src), "x04", ["trip_id"])
-    st = st.select(*t.trips.columns)
-    live = t.replace(trips=st)
-    return views.queue_status(live)
+    return [queued, now]
+
+
+def _small(t: Tables) -> Tables:
+    """The tables that the monitors join with every batch, computed once."""
+    return t.replace(**{n: materialized(getattr(t, n)) for n in ("routes", "vehicles", "users")})
+
+
+def run_stream_live_queue(t: Tables) -> DataFrame:
+    """X04: live queue, kept up to date by every micro-batch of trip snapshots."""
+    spark = t.bookings.sparkSession
+    queued, now = _queue_feed(t)
+    table, write = live_queue_table(_small(t), scratch(spark, "x04-out"))
+    run_to_end(trip_state(_source(t, now.unionByName(queued), "x04")).writeStream.outputMode("update").foreachBatch(write),
+               scratch(spark, "x04-ckpt"))
+    return table.snapshot()
+
+
+def run_stream_live_queue_snapshots(t: Tables) -> DataFrame:
+    """X04 as seen after each of two micro-batches: all trips queued, then as they are."""
+    spark = t.bookings.sparkSession
+    folder, ckpt = scratch(spark, "x04s-feed"), scratch(spark, "x04s-ckpt")
+    table, write = live_queue_table(_small(t), scratch(spark, "x04s-out"), history=True)
+    for part in _queue_feed(t):
+        part.write.mode("append").parquet(folder)
+        run_to_end(trip_state(read_stream(spark, folder, part.schema)).writeStream.outputMode("update").foreachBatch(write), ckpt)
+    after = [table.snapshot(e).withColumn("micro_batch", F.lit(i)) for i, e in enumerate(table.committed())]
+    return after[0].unionByName(after[1])
 
 
 # ---------------------------------------------------------------------- X05
+MONITOR_EVENT = "trip_id bigint, event_id bigint, seats bigint, _v bigint, trip_status string, queue_position int"
+
+
+def monitor_events(changes: DataFrame, updates: DataFrame) -> DataFrame:
+    """Booking changes and trip snapshots (``trip_id, trip_status, queue_position,
+    _v``) as one kind of event with ``MONITOR_EVENT``'s columns. A snapshot's id
+    comes from its trip and version, below zero."""
+    cols = [c.split()[0] for c in MONITOR_EVENT.split(", ")]
+    kinds = {c.split()[0]: c.split()[1] for c in MONITOR_EVENT.split(", ")}
+    seats = lc.seat_delta(F.col("old_status"), F.col("new_status"), F.col("seat_count"))
+    a = changes.withColumn("seats", seats)
+    b = updates.withColumn("event_id", -(F.col("trip_id") * 1000 + F.col("_v")))
+    return reduce(DataFrame.unionByName, [
+        x.select(*[(F.col(c) if c in x.columns else F.lit(None)).cast(kinds[c]).alias(c) for c in cols]) for x in (a, b)])
+
+
+def monitor_state(events: DataFrame) -> DataFrame:
+    """X05: per trip the seats booked (order-free sum of T1-T3 deltas) and the
+    latest status; each event counts once."""
+    return events.dropDuplicates(["event_id"]).groupBy("trip_id").agg(
+        F.coalesce(F.sum("seats"), F.lit(0)).cast("bigint").alias("seats_booked"),
+        F.max(F.when(F.col("_v").isNotNull(), F.struct("_v", "trip_status", "queue_position"))).alias("s"))
+
+
+def seat_monitor(t: Tables, state: DataFrame) -> DataFrame:
+    """The seat monitor's rows for trips in ``state``: those that are bookable."""
+    st = state.select(F.col("trip_id").alias("_m"), F.col("seats_booked").alias("_booked"), "s")
+    tr = (t.trips.join(st, F.col("trip_id") == F.col("_m"))
+          .withColumn("trip_status", F.coalesce("s.trip_status", "trip_status"))
+          .withColumn("queue_position", F.coalesce("s.queue_position", "queue_position")).filter(F.col("trip_status").isin(*BOOKABLE_TRIP)))
+    sb = F.col("_booked").cast("bigint")
+    return views.trip_context(t, tr).select(
+        "trip_id", "route_id", "queue_position", "capacity", sb.alias("seats_booked"), (F.col("capacity") - sb).cast("bigint").alias("seats_available"),
+        "trip_status", "origin", "destination", "plate_number")
+
+
+def seat_monitor_table(t: Tables, path: str, history: bool = False) -> tuple[KeyedTable, Callable]:
+    """X05: the seat monitor as a table by trip, and the ``foreachBatch`` function
+    that applies the trips whose seats or status changed."""
+    none = t.trips.select("trip_id", F.lit(0).cast("bigint").alias("seats_booked"),
+                          F.lit(None).cast("struct<_v:bigint,trip_status:string,queue_position:int>").alias("s"))
+    table = KeyedTable(t.trips.sparkSession, path, seat_monitor(t, none).schema, ["trip_id"], history=history)
+    table.seed(seat_monitor(t, none))
+    return table, table.writer(rows=lambda batch: _monitored(seat_monitor(t, batch), batch))
+
+
 def run_stream_seat_availability(t: Tables) -> DataFrame:
-    """X05: seat monitor of boarding/full trips with seats from the X02 ledger."""
-    led = run_stream_seat_ledger(t).select(F.col("trip_id").alias("_l"),
-                                                   F.col("seats_booked").alias("ledger_seats_booked"))
-    sa = views.trip_context(t, t.trips.filter(F.col("trip_status").isin(*BOOKABLE_TRIP)))
-    j = sa.join(led, sa.trip_id == led._l, "left")
-    sb = F.coalesce(F.col("ledger_seats_booked"), F.lit(0)).cast("bigint")
-    return j.select("trip_id", "route_id", "queue_position", "capacity", sb.alias("seats_booked"),
-                    (F.col("capacity") - sb).cast("bigint").alias("seats_available"), "trip_status",
-                    "origin", "destination", "plate_number")
+    """X05: seat monitor of bookable trips from the stream of booking changes and
+    trip snapshots (first as boarding, then as they are)."""
+    spark = t.bookings.sparkSession
+    snap = t.trips.select("trip_id", "trip_status", "queue_position", F.lit(2).cast("bigint").alias("_v"))
+    boarding = snap.withColumn("trip_status", F.lit("boarding")).withColumn("_v", F.lit(1).cast("bigint"))
+    feed = monitor_events(rq.booking_changes(t), boarding.unionByName(snap))
+    small = _small(t.replace(trips=materialized(t.trips)))
+    table, write = seat_monitor_table(small, scratch(spark, "x05-out"))
+    run_to_end(monitor_state(_source(t, feed, "x05")).writeStream.outputMode("update").foreachBatch(write), scratch(spark, "x05-ckpt"))
+    return table.snapshot()
 
 
 # ---------------------------------------------------------------------- X06
