@@ -42,6 +42,7 @@ THRESHOLD_PCT = 75
 BANDS, ROWS = 30, 4
 BLOCK_ELEMENTS = 1 << 18
 REFUTE_TURNS = 2
+MARKS = 1 << 26
 EMPTY_SLOT = np.uint64(0xFFFFFFFFFFFFFFFF)
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 WORD_FACTOR = np.uint64(0xD6E8FEB86659FD93)
@@ -127,9 +128,7 @@ def _signed(bands: int, rows: int, k: int):
                     pa.array(sizes, pa.int64()),
                     pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()),
                     pa.array([r if n else [] for r, n in zip(keys, sizes, strict=True)], pa.list_(pa.int64())),
-                    # 16 bits of each slot: enough to count agreements
-                    pa.array(list(mix64(sig).astype(np.uint16).view(np.int16)), pa.list_(pa.int16())),
-                ], ["doc_id", "n_shingles", "digest", "bands", "slots"])
+                ], ["doc_id", "n_shingles", "digest", "bands"])
     return run
 
 
@@ -164,6 +163,21 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold_pct: int) -> DataFram
             .mapInArrow(_overlap(threshold_pct), "a bigint, b bigint"))
 
 
+def _marked(rows: DataFrame, key: str, wanted: DataFrame, wanted_key: str) -> DataFrame:
+    """The rows whose key is in ``wanted``, and by chance some others: a bitmap of
+    ``MARKS`` bits, 8 MB whatever the number of keys, is broadcast, so that most
+    rows that a semi-join would drop are not shuffled for it."""
+    def place(c: str):
+        return F.pmod(F.xxhash64(c), F.lit(MARKS))
+
+    pages = (wanted.groupBy(F.bitmap_bucket_number(place(wanted_key)).alias("_page"))
+             .agg(F.bitmap_construct_agg(F.bitmap_bit_position(place(wanted_key))).alias("_bits")))
+    bit = F.bitmap_bit_position(place(key)).cast("int")
+    byte = F.conv(F.hex(F.substring("_bits", F.floor(bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return (rows.withColumn("_page", F.bitmap_bucket_number(place(key))).join(F.broadcast(pages), "_page")
+            .filter(byte.bitwiseAND(F.pow(F.lit(2), bit % 8).cast("int")) != 0).select(rows.columns))
+
+
 def _pairs(groups: DataFrame) -> DataFrame:
     """Every member with its group's leader: linear in the members."""
     return groups.filter("rep <> lead").select(F.least("lead", "rep").alias("a"),
@@ -175,7 +189,7 @@ def _open(members: DataFrame, label: DataFrame) -> DataFrame:
     which the others than the leader are still in different components.
     ``smallest`` is the size of the bucket's smallest set."""
     others = written(members.filter("rep <> lead").join(label.withColumnRenamed("node", "rep"), "rep", "left")
-                     .select("key", "digest", "rep", "n", F.coalesce("component", "rep").alias("comp")))
+                     .select("key", "cls", "rep", "n", F.coalesce("component", "rep").alias("comp")))
     mixed = (others.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("n").alias("smallest"))
              .filter("lo <> hi").select("key", "smallest"))
     return written(others.join(mixed, "key"))
@@ -209,20 +223,18 @@ def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(values), rep)), pa.array(values)], ["rep", "shingle"])
 
 
-def _rest(open_: DataFrame, classes: DataFrame, threshold_pct: int, slots: int) -> DataFrame:
-    """Pairs of open members in different components, each at the first key that
-    both have. Left out are pairs whose sizes or prefixes rule a link out, and pairs whose
-    signatures agree in so few slots that a link would be six standard deviations off."""
-    t = threshold_pct / 100
-    least = int(slots * t - 6 * (slots * t * (1 - t)) ** 0.5)
-    full = open_.join(classes.select("digest", "bands", "slots"), "digest")
+def _rest(open_: DataFrame, threshold_pct: int) -> DataFrame:
+    """Pairs of open members in different components, each at the first open key
+    that both have. Left out are pairs whose sizes or prefixes rule a link out; both
+    rules are exact."""
+    keys = open_.groupBy("rep", "cls").agg(F.sort_array(F.collect_set("key")).alias("keys"))  # at most ``bands``
+    full = open_.join(keys, ["rep", "cls"])
     x, y = full.alias("x"), full.alias("y")
-    first = F.element_at(F.array_intersect("x.bands", "y.bands"), 1)
-    agree = F.size(F.filter(F.zip_with("x.slots", "y.slots", lambda a, b: a == b), lambda same: same))
+    first = F.element_at(F.array_intersect("x.keys", "y.keys"), 1)
     return (x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.rep") < F.col("y.rep"))
                    & (F.col("x.comp") != F.col("y.comp"))
                    & (100 * F.least("x.n", "y.n") >= threshold_pct * F.greatest("x.n", "y.n"))
-                   & F.arrays_overlap("x.prefix", "y.prefix") & (first == F.col("x.key")) & (agree >= least))
+                   & F.arrays_overlap("x.prefix", "y.prefix") & (first == F.col("x.key")))
             .select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct())
 
 
@@ -238,17 +250,17 @@ def near_duplicates(docs: DataFrame, threshold_pct: int = THRESHOLD_PCT, shingle
     """
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = written(texts.mapInArrow(
-        _signed(bands, rows, shingle_words), "doc_id bigint, n_shingles bigint, digest binary, bands array<bigint>, slots array<smallint>"))
+        _signed(bands, rows, shingle_words), "doc_id bigint, n_shingles bigint, digest binary, bands array<bigint>"))
     linkable = signed.filter("n_shingles > 0 and doc_id is not null")
     classes = written(linkable.groupBy("digest").agg(
-        F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"),
-        F.first("slots").alias("slots")))
-    buckets = classes.select(F.explode("bands").alias("key"), "digest", "rep", "n")
+        F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")))
+    # Only classes whose smallest doc_id repeats with another set need ``cls`` to be told apart.
+    buckets = classes.select(F.explode("bands").alias("key"), F.xxhash64("digest").alias("cls"), "rep", "n")
     shared = buckets.groupBy("key").agg(F.min("rep").alias("lead"), F.count("*").alias("size")).filter("size > 1")
-    members = written(buckets.join(shared, "key").select("key", "digest", "rep", "n", "lead"))
+    members = written(buckets.join(shared, "key").select("key", "cls", "rep", "n", "lead"))
 
     reps = members.select("rep").distinct()
-    texts_once = texts.filter("doc_id is not null and text is not null")
+    texts_once = _marked(texts.filter("doc_id is not null and text is not null"), "doc_id", reps, "rep")
     # A doc_id that occurs with several texts has several sets: the digest picks the right one.
     sets = written(texts_once.join(reps, texts_once["doc_id"] == reps["rep"], "left_semi")
                    .mapInArrow(_sets(shingle_words), "rep bigint, shingles binary"))
@@ -256,7 +268,7 @@ def near_duplicates(docs: DataFrame, threshold_pct: int = THRESHOLD_PCT, shingle
     open_ = _open(members, components(found))
     for _ in range(REFUTE_TURNS):
         open_ = _possible(open_, sets, threshold_pct)
-    more = _verified(_rest(open_, classes, threshold_pct, bands * rows), sets, threshold_pct)
+    more = _verified(_rest(open_, threshold_pct), sets, threshold_pct)
     of_set = linkable.select("digest", "doc_id").distinct().join(classes.select("digest", "rep"), "digest")
     same_id = of_set.select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     label = components(found.union(more).union(same_id))
