@@ -26,6 +26,7 @@ as one). Shingles are carried as 64-bit hashes.
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terminus.llm.common import Memo, mix64, written
+from terminus.llm.common import Memo, Scratch, mix64, written
 from terminus.llm.components import components
 
 SHINGLE_WORDS = 5
@@ -159,7 +160,9 @@ def _overlap(threshold_pct: int):
 def _verified(pairs: DataFrame, sets: DataFrame, threshold_pct: int) -> DataFrame:
     left = sets.select(F.col("rep").alias("a"), F.col("shingles").alias("sa"))
     right = sets.select(F.col("rep").alias("b"), F.col("shingles").alias("sb"))
-    return (pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb")
+    # ``b`` first: the leaders, of which one may have very many members, come by a
+    # join whose both sides are shuffled and so can be split.
+    return (pairs.join(right, "b").join(left, "a").select("a", "b", "sa", "sb")
             .mapInArrow(_overlap(threshold_pct), "a bigint, b bigint"))
 
 
@@ -184,18 +187,20 @@ def _pairs(groups: DataFrame) -> DataFrame:
                                                F.greatest("lead", "rep").alias("b")).distinct()
 
 
-def _open(members: DataFrame, label: DataFrame) -> DataFrame:
+def _open(members: DataFrame, label: DataFrame, scratch: Scratch) -> DataFrame:
     """Members that a turn of leader pairs leaves undecided: those of buckets in
     which the others than the leader are still in different components.
     ``smallest`` is the size of the bucket's smallest set."""
-    others = written(members.filter("rep <> lead").join(label.withColumnRenamed("node", "rep"), "rep", "left")
+    others = scratch.keep(members.filter("rep <> lead").join(label.withColumnRenamed("node", "rep"), "rep", "left")
                      .select("key", "cls", "rep", "n", F.coalesce("component", "rep").alias("comp")))
     mixed = (others.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("n").alias("smallest"))
              .filter("lo <> hi").select("key", "smallest"))
-    return written(others.join(mixed, "key"))
+    open_ = scratch.keep(others.join(mixed, "key"))
+    scratch.release(others)
+    return open_
 
 
-def _possible(open_: DataFrame, sets: DataFrame, threshold_pct: int) -> DataFrame:
+def _possible(open_: DataFrame, sets: DataFrame, threshold_pct: int, scratch: Scratch) -> DataFrame:
     """The open members that can have a link at all, with a ``prefix``.
 
     Two sets of n and m share at least t / (1 + t) * (n + m) shingles. A member of
@@ -212,8 +217,8 @@ def _possible(open_: DataFrame, sets: DataFrame, threshold_pct: int) -> DataFram
         F.sort_array(F.collect_list(F.struct("df", "shingle"))).alias("common"))  # one member's own shingles
     asked = F.ceil(threshold_pct * (F.col("n") + F.col("smallest")) / F.lit(100 + threshold_pct) - 1e-9)
     able = (asks.join(common, "rep").withColumn("spare", F.size("common") - asked).filter("spare >= 0")
-            .select("rep", F.slice("common.shingle", F.lit(1), (F.col("spare") + 1).cast("int")).alias("prefix")))
-    return written(open_.drop("prefix").join(able, "rep"))
+            .select("rep", F.size("common").alias("n_common"), F.slice("common.shingle", F.lit(1), (F.col("spare") + 1).cast("int")).alias("prefix")))
+    return scratch.keep(open_.drop("prefix", "n_common").join(able, "rep"))
 
 
 def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -225,8 +230,8 @@ def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _rest(open_: DataFrame, threshold_pct: int) -> DataFrame:
     """Pairs of open members in different components, each at the first open key
-    that both have. Left out are pairs whose sizes or prefixes rule a link out; both
-    rules are exact."""
+    that both have. Left out are pairs whose sizes, common shingles or prefixes rule
+    a link out; all three rules are exact."""
     keys = open_.groupBy("rep", "cls").agg(F.sort_array(F.collect_set("key")).alias("keys"))  # at most ``bands``
     full = open_.join(keys, ["rep", "cls"])
     x, y = full.alias("x"), full.alias("y")
@@ -234,6 +239,7 @@ def _rest(open_: DataFrame, threshold_pct: int) -> DataFrame:
     return (x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.rep") < F.col("y.rep"))
                    & (F.col("x.comp") != F.col("y.comp"))
                    & (100 * F.least("x.n", "y.n") >= threshold_pct * F.greatest("x.n", "y.n"))
+                   & ((100 + threshold_pct) * F.least("x.n_common", "y.n_common") >= threshold_pct * (F.col("x.n") + F.col("y.n")))
                    & F.arrays_overlap("x.prefix", "y.prefix") & (first == F.col("x.key")))
             .select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct())
 
@@ -252,26 +258,38 @@ def near_duplicates(docs: DataFrame, threshold_pct: int = THRESHOLD_PCT, shingle
     signed = written(texts.mapInArrow(
         _signed(bands, rows, shingle_words), "doc_id bigint, n_shingles bigint, digest binary, bands array<bigint>"))
     linkable = signed.filter("n_shingles > 0 and doc_id is not null")
-    classes = written(linkable.groupBy("digest").agg(
+    spark = docs.sparkSession
+    scratch = Scratch(spark)
+    classes = scratch.keep(linkable.groupBy("digest").agg(
         F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")))
     # Only classes whose smallest doc_id repeats with another set need ``cls`` to be told apart.
     buckets = classes.select(F.explode("bands").alias("key"), F.xxhash64("digest").alias("cls"), "rep", "n")
     shared = buckets.groupBy("key").agg(F.min("rep").alias("lead"), F.count("*").alias("size")).filter("size > 1")
-    members = written(buckets.join(shared, "key").select("key", "cls", "rep", "n", "lead"))
+    members = scratch.keep(buckets.join(shared, "key").select("key", "cls", "rep", "n", "lead"))
 
     reps = members.select("rep").distinct()
     texts_once = _marked(texts.filter("doc_id is not null and text is not null"), "doc_id", reps, "rep")
     # A doc_id that occurs with several texts has several sets: the digest picks the right one.
-    sets = written(texts_once.join(reps, texts_once["doc_id"] == reps["rep"], "left_semi")
-                   .mapInArrow(_sets(shingle_words), "rep bigint, shingles binary"))
-    found = written(_verified(_pairs(members), sets, threshold_pct))
-    open_ = _open(members, components(found))
-    for _ in range(REFUTE_TURNS):
-        open_ = _possible(open_, sets, threshold_pct)
-    more = _verified(_rest(open_, threshold_pct), sets, threshold_pct)
-    of_set = linkable.select("digest", "doc_id").distinct().join(classes.select("digest", "rep"), "digest")
-    same_id = of_set.select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    label = components(found.union(more).union(same_id))
+    # (An inner join with distinct reps: a semi-join would be pushed below the bitmap.)
+    # Bucketed by rep: the turns below meet the sets without moving them again.
+    name = f"shingle_sets_{uuid.uuid4().hex}"
+    (texts_once.join(reps, texts_once["doc_id"] == reps["rep"]).select("doc_id", "text")
+     .mapInArrow(_sets(shingle_words), "rep bigint, shingles binary")
+     .write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), "rep").saveAsTable(name))
+    try:
+        sets = spark.read.table(name)
+        found = scratch.keep(_verified(_pairs(members), sets, threshold_pct))
+        open_ = _open(members, components(found), scratch)
+        for _ in range(REFUTE_TURNS):
+            before, open_ = open_, _possible(open_, sets, threshold_pct, scratch)
+            scratch.release(before)
+        more = _verified(_rest(open_, threshold_pct), sets, threshold_pct)
+        of_set = linkable.select("digest", "doc_id").distinct().join(classes.select("digest", "rep"), "digest")
+        same_id = of_set.select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+        label = components(found.union(more).union(same_id))
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+        scratch.release()
     return (signed.select("doc_id", "n_shingles")
             .join(label.withColumnRenamed("node", "doc_id"), "doc_id", "left")
             .select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
