@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from terminus.session import checkpoint_dir
@@ -57,6 +61,23 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def free_memory() -> None:
+    """Hand unused memory back to the system: a worker process lives on for other
+    tasks and stages, which should find it small."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def released(run):
+    """A task function that frees its worker's memory when the task ends."""
+    def task(batches):
+        yield from run(batches)
+        free_memory()
+    return task
+
+
 class Memo(dict):
     """Cache of a pure function, emptied when it holds ``bound`` keys.
 

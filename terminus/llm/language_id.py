@@ -21,12 +21,13 @@ from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terminus.llm.common import written
+from terminus.llm.common import free_memory, released, written
 from terminus.llm.tokens import tokenizer_file
 
 VOCABULARY = "piece_bpe_32k.model"
@@ -190,12 +191,12 @@ def fit(labelled: DataFrame, vocabulary: str = VOCABULARY, sample: int = SAMPLE,
         return [], prob
     share = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], min(1.0, sample / r["count"]))])
     chosen = labelled.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share[F.col("lang")] * (1 << 30))
-    words = written(chosen.select("lang", "text").mapInArrow(_word_counts, "lang string, word string, n bigint")
+    words = written(chosen.select("lang", "text").mapInArrow(released(_word_counts), "lang string, word string, n bigint")
                     .groupBy("lang", "word").agg(F.sum("n").alias("n")))
     for _ in range(rounds):
         model = spark.sparkContext.broadcast((langs, prob))
         # Bounded by vocabulary x languages.
-        got = (words.mapInArrow(_expect(vocabulary, model), "piece bigint, j bigint, n double")
+        got = (words.mapInArrow(released(_expect(vocabulary, model)), "piece bigint, j bigint, n double")
                .groupBy("piece", "j").agg(F.sum("n").alias("n")).orderBy("piece", "j").toPandas())
         counts = np.full(prob.shape, SMOOTHING)
         counts[got["piece"], got["j"]] += np.round(got["n"], 6)
@@ -263,7 +264,7 @@ def predict(docs: DataFrame, langs: list[str], prob: np.ndarray, vocabulary: str
     is the posterior of the language under a uniform prior."""
     model = docs.sparkSession.sparkContext.broadcast((langs, prob))
     return (docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-            .mapInArrow(_scored(vocabulary, model), "doc_id bigint, lang_pred string, score double"))
+            .mapInArrow(released(_scored(vocabulary, model)), "doc_id bigint, lang_pred string, score double"))
 
 
 def training_rows(docs: DataFrame) -> DataFrame:
@@ -286,19 +287,21 @@ def identify(docs: DataFrame, vocabulary: str = VOCABULARY, sample: int = SAMPLE
         "doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
-def _kept(vocabulary: str, model, least: float, text_at: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _kept(vocabulary: str, model, least: float):
+    @F.pandas_udf("boolean")
+    def keep(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         score = Scorer(vocabulary, *model.value)
-        for batch in batches:
-            keep = [x != UNDETERMINED and s >= least for x, s in score(t.as_py() for t in batch.column(text_at))]
-            yield batch.filter(pa.array(keep, pa.bool_()))
-    return run
+        for part in texts:
+            yield pd.Series([x != UNDETERMINED and s >= least for x, s in score(part)], dtype=bool)
+        del score
+        free_memory()
+    return keep
 
 
 def keep_identified(docs: DataFrame, least: float = 0.5, vocabulary: str = VOCABULARY, sample: int = SAMPLE) -> DataFrame:
     """The rows of ``docs`` (all columns) with a language whose posterior is at
     least ``least``; rows without one (null text, no letter) go. Filtered where
-    the text is read: no shuffle."""
+    the text is read: no shuffle, and only the text goes to Python."""
     langs, prob = fit(training_rows(docs), vocabulary, sample)
     model = docs.sparkSession.sparkContext.broadcast((langs, prob))
-    return docs.mapInArrow(_kept(vocabulary, model, least, docs.columns.index("text")), docs.schema)
+    return docs.filter(_kept(vocabulary, model, least)(F.col("text").cast("string")))

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terminus.llm.common import Memo, Scratch, mix64, written
+from terminus.llm.common import Memo, Scratch, mix64, released, written
 from terminus.llm.components import components
 
 SHINGLE_WORDS = 5
@@ -163,7 +163,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold_pct: int) -> DataFram
     # ``b`` first: the leaders, of which one may have very many members, come by a
     # join whose both sides are shuffled and so can be split.
     return (pairs.join(right, "b").join(left, "a").select("a", "b", "sa", "sb")
-            .mapInArrow(_overlap(threshold_pct), "a bigint, b bigint"))
+            .mapInArrow(released(_overlap(threshold_pct)), "a bigint, b bigint"))
 
 
 def _marked(rows: DataFrame, key: str, wanted: DataFrame, wanted_key: str) -> DataFrame:
@@ -210,7 +210,7 @@ def _possible(open_: DataFrame, sets: DataFrame, threshold_pct: int, scratch: Sc
     + 1). Linear in the shingles of the open members, and exact.
     """
     asks = open_.groupBy("rep").agg(F.min("n").alias("n"), F.min("smallest").alias("smallest"))
-    each = sets.join(asks.select("rep"), "rep", "left_semi").mapInArrow(_exploded, "rep bigint, shingle bigint")
+    each = sets.join(asks.select("rep"), "rep", "left_semi").mapInArrow(released(_exploded), "rep bigint, shingle bigint")
     shared = (each.groupBy("shingle").agg(F.count("*").alias("df"), F.min("rep").alias("lo"), F.max("rep").alias("hi"))
               .filter("lo <> hi").select("shingle", "df"))
     common = each.join(shared, "shingle").groupBy("rep").agg(
@@ -256,7 +256,7 @@ def near_duplicates(docs: DataFrame, threshold_pct: int = THRESHOLD_PCT, shingle
     """
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = written(texts.mapInArrow(
-        _signed(bands, rows, shingle_words), "doc_id bigint, n_shingles bigint, digest binary, bands array<bigint>"))
+        released(_signed(bands, rows, shingle_words)), "doc_id bigint, n_shingles bigint, digest binary, bands array<bigint>"))
     linkable = signed.filter("n_shingles > 0 and doc_id is not null")
     spark = docs.sparkSession
     scratch = Scratch(spark)
@@ -274,7 +274,7 @@ def near_duplicates(docs: DataFrame, threshold_pct: int = THRESHOLD_PCT, shingle
     # Bucketed by rep: the turns below meet the sets without moving them again.
     name = f"shingle_sets_{uuid.uuid4().hex}"
     (texts_once.join(reps, texts_once["doc_id"] == reps["rep"]).select("doc_id", "text")
-     .mapInArrow(_sets(shingle_words), "rep bigint, shingles binary")
+     .mapInArrow(released(_sets(shingle_words)), "rep bigint, shingles binary")
      .write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), "rep").saveAsTable(name))
     try:
         sets = spark.read.table(name)
