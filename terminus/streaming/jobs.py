@@ -20,7 +20,7 @@ from collections.abc import Callable
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -59,28 +59,32 @@ def _run(spark: SparkSession, agg: DataFrame, name: str, keys: list[str]) -> Dat
     return table.snapshot()
 
 
-# ---------------------------------------------------------------------- X01
-def daily_revenue_state(payments: DataFrame, delay: str | None = None) -> DataFrame:
-    """Streaming part of X01: state per (payment day, booking).
+# ------------------------------------------- events kept by time, for X01, X08
+def counted_once(events: KeyedTable, report: KeyedTable, rows: Callable[[DataFrame], DataFrame]) -> Callable:
+    """``foreachBatch`` function that counts every event once, however late it or a
+    copy of it comes, and keeps no stream state.
 
-    Keeping the booking in the key makes COUNT(DISTINCT booking) exact: the
-    report counts keys. Destination and booking type are static attributes
-    of the booking, so they are joined once in the report fold rather than
-    in every micro-batch. With a ``delay`` a day's state is freed after it.
-    """
-    p = deduplicated(payments, "payment_datetime", ["payment_id"], delay)
-    keys = [F.to_date("payment_datetime").alias("payment_date"), "booking_id"]
-    day = [] if delay is None else [F.window("_et", "1 day")]
-    return p.groupBy(*day, *keys).agg(
-        F.count(F.lit(1)).alias("n_payments"), F.sum("amount").alias("amount_sum")).drop("window")
+    ``events`` holds the events by id in buckets of time; a copy meets the event of
+    its id there. The report of a bucket follows from that bucket's events, so it is
+    recomputed (``rows``) for the buckets that the batch touched, and only these are
+    read. A batch that was lost between the two tables is finished by its replay."""
+    def write(batch: DataFrame, epoch: int) -> None:
+        touched = events.upsert(batch, epoch)
+        report.upsert(rows(events.buckets(touched)), epoch)
+    return write
 
 
-def run_stream_daily_revenue(t: Tables) -> DataFrame:
-    """X01: revenue per day x destination x booking type from the payment stream."""
-    spark = t.bookings.sparkSession
-    src = _source(t, t.payment_log.select("payment_id", "booking_id", "amount", "payment_datetime"),
-                  "x01")
-    state = _run(spark, daily_revenue_state(src), "x01", ["payment_date", "booking_id"])
+def _month(col: str) -> Column:
+    return F.date_format(col, "yyyy-MM")
+
+
+# ---------------------------------------------------------------------- X01
+def daily_revenue_rows(t: Tables, payments: DataFrame) -> DataFrame:
+    """Revenue per day x destination x booking type of ``payments``. Payments are
+    added up per (day, booking) before the joins, so COUNT(DISTINCT booking) is a
+    plain count."""
+    state = payments.groupBy(F.to_date("payment_datetime").alias("payment_date"), "booking_id").agg(
+        F.count(F.lit(1)).alias("n_payments"), F.sum("amount").alias("amount_sum"))
     b = t.bookings.select("booking_id", F.col("trip_id").alias("_bt"), "seat_count", "booking_type")
     tr = t.trips.select(F.col("trip_id").alias("_t"), "route_id")
     r = t.routes.select("route_id", "destination")
@@ -89,8 +93,33 @@ def run_stream_daily_revenue(t: Tables) -> DataFrame:
         F.count(F.lit(1)).cast("bigint").alias("total_bookings"),
         F.sum(F.col("seat_count") * F.col("n_payments")).cast("bigint").alias("total_seats_sold"),
         F.sum("amount_sum").cast("decimal(18,2)").alias("total_revenue")).select(
-        "payment_date", "destination", "total_bookings", "total_seats_sold", "total_revenue",
-        "booking_type")
+        "payment_date", "destination", "total_bookings", "total_seats_sold", "total_revenue", "booking_type")
+
+
+def daily_revenue_tables(t: Tables, path: str, every: str = "yyyy-MM") -> tuple[KeyedTable, KeyedTable, Callable]:
+    """X01: payments by id, the report by day, both in buckets of time, and the
+    ``foreachBatch`` function that applies payments. ``every`` is the bucket's date
+    pattern: a batch rewrites the buckets it touches, so many payments ask for
+    short ones (a day), and a replay over years for long ones."""
+    spark = t.bookings.sparkSession
+    pay = t.payment_log.select("payment_id", "booking_id", "amount", "payment_datetime")
+    payments = KeyedTable(spark, path + "/payments", pay.schema, ["payment_id"], bucket_by=F.date_format("payment_datetime", every))
+    report = KeyedTable(spark, path + "/report", daily_revenue_rows(t, pay).schema, ["payment_date", "destination", "booking_type"],
+                        bucket_by=F.date_format("payment_date", every))
+    return payments, report, counted_once(payments, report, lambda part: daily_revenue_rows(t, part))
+
+
+def run_stream_daily_revenue(t: Tables) -> DataFrame:
+    """X01: revenue per day x destination x booking type from the payment stream."""
+    spark = t.bookings.sparkSession
+    pay = t.payment_log.select("payment_id", "booking_id", "amount", "payment_datetime")
+    small = t.replace(bookings=materialized(t.bookings.select("booking_id", "trip_id", "seat_count", "booking_type")),
+                      trips=materialized(t.trips.select("trip_id", "route_id")), routes=materialized(t.routes))
+    _, report, write = daily_revenue_tables(small, scratch(spark, "x01-out"), "yyyy")
+    # In time order, as a live stream comes (late rows cost their old month only).
+    src = _source(t, pay.repartitionByRange("payment_datetime"), "x01")
+    run_to_end(src.writeStream.foreachBatch(write), scratch(spark, "x01-ckpt"))
+    return report.snapshot()
 
 
 # ---------------------------------------------------------------------- X02
@@ -306,14 +335,16 @@ FEED_K = 20
 
 def run_stream_recent_bookings(t: Tables, k: int = FEED_K) -> DataFrame:
     """X06: newest ``k`` paid bookings on boarding/full trips, kept by a
-    ``foreachBatch`` top-k merge (previous top-k plus the batch, cut to k)."""
+    ``foreachBatch`` top-k merge (previous top-k plus the batch, cut to k). The k
+    rows are all that is kept: a copy of one of them is told by its id, and a
+    booking that was not among them once can never be again."""
     spark = t.bookings.sparkSession
     src = _source(t, t.bookings.filter(F.col("payment_status") == "paid"), "x06")
     tr = t.trips.filter(F.col("trip_status").isin("boarding", "full")).select(
         F.col("trip_id").alias("_t"), "route_id", "estimated_departure_time", "seats_available")
     r = t.routes.select("route_id", "destination")
     dims = materialized(tr.join(r, "route_id"))
-    rows = (deduplicated(src, "booking_date", ["booking_id"]).join(dims, F.col("trip_id") == F.col("_t"))
+    rows = (src.join(dims, F.col("trip_id") == F.col("_t"))
             .select("booking_id", "ticket_reference",
                     full_name("passenger_firstname", "passenger_lastname").alias("passenger_name"),
                     "seat_count", "booking_type", "total_amount", "booking_date", "trip_id",
@@ -326,7 +357,7 @@ def run_stream_recent_bookings(t: Tables, k: int = FEED_K) -> DataFrame:
         if epoch_id > 0:  # every epoch writes its top-k; a missing or unreadable one is an error
             prev_path = f"{out}/_epoch={epoch_id - 1}"
             cur = batch.sparkSession.read.schema(batch.schema).parquet(prev_path).unionByName(batch)
-        cur.orderBy(*order).limit(k).write.mode("overwrite").parquet(f"{out}/_epoch={epoch_id}")
+        cur.dropDuplicates(["booking_id"]).orderBy(*order).limit(k).write.mode("overwrite").parquet(f"{out}/_epoch={epoch_id}")
 
     run_to_end(rows.writeStream.foreachBatch(merge), scratch(spark, "x06-ckpt"))
     last = spark.read.parquet(out)
@@ -441,16 +472,25 @@ def run_stream_admission(t: Tables, batches: int = ADMISSION_BATCHES) -> DataFra
 
 
 # ---------------------------------------------------------------------- X08
-def action_counts(logs: DataFrame, delay: str | None = None) -> DataFrame:
-    """X08: system_log rows per action type per hour (tumbling window)."""
-    e = deduplicated(logs, "created_at", ["log_id"], delay)
-    hour = [] if delay is None else [F.window("_et", "1 hour")]
-    return e.groupBy(*hour, F.date_trunc("hour", "created_at").alias("_h"),
-                     "action_type").agg(F.count(F.lit(1)).cast("bigint").alias("actions")).drop("window")
+def action_counts(logs: DataFrame) -> DataFrame:
+    """system_log rows per action type per hour (tumbling window)."""
+    return logs.groupBy(F.date_trunc("hour", "created_at").cast("timestamp_ntz").alias("hour_start"), "action_type").agg(
+        F.count(F.lit(1)).cast("bigint").alias("actions"))
+
+
+def action_count_tables(spark: SparkSession, schema, path: str) -> tuple[KeyedTable, KeyedTable, Callable]:
+    """X08: log rows by id and month, their counts, and the ``foreachBatch`` function."""
+    logs = KeyedTable(spark, path + "/logs", schema, ["log_id"], bucket_by=_month("created_at"))
+    counts = KeyedTable(spark, path + "/counts", action_counts(spark.createDataFrame([], schema)).schema, ["hour_start", "action_type"],
+                        bucket_by=_month("hour_start"))
+    return logs, counts, counted_once(logs, counts, action_counts)
 
 
 def run_stream_action_log(t: Tables) -> DataFrame:
+    """X08: actions per hour from the stream of log rows."""
     spark = t.bookings.sparkSession
-    src = _source(t, t.system_log, "x08")
-    res = _run(spark, action_counts(src), "x08", ["_h", "action_type"])
-    return res.select(F.col("_h").cast("timestamp_ntz").alias("hour_start"), "action_type", "actions")
+    rows = t.system_log.select("log_id", "action_type", "created_at")
+    _, counts, write = action_count_tables(spark, rows.schema, scratch(spark, "x08-out"))
+    src = _source(t, rows.repartitionByRange("created_at"), "x08")
+    run_to_end(src.writeStream.foreachBatch(write), scratch(spark, "x08-ckpt"))
+    return counts.snapshot()

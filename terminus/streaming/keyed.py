@@ -64,6 +64,11 @@ class KeyedTable:
     def snapshot(self, epoch: int | None = None) -> DataFrame:
         return self._read(self.versions(epoch))
 
+    def buckets(self, names: list[str]) -> DataFrame:
+        """The current rows of these bucket folders."""
+        now = self.versions()
+        return self._read({b: now[b] for b in names if b in now})
+
     # ------------------------------------------------------------------- writes
     def upsert(self, batch: DataFrame, epoch: int, order: str | None = None) -> list[str]:
         """Apply ``batch`` (the keys and some of the columns): its columns replace
@@ -71,9 +76,10 @@ class KeyedTable:
         ``order``, of all rows for a key, stored ones included, the one with the
         greatest value counts. Rows whose ``_gone`` is true delete their key. Equal
         rows of a batch count once; of different rows for one key (and order) the
-        greatest counts. Returns the bucket folders that were rewritten."""
+        greatest counts. Returns the bucket folders that the batch has rewritten, also
+        if it is replayed after its commit (which writes nothing)."""
         if epoch in self.committed():
-            return []
+            return sorted(self._names(f"data/epoch={epoch}", r"(_bucket=.*)"))
         staged = f"{self.path}/_staged/epoch={epoch}"
         batch = batch if "_gone" in batch.columns else batch.withColumn("_gone", F.lit(False))
         # Written once: the micro-batch is not computed again, and its folders name the touched buckets.

@@ -54,7 +54,8 @@ def test_only_touched_buckets_are_rewritten_and_read(spark):
 def test_replayed_and_unfinished_epochs(spark):
     t = table(spark, "kt3", buckets=4)
     t.upsert(spark.createDataFrame([(1, 1, "x")], ROW), 0)
-    assert t.upsert(spark.createDataFrame([(1, 9, "again")], ROW), 0) == []
+    first = t.versions()
+    assert t.upsert(spark.createDataFrame([(1, 9, "again")], ROW), 0) == list(first) and t.versions() == first
     assert rows(t.snapshot()) == [(1, 1, "x")]
     # files of an epoch that has not committed do not count, and its replay replaces them
     stray = f"{t.path}/data/epoch=1/_bucket=0"
@@ -127,3 +128,67 @@ def test_seat_monitor_after_every_micro_batch(spark, tables):
                 for r in joins.seat_availability(live).collect() if status.get(r.trip_id, (0, "boarding"))[1] in ("boarding", "full")}
         assert {r.trip_id: (r.seats_booked, r.seats_available, r.trip_status) for r in table_.snapshot().collect()} == want
     assert rq.booking_changes(tables).columns == [c.split()[0] for c in change.split(", ")]
+
+
+PAYMENT = "payment_id long, booking_id long, amount decimal(10,2), payment_datetime timestamp_ntz"
+
+
+def _stream_parts(spark, parts, schema, write, name):
+    folder, ckpt = feed.scratch(spark, name + "-feed"), feed.scratch(spark, name + "-ckpt")
+    for rows_ in parts:
+        df = rows_ if not isinstance(rows_, list) else spark.createDataFrame(rows_, schema)
+        df.coalesce(1).write.mode("append").parquet(folder)
+        feed.run_to_end(feed.read_stream(spark, folder, df.schema).writeStream.foreachBatch(write), ckpt, spark)
+
+
+def test_daily_revenue_with_copies_and_very_late_rows(spark, tables):
+    """No state is kept, nothing is lost: the table equals the batch report after
+    copies in any batch and payments that come years late."""
+    pay = tables.payment_log.select("payment_id", "booking_id", "amount", "payment_datetime").checkpoint()
+    lo, hi = pay.agg(F.min("payment_datetime"), F.max("payment_datetime")).first()
+    mid = lo + (hi - lo) / 2
+    late = pay.filter(F.pmod("payment_id", F.lit(50)) == 0)
+    on_time = pay.join(late, "payment_id", "left_anti").select(pay.columns)
+    parts = [on_time.filter(F.col("payment_datetime") > mid), on_time.filter(F.col("payment_datetime") <= mid).union(on_time.limit(30)),
+             late.union(late), pay.limit(50)]
+    payments, report, write = sj.daily_revenue_tables(tables, feed.scratch(spark, "x01t"))
+    _stream_parts(spark, parts, None, write, "x01t")
+    want = sj.daily_revenue_rows(tables, pay)
+    assert rows(report.snapshot().select(want.columns)) == rows(want)
+    assert payments.snapshot().count() == pay.count()
+
+
+def test_a_late_payment_rewrites_its_month_only(spark, tables):
+    pay = tables.payment_log.select("payment_id", "booking_id", "amount", "payment_datetime").limit(300).checkpoint()
+    payments, report, write = sj.daily_revenue_tables(tables, feed.scratch(spark, "x01m"))
+    write(pay, 0)
+    before = report.versions()
+    one = pay.orderBy("payment_datetime").limit(1)
+    write(one.withColumn("payment_id", F.lit(-5).cast("bigint")), 1)
+    after = report.versions()
+    changed = {b for b in after if after[b] != before.get(b)}
+    assert len(changed) == 1 and len(after) > 1
+    write(one.withColumn("payment_id", F.lit(-5).cast("bigint")), 2)  # the same payment again
+    want = sj.daily_revenue_rows(tables, pay.union(one.withColumn("payment_id", F.lit(-5).cast("bigint"))))
+    assert rows(report.snapshot().select(want.columns)) == rows(want)
+
+
+def test_a_batch_that_failed_between_its_two_tables_is_finished(spark, tables):
+    pay = tables.payment_log.select("payment_id", "booking_id", "amount", "payment_datetime").limit(50).checkpoint()
+    payments, report, write = sj.daily_revenue_tables(tables, feed.scratch(spark, "x01f"))
+    payments.upsert(pay, 0)  # committed, and then the job was lost
+    assert report.snapshot().count() == 0
+    write(pay, 0)
+    assert rows(report.snapshot()) == rows(sj.daily_revenue_rows(tables, pay).select(report.snapshot().columns))
+
+
+def test_action_counts_with_copies_and_late_rows(spark):
+    t0 = dt.datetime(2025, 3, 1, 10, 30)
+    log = "log_id long, action_type string, created_at timestamp_ntz"
+    day = dt.timedelta(days=1)
+    parts = [[(1, "a", t0), (2, "a", t0), (3, "b", t0)], [(1, "a", t0), (4, "a", t0 - 400 * day)], [(4, "a", t0 - 400 * day), (5, "b", t0 + day)]]
+    logs, counts, write = sj.action_count_tables(spark, spark.createDataFrame([], log).schema, feed.scratch(spark, "x08t"))
+    _stream_parts(spark, parts, log, write, "x08t")
+    hour = dt.timedelta(minutes=30)
+    assert rows(counts.snapshot().select("hour_start", "action_type", "actions")) == [
+        (t0 - 400 * day - hour, "a", 1), (t0 - hour, "a", 2), (t0 - hour, "b", 1), (t0 + day - hour, "b", 1)]
