@@ -163,6 +163,21 @@ register("update_routes")(lambda t: en.update_routes(t.routes, rq.route_updates(
 register("update_routes_snapshot")(lambda t: en.update_routes(t.routes, rq.route_updates(t)).snapshot)
 register("create_vehicles")(lambda t: en.create_vehicles(t.vehicles, rq.new_vehicles(t)).decisions)
 register("update_vehicles")(lambda t: en.update_vehicles(t.vehicles, rq.vehicle_updates(t)).decisions)
+from terminus.operators import cascade as ca  # noqa: E402
+
+
+def _cascade(t: Tables) -> DataFrame:
+    """Blocked users, cancelled trips, retired vehicles and inactive routes are deleted."""
+    return ca.cascade_effects(t, {
+        "users": t.users.filter(F.col("status") == "blocked").select("user_id"),
+        "trips": t.trips.filter(F.col("trip_status") == "cancelled").select("trip_id"),
+        "vehicles": t.vehicles.filter(F.col("vehicle_status") == "retired").select("vehicle_id"),
+        "routes": t.routes.filter(F.col("status") == "inactive").select("route_id")})
+
+
+register("cascade_effects")(_cascade)
+register("cascade_trips_after")(lambda t: ca.after_cascade(t, _cascade(t)).trips.select(
+    "trip_id", "route_id", "assigned_vehicle_id", "driver_id"))
 register("write_vehicles")(lambda t: en.write_vehicles(t.vehicles, rq.vehicle_batch(t)).decisions)
 register("write_vehicles_snapshot")(lambda t: en.write_vehicles(t.vehicles, rq.vehicle_batch(t)).snapshot)
 register("write_users")(lambda t: en.write_users(t.users, rq.user_batch(t), F.lit(str(P.now)).cast("timestamp_ntz")).decisions)
