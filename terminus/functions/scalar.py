@@ -97,19 +97,29 @@ def ticket_reference(booking_id: Column, at: Column, wide: bool = True) -> Colum
     return F.concat(F.lit("BT-"), F.year(at).cast("string"), F.lit("-"), F.lpad(sid, width, "0"))
 
 
-def _accents() -> tuple[str, str]:
-    """Latin letters with marks, lower case, and their base letters."""
-    pairs = [(chr(c), unicodedata.normalize("NFD", chr(c))[0]) for c in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00))]
-    kept = [(a, b) for a, b in pairs if a != b and b.isascii() and b.islower()]
-    return "".join(a for a, _ in kept), "".join(b for _, b in kept)
+def _base_letters() -> tuple[str, str]:
+    """Lower-case letters with marks (Latin, Greek, Cyrillic and others below
+    U+2000), and the letters that their canonical decomposition starts with."""
+    pairs = []
+    for c in map(chr, (*range(0xC0, 0x1100), *range(0x1E00, 0x2000))):
+        parts = unicodedata.normalize("NFD", c)
+        if len(parts) > 1 and c == c.lower() and all(unicodedata.category(m) == "Mn" for m in parts[1:]):
+            pairs.append((c, parts[0]))
+    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
 
 
-ACCENTED, BASE_LETTERS = _accents()
+MARKED, BASE_LETTERS = _base_letters()
+# Letters that the collation compares as others.
+EXPANSIONS = {"ß": "ss", "æ": "ae", "œ": "oe", "ς": "σ"}
 
 
 def unaccented(col: Column | str) -> Column:
-    """Lower case without accents: the letters the reference's collation tells apart."""
-    return F.translate(F.lower(F.col(col) if isinstance(col, str) else col), ACCENTED, BASE_LETTERS)
+    """The letters the reference's collation tells apart: lower case, without
+    marks (whether a letter comes composed or with combining marks), expanded."""
+    c = F.translate(F.lower(F.col(col) if isinstance(col, str) else col), MARKED, BASE_LETTERS)
+    for letter, others in EXPANSIONS.items():
+        c = F.replace(c, F.lit(letter), F.lit(others))
+    return F.regexp_replace(c, r"\p{Mn}+", "")
 
 
 def folded(col: Column | str) -> Column:
@@ -148,11 +158,6 @@ def ci_contains(col: Column, term: Column) -> Column:
     return F.like(unaccented(col), F.concat(F.lit("%"), p, F.lit("%")))
 
 
-def ci_equals(col: Column, value: Column) -> Column:
-    """Equality under the reference's collation."""
-    return folded(col) == folded(value)
-
-
 def money(c: Column) -> Column:
     return c.cast("decimal(18,2)")
 

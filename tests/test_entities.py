@@ -18,6 +18,34 @@ def test_folded_keys(spark):
     assert [r.same for r in df.select((folded("a") == folded("b")).alias("same")).collect()] == [True, True, False, True]
 
 
+SAME = [("Jose\u0301", "jose"), ("José", "JOSE\u0301"), ("straße", "STRASSE"), ("STRAẞE", "strasse"), 
+        ("Ёлка", "елка"), ("Ὀδυσσεύς", "οδυσσευσ"), ("Œuvre", "oeuvre"), ("ẤẦ", "aa"), ("İ", "i"), ("a  ", "A"), ("ñ", "n")]
+SHORT_I = [("й", "и"), ("Й", "и\u0306")]  # equal in the reference's collation; Spark's root collation tells them apart
+OTHER = [("a", "b"), ("и", "ы"), ("ss", "s"), ("a b", "ab"), (" a", "a"), ("o", "e")]
+
+
+def test_folded_keys_follow_the_collation(spark):
+    """Combining marks, expansions and other scripts; Spark's own collation is the judge."""
+    df = spark.createDataFrame([(a, b, True) for a, b in SAME] + [(a, b, False) for a, b in OTHER], "a string, b string, want boolean")
+    got = df.select("a", "b", "want", (folded("a") == folded("b")).alias("same"),
+                    F.expr("collate(a, 'UNICODE_CI_AI_RTRIM') = collate(b, 'UNICODE_CI_AI_RTRIM')").alias("judge")).collect()
+    assert [(r.a, r.b, r.same, r.judge) for r in got] == [(r.a, r.b, r.want, r.want) for r in got]
+    short = spark.createDataFrame(SHORT_I, "a string, b string")
+    assert [r.same for r in short.select((folded("a") == folded("b")).alias("same")).collect()] == [True, True]
+
+
+def test_like_and_unique_follow_the_collation(spark):
+    from terminus.functions.scalar import ci_contains
+    df = spark.createDataFrame([("Jose\u0301 Strauß", "SS", True), ("Йорк", "иор", True), ("Müller", "mu_ler", True), ("Müller", "mu\u0308%R", True),
+                                ("Strauß", "s_s", False)], "a string, t string, want boolean")
+    assert [r.got for r in df.select(ci_contains(F.col("a"), F.col("t")).alias("got")).collect()] == [True, True, True, True, False]
+    users = spark.createDataFrame([(1, "A", "straße@x.org", "active"), (2, "B", "b@x.org", "active")],
+                                  "user_id long, firstname string, email string, status string")
+    req = spark.createDataFrame([(1, 2, "B", "STRASSE@x.org", "active"), (2, 2, "B", "Jose\u0301@x.org", "active"), (3, 1, "A", "josé@x.org ", "active")],
+                                "request_id long, user_id long, firstname string, email string, status string")
+    assert reasons(en.update_users(users, req), "user_id") == {(1, 2): "email_in_use", (2, 2): None, (3, 1): "email_in_use"}
+
+
 def test_user_updates(spark):
     users = spark.createDataFrame([(1, "A", "jose@x.org", "active"), (2, "B", "b@x.org", "active"), (3, "C", "c@x.org", "active")],
                                   "user_id long, firstname string, email string, status string")
