@@ -143,6 +143,10 @@ register("reassign_vehicles")(
     lambda t: lc.reassign_vehicles(t.trips, t.vehicles, rq.reassignments(t)).decisions)
 register("reassign_drivers")(
     lambda t: lc.reassign_drivers(t.trips, t.users, t.driver_details, rq.reassignments(t)).decisions)
+register("reassign_vehicles_sequence")(
+    lambda t: lc.reassign_vehicles(t.trips, t.vehicles, rq.reassignment_sequence(t)).decisions)
+register("reassign_drivers_sequence")(
+    lambda t: lc.reassign_drivers(t.trips, t.users, t.driver_details, rq.reassignment_sequence(t)).decisions)
 register("mark_notifications_read")(
     lambda t: lc.mark_notifications_read(t.user_notifications, rq.read_marks(t)))
 register("deletable_entities")(lambda t: lc.deletable_entities(t.routes, t.vehicles, t.trips))

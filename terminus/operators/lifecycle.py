@@ -585,30 +585,45 @@ def cancel_bookings(bookings: DataFrame, requests: DataFrame) -> JobResult:
 
 # ------------------------------------------------------------- W12 / W13
 def _one_change(j: DataFrame, reason: Column, order: str) -> DataFrame:
-    """``_reason`` per request; of the valid ones of a trip the first in
-    ``order`` is applied, the others are ``duplicate_in_batch``."""
+    """``_reason`` per request. Of the valid requests of a trip the last in
+    (requested_at, request_id) order stays, as if they were applied one by one;
+    the others are ``superseded``. Without request ids there is no order: the first
+    by ``order`` is applied and the others are ``duplicate_in_batch``."""
     j = j.withColumn("_reason", reason).withColumn("_bad", F.col("_reason").isNotNull())
+    at = [c for c in ("requested_at", "request_id") if c in j.columns]
+    if "request_id" in at:
+        last = j.filter("not _bad").groupBy(F.col("trip_id").alias("_lt")).agg(F.max(F.struct(*at)).alias("_last"))
+        j = j.join(last, F.col("trip_id") == F.col("_lt"), "left")
+        return j.withColumn("_reason", F.when(~F.col("_bad") & ~F.struct(*at).eqNullSafe(F.col("_last")), "superseded")
+                            .otherwise(F.col("_reason")))
     j = first_per_key(j, "trip_id", ["_bad", order])
     return j.withColumn("_reason", F.when(~F.col("_bad") & F.col("_dup"), "duplicate_in_batch")
                         .otherwise(F.col("_reason")))
 
 
+def _ordered(requests: DataFrame, *cols: str) -> list[str]:
+    """``cols``, and what gives the requests an order if they have it."""
+    return [*[c for c in ("request_id", "requested_at") if c in requests.columns], *cols]
+
+
 def reassign_vehicles(trips: DataFrame, vehicles: DataFrame, requests: DataFrame) -> JobResult:
     """Set vehicle and capacity of trips (``requests(trip_id, vehicle_id)``).
     The vehicle must exist; booked seats are not checked, so free seats can
     go negative (kept; the integrity audit reports it). A boarding trip that
     has no seat left in its new vehicle turns full (rule T5). Of several valid
-    requests for one trip the one with the smallest vehicle id counts."""
+    requests for one trip the last by (requested_at, request_id) counts, the
+    others are ``superseded``; without a ``request_id`` the one with the smallest
+    vehicle id counts."""
     v = vehicles.select(F.col("vehicle_id").alias("_v"), F.col("capacity").alias("_cap"))
     tr = trips.select(F.col("trip_id").alias("_t"), F.col("seats_booked").alias("_sb"),
                       F.col("trip_status").alias("_st"))
-    j = (requests.select("trip_id", "vehicle_id").join(v, F.col("vehicle_id") == v._v, "left")
+    j = (requests.select(*_ordered(requests, "trip_id", "vehicle_id")).join(v, F.col("vehicle_id") == v._v, "left")
          .join(tr, F.col("trip_id") == tr._t, "left"))
     j = _one_change(j, F.when(F.col("_v").isNull(), "unknown_vehicle")
                     .when(F.col("_t").isNull(), "unknown_trip"), "vehicle_id")
     ok = F.col("_reason").isNull()
     status = F.when((F.col("_st") == "boarding") & (F.col("_sb") >= F.col("_cap")), "full").otherwise(F.col("_st"))
-    decisions = j.select("trip_id", "vehicle_id", *_decide(ok, F.col("_reason")),
+    decisions = j.select(*[c for c in ("request_id",) if c in requests.columns], "trip_id", "vehicle_id", *_decide(ok, F.col("_reason")),
                          F.when(ok, F.col("_cap")).alias("capacity"),
                          F.when(ok, (F.col("_cap") - F.col("_sb")).cast("int")).alias("seats_available"),
                          F.when(ok, status).alias("trip_status"))
@@ -632,12 +647,12 @@ def reassign_drivers(trips: DataFrame, users: DataFrame, driver_details: DataFra
            .join(driver_details, users.user_id == driver_details.driver_id, "left_semi")
            .select(F.col("user_id").alias("_u")))
     tr = trips.select(F.col("trip_id").alias("_t"))
-    j = (requests.select("trip_id", "driver_id").join(drv, F.col("driver_id") == drv._u, "left")
+    j = (requests.select(*_ordered(requests, "trip_id", "driver_id")).join(drv, F.col("driver_id") == drv._u, "left")
          .join(tr, F.col("trip_id") == tr._t, "left"))
     j = _one_change(j, F.when(F.col("_u").isNull(), "unknown_driver")
                     .when(F.col("_t").isNull(), "unknown_trip"), "driver_id")
     ok = F.col("_reason").isNull()
-    decisions = j.select("trip_id", "driver_id", *_decide(ok, F.col("_reason")))
+    decisions = j.select(*[c for c in ("request_id",) if c in requests.columns], "trip_id", "driver_id", *_decide(ok, F.col("_reason")))
     acc = decisions.filter(F.col("decision") == "accepted").select(
         F.col("trip_id").alias("_a"), F.col("driver_id").alias("_nd"))
     s = (trips.join(acc, trips.trip_id == acc._a, "left")
@@ -677,17 +692,6 @@ def deletable_entities(routes: DataFrame, vehicles: DataFrame, trips: DataFrame)
             .unionByName(one("vehicle", vehicles.select(F.col("vehicle_id").alias("entity_id")), by_veh)))
 
 
-def deletable_users(users: DataFrame, requests: DataFrame) -> DataFrame:
-    """User delete requests ``(request_id, user_id, requested_by)``: unknown
-    user and deleting oneself are rejected."""
-    u = users.select(F.col("user_id").alias("_u"))
-    j = requests.join(u, requests.user_id == u._u, "left")
-    reason = (F.when(F.col("_u").isNull(), "unknown_user")
-              .when(F.col("user_id") == F.col("requested_by"), "cannot_delete_self"))
-    return j.select("request_id", "user_id", *_decide(reason.isNull(), reason))
-
-
-# --------------------------------------------------------------------- W18
 def register_users(users: DataFrame, requests: DataFrame, now: dt.datetime) -> JobResult:
     """Registration in bulk ``requests(request_id, firstname, lastname, email,
     phone_number, role)``: an e-mail already registered (under the collation) ->

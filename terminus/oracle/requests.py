@@ -48,6 +48,12 @@ REASSIGNMENTS = """reassignments AS (
   SELECT trip_id, CAST(COALESCE(assigned_vehicle_id, 0) + 1 AS BIGINT) AS vehicle_id,
          CAST(COALESCE(driver_id, 0) + 1 AS BIGINT) AS driver_id FROM trips WHERE trip_status = 'waiting')"""
 
+REASSIGNMENT_SEQUENCE = REASSIGNMENTS + """,
+reassignment_sequence AS (
+  SELECT trip_id * 3 AS request_id, trip_id, vehicle_id, driver_id FROM reassignments
+  UNION ALL SELECT trip_id * 3 + 1, trip_id, vehicle_id + 1, driver_id + 1 FROM reassignments
+  UNION ALL SELECT trip_id * 3 + 2, trip_id, -1, -1 FROM reassignments)"""
+
 READ_MARKS = """read_marks AS (
   SELECT un.user_id, un.notification_id, n.created_at + INTERVAL 1 DAY AS ts
   FROM user_notifications un JOIN notifications n ON un.notification_id = n.notification_id

@@ -126,6 +126,15 @@ def reassignments(t: Tables) -> DataFrame:
                     (F.coalesce("driver_id", F.lit(0)) + 1).cast("bigint").alias("driver_id")))
 
 
+def reassignment_sequence(t: Tables) -> DataFrame:
+    """Three requests for every waiting trip, one after the other: to the next
+    vehicle and driver id, to those after them, and to ids that do not exist."""
+    r = reassignments(t)
+    step = lambda k, v, d: r.select((F.col("trip_id") * 3 + k).alias("request_id"), "trip_id", v.alias("vehicle_id"), d.alias("driver_id"))
+    return (step(0, F.col("vehicle_id"), F.col("driver_id")).unionByName(step(1, F.col("vehicle_id") + 1, F.col("driver_id") + 1))
+            .unionByName(step(2, F.lit(-1).cast("bigint"), F.lit(-1).cast("bigint"))))
+
+
 def read_marks(t: Tables) -> DataFrame:
     """Every unread notification is opened one day after it was created."""
     un = t.user_notifications.filter(~F.col("is_read"))

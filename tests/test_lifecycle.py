@@ -229,3 +229,16 @@ def test_new_ids_pass_the_int_range(spark):
     assert row.user_id == 2**31 + 6
     from terminus.plans.ranking import sequence_within
     assert dict(sequence_within(reqs, [], [F.col("request_id").asc()], out="n").dtypes)["n"] == "bigint"
+
+
+def test_the_last_valid_reassignment_stays(spark):
+    t0 = dt.datetime(2025, 1, 1)
+    trips = spark.createDataFrame([(1, 10, 3, 9, "boarding", 7, 10), (2, 10, 0, 10, "waiting", 7, 10)],
+                                  "trip_id long, assigned_vehicle_id long, seats_booked int, seats_available int, trip_status string, driver_id long, capacity int")
+    vehicles = spark.createDataFrame([(4, 3), (5, 20), (6, 30)], "vehicle_id long, capacity int")
+    req = spark.createDataFrame([(3, 1, 5, t0), (2, 1, 6, t0), (9, 1, 4, t0 - dt.timedelta(days=1)), (10, 1, 99, t0), (4, 2, 6, None), (5, 8, 6, t0)],
+                                "request_id long, trip_id long, vehicle_id long, requested_at timestamp_ntz")
+    res = lc.reassign_vehicles(trips, vehicles, req)
+    assert {r.request_id: r.reason for r in res.decisions.collect()} == {
+        3: None, 2: "superseded", 9: "superseded", 10: "unknown_vehicle", 4: None, 5: "unknown_trip"}
+    assert {r.trip_id: (r.assigned_vehicle_id, r.capacity, r.seats_available) for r in res.snapshot.collect()} == {1: (5, 20, 17), 2: (6, 30, 30)}
