@@ -37,6 +37,7 @@ SAMPLE = 3000       # labelled rows per language, about
 ROUNDS = 3          # of expectation maximisation
 SMOOTHING = 0.05    # added to every expected count
 CACHE = 200_000     # words
+LONG = 60           # letters from which sums are taken in logarithms
 CHUNK = 200_000     # words scored at once
 WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 LETTERS_ONLY = regex.compile(rf"{START}?[\p{{L}}\p{{M}}]+|{START}")
@@ -114,20 +115,41 @@ def log_word_probs(pieces: Pieces, prob: np.ndarray, words: list[str]) -> np.nda
     return out
 
 
-def expected_counts(pieces: Pieces, prob: np.ndarray, words: list[str], weight: np.ndarray) -> np.ndarray:
+def _long_counts(ids: np.ndarray, p: np.ndarray, weight: np.ndarray, out: np.ndarray) -> None:
+    """``expected_counts`` of long words: the same sums in logarithms."""
+    w, n, wide = ids.shape
+    with np.errstate(divide="ignore"):
+        log_p = np.log(p)
+    ahead, behind = np.full((n + 1, w), -np.inf), np.full((n + 1, w), -np.inf)
+    ahead[0] = behind[n] = 0
+    for end in range(1, n + 1):
+        for k in range(1, min(wide, end) + 1):
+            ahead[end] = np.logaddexp(ahead[end], ahead[end - k] + log_p[ids[:, end - 1, k - 1]])
+    for end in range(n, 0, -1):
+        for k in range(1, min(wide, end) + 1):
+            behind[end - k] = np.logaddexp(behind[end - k], behind[end] + log_p[ids[:, end - 1, k - 1]])
+    for end in range(1, n + 1):
+        for k in range(1, min(wide, end) + 1):
+            piece = ids[:, end - 1, k - 1]
+            np.add.at(out, piece, np.exp(ahead[end - k] + log_p[piece] + behind[end] - ahead[n]) * weight)
+
+
+def expected_counts(pieces: Pieces, prob: np.ndarray, words: list[str], weight: np.ndarray, long: int = LONG) -> np.ndarray:
     """Expected uses of each piece (forward-backward) in words counted ``weight``
     times; ``prob`` (pieces + 1, 1) of one language."""
     out = np.zeros(len(prob))
     at = defaultdict(list)
     for i, w in enumerate(words):
-        if len(w) <= 60:  # longer runs are no words to learn from
-            at[len(w)].append(i)
+        at[len(w)].append(i)
     for where in at.values():
         for lo in range(0, len(where), 2048):
             part = where[lo:lo + 2048]
             ids = pieces.lattice([words[i] for i in part])
             w, n, wide = ids.shape
             p = prob[:, 0]
+            if n > long:
+                _long_counts(ids, p, weight[part], out)
+                continue
             alpha = np.zeros((n + 1, w))
             beta = np.zeros((n + 1, w))
             alpha[0] = beta[n] = 1

@@ -10,7 +10,8 @@ weight this water-filling has a closed form, so each level is two window sums
 over the (small) table of nodes.
 
 A leaf then takes whole epochs and a prefix of one more epoch: its documents in
-the order of a seeded hash, as many as fit into the rest of its budget. The order
+the order of a seeded hash, up to the first that no longer fits into the rest of
+its budget (what is then left of it is used by nobody). The order
 is cut into hash buckets of about ``BUCKET_ROWS`` documents; bucket totals decide
 all buckets but one, and only that one is put in order. No leaf is ever sorted
 as a whole, so a leaf with a third of all rows costs no more than the others.

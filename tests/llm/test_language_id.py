@@ -35,6 +35,7 @@ def test_forward_sums_all_segmentations(pieces, word):
     for s, w in zip(segs, weights / weights.sum(), strict=True):
         np.add.at(counts, list(s), 3 * w)
     assert np.allclose(li.expected_counts(pieces, prob[:, :1], [word], np.array([3.0])), counts)
+    assert np.allclose(li.expected_counts(pieces, prob[:, :1], [word], np.array([3.0]), long=0), counts)
 
 
 def test_long_words_do_not_underflow(pieces):
@@ -45,6 +46,16 @@ def test_long_words_do_not_underflow(pieces):
     assert np.isfinite(long).all() and (long < short).all()
 
 
+def test_long_runs_are_learned_from(pieces):
+    """Scripts without spaces: a run of 400 letters counts like any word."""
+    prob = np.full((pieces.size + 1, 1), 1 / pieces.size)
+    prob[-1] = 0
+    got = li.expected_counts(pieces, prob, ["ab" * 200], np.array([2.0]))
+    names = {i: p for p, i in pieces.ids.items()} | {0: "?"}
+    assert np.isfinite(got).all()
+    assert abs(sum(got[i] * len(names[i]) for i in np.flatnonzero(got)) - 2 * 401) < 1e-6  # every letter and the start mark
+
+
 def test_held_out_accuracy(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     true = {r.doc_id: r.lang for r in docs.select("doc_id", "lang").collect()}

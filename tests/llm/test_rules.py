@@ -24,7 +24,7 @@ def actions():
             for top in tree.body:
                 for node in ast.walk(top):
                     if isinstance(node, ast.Call) and isinstance(node.func, ast.Attribute) and node.func.attr in (
-                            "collect", "toPandas", "toLocalIterator", "localCheckpoint"):
+                            "collect", "toPandas", "toLocalIterator", "localCheckpoint") and getattr(node.func.value, "id", "") != "gc":
                         yield name[:-3], getattr(top, "name", "")
 
 
