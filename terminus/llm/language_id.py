@@ -37,6 +37,8 @@ SAMPLE = 3000       # labelled rows per language, about
 ROUNDS = 3          # of expectation maximisation
 SMOOTHING = 0.05    # added to every expected count
 CACHE = 200_000     # words
+FACTOR = 0x9E3779B97F4A7C15
+MARK_BITS = 18
 LONG = 60           # letters from which sums are taken in logarithms
 CHUNK = 200_000     # words scored at once
 WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
@@ -62,21 +64,45 @@ class Pieces:
         self.ids = {p: i + 1 for i, p in enumerate(found)}
         self.size = len(found) + 1
         self.longest = max(map(len, found))
+        # Per length: the pieces' hashes in order, their ids, and marks of some hash
+        # bits, which most strings that are no piece do not hit.
+        self.by_length = {}
+        for k in range(1, self.longest + 1):
+            mine = sorted((self._hash(p), self.ids[p]) for p in found if len(p) == k)
+            hashes = np.array([h for h, _ in mine], np.uint64)
+            marks = np.zeros(1 << MARK_BITS, bool)
+            marks[hashes >> np.uint64(64 - MARK_BITS)] = True
+            self.by_length[k] = hashes, np.array([i for _, i in mine], np.int32), marks
+
+    @staticmethod
+    def _hash(piece: str) -> int:
+        h = 0
+        for c in piece:
+            h = (h * FACTOR + ord(c) + 1) & 0xFFFFFFFFFFFFFFFF
+        return h
 
     def lattice(self, words: list[str]) -> np.ndarray:
-        """Words of one length n -> ids (word, end, piece length), -1: no piece."""
+        """Words of one length n -> ids (word, end, piece length), -1: no piece.
+        Pieces are found by 64-bit hashes of all substrings, a length at a time."""
         n = len(words[0]) + 1
         wide = min(self.longest, n)
-        get, out = self.ids.get, []
-        for w in words:
-            s = START + w
-            for end in range(1, n + 1):
-                row = [get(s[end - k:end], -1) for k in range(1, min(wide, end) + 1)]
-                if row[0] < 0:
-                    row[0] = 0
-                out += row
-                out += [-1] * (wide - len(row))
-        return np.array(out, np.int32).reshape(len(words), n, wide)
+        letters = "".join(START + w for w in words).encode("utf-32-le", "surrogatepass")
+        codes = np.frombuffer(letters, "<u4").reshape(len(words), n).astype(np.uint64) + np.uint64(1)
+        out = np.full((len(words), n, wide), -1, np.int32)
+        h, power = np.zeros_like(codes), 1
+        for k in range(1, wide + 1):
+            h[:, k - 1:] += codes[:, :n - k + 1] * np.uint64(power)
+            power = power * FACTOR & 0xFFFFFFFFFFFFFFFF
+            hashes, ids, marks = self.by_length[k]
+            if not len(hashes):
+                continue
+            word, at = marks[h[:, k - 1:] >> np.uint64(64 - MARK_BITS)].nonzero()
+            found = h[word, at + k - 1]
+            where = np.minimum(np.searchsorted(hashes, found), len(hashes) - 1)
+            hit = hashes[where] == found
+            out[word[hit], at[hit] + k - 1, k - 1] = ids[where[hit]]
+        out[:, :, 0] = np.maximum(out[:, :, 0], 0)
+        return out
 
 
 def _forward(ids: np.ndarray, prob: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -108,8 +134,9 @@ def log_word_probs(pieces: Pieces, prob: np.ndarray, words: list[str]) -> np.nda
     for i, w in enumerate(words):
         at[len(w)].append(i)
     for where in at.values():
-        for lo in range(0, len(where), 4096):
-            part = where[lo:lo + 4096]
+        step = max(1, min(4096, 400_000 // (len(words[where[0]]) + 1)))  # bounded arrays for long runs
+        for lo in range(0, len(where), step):
+            part = where[lo:lo + step]
             alpha, scale = _forward(pieces.lattice([words[i] for i in part]), prob)
             out[part] = np.log(alpha[-1]) + scale[-1]
     return out
@@ -142,8 +169,9 @@ def expected_counts(pieces: Pieces, prob: np.ndarray, words: list[str], weight:
     for i, w in enumerate(words):
         at[len(w)].append(i)
     for where in at.values():
-        for lo in range(0, len(where), 2048):
-            part = where[lo:lo + 2048]
+        step = max(1, min(2048, 400_000 // (len(words[where[0]]) + 1)))
+        for lo in range(0, len(where), step):
+            part = where[lo:lo + step]
             ids = pieces.lattice([words[i] for i in part])
             w, n, wide = ids.shape
             p = prob[:, 0]

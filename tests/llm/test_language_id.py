@@ -38,6 +38,17 @@ def test_forward_sums_all_segmentations(pieces, word):
     assert np.allclose(li.expected_counts(pieces, prob[:, :1], [word], np.array([3.0]), long=0), counts)
 
 
+def test_lattice_lists_exactly_the_pieces(pieces):
+    words = ["straße", "ентеро", "ñandúx", "ing" * 2, "\U0001d400abcde"]
+    got = pieces.lattice(words)
+    for w, rows in zip(words, got, strict=True):
+        s = li.START + w
+        for end in range(1, len(s) + 1):
+            for k in range(1, rows.shape[1] + 1):
+                want = pieces.ids.get(s[end - k:end], 0 if k == 1 else -1) if k <= end else -1
+                assert rows[end - 1, k - 1] == want
+
+
 def test_long_words_do_not_underflow(pieces):
     prob = np.full((pieces.size + 1, 2), 1e-5)
     prob[-1] = 0
