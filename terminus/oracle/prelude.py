@@ -138,10 +138,44 @@ user_notifications AS (
 )
 """
 
+# Facts that the queries share, over the tables above.
+FACT_CTES = """
+people AS (SELECT *, firstname || ' ' || lastname AS full_name FROM users),
+driver_files AS (
+  SELECT p.* EXCLUDE (status), p.status AS account_status, dd.* EXCLUDE (driver_id)
+  FROM people p JOIN driver_details dd ON dd.driver_id = p.user_id WHERE p.role = 'driver'),
+trip_facts AS (
+  SELECT t.*, CAST(t.actual_departure_datetime AS DATE) AS departed_on,
+         t.trip_status IN ('departed', 'arrived') AS is_driven,
+         t.trip_status IN ('waiting', 'boarding', 'full') AS is_live,
+         t.is_accepting_bookings AND r.status = 'active' AND v.vehicle_id IS NOT NULL AND d.user_id IS NOT NULL AS is_bookable,
+         r.origin, r.destination, r.distance_km, r.estimated_duration_minutes, r.fare_price AS route_fare,
+         v.vehicle_id, v.plate_number, v.vehicle_type, v.make, v.model, v.capacity AS vehicle_capacity,
+         d.user_id AS found_driver, d.full_name AS driver_name, d.phone_number AS driver_phone
+  FROM trips t JOIN routes r USING (route_id) LEFT JOIN vehicles v ON v.vehicle_id = t.assigned_vehicle_id
+  LEFT JOIN people d ON d.user_id = t.driver_id),
+named_bookings AS (
+  SELECT *, passenger_firstname || ' ' || passenger_lastname AS passenger_name, payment_status = 'paid' AS is_paid
+  FROM bookings),
+booking_facts AS (SELECT b.*, f.* EXCLUDE (trip_id) FROM named_bookings b JOIN trip_facts f USING (trip_id)),
+sales AS (
+  SELECT CAST(p.payment_datetime AS DATE) AS payment_date, p.amount AS paid_amount, b.*
+  FROM payment_log p JOIN booking_facts b ON b.booking_id = p.booking_id),
+view_active_bookings AS (
+  SELECT booking_id, ticket_reference, booking_type, booking_date, payment_status, total_amount, seat_count, passenger_name,
+         passenger_email, passenger_phone, trip_id, trip_status, estimated_departure_time, origin, destination,
+         plate_number, driver_name
+  FROM booking_facts WHERE is_paid AND trip_status IN ('boarding', 'full', 'departed')),
+view_queue_status AS (
+  SELECT trip_id, trip_status, queue_position, is_accepting_bookings, estimated_departure_time, capacity, seats_booked,
+         seats_available, route_id, origin, destination, plate_number, vehicle_type, driver_name
+  FROM trip_facts WHERE is_live)
+"""
+
 
 def with_prelude(body_ctes: str | None, select: str, recursive: bool = False) -> str:
     """``WITH [RECURSIVE] prelude[, body_ctes] select``."""
-    ctes = PRELUDE_CTES.strip()
+    ctes = PRELUDE_CTES.strip() + ",\n" + FACT_CTES.strip()
     if body_ctes:
         ctes = ctes + ",\n" + body_ctes.strip()
     kw = "WITH RECURSIVE" if recursive else "WITH"
