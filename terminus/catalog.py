@@ -262,6 +262,19 @@ def _sink_append_log(t: Tables) -> DataFrame:
     return spark.read.parquet(path).select(*sinks.LOG_COLUMNS, "log_month")
 
 
+@register("sink_append_log_stream")
+def _sink_append_log_stream(t: Tables) -> DataFrame:
+    """The same rows as a stream of files, appended in micro-batches to a log that is compacted by month."""
+    spark = t.bookings.sparkSession
+    rows = lc.cancel_bookings(t.bookings, rq.cancel_requests(t)).log.select(*sinks.LOG_COLUMNS).unionByName(
+        lc.departure_log(rq.status_events(t)).select(*sinks.LOG_COLUMNS))
+    folder = write_feed(rows, scratch(spark, "log-feed"))
+    log = sinks.AppendLog(spark, scratch(spark, "log-out"), rows.schema)
+    run_to_end(sinks.append_log_stream(read_stream(spark, folder, rows.schema, 4), log, "actions", compact_every=2, most=1),
+               scratch(spark, "log-ckpt"))
+    return log.read()
+
+
 @register("sink_upsert")
 def _sink_upsert(t: Tables) -> DataFrame:
     """Accepted vehicle reassignments applied to trips by key."""

@@ -2,9 +2,9 @@
 
 The reference enforces these row by row (foreign keys, UNIQUE indexes,
 generated columns, request validators). Here each rule is a set operation
-over whole tables: anti-joins for foreign keys, grouped counts for
-uniqueness, joins for derived invariants, and array-of-errors columns for
-request validation.
+over whole tables: tagged keys that meet in one aggregate for foreign keys,
+uniqueness and derived invariants, and array-of-errors columns for request
+validation.
 """
 
 from __future__ import annotations
@@ -38,76 +38,110 @@ def _missing(child_col: str, alias: str) -> Column:
     return F.col(child_col).isNotNull() & F.col(alias + "_hit").isNull()
 
 
-def _unique(df: DataFrame, cols: list[str], rule: str, table: str) -> DataFrame:
-    text = {f.name for f in df.schema if f.dataType.simpleString() == "string"}
-    keys = [folded(c).alias(c) if c in text else F.col(c) for c in cols]  # UNIQUE under the collation
-    dup = df.groupBy(*keys).count().filter(F.col("count") > 1)
-    return _rules(dup, table, [(rule, F.lit(True))])
+# Key spaces of the audit: a parent's keys with the rules that refer to them (the
+# rule's place is its counter), or the keys of one UNIQUE rule.
+_REFERENCES = {
+    "users": (("fk_trips_driver", "trips"), ("fk_user_notifications_user", "user_notifications"),
+              ("fk_driver_details_user", "driver_details"), ("fk_notifications_creator", "notifications"),
+              ("fk_system_log_user", "system_log")),
+    "routes": (("fk_trips_route", "trips"),),
+    "vehicles": (("fk_trips_vehicle", "trips"),),
+    "bookings": (("fk_payment_log_booking", "payment_log"),),
+    "notifications": (("fk_user_notifications_notification", "user_notifications"),),
+    "trips": (("fk_payment_log_trip", "payment_log"),),
+}
+_UNIQUE = {"uq_bookings_ticket_reference": "bookings", "uq_driver_details_license_number": "driver_details",
+           "uq_users_email": "users", "uq_vehicles_plate_number": "vehicles",
+           "uq_user_notifications_user_notification": "user_notifications"}
+_COUNTERS = 5
+# Counters of a trip's key beside its reference.
+_PAID, _BOOKED, _NEGATIVE, _GENERATED = 1, 2, 3, 4
+
+
+def _claim(space: str, key: Column | str | None = None, slot: int | None = None, n: Column | None = None, present: bool = False,
+           text: Column | None = None, second: Column | str | None = None, when: Column | None = None) -> Column:
+    """A tagged key: that it is ``present`` as a parent, or ``n`` more in counter ``slot``."""
+    col = lambda c: F.lit(None) if c is None else F.col(c) if isinstance(c, str) else c
+    row = F.struct(F.lit(space).alias("space"), col(key).cast("bigint").alias("id"), col(second).cast("bigint").alias("id2"),
+                   col(text).cast("string").alias("text"), F.lit(present).alias("present"),
+                   F.lit(slot).cast("int").alias("slot"), (F.lit(1) if n is None else n).cast("bigint").alias("n"))
+    return row if when is None else F.when(when, row)
+
+
+def _refers(parent: str, rule: str, key: str) -> Column:
+    slot = [r for r, _ in _REFERENCES[parent]].index(rule)
+    return _claim(parent, key, slot, when=F.col(key).isNotNull())
+
+
+def _tagged(df: DataFrame, *claims: Column) -> DataFrame:
+    """The claims of each row, from one scan of ``df``."""
+    return df.select(F.explode(F.array(*claims)).alias("x")).filter("x is not null").select("x.*")
 
 
 def integrity_audit(t: Tables) -> DataFrame:
     """One row per rule: foreign keys (11), UNIQUE keys (5) and derived trip /
     booking invariants, with the number of violating rows (or duplicated keys).
 
-    Each child table is read once: its foreign-key probes are left joins to
-    the distinct parent keys and all its checks are counted in one aggregate.
+    Every table is scanned once and its rows become tagged keys: that a parent
+    key is there, that a row refers to one, that a UNIQUE value is taken, that a
+    trip has so many paid seats. All tags meet in one aggregate by key, whose
+    map-side part also adds up hot keys, and the rules are counted on its groups.
+    Only the rule that compares each booking with its trip's fare (and that the
+    trip exists) is a join, by which bookings and trips are read a second time; it
+    needs no shuffle where both are bucketed by trip. Primary keys are taken to be
+    distinct; equal null values of a UNIQUE key count as equal.
     """
-    users = _keys(t.users, "user_id", "_u")
-    trips_k = t.trips.select(F.col("trip_id").alias("_t"), F.col("fare_price").alias("_fare"),
-                             F.lit(True).alias("_t_hit"))
-    paid = (t.bookings.filter(F.col("payment_status") == "paid").groupBy("trip_id")
-            .agg(F.sum("seat_count").alias("_paid")).withColumnRenamed("trip_id", "_pt"))
-
-    tr = (t.trips.join(_keys(t.routes, "route_id", "_r"), F.col("route_id") == F.col("_r"), "left")
-          .join(_keys(t.vehicles, "vehicle_id", "_v"), F.col("assigned_vehicle_id") == F.col("_v"), "left")
-          .join(users, F.col("driver_id") == F.col("_u"), "left")
-          .join(paid, F.col("trip_id") == F.col("_pt"), "left"))
-    trips_rules = _rules(tr, "trips", [
-        ("fk_trips_route", _missing("route_id", "_r")),
-        ("fk_trips_vehicle", _missing("assigned_vehicle_id", "_v")),
-        ("fk_trips_driver", _missing("driver_id", "_u")),
-        ("inv_trip_seats_booked_equals_paid_seats",
-         F.col("seats_booked") != F.coalesce(F.col("_paid"), F.lit(0))),
-        ("inv_trip_seats_available_non_negative", F.col("seats_available") < 0),
-        ("inv_trip_seats_available_generated",
-         F.col("seats_available") != F.col("capacity") - F.col("seats_booked")),
-    ])
-    bk = t.bookings.join(trips_k, F.col("trip_id") == F.col("_t"), "left")
-    bookings_rules = _rules(bk, "bookings", [
+    left = F.col("seats_available")
+    claims = [
+        _tagged(t.users, _claim("users", "user_id", present=True),
+                _claim("uq_users_email", slot=0, text=folded("email"))),
+        _tagged(t.routes, _claim("routes", "route_id", present=True)),
+        _tagged(t.vehicles, _claim("vehicles", "vehicle_id", present=True),
+                _claim("uq_vehicles_plate_number", slot=0, text=folded("plate_number"))),
+        _tagged(t.driver_details, _refers("users", "fk_driver_details_user", "driver_id"),
+                _claim("uq_driver_details_license_number", slot=0, text=folded("license_number"))),
+        _tagged(t.trips, _claim("trips", "trip_id", _BOOKED, F.coalesce("seats_booked", F.lit(0)), present=True),
+                _claim("trips", "trip_id", _NEGATIVE, when=left < 0),
+                _claim("trips", "trip_id", _GENERATED, when=left != F.col("capacity") - F.col("seats_booked")),
+                _refers("routes", "fk_trips_route", "route_id"),
+                _refers("vehicles", "fk_trips_vehicle", "assigned_vehicle_id"),
+                _refers("users", "fk_trips_driver", "driver_id")),
+        _tagged(t.bookings, _claim("bookings", "booking_id", present=True),
+                _claim("trips", "trip_id", _PAID, F.col("seat_count"),
+                       when=F.col("trip_id").isNotNull() & (F.col("payment_status") == "paid")),
+                _claim("uq_bookings_ticket_reference", slot=0, text=folded("ticket_reference"))),
+        _tagged(t.payment_log, _refers("bookings", "fk_payment_log_booking", "booking_id"),
+                _refers("trips", "fk_payment_log_trip", "trip_id")),
+        _tagged(t.notifications, _claim("notifications", "notification_id", present=True),
+                _refers("users", "fk_notifications_creator", "creator_id")),
+        _tagged(t.user_notifications, _refers("users", "fk_user_notifications_user", "user_id"),
+                _refers("notifications", "fk_user_notifications_notification", "notification_id"),
+                _claim("uq_user_notifications_user_notification", "user_id", 0, second="notification_id")),
+        _tagged(t.system_log, _refers("users", "fk_system_log_user", "user_id")),
+    ]
+    by_key = reduce(DataFrame.unionByName, claims).groupBy("space", "id", "id2", "text").agg(
+        F.max("present").alias("present"),
+        *[F.coalesce(F.sum(F.when(F.col("slot") == i, F.col("n"))), F.lit(0)).alias(f"c{i}") for i in range(_COUNTERS)])
+    of = lambda space: F.col("space") == space
+    trip = of("trips") & F.col("present")
+    total = lambda cond, what: F.coalesce(F.sum(F.when(cond, what)), F.lit(0))
+    rules = [(rule, table, total(of(parent) & ~F.col("present"), F.col(f"c{i}")))
+             for parent, refs in _REFERENCES.items() for i, (rule, table) in enumerate(refs)]
+    rules += [(rule, table, F.count_if(of(rule) & (F.col("c0") > 1))) for rule, table in _UNIQUE.items()]
+    rules += [("inv_trip_seats_booked_equals_paid_seats", "trips", F.count_if(trip & (F.col(f"c{_BOOKED}") != F.col(f"c{_PAID}")))),
+              ("inv_trip_seats_available_non_negative", "trips", total(trip, F.col(f"c{_NEGATIVE}"))),
+              ("inv_trip_seats_available_generated", "trips", total(trip, F.col(f"c{_GENERATED}")))]
+    one = by_key.agg(*[c.cast("bigint").alias(f"r{i}") for i, (_, _, c) in enumerate(rules)])
+    counted = one.select(F.explode(F.array(*[
+        F.struct(F.lit(rule).alias("rule"), F.lit(table).alias("table_name"), F.col(f"r{i}").alias("violations"))
+        for i, (rule, table, _) in enumerate(rules)])).alias("x")).select("x.*")
+    fares = t.trips.select(F.col("trip_id").alias("_t"), F.col("fare_price").alias("_fare"), F.lit(True).alias("_t_hit"))
+    bookings_rules = _rules(t.bookings.join(fares, F.col("trip_id") == F.col("_t"), "left"), "bookings", [
         ("fk_bookings_trip", _missing("trip_id", "_t")),
         ("inv_booking_amount_equals_fare_times_seats",
          F.col("_t_hit") & (F.col("total_amount") != F.col("_fare") * F.col("seat_count"))),
     ])
-    pl = (t.payment_log.join(_keys(t.bookings, "booking_id", "_b"), F.col("booking_id") == F.col("_b"), "left")
-          .join(_keys(t.trips, "trip_id", "_pt2"), F.col("trip_id") == F.col("_pt2"), "left"))
-    payment_rules = _rules(pl, "payment_log", [
-        ("fk_payment_log_booking", _missing("booking_id", "_b")),
-        ("fk_payment_log_trip", _missing("trip_id", "_pt2")),
-    ])
-    un = (t.user_notifications.join(users, F.col("user_id") == F.col("_u"), "left")
-          .join(_keys(t.notifications, "notification_id", "_n"), F.col("notification_id") == F.col("_n"), "left"))
-    un_rules = _rules(un, "user_notifications", [
-        ("fk_user_notifications_user", _missing("user_id", "_u")),
-        ("fk_user_notifications_notification", _missing("notification_id", "_n")),
-    ])
-    single = [
-        _rules(t.driver_details.join(users, F.col("driver_id") == F.col("_u"), "left"), "driver_details",
-               [("fk_driver_details_user", _missing("driver_id", "_u"))]),
-        _rules(t.notifications.join(users, F.col("creator_id") == F.col("_u"), "left"), "notifications",
-               [("fk_notifications_creator", _missing("creator_id", "_u"))]),
-        _rules(t.system_log.join(users, F.col("user_id") == F.col("_u"), "left"), "system_log",
-               [("fk_system_log_user", _missing("user_id", "_u"))]),
-    ]
-    uniques = [
-        _unique(t.bookings, ["ticket_reference"], "uq_bookings_ticket_reference", "bookings"),
-        _unique(t.driver_details, ["license_number"], "uq_driver_details_license_number", "driver_details"),
-        _unique(t.users, ["email"], "uq_users_email", "users"),
-        _unique(t.vehicles, ["plate_number"], "uq_vehicles_plate_number", "vehicles"),
-        _unique(t.user_notifications, ["user_id", "notification_id"],
-                "uq_user_notifications_user_notification", "user_notifications"),
-    ]
-    return reduce(DataFrame.unionByName,
-                  [trips_rules, bookings_rules, payment_rules, un_rules] + single + uniques)
+    return counted.unionByName(bookings_rules)
 
 
 def cascade_delete(t: Tables, users: DataFrame, trips: DataFrame, vehicles: DataFrame,
@@ -115,8 +149,9 @@ def cascade_delete(t: Tables, users: DataFrame, trips: DataFrame, vehicles: Data
     """Effect of deleting the given parent ids (one-column frames of ids):
     rows removed by ON DELETE CASCADE, rows whose reference becomes NULL (SET
     NULL) and trips that keep a route by RESTRICT, as counts per
-    (table_name, action). Each table is read once; its actions are
-    conditional counts over left-join probes of the deleted id sets."""
+    (table_name, action). A table's actions are conditional counts over left-join
+    probes of the deleted id sets; one that is both child and parent is read once
+    per role (trips three times, users twice)."""
     ud = _keys(users, "user_id", "_u")
     td = _keys(trips, "trip_id", "_t")
     vd = _keys(vehicles, "vehicle_id", "_v")

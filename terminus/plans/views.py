@@ -63,21 +63,22 @@ def queue_status(t: Tables) -> DataFrame:
 
 
 def payments_with_context(t: Tables, payments: DataFrame) -> DataFrame:
-    """Payments pre-aggregated per (booking, payment day), then joined to
-    bookings -> trips -> routes.
+    """Payments joined to their bookings, aggregated per (booking, payment day),
+    then joined to trips -> routes.
 
     A booking's destination and type are fixed, so each (booking, day) pair
     falls in exactly one report group: COUNT(DISTINCT booking_id) becomes a
-    plain count of pairs and no distinct-aggregate expansion is needed.
+    plain count of pairs and no distinct-aggregate expansion is needed. The join
+    comes first: it clusters by booking, so the aggregate needs no shuffle of its
+    own, and the days' payments can prune the bookings by a Bloom filter.
     """
-    per_booking_day = (payments.groupBy("booking_id", F.to_date("payment_datetime").alias("payment_date"))
-                       .agg(F.count(F.lit(1)).alias("n_payments"),
-                            F.sum("amount").alias("amount_sum")))
+    p = payments.select("booking_id", F.to_date("payment_datetime").alias("payment_date"), "amount")
     b = t.bookings.select("booking_id", F.col("trip_id").alias("_btrip"), "seat_count", "booking_type")
+    per_booking_day = p.join(b, "booking_id").groupBy("booking_id", "payment_date", "_btrip", "seat_count", "booking_type").agg(
+        F.count(F.lit(1)).alias("n_payments"), F.sum("amount").alias("amount_sum"))
     tr = t.trips.select(F.col("trip_id").alias("_ttrip"), "route_id")
     r = t.routes.select("route_id", "destination")
-    return (per_booking_day.join(b, "booking_id")
-            .join(tr, F.col("_btrip") == F.col("_ttrip"))
+    return (per_booking_day.join(tr, F.col("_btrip") == F.col("_ttrip"))
             .join(r, "route_id"))
 
 

@@ -23,6 +23,9 @@ BASE_CONF = {
     # in RocksDB rather than on the JVM heap.
     "spark.sql.streaming.stateStore.providerClass":
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    # A month's trips or a day's payments prune bookings by a Bloom filter even if
+    # the table they come from is large (its own scan is pruned by the same dates).
+    "spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold": "1TB",
     "spark.executorEnv.PYTHONWARNINGS": "ignore::FutureWarning",
 }
 
