@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import datetime as dt
 from dataclasses import dataclass, field
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -44,6 +45,10 @@ class JobResult:
 LOG_SCHEMA = "user_id bigint, action_type string, description string, created_at timestamp_ntz"
 
 
+#: The order in which requests are applied.
+REQUEST_ORDER = ["requested_at", "request_id"]
+
+
 def _decide(ok: Column, reason: Column) -> list[Column]:
     return [F.when(ok, "accepted").otherwise("rejected").alias("decision"),
             F.when(ok, F.lit(None).cast("string")).otherwise(reason).alias("reason")]
@@ -97,47 +102,40 @@ def admit_bookings(trips: DataFrame, requests: DataFrame, bookings: DataFrame,
               .when(n.isNull() | (n < 1), "invalid_seat_count")
               .when(n > F.col("_avail"), "not_enough_seats"))
     r = r.withColumn("_static", static)
+    # Decided on five narrow columns. A trip may be asked for by a third of all
+    # requests, so their rank is counted over ranges, not in one task a trip.
     elig = r.filter(F.col("_static").isNull()).select("trip_id", "request_id", "requested_at",
                                                       "seat_count", "_avail")
-    bound = _scalar(trips.filter(F.col("trip_status").isin(*BOOKABLE_TRIP))
-                    .agg(F.max("seats_available")))
-    rk = F.row_number().over(Window.partitionBy("trip_id", "seat_count")
-                             .orderBy("requested_at", "request_id"))
-    # ``<= literal`` lets the planner cut each map task's output per key
-    # (WindowGroupLimit); the exact per-trip bound follows.
-    cand = (elig.withColumn("_rk", rk).filter(F.col("_rk") <= F.lit(max(bound, 1)))
+    cand = (sequence_within(elig, ["trip_id", "seat_count"], [F.col(c) for c in REQUEST_ORDER], out="_rk")
             .filter(F.col("_rk") * F.col("seat_count") <= F.col("_avail")))
     lists = cand.groupBy("trip_id", "_avail").agg(F.array_sort(F.collect_list(
         F.struct("requested_at", "request_id", "seat_count"))).alias("_reqs"))
-    init = F.struct(F.col("_avail").alias("left"), F.array().cast("array<bigint>").alias("ok"))
+    init = F.struct(F.col("_avail").alias("left"),
+                    F.array().cast("array<struct<requested_at:timestamp_ntz,request_id:bigint>>").alias("ok"))
     folded = F.aggregate(
         "_reqs", init,
         lambda acc, x: F.when(x["seat_count"] <= acc["left"], F.struct(
             (acc["left"] - x["seat_count"]).alias("left"),
-            F.array_append(acc["ok"], x["request_id"]).alias("ok"))).otherwise(acc))
-    ok_ids = lists.select(F.explode(folded["ok"]).alias("_ok"))
-    d = r.join(ok_ids, r.request_id == ok_ids._ok, "left")
-    d = d.withColumn("_ok_flag", F.col("_ok").isNotNull()).drop("_ok", "_t")
-    # The decision per request is written once (reliable checkpoint): numbering
-    # the accepted rows and the final output both read it instead of
-    # re-running the join and the fold.
-    checkpoint_dir(d.sparkSession)
-    d = d.checkpoint(eager=True)
-    acc = d.filter(F.col("_ok_flag"))
-    seq = sequence_within(acc.select("request_id", "requested_at"), [],
-                          [F.col("requested_at").asc(), F.col("request_id").asc()], out="_seq")
-    ids = seq.select(F.col("request_id").alias("_rid"),
-                     (_max_id(bookings, "booking_id") + F.col("_seq")).alias("booking_id"),
-                     (_max_id(payments, "payment_id") + F.col("_seq")).alias("payment_id"))
-    d = d.join(ids, d.request_id == ids._rid, "left")
+            F.array_append(acc["ok"], F.struct(x["requested_at"].alias("requested_at"),
+                                               x["request_id"].alias("request_id"))).alias("ok"))).otherwise(acc))
+    ok = lists.select(F.inline(folded["ok"]))
+    # The numbered ids are read by every output, so they are written once
+    # (three numbers a row); the wide request rows join them.
+    checkpoint_dir(r.sparkSession)
+    ids = (sequence_within(ok, [], [F.col(c) for c in REQUEST_ORDER], out="_seq")
+           .select(F.col("request_id").alias("_rid"),
+                   (_max_id(bookings, "booking_id") + F.col("_seq")).alias("booking_id"),
+                   (_max_id(payments, "payment_id") + F.col("_seq")).alias("payment_id"))
+           .checkpoint(eager=True))
     total = (F.col("_fare") * F.col("seat_count")).cast("decimal(10,2)")
-    decisions = d.select(
+    ok_flag = F.col("booking_id").isNotNull()
+    decisions = r.join(ids, r.request_id == ids._rid, "left").select(
         "request_id", "trip_id", "seat_count",
-        *_decide(F.col("_ok_flag"), F.coalesce(F.col("_static"), F.lit("not_enough_seats"))),
-        "booking_id", F.when(F.col("_ok_flag"), total).alias("total_amount"),
-        F.when(F.col("_ok_flag"), ticket_reference(F.col("booking_id"), lit_ts(now)))
+        *_decide(ok_flag, F.coalesce(F.col("_static"), F.lit("not_enough_seats"))),
+        "booking_id", F.when(ok_flag, total).alias("total_amount"),
+        F.when(ok_flag, ticket_reference(F.col("booking_id"), lit_ts(now)))
         .alias("ticket_reference"))
-    accepted = d.filter(F.col("_ok_flag"))
+    accepted = r.join(ids, r.request_id == ids._rid)
     new_bookings = accepted.select(
         "booking_id", ticket_reference(F.col("booking_id"), lit_ts(now)).alias("ticket_reference"),
         "trip_id", F.col("firstname").alias("passenger_firstname"),
@@ -181,42 +179,89 @@ def full_or(status: Column) -> Column:
 
 
 # --------------------------------------------------------------------- W02
-SMART_FOLD_SCHEMA = "request_id bigint, trip_id bigint"
-
-
-def _smart_fold(pdf: pd.DataFrame) -> pd.DataFrame:
-    """One route: assign each request to the first trip (queue order) with
-    enough free seats. ``ptr[n]`` is the first trip that can still take n
-    seats; free seats only shrink, so each pointer only moves forward."""
-    trips = pdf[pdf["kind"] == 0].sort_values(["queue_position", "trip_id"])
-    reqs = pdf[pdf["kind"] == 1].sort_values(["order_key", "request_id"])
-    rem = trips["avail"].to_numpy(dtype="int64").copy()
-    tids = trips["trip_id"].to_numpy(dtype="int64")
+#: Rows of one cell: requests of a route's slice, trips of a route's block.
+SMART_SLICE = 500_000
+SMART_BLOCK = 100_000
+
+
+def _smart_cell(pdf: pd.DataFrame) -> pd.DataFrame:
+    """One slice of a route's requests meets one block of its trips: each request
+    goes to the first trip (queue order) with enough free seats. ``ptr[n]`` is the
+    first trip that can still take n seats; free seats only shrink, so each
+    pointer only moves forward. Rows come back with ``seats`` (of a trip: those
+    left) and ``to_trip`` (of a request: its trip, if any)."""
+    pdf = pdf.sort_values(["is_request", "seq"], ignore_index=True)
+    first = int((~pdf["is_request"]).sum())
+    seats = pdf["seats"].to_numpy(dtype="int64").copy()
+    ids = pdf["id"].to_numpy(dtype="int64")
     ptr: dict[int, int] = {}
-    out_r, out_t = [], []
-    for rid, n in zip(reqs["request_id"].to_numpy(dtype="int64"),
-                      reqs["seat_count"].to_numpy(dtype="int64")):
+    to_trip: list = [None] * len(pdf)
+    for i in range(first, len(pdf)):
+        n = int(seats[i])
         p = ptr.get(n, 0)
-        while p < len(rem) and rem[p] < n:
+        while p < first and seats[p] < n:
             p += 1
         ptr[n] = p
-        if p < len(rem):
-            rem[p] -= n
-            out_r.append(rid)
-            out_t.append(tids[p])
-    return pd.DataFrame({"request_id": pd.Series(out_r, dtype="int64"),
-                         "trip_id": pd.Series(out_t, dtype="int64")})
-
-
-def admit_smart_bookings(trips: DataFrame, requests: DataFrame, by_service_day: bool = False) -> JobResult:
+        if p < first:
+            seats[p] -= n
+            to_trip[i] = int(ids[p])
+    pdf["seats"] = seats
+    pdf["to_trip"] = pd.array(to_trip, dtype="Int64")
+    return pdf
+
+
+def _first_fit(open_trips: DataFrame, cand: DataFrame, grp: list[str], slice_rows: int,
+               block_rows: int) -> DataFrame:
+    """First-fit of requests (``grp``, request_id, seat_count, requested_at) into
+    trips (``grp``, trip_id, queue_position, avail): ``request_id, trip_id`` of
+    those that found one.
+
+    A request that no trip of a block can take moves on to the next block, so a
+    block is a filter that the requests pass in order. Slice s of a route's
+    requests meets block b of its trips in step s + b: by then it has left block
+    b - 1, and slice s - 1 has left block b. All cells of a step run side by side,
+    and none holds more than a slice and a block, whatever a route holds. There
+    is one step for a small route, and (slices + blocks - 1) for the largest one.
+    """
+    def cells(df: DataFrame, order: list, rows: int, is_request: bool, row_id: str, seats: str) -> DataFrame:
+        return sequence_within(df, grp, order, out="seq").select(
+            *grp, F.lit(is_request).alias("is_request"), F.floor((F.col("seq") - 1) / rows).cast("int").alias("begins"),
+            "seq", F.col(row_id).cast("bigint").alias("id"), F.col(seats).cast("bigint").alias("seats"),
+            F.lit(None).cast("bigint").alias("to_trip"))
+
+    order = [F.col("queue_position").asc_nulls_last(), F.col("trip_id").asc()]
+    todo = (cells(open_trips, order, block_rows, False, "trip_id", "avail")
+            .unionByName(cells(cand, [F.col(c) for c in REQUEST_ORDER], slice_rows, True, "request_id", "seat_count")))
+    # What a row still meets: a trip all slices, a request all blocks of its route.
+    last = todo.groupBy(*[F.col(c).alias("_l_" + c) for c in grp]).agg(
+        F.max(F.when(F.col("is_request"), F.col("begins"))).alias("_slice"),
+        F.max(F.when(~F.col("is_request"), F.col("begins"))).alias("_block")).filter("_slice is not null and _block is not null")
+    on = [todo[c].eqNullSafe(last["_l_" + c]) for c in grp]
+    todo = (todo.join(last, on).withColumn("ends", F.col("begins") + F.when(F.col("is_request"), F.col("_block")).otherwise(F.col("_slice")))
+            .drop("_slice", "_block", *["_l_" + c for c in grp]))
+    checkpoint_dir(todo.sparkSession)
+    todo = todo.checkpoint(eager=True)
+    found, going = [], todo.filter("false")
+    for step in range(_scalar(todo.agg(F.max("ends") + 1))):
+        cell = F.when(F.col("is_request"), step - F.col("begins")).otherwise(F.col("begins")).alias("cell")
+        now = todo.filter(F.col("begins") == step).unionByName(going)
+        done = now.groupBy(*grp, cell).applyInPandas(_smart_cell, todo.schema).checkpoint(eager=True)
+        found.append(done.filter("to_trip is not null"))
+        going = done.filter((F.col("ends") > step) & F.col("to_trip").isNull())
+    return reduce(DataFrame.unionByName, found, todo.filter("false")).select(
+        F.col("id").alias("request_id"), F.col("to_trip").alias("trip_id"))
+
+
+def admit_smart_bookings(trips: DataFrame, requests: DataFrame, by_service_day: bool = False,
+                         slice_rows: int = SMART_SLICE, block_rows: int = SMART_BLOCK) -> JobResult:
     """smart_booking for a batch: each request names a route; it goes to the
     first boarding, accepting trip of that route (by queue position) with
     enough free seats, else ``no_trip``. A trip that fills is skipped after.
 
-    Sequential per route. The same exact pruning as W01 applies per (route,
-    seat count): accepted size-s requests are the first ones, at most
-    sum over the route's trips of floor(free / s). Only those candidates and
-    the route's open trips enter the per-route fold (``applyInPandas``).
+    The same exact pruning as W01 applies per (route, seat count): accepted
+    size-s requests are the first ones, at most sum over the route's trips of
+    floor(free / s). They and the route's open trips meet in cells of bounded
+    size (``_first_fit``); no route is gathered in one task.
 
     ``by_service_day=True`` is an opt-in variant, not the reference's answer: a
     request only looks at trips whose planned departure falls on the day it
@@ -234,24 +279,11 @@ def admit_smart_bookings(trips: DataFrame, requests: DataFrame, by_service_day:
     bounds = (sizes.join(open_trips, [sizes["_s_" + c].eqNullSafe(open_trips[c]) for c in grp])
               .groupBy(*["_s_" + c for c in grp], "_s_n")
               .agg(F.sum(F.floor(F.col("avail") / F.col("_s_n"))).cast("bigint").alias("_bound")))
-    maxb = _scalar(bounds.agg(F.max("_bound")))
-    rk = F.row_number().over(Window.partitionBy(*grp, "seat_count")
-                             .orderBy("requested_at", "request_id"))
     cond = [req[c].eqNullSafe(bounds["_s_" + c]) for c in grp] + [req["seat_count"] == bounds["_s_n"]]
-    cand = (req.join(bounds, cond).select(*req.columns, "_bound").withColumn("_rk", rk)
-            .filter(F.col("_rk") <= F.lit(max(maxb, 1)))
-            .filter(F.col("_rk") <= F.col("_bound")))
-    order_key = F.date_format("requested_at", "yyyy-MM-dd HH:mm:ss.SSSSSS")
-    rows = (open_trips.select(*grp, F.lit(0).alias("kind"), "trip_id", "queue_position",
-                              "avail", F.lit(None).cast("bigint").alias("request_id"),
-                              F.lit(None).cast("string").alias("order_key"),
-                              F.lit(None).cast("int").alias("seat_count"))
-            .unionByName(cand.select(*grp, F.lit(1).alias("kind"),
-                                     F.lit(None).cast("bigint").alias("trip_id"),
-                                     F.lit(None).cast("int").alias("queue_position"),
-                                     F.lit(None).cast("int").alias("avail"), "request_id",
-                                     order_key.alias("order_key"), "seat_count")))
-    assigned = rows.groupBy(*grp).applyInPandas(_smart_fold, SMART_FOLD_SCHEMA)
+    cand = (sequence_within(req.join(bounds, cond).filter("_bound > 0").select(*req.columns, "_bound"), [*grp, "seat_count"],
+                            [F.col(c) for c in REQUEST_ORDER], out="_rk")
+            .filter(F.col("_rk") <= F.col("_bound")).select(*req.columns))
+    assigned = _first_fit(open_trips, cand, grp, slice_rows, block_rows)
     a = assigned.select(F.col("request_id").alias("_rid"), F.col("trip_id").alias("assigned_trip_id"))
     d = requests.join(a, requests.request_id == a._rid, "left")
     ok = F.col("assigned_trip_id").isNotNull()

@@ -107,6 +107,25 @@ def test_admit_smart_matches_greedy(spark, reqs):
     assert got == smart_greedy(trips, rows)
 
 
+@settings(max_examples=5, deadline=None)
+@given(st.lists(st.tuples(st.integers(1, 2), st.integers(1, 9), st.integers(0, 30)), min_size=1, max_size=40),
+       st.integers(1, 9), st.integers(1, 3))
+def test_admit_smart_in_small_cells(spark, reqs, slice_rows, block_rows):
+    """A route's requests in slices, its trips in blocks: the result is the loop's."""
+    trips = [(i, 1 + i % 2, "boarding", True, (7 * i) % 10, 14, 0, 3 + (5 * i) % 12, 50) for i in range(1, 11)]
+    rows = [(i, None, rte, n, m) for i, (rte, n, m) in enumerate(reqs)]
+    res = lc.admit_smart_bookings(_trips(spark, trips), _reqs(spark, rows), slice_rows=slice_rows, block_rows=block_rows)
+    got = {r.request_id: r.trip_id for r in res.decisions.collect()}
+    assert got == smart_greedy(trips, rows)
+
+
+def test_admit_smart_without_trips_or_requests(spark):
+    trips, rows = [(1, 1, "waiting", True, 1, 14, 0, 14, 50)], [(1, None, 1, 2, 5), (2, None, 9, 0, 6)]
+    got = lc.admit_smart_bookings(_trips(spark, trips), _reqs(spark, rows)).decisions.collect()
+    assert sorted((r.request_id, r.reason) for r in got) == [(1, "no_trip"), (2, "invalid_seat_count")]
+    assert lc.admit_smart_bookings(_trips(spark, trips), _reqs(spark, rows).filter("false")).decisions.count() == 0
+
+
 def test_admission_fixture_count(spark):
     """SURVEY appendix: all sf0.01 bookings as requests on empty 14-seat
     boarding trips -> 35,454 accepted."""
