@@ -216,6 +216,7 @@ register("stream_live_queue_snapshots")(sj.run_stream_live_queue_snapshots)
 register("stream_seat_availability")(sj.run_stream_seat_availability)
 register("stream_recent_bookings")(sj.run_stream_recent_bookings)
 register("stream_admission")(sj.run_stream_admission)
+register("stream_admission_closing")(sj.run_stream_admission_closing)
 register("stream_action_log")(sj.run_stream_action_log)
 
 # ---------------------------------------------------------------- §2.1 / §2.8

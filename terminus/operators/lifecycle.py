@@ -75,6 +75,28 @@ def _scalar(df: DataFrame) -> int:
     return int(v) if v is not None else 0
 
 
+def first_come(requests: DataFrame) -> DataFrame:
+    """``requested_at, request_id`` of the requests (trip_id, request_id,
+    requested_at, seat_count, ``_avail`` = their trip's free seats) that get seats
+    in (requested_at, request_id) order; see ``admit_bookings`` for the bound on
+    the lists."""
+    # Five narrow columns. A trip may be asked for by a third of all requests, so
+    # their rank is counted over ranges, not in one task a trip.
+    cand = (sequence_within(requests.select("trip_id", "request_id", "requested_at", "seat_count", "_avail"), ["trip_id", "seat_count"], [F.col(c) for c in REQUEST_ORDER], out="_rk")
+            .filter(F.col("_rk") * F.col("seat_count") <= F.col("_avail")))
+    lists = cand.groupBy("trip_id", "_avail").agg(F.array_sort(F.collect_list(
+        F.struct("requested_at", "request_id", "seat_count"))).alias("_reqs"))
+    init = F.struct(F.col("_avail").alias("left"),
+                    F.array().cast("array<struct<requested_at:timestamp_ntz,request_id:bigint>>").alias("ok"))
+    folded = F.aggregate(
+        "_reqs", init,
+        lambda acc, x: F.when(x["seat_count"] <= acc["left"], F.struct(
+            (acc["left"] - x["seat_count"]).alias("left"),
+            F.array_append(acc["ok"], F.struct(x["requested_at"].alias("requested_at"),
+                                               x["request_id"].alias("request_id"))).alias("ok"))).otherwise(acc))
+    return lists.select(F.inline(folded["ok"]))
+
+
 # --------------------------------------------------------------------- W01
 def admit_bookings(trips: DataFrame, requests: DataFrame, bookings: DataFrame,
                    payments: DataFrame, now: dt.datetime) -> JobResult:
@@ -102,23 +124,9 @@ def admit_bookings(trips: DataFrame, requests: DataFrame, bookings: DataFrame,
               .when(n.isNull() | (n < 1), "invalid_seat_count")
               .when(n > F.col("_avail"), "not_enough_seats"))
     r = r.withColumn("_static", static)
-    # Decided on five narrow columns. A trip may be asked for by a third of all
-    # requests, so their rank is counted over ranges, not in one task a trip.
     elig = r.filter(F.col("_static").isNull()).select("trip_id", "request_id", "requested_at",
                                                       "seat_count", "_avail")
-    cand = (sequence_within(elig, ["trip_id", "seat_count"], [F.col(c) for c in REQUEST_ORDER], out="_rk")
-            .filter(F.col("_rk") * F.col("seat_count") <= F.col("_avail")))
-    lists = cand.groupBy("trip_id", "_avail").agg(F.array_sort(F.collect_list(
-        F.struct("requested_at", "request_id", "seat_count"))).alias("_reqs"))
-    init = F.struct(F.col("_avail").alias("left"),
-                    F.array().cast("array<struct<requested_at:timestamp_ntz,request_id:bigint>>").alias("ok"))
-    folded = F.aggregate(
-        "_reqs", init,
-        lambda acc, x: F.when(x["seat_count"] <= acc["left"], F.struct(
-            (acc["left"] - x["seat_count"]).alias("left"),
-            F.array_append(acc["ok"], F.struct(x["requested_at"].alias("requested_at"),
-                                               x["request_id"].alias("request_id"))).alias("ok"))).otherwise(acc))
-    ok = lists.select(F.inline(folded["ok"]))
+    ok = first_come(elig)
     # The numbered ids are read by every output, so they are written once
     # (three numbers a row); the wide request rows join them.
     checkpoint_dir(r.sparkSession)

@@ -16,13 +16,12 @@ rejected as ``late``.
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from terminus.functions.scalar import BOOKABLE_TRIP, full_name
 from terminus.operators import lifecycle as lc
@@ -366,81 +365,79 @@ def run_stream_recent_bookings(t: Tables, k: int = FEED_K) -> DataFrame:
 
 
 # ---------------------------------------------------------------------- X07
-ADMISSION_OUT = "request_id long, trip_id long, seat_count int, decision string, reason string"
-ADMISSION_STATE = "seats_left int, last_ts timestamp_ntz, last_id long"
-
-
-def _decisions(rows: pd.DataFrame, accepted, reason) -> pd.DataFrame:
-    return pd.DataFrame({"request_id": rows["request_id"].astype("int64").to_numpy(),
-                         "trip_id": rows["trip_id"].astype("int64").to_numpy(),
-                         "seat_count": rows["seat_count"].astype("Int32").array,
-                         "decision": ["accepted" if a else "rejected" for a in accepted],
-                         "reason": pd.Series(reason, dtype=object)})
-
-
-def _admit(key, pdfs, state: GroupState):
-    """Per trip: admit requests in (requested_at, request_id) order while
-    seats last. The state is the free seats and the last request decided; the
-    first batch of a trip starts from the snapshot's free seats on each row.
-
-    A request that sorts before the last one decided cannot be fitted in any
-    more: it is rejected as ``late`` and takes no seat. Same exact pruning as the
-    batch job: with ``left`` free seats at the start of the batch, only the first
-    floor(left / s) requests of each size s can be accepted. The chunks of a trip
-    come in no order; after each one only those first requests so far are held
-    (their number depends on the free seats alone), and the others go out as
-    rejected.
+ADMISSION_OUT = "request_id bigint, trip_id bigint, seat_count int, decision string, reason string"
+DECIDED = ADMISSION_OUT + ", requested_at timestamp_ntz"
+SEATS = "trip_id bigint, seats_left int, closes timestamp_ntz, last_ts timestamp_ntz, last_id bigint"
+
+
+def admission_tables(trips: DataFrame, path: str, keep: dt.timedelta | None = None,
+                     every: str = "yyyy-MM") -> tuple[KeyedTable, KeyedTable, Callable]:
+    """X07: the decisions by request, the free seats by trip, and the
+    ``foreachBatch`` function that decides a micro-batch of requests: online
+    create_booking, exactly one row per request.
+
+    A batch is decided as a whole by the rule of the batch job, in (requested_at,
+    request_id) order, from the seats that earlier batches left, so a trip with a
+    third of all requests is spread over tasks as there. What could not be fitted
+    in any more, because a later request of its trip was decided before, is
+    rejected as ``late`` and takes no seat. A request is told from its copies by
+    its id, among the decisions in its own bucket of time (``every``, a date
+    pattern): no ids are held in stream state, however late a copy comes.
+
+    With ``keep`` a trip closes that long after its planned departure: later
+    requests are rejected as ``departed``. Once a request from after that moment
+    has been decided for any trip, the closed trip's seats are no longer held, and
+    a request that arrives for it then is ``departed`` or ``late``. A trip without a
+    planned departure, or without ``keep``, never closes.
+
+    ``seats`` is written last, and both tables are read as they were before the
+    batch, so a replay after a failure at any point decides the same again.
     """
-    order = ["requested_at", "request_id"]
-    left, last = (state.get[0], (pd.Timestamp(state.get[1]), state.get[2])) if state.exists else (None, None)
-    newest, held = last, None
-    for rows in pdfs:
-        if not len(rows):
-            continue
-        left = int(rows["_avail"].iloc[0]) if left is None else left
-        rows = rows.sort_values(order)
-        at = list(zip(pd.to_datetime(rows["requested_at"]), rows["request_id"].astype("int64"), strict=True))
-        newest = max(at if newest is None else [*at, newest])
-        late = pd.Series([last is not None and k <= last for k in at], index=rows.index)
-        valid = rows["seat_count"].fillna(0) >= 1
-        out = rows[late | ~valid]
-        if len(out):
-            yield _decisions(out, [False] * len(out), ["late" if z else "invalid_seat_count" for z in late[out.index]])
-        rows = rows[valid & ~late].astype({"seat_count": "int64"})
-        held = (rows if held is None else pd.concat([held, rows], ignore_index=True)).sort_values(order)
-        first = (held.groupby("seat_count").cumcount() + 1) * held["seat_count"] <= left
-        out, held = held[~first], held[first]
-        if len(out):
-            yield _decisions(out, [False] * len(out), ["not_enough_seats"] * len(out))
-    ok = []
-    for n in held["seat_count"]:
-        ok.append(n <= left)
-        left -= int(n) if ok[-1] else 0
-    state.update((int(left), newest[0].to_pydatetime(), int(newest[1])))
-    yield _decisions(held, ok, [None if a else "not_enough_seats" for a in ok])
-
-
-def stream_admission(requests: DataFrame, trips: DataFrame, delay: str | None = None) -> DataFrame:
-    """X07: online create_booking, exactly one row per request. Requests for
-    bookable trips go through the per-trip seat state; unknown or non-bookable
-    trips are rejected at once.
-
-    A trip's state must outlive any gap between its requests (in the fixture
-    they span years), so it has no timeout: it is one small row per trip that
-    is bookable in the snapshot.
-    """
-    tr = trips.select(F.col("trip_id").alias("_t"), F.col("trip_status").alias("_st"),
-                      F.col("seats_available").alias("_avail"))
-    r = (deduplicated(requests, "requested_at", ["request_id"], delay)
-         .join(tr, F.col("trip_id") == F.col("_t"), "left"))
-    ok = F.col("_t").isNotNull() & F.col("_st").isin(*BOOKABLE_TRIP)
-    folded = (r.filter(ok).select("request_id", "trip_id", "seat_count", "requested_at", "_avail", "_et")
-              .groupBy("trip_id").applyInPandasWithState(
-                  _admit, ADMISSION_OUT, ADMISSION_STATE, "append", GroupStateTimeout.NoTimeout))
-    rejected = r.filter(~ok).select(
-        "request_id", "trip_id", "seat_count", F.lit("rejected").alias("decision"),
-        F.when(F.col("_t").isNull(), "unknown_trip").otherwise("not_accepting").alias("reason"))
-    return folded.unionByName(rejected)
+    spark = trips.sparkSession
+    decided = KeyedTable(spark, path + "/decisions", spark.createDataFrame([], DECIDED).schema, ["request_id"],
+                         bucket_by=F.date_format("requested_at", every))
+    seats = KeyedTable(spark, path + "/seats", spark.createDataFrame([], SEATS).schema, ["trip_id"])
+    closes = F.lit(None).cast("timestamp_ntz") if keep is None else F.col("estimated_departure_time") + F.lit(keep)
+    tr = trips.select(F.col("trip_id").alias("_t"), F.col("trip_status").alias("_st"), F.col("seats_available").cast("int").alias("_free"),
+                      closes.cast("timestamp_ntz").alias("_closes"))
+    n, at = F.col("seat_count"), F.struct("requested_at", "request_id")
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        if epoch in seats.committed():
+            return
+        batch = batch.select("request_id", "trip_id", "seat_count", "requested_at").dropDuplicates(["request_id"])
+        known = decided.near(batch, epoch - 1).select(F.col("request_id").alias("_k"))
+        held = materialized(seats.snapshot(epoch - 1))
+        horizon = F.lit(held.agg(F.max("last_ts")).first()[0]).cast("timestamp_ntz")  # one value
+        before = held.select(F.col("trip_id").alias("_h"), "seats_left", F.col("last_ts"), F.col("last_id"))
+        r = (batch.join(known, F.col("request_id") == F.col("_k"), "left_anti")
+             .join(tr, F.col("trip_id") == F.col("_t"), "left").join(before, F.col("trip_id") == F.col("_h"), "left")
+             .withColumn("_avail", F.coalesce("seats_left", "_free")))
+        late = (F.col("_closes") < horizon) | (F.col("last_id").isNotNull() & (at <= F.struct(F.col("last_ts"), F.col("last_id"))))
+        r = materialized(r.withColumn("_why", F.when(F.col("_t").isNull(), "unknown_trip")
+                                      .when(~F.col("_st").isin(*BOOKABLE_TRIP), "not_accepting")
+                                      .when(F.col("requested_at") > F.col("_closes"), "departed")
+                                      .when(late, "late")
+                                      .when(n.isNull() | (n < 1), "invalid_seat_count")
+                                      .when(n > F.col("_avail"), "not_enough_seats")))
+        taken = lc.first_come(r.filter("_why is null")).select(F.col("request_id").alias("_ok"))
+        done = materialized(r.join(taken, F.col("request_id") == F.col("_ok"), "left"))
+        ok = F.col("_ok").isNotNull()
+        decided.upsert(done.select(
+            "request_id", "trip_id", "seat_count", F.when(ok, "accepted").otherwise("rejected").alias("decision"),
+            F.when(~ok, F.coalesce("_why", F.lit("not_enough_seats"))).alias("reason"), "requested_at"), epoch)
+        # Requests that stood in line move their trip on; others leave it as it was.
+        asked = done.filter("_why is null or _why in ('invalid_seat_count', 'not_enough_seats')").groupBy("trip_id").agg(
+            (F.first("_avail") - F.sum(F.when(ok, n).otherwise(0))).cast("int").alias("seats_left"), F.first("_closes").alias("closes"),
+            F.max(at).alias("_last")).select("trip_id", "seats_left", "closes", F.col("_last.requested_at").alias("last_ts"),
+                                             F.col("_last.request_id").alias("last_id"))
+        rest = held.join(asked.select("trip_id"), "trip_id", "left_anti").withColumn("_old", F.lit(True))
+        now = materialized(rest.unionByName(asked.withColumn("_old", F.lit(False))))
+        newest = F.lit(now.agg(F.max("last_ts")).first()[0]).cast("timestamp_ntz")  # one value
+        gone = F.coalesce(F.col("closes") < newest, F.lit(False))
+        seats.upsert(now.filter(~F.col("_old") | gone).withColumn("_gone", gone).drop("_old"), epoch)
+
+    return decided, seats, write
 
 
 ADMISSION_BATCHES = 4
@@ -455,20 +452,31 @@ def in_time_order(feed: DataFrame, ts_col: str, batches: int) -> list[DataFrame]
     return [feed.filter(part == k) for k in range(len(cuts) + 1)]
 
 
-def run_stream_admission(t: Tables, batches: int = ADMISSION_BATCHES) -> DataFrame:
+#: How long after its planned departure a trip of the closing variant takes requests.
+ADMISSION_KEEP = dt.timedelta(days=30)
+
+
+def run_stream_admission_closing(t: Tables) -> DataFrame:
+    """X07 with trips that close: the decisions, and no more seats are held than those
+    of trips that the feed's last request could still have asked for."""
+    return run_stream_admission(t, keep=ADMISSION_KEEP)
+
+
+def run_stream_admission(t: Tables, batches: int = ADMISSION_BATCHES, keep: dt.timedelta | None = None) -> DataFrame:
     """X07 over a feed that arrives in requested_at order, one micro-batch after
     the other: each part is written and the query resumed from its checkpoint, so
-    every batch but the first decides from the state of those before it."""
+    every batch but the first decides from the seats that those before it left.
+    The feed spans years, so its decisions lie in buckets of a year."""
     spark = t.bookings.sparkSession
-    feed = materialized(rq.booking_requests(t))
+    feed = materialized(rq.booking_requests(t).select("request_id", "trip_id", "seat_count", "requested_at"))
     folder, out, ckpt = (scratch(spark, "x07-" + x) for x in ("feed", "out", "ckpt"))
-    snap = materialized(rq.empty_trips(t).select("trip_id", "trip_status", "seats_available"))
+    snap = materialized(rq.empty_trips(t).select("trip_id", "trip_status", "seats_available", "estimated_departure_time"))
+    decided, _, write = admission_tables(snap, out, keep, every="yyyy")
     for part in in_time_order(feed, "requested_at", batches):
         part.write.mode("append").parquet(folder)
         src = read_stream(spark, folder, feed.schema)  # all new files: one batch
-        run_to_end(stream_admission(src, snap).writeStream.outputMode("append")
-                   .format("parquet").option("path", out), ckpt)
-    return spark.read.schema(ADMISSION_OUT).parquet(out)
+        run_to_end(src.writeStream.foreachBatch(write), ckpt)
+    return decided.snapshot().drop("requested_at")
 
 
 # ---------------------------------------------------------------------- X08

@@ -69,6 +69,13 @@ class KeyedTable:
         now = self.versions()
         return self._read({b: now[b] for b in names if b in now})
 
+    def near(self, batch: DataFrame, epoch: int | None = None) -> DataFrame:
+        """The rows (as of ``epoch``) of the buckets into which ``batch`` falls. The
+        buckets' names, at most one each, come to the driver."""
+        now = self.versions(epoch)
+        names = batch.agg(F.collect_set(F.concat(F.lit("_bucket="), self.bucket))).first()[0]
+        return self._read({b: now[b] for b in names if b in now})
+
     # ------------------------------------------------------------------- writes
     def upsert(self, batch: DataFrame, epoch: int, order: str | None = None) -> list[str]:
         """Apply ``batch`` (the keys and some of the columns): its columns replace

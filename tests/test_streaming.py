@@ -39,7 +39,7 @@ def test_seat_ledger_restart_equals_batch(spark, tables):
 
 def test_admission_state_survives_restart(spark, tables):
     reqs = rq.booking_requests(tables).checkpoint()
-    snap = rq.empty_trips(tables).select("trip_id", "trip_status", "seats_available").checkpoint()
+    snap = rq.empty_trips(tables).select("trip_id", "trip_status", "seats_available", "estimated_departure_time").checkpoint()
     lo, hi = reqs.agg(F.min("requested_at"), F.max("requested_at")).first()
     mid = lo + (hi - lo) / 2
     folder = feed.scratch(spark, "adm-feed")
@@ -48,14 +48,13 @@ def test_admission_state_survives_restart(spark, tables):
     reqs.filter(F.col("requested_at") <= mid).write.parquet(folder)
 
     def run():
-        src = feed.read_stream(spark, folder, reqs.schema, files_per_batch=4)
-        w = sj.stream_admission(src, snap).writeStream.outputMode("append").format("parquet").option("path", out)
-        feed.run_to_end(w, ckpt, spark)
+        src = feed.read_stream(spark, folder, reqs.schema)
+        feed.run_to_end(src.writeStream.foreachBatch(sj.admission_tables(snap, out, every="yyyy")[2]), ckpt, spark)
 
     run()
     reqs.filter(F.col("requested_at") > mid).write.mode("append").parquet(folder)
     run()
-    got = {r.request_id: r.decision for r in spark.read.schema(sj.ADMISSION_OUT).parquet(out).collect()}
+    got = {r.request_id: r.decision for r in sj.admission_tables(snap, out, every="yyyy")[0].snapshot().collect()}
     want = {r.request_id: r.decision for r in lc.admit_bookings(
         rq.empty_trips(tables), reqs, tables.bookings, tables.payment_log, tables_now()).decisions.collect()}
     assert got == want
@@ -135,13 +134,64 @@ def test_admission_gives_every_request_one_row(spark):
     src = stream_of(spark, [[(1, 7, 2, T0), (2, 7, 2, T0 + DAY)], [(3, 7, 1, T0 - DAY)], [(4, 7, 1, T0 + 2 * DAY), (1, 7, 2, T0)],
                             [(5, 9, 1, T0)]], req, "late-x07")
     trips = spark.createDataFrame([(7, "boarding", 5)], "trip_id long, trip_status string, seats_available int")
-    out = feed.scratch(spark, "late-x07-out")
-    feed.run_to_end(sj.stream_admission(src, trips).writeStream.outputMode("append").format("parquet").option("path", out),
-                    feed.scratch(spark, "late-x07c"), spark)
-    got = sorted((r.request_id, r.reason) for r in spark.read.schema(sj.ADMISSION_OUT).parquet(out).collect())
+    decided, _, write = sj.admission_tables(trips, feed.scratch(spark, "late-x07-out"))
+    feed.run_to_end(src.writeStream.foreachBatch(write), feed.scratch(spark, "late-x07c"), spark)
+    got = sorted((r.request_id, r.reason) for r in decided.snapshot().collect())
     assert got == [(1, None), (2, None), (3, "late"), (4, None), (5, "unknown_trip")]
 
 
+REQUEST = "request_id long, trip_id long, seat_count int, requested_at timestamp_ntz"
+
+
+def test_admission_frees_the_seats_of_departed_trips(spark):
+    """Trip 7 departs on the first day and is kept for one; trip 8 has no departure."""
+    trips = spark.createDataFrame([(7, "boarding", 5, T0), (8, "full", 9, None), (9, "boarding", 4, T0 + 9 * DAY)],
+                                  "trip_id long, trip_status string, seats_available int, estimated_departure_time timestamp_ntz")
+    decided, seats, write = sj.admission_tables(trips, feed.scratch(spark, "free-x07"), keep=DAY)
+    batches = [[(1, 7, 2, T0), (2, 8, 1, T0), (3, 7, 1, T0 + 2 * DAY)],  # 3: departed, which frees nothing
+               [(4, 9, 4, T0 + 3 * DAY)],                               # trip 7 is freed
+               [(5, 7, 1, T0 + DAY / 2), (6, 7, 1, T0 + 4 * DAY), (7, 9, 1, T0 + 4 * DAY), (4, 9, 4, T0 + 3 * DAY)],
+               [(8, 8, 1, T0 + 20 * DAY)]]                              # trip 9 is freed
+    held = []
+    for epoch, rows in enumerate(batches):
+        write(spark.createDataFrame(rows, REQUEST), epoch)
+        held.append({r.trip_id: r.seats_left for r in seats.snapshot().collect()})
+    assert held == [{7: 3, 8: 8}, {8: 8, 9: 0}, {8: 8, 9: 0}, {8: 7}]
+    assert {r.request_id: r.reason for r in decided.snapshot().collect()} == {
+        1: None, 2: None, 3: "departed", 4: None, 5: "late", 6: "departed", 7: "not_enough_seats", 8: None}
+
+
+def test_admission_of_a_hot_trip_replayed(spark, monkeypatch):
+    """One trip with most requests, copies and null counts; every batch fails once
+    between its two tables and is replayed. The decisions are those of a plain loop."""
+    import random
+    rng, want, seats = random.Random(5), {}, {7: 23, 8: 4}
+    trips = spark.createDataFrame([(7, "boarding", 23), (8, "boarding", 4)], "trip_id long, trip_status string, seats_available int")
+    decided, held, write = sj.admission_tables(trips, feed.scratch(spark, "hot-x07"))
+    upsert, sent = held.upsert, []
+    for epoch in range(3):
+        rows = [(1000 * epoch + i, 8 if i % 50 == 0 else 7, rng.choice([0, 1, 2, 3, 9, None]),
+                 T0 + epoch * DAY + dt.timedelta(minutes=rng.randrange(200))) for i in range(400 if epoch else 4)]
+        late = [(9999, 7, 1, T0 - DAY)] if epoch == 2 else []
+        for i, trip, n, _ in sorted(rows, key=lambda r: (r[3], r[0])):
+            want[i] = "invalid_seat_count" if not n else None if n <= seats[trip] else "not_enough_seats"
+            seats[trip] -= n if want[i] is None else 0
+        want |= {r[0]: "late" for r in late}
+        batch = spark.createDataFrame(rows + late + rows[:9] + sent[:9], REQUEST)
+        sent += rows
+
+        def lost(*a):
+            raise RuntimeError("lost")
+        monkeypatch.setattr(held, "upsert", lost)
+        with pytest.raises(RuntimeError):
+            write(batch, epoch)
+        monkeypatch.setattr(held, "upsert", upsert)
+        write(batch, epoch)
+        write(batch, epoch)
+    assert {r.request_id: r.reason for r in decided.snapshot().collect()} == want
+    assert {r.trip_id: r.seats_left for r in held.snapshot().collect()} == seats
+
+
 def test_live_queue_uses_the_latest_snapshot(spark):
     src = stream_of(spark, [[(7, "boarding", 2)], [(7, "waiting", 1)], [(7, "full", 3), (8, "waiting", 1)]],
                     "trip_id long, trip_status string, _v int", "x04-late")
@@ -157,48 +207,6 @@ def test_unreadable_sink_is_an_error(spark, tmp_path):
     assert feed.latest_per_key(spark, f"file://{tmp_path}/none", ["id"], spark.range(0).schema).count() == 0
 
 
-class Held:
-    """A group's state outside a stream."""
-
-    def __init__(self):
-        self.exists, self.get = False, None
-
-    def update(self, value):
-        self.exists, self.get = True, value
-
-
-def test_admission_reads_a_trip_chunk_by_chunk():
-    """Requests that cannot be accepted go out before the next chunk is read, and
-    the decisions are those of a plain loop, whatever the order of the chunks."""
-    import random
-
-    import pandas as pd
-    rng, state, want, seats, first = random.Random(5), Held(), {}, 23, True
-    for batch in range(3):
-        rows = [(1000 * batch + i, 7, rng.choice([0, 1, 2, 3, 9, None]), T0 + batch * DAY + dt.timedelta(minutes=rng.randrange(200)), 23)
-                for i in range(400 if batch else 4)]
-        if batch == 2:
-            rows.append((9999, 7, 1, T0, 23))
-        for i, _, n, at, _ in sorted(rows, key=lambda r: (r[3], r[0])):
-            want[i] = "late" if i == 9999 else "invalid_seat_count" if not n else None if n <= seats else "not_enough_seats"
-            seats -= n if want[i] is None else 0
-        rng.shuffle(rows)
-        read, got, waiting = 0, {}, 0
-
-        def chunks():
-            nonlocal read
-            for k in range(0, len(rows), 50):
-                read += len(rows[k:k + 50])
-                yield pd.DataFrame(rows[k:k + 50], columns=["request_id", "trip_id", "seat_count", "requested_at", "_avail"])
-
-        for out in sj._admit((7,), chunks(), state):
-            got |= dict(zip(out["request_id"], (r if isinstance(r, str) else None for r in out["reason"]), strict=True))
-            waiting = max(waiting, read - len(got))
-        assert {i: want[i] for i in got} == got and len(got) == len(rows)
-        assert waiting < 50 + 23 * 3
-        assert state.get[0] == seats
-
-
 def test_registered_admission_runs_over_several_batches(spark, tables, monkeypatch):
     paths = []
     monkeypatch.setattr(sj, "scratch", lambda s, name: paths.append(feed.scratch(s, name)) or paths[-1])
