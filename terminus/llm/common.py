@@ -78,6 +78,20 @@ def released(run):
     return task
 
 
+@contextlib.contextmanager
+def rows_per_batch(spark: SparkSession, rows: int):
+    """Arrow batches of at most ``rows`` rows for what is written inside: a batch of
+    whole texts stands in memory on both sides of the worker's pipe. The caller's
+    setting is restored."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    old = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, old)
+
+
 class Memo(dict):
     """Cache of a pure function, emptied when it holds ``bound`` keys.
 

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terminus.llm.common import written
+from terminus.llm.common import free_memory, released, rows_per_batch, written
 from terminus.llm.running import prefix_sums
 from terminus.llm.tokens import Lookup, Pretokens
 
@@ -42,6 +42,7 @@ CLOSING_ID = 1
 TRIPLES = 6000
 ITERATIONS = 400
 ROUNDS = 6
+BATCH_ROWS = 500
 
 
 def ids_of(pre: Pretokens, lookup, text: str | None) -> bytes:
@@ -57,7 +58,7 @@ def ids_of(pre: Pretokens, lookup, text: str | None) -> bytes:
 
 
 def _lookup(pre: Pretokens):
-    return Lookup(lambda piece: b"".join(i.to_bytes(4, "little") for i in pre.encode(piece)), bound=400_000).__getitem__
+    return Lookup(lambda piece: b"".join(i.to_bytes(4, "little") for i in pre.encode(piece)), bound=200_000).__getitem__
 
 
 def binary_cuts(length: int) -> list[int]:
@@ -74,6 +75,7 @@ def _measured(tokenizer: str, window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pre = Pretokens(tokenizer)
         lookup, step = _lookup(pre), 4 * window
+        free_memory()  # what reading the tokenizer file took
         for batch in batches:
             n, blocks, rest, parts = [], [], [], []
             for value in batch.column(2):
@@ -191,9 +193,10 @@ def pack(docs: DataFrame, tokenizer: str = TOKENIZER, window: int = WINDOW) -> D
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(F.col("text").cast("string"))
                         .alias("text_key"), F.col("text").cast("string").alias("text"))
     # Written at once: range partitioning evaluates its input twice.
-    light = written(texts.mapInArrow(
-        _measured(tokenizer, window), "doc_id bigint, text_key bigint, doc_tokens bigint, blocks array<bigint>, "
-        "rest_crc bigint, part_crcs array<bigint>").withColumn("rest", F.col("doc_tokens") % window))
+    with rows_per_batch(spark, BATCH_ROWS):
+        light = written(texts.mapInArrow(
+            released(_measured(tokenizer, window)), "doc_id bigint, text_key bigint, doc_tokens bigint, blocks array<bigint>, "
+            "rest_crc bigint, part_crcs array<bigint>").withColumn("rest", F.col("doc_tokens") % window))
     placed = written(prefix_sums(
         light, [F.col("rest"), F.col("doc_id"), F.col("text_key"), F.col("doc_tokens")],
         {"row": F.lit(1), "first_block": F.size("blocks")}))

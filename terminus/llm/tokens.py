@@ -74,10 +74,11 @@ class Pretokens:
         path = tokenizer_file(name)
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        self.tok = Tokenizer.from_file(path)
-        self.model = self.tok.model
         self.lower = spec["normalizer"] is not None
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        del spec  # before the library reads the file for itself
+        self.tok = Tokenizer.from_file(path)
+        self.model = self.tok.model
         self.cut = re.compile("(" + "|".join(map(re.escape, self.special)) + ")")
         self.findall = safe_pattern(WORD_PATTERN if self.lower else BYTE_PATTERN).findall
         self.unsafe = re.compile(f"[^{SAFE}]" + ("|Σ" if self.lower else "")).search
