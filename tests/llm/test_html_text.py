@@ -120,3 +120,32 @@ def test_every_page_goes_through_the_suffix_array(spark, monkeypatch):
         assert got == {k: f"text {k} " * 8 + f"text {k}" for k in range(6)}
         marked = next(df for df in kept if "mask" in df.columns)
         assert marked.count() == 6
+
+
+def test_article_text_is_part_of_the_host_suffix_array(spark, monkeypatch):
+    """A page's whole stream is looked up: what a page without markup shares with an
+    article of its host repeats, whether both are in one shard or not."""
+    quote = "these ten words stand in an article of this host"
+    story = lambda i: " ".join(f"s{i}x{j}" for j in range(30))
+    rows = [(i, f"http://h.example/{i}", f"<article><p>{story(i)}</p><p>{quote}</p></article>") for i in range(8)]
+    rows += [(50 + i, f"http://h.example/{50 + i}", f"<div>{quote}</div><div>{story(50 + i)}</div>") for i in range(2)]
+    rows += [(90, "http://other.example/", f"<div>{quote}</div><div>{story(90)}</div>")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    kept = []
+    monkeypatch.setattr(h, "written", lambda df, f=h.written: kept.append(f(df)) or kept[-1])
+    for shard_tokens in (10_000, 10):
+        kept.clear()
+        got = {r.page_id: r.text for r in h.extract(df, shard_tokens=shard_tokens).collect()}
+        assert all(got[i] == f"{story(i)}\n{quote}" for i in range(8))  # the markup keeps its article
+        assert got[50] == story(50) and got[51] == story(51) and got[90] == f"{quote}\n{story(90)}"
+        masks = {r.page_id: r.mask for r in next(x for x in kept if "mask" in x.columns).collect()}
+        assert len(masks) == 11 and all(len(masks[i]) == 5 for i in range(8))  # 40 tokens of an article, a bit each
+        if shard_tokens == 10_000:
+            assert all(any(masks[i]) for i in range(8)) and not any(masks[90])
+
+
+def test_copies_are_one_page_in_any_number_of_shards(spark):
+    page = "<div>" + " ".join(f"w{j}" for j in range(20)) + "</div>"
+    df = spark.createDataFrame([(i, f"http://h.example/{i}", page) for i in range(12)], "page_id long, url string, html string")
+    for shard_tokens in (10_000, 20):
+        assert {r.text for r in h.extract(df, shard_tokens=shard_tokens).collect()} == {page[5:-6]}
