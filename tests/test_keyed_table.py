@@ -10,7 +10,7 @@ from terminus.sources import requests as rq
 from terminus.sources import sinks
 from terminus.streaming import feed
 from terminus.streaming import jobs as sj
-from terminus.streaming.keyed import SEED, KeyedTable
+from terminus.streaming.keyed import SEED, EventLog, KeyedTable
 
 ROW = "k long, a int, b string"
 
@@ -192,3 +192,67 @@ def test_action_counts_with_copies_and_late_rows(spark):
     hour = dt.timedelta(minutes=30)
     assert rows(counts.snapshot().select("hour_start", "action_type", "actions")) == [
         (t0 - 400 * day - hour, "a", 1), (t0 - hour, "a", 2), (t0 - hour, "b", 1), (t0 + day - hour, "b", 1)]
+
+
+def test_versions_outlast_deletions_and_come_in_any_order(spark):
+    t = table(spark, "kt5", version="v", history=True)
+    change = ROW + ", v long, _gone boolean"
+    for e, batch in enumerate([[(1, 5, "x", 5, False), (2, 1, "y", 1, False)], [(1, None, None, 7, True), (2, 0, "old", 0, False)],
+                               [(1, 6, "late", 6, False), (3, 1, "z", 1, False)], [(1, 8, "back", 8, False)]]):
+        t.upsert(spark.createDataFrame(batch, change), e)
+    assert [rows(t.snapshot(e)) for e in range(4)] == [
+        [(1, 5, "x"), (2, 1, "y")], [(2, 1, "y")], [(2, 1, "y"), (3, 1, "z")], [(1, 8, "back"), (2, 1, "y"), (3, 1, "z")]]
+    assert t.snapshot().columns == ["k", "a", "b"]
+
+
+def test_a_folded_table_counts_a_batch_once(spark):
+    t = table(spark, "kt6", fold={"a": F.sum, "b": F.max})
+    t.seed(spark.createDataFrame([(1, 1, "x")], ROW))
+    for e, batch in ((0, [(1, 2, None), (2, 5, "q")]), (0, [(1, 2, None), (2, 5, "q")]), (1, [(2, -1, "p"), (None, 3, None)])):
+        t.upsert(spark.createDataFrame(batch, ROW), e)
+    assert {tuple(r) for r in t.snapshot().collect()} == {(1, 3, "x"), (2, 4, "q"), (None, 3, None)}
+
+
+def test_event_log_tells_copies_in_any_batch(spark):
+    log = EventLog(spark, feed.scratch(spark, "log"), "k")
+    batches = [[(1, 1, "a"), (1, 1, "a"), (None, 0, "n")], [(1, 1, "a"), (2, 2, "b")], [(None, 0, "n"), (2, 2, "b"), (3, 3, "c")]]
+    for again in (0, 1):  # a batch that failed later on is written anew
+        got = [sorted({r.k or 0 for r in log.add(spark.createDataFrame(b, ROW), e)[1].collect()}) for e, b in enumerate(batches) for _ in range(again + 1)]
+        assert got[::again + 1] == [[0, 1], [2], [3]]
+
+
+def test_monitors_of_late_copies_keep_no_stream_state(spark, tables):
+    """Ledger, queue and seat monitor of replays with copies in later batches and old
+    snapshots after new ones; no state store is written."""
+    import os
+    t0 = dt.datetime(2025, 1, 1)
+    trips = tables.trips.orderBy("trip_id").limit(20).withColumn("trip_status", F.lit("boarding")).checkpoint()
+    live = sj._small(tables.replace(trips=trips))
+    ids = [r.trip_id for r in trips.orderBy("trip_id").select("trip_id").collect()]
+    change = "event_id long, booking_id long, trip_id long, old_status string, new_status string, seat_count int, ts timestamp_ntz"
+    one, two = (1, 1, ids[0], None, "paid", 2, t0), (2, 2, ids[1], None, "paid", 3, t0)
+    batches = [[one, two, one], [one, (3, 1, ids[0], "paid", "cancelled", 2, t0)], [two, (4, 4, -7, None, "paid", 1, t0)]]
+    ledger, write = sj.seat_ledger_table(spark, feed.scratch(spark, "x02n"))
+    _stream_parts(spark, batches, change, write, "x02n")
+    assert rows(ledger.snapshot()) == [(-7, 1), (ids[0], 0), (ids[1], 3)]
+
+    update = "trip_id long, trip_status string, queue_position int, _v long"
+    steps = [[(ids[1], "departed", None, 2)], [(ids[1], "boarding", 1, 1), (ids[2], "full", 5, 1)], [(ids[2], "full", 5, 1)]]
+    _, write, shown = sj.seat_monitor_tables(live, feed.scratch(spark, "x05n"))
+    assert shown().count() == 20
+    folder, ckpt = feed.scratch(spark, "x05n-feed"), feed.scratch(spark, "x05n-ckpt")
+    for c, u in zip(batches, steps):
+        sj.monitor_events(spark.createDataFrame(c, change), spark.createDataFrame(u, update)).write.mode("append").parquet(folder)
+        schema = spark.read.parquet(folder).schema
+        feed.run_to_end(feed.read_stream(spark, folder, schema).writeStream.foreachBatch(write), ckpt, spark)
+    got = {r.trip_id: (r.seats_booked, r.seats_available, r.trip_status) for r in shown().collect()}
+    cap = {r.trip_id: r.capacity for r in trips.collect()}
+    assert got == {i: (0, cap[i], "full" if i == ids[2] else "boarding") for i in ids if i != ids[1]}
+    assert not os.path.exists(ckpt.removeprefix("file:") + "/state")
+
+    queue, write = sj.live_queue_table(live, feed.scratch(spark, "x04n"))
+    snaps = trips.withColumn("_v", F.lit(1))
+    late = snaps.filter(F.col("trip_id") == ids[0])
+    for e, part in enumerate((late.withColumn("trip_status", F.lit("departed")).withColumn("_v", F.lit(3)), snaps, late.withColumn("_v", F.lit(2)))):
+        write(part, e)
+    assert {r.trip_id for r in queue.snapshot().collect()} == set(ids[1:])
